@@ -1,0 +1,141 @@
+"""Column expressions that the queries share: token totals, priced cost, coverage, wall-clock labels, prices, scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TIER_TOKENS = 200_000
+
+
+def total_tokens() -> Column:
+    return F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens")
+
+
+def js_round(x: Column) -> Column:
+    """Half up toward plus infinity."""
+    return F.floor(x + 0.5)
+
+
+def priced_cost(digits: int = 4) -> Column:
+    """Sum of cost without unpriced events, zero if there is none."""
+    s = F.sum(F.when(F.col("cost_status") != "unpriced", F.col("cost_usd")))
+    return F.round(F.coalesce(s.cast("double"), F.lit(0.0)), digits)
+
+
+def total(name: str) -> Column:
+    return F.coalesce(F.sum(name), F.lit(0)).cast("long")
+
+
+def coverage() -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.col("cost_status") == s, F.col("event_count"))), F.lit(0)).cast("long").alias(f"{s}_events") for s in ("priced", "unpriced", "legacy")]
+
+
+def tokens() -> list[Column]:
+    return [total(f"{x}_tokens").alias(f"{x}_tokens") for x in ("input", "output", "cache_read", "cache_creation")]
+
+
+def measures(with_coverage: bool = True) -> list[Column]:
+    """Exact distinct sessions (null and empty aside) and users, cost, tokens and, if asked for, cost coverage."""
+    out = [F.countDistinct(F.nullif("session_id", F.lit(""))).alias("sessions"), F.countDistinct("user_id").alias("active_users"), priced_cost().alias("cost"), *tokens()]
+    return out + (coverage() if with_coverage else [])
+
+
+def local(ts: Column | str, zone: str) -> Column:
+    return F.from_utc_timestamp(ts, zone)
+
+
+def bucket_label(ts: Column | str, zone: str, bucket: str = "day") -> Column:
+    """Wall-clock label; the repeated hour of an autumn day falls into one bucket."""
+    at = local(ts, zone)
+    if bucket == "day":
+        return F.date_format(at, "yyyy-MM-dd")
+    if bucket == "hour":
+        return F.date_format(at, "yyyy-MM-dd HH:00")
+    width = {"30m": 30, "15m": 15}[bucket]
+    floor = F.floor(F.minute(at) / width) * width
+    return F.concat(F.date_format(at, "yyyy-MM-dd HH:"), F.lpad(floor.cast("string"), 2, "0"))
+
+
+def bucket_start(ts: Column | str, minutes: int = 15) -> Column:
+    """UTC tumbling bucket."""
+    seconds = minutes * 60
+    return F.timestamp_seconds(F.floor(F.unix_seconds(F.col(ts) if isinstance(ts, str) else ts) / seconds) * seconds)
+
+
+def tiered(n: Column, base: Column, above: Column) -> Column:
+    """Price of n tokens in dollars; above 200,000 the second price holds, if there is one."""
+    over = F.greatest(n - TIER_TOKENS, F.lit(0))
+    return F.when(above.isNull() | (n <= TIER_TOKENS), n * base).otherwise((n - over) * base + over * above) / 1e6
+
+
+def token_cost(one_hour: Column | None = None, fast: Column | None = None) -> Column:
+    """Cost of a row with token counts and the prices input, output, cache_read, cache_creation, input_above, output_above, fast."""
+    c = F.col
+    hour = F.least(one_hour if one_hour is not None else F.lit(0), c("cache_creation_tokens"))
+    cost = (
+        tiered(c("input_tokens"), c("input"), c("input_above"))
+        + tiered(c("output_tokens"), c("output"), c("output_above"))
+        + c("cache_read_tokens") * F.coalesce("cache_read", c("input") * 0.1) / 1e6
+        + (c("cache_creation_tokens") - hour) * F.coalesce("cache_creation", c("input") * 1.25) / 1e6
+        + hour * c("input") * 2 / 1e6
+    )
+    return cost if fast is None else F.when(fast, cost * F.coalesce("fast", F.lit(1.0))).otherwise(cost)
+
+
+def coverage_state(priced: Column, unpriced: Column, legacy: Column) -> Column:
+    return F.when((unpriced > 0) & (priced + legacy > 0), "partial").when(unpriced > 0, "unpriced").when((legacy > 0), "legacy").otherwise("complete")
+
+
+def percent_delta(current: Column, previous: Column) -> Column:
+    """Rounded percent, null without a previous value or at zero, within 999 either way."""
+    p = js_round((current - previous) / previous * 100)
+    return F.when((previous > 0) & (p != 0), F.greatest(F.lit(-999), F.least(F.lit(999), p))).cast("long")
+
+
+def array_median(values: Column) -> Column:
+    s = F.sort_array(values)
+    n = F.size(s)
+    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+
+def nearest_rank(values: Column, share: float) -> Column:
+    s = F.sort_array(values)
+    return F.get(s, F.floor((F.size(s) - 1) * share + 0.5).cast("int"))
+
+
+def baseline_score(current: Column, baseline: Column, direction: int = 1) -> Column:
+    """0 to 100: 50 at the baseline's median, 15 for each scaled median deviation (0.05 at least)."""
+    center = array_median(baseline)
+    spread = array_median(F.transform(baseline, lambda v: F.abs(v - center)))
+    raw = js_round(F.lit(50) + 15 * direction * ((current - center) / F.greatest(spread * 1.4826, F.lit(0.05))))
+    return F.greatest(F.lit(0), F.least(F.lit(100), raw)).cast("long")
+
+
+def semver_key(version: Column) -> Column:
+    """The three numbers of a version, a leading v aside; null if it isn't one."""
+    plain = F.regexp_replace(version, "^v", "")
+    return F.when(plain.rlike(r"^\d+\.\d+\.\d+"), F.transform(F.split(F.regexp_extract(plain, r"^(\d+\.\d+\.\d+)", 1), r"\."), lambda x: x.cast("int")))
+
+
+def fnv1a_percent(text: Column) -> Column:
+    """FNV-1a (32 bits) of the UTF-8 bytes, modulo 100, in SQL functions."""
+    data = F.hex(F.encode(text, "UTF-8"))
+    codes = F.transform(F.sequence(F.lit(0), F.greatest(F.length(data) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.substring(data, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    codes = F.when(F.length(data) == 0, F.array().cast("array<bigint>")).otherwise(codes)
+    mask = F.lit(0xFFFFFFFF).cast("long")
+    return F.pmod(F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(mask)), F.lit(100)).cast("int")
+
+
+def dedup_key() -> Column:
+    """Of a row with request_id, model, session_id, sequence, ts_ms and token counts."""
+    text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    counts = [F.col(f"{x}_tokens").cast("string") for x in ("input", "output", "cache_read", "cache_creation")]
+    by_request = F.concat_ws("|", F.lit("req"), F.col("request_id"), text("model"), *counts)
+    natural = F.concat_ws("|", F.lit("nat"), text("session_id"), text("sequence"), F.col("ts_ms").cast("string"), *counts)
+    return F.sha2(F.when(F.nullif("request_id", F.lit("")).isNotNull(), by_request).otherwise(natural), 256)
+
+
+def clean_host(host: Column) -> Column:
+    """Control characters and outer blanks go, 255 characters stay, empty becomes null."""
+    return F.nullif(F.substring(F.trim(F.regexp_replace(host, r"[\x00-\x1f\x7f]", "")), 1, 255), F.lit(""))

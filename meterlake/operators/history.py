@@ -1,0 +1,71 @@
+"""Session history over turns (session, turn, role, text): groups, previews, runs, matching with usage."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+SNIPPET = 200
+
+
+def groups(turns: DataFrame) -> DataFrame:
+    """Sessions with their first user turn (else the first turn) as a preview, blanks folded, cut to 200 characters."""
+    pick = F.min_by("text", F.struct((F.col("role") != "user").alias("a"), "turn"))
+    text = F.trim(F.regexp_replace(pick, r"\s+", " "))
+    return turns.groupBy("session").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("roles"), F.bool_or(F.col("role") == "assistant").alias("answered"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.substring(text, 1, SNIPPET).alias("preview"))
+
+
+def page(sessions: DataFrame, before: tuple[int, int] | None, size: int) -> DataFrame:
+    """Keyset page by last turn and session, newest first, one row more than the page to tell whether there is another."""
+    p = sessions if before is None else sessions.where((F.col("last_turn") < before[0]) | ((F.col("last_turn") == before[0]) & (F.col("session") < before[1])))
+    return p.orderBy(F.desc("last_turn"), F.desc("session")).limit(size + 1)
+
+
+def search(turns: DataFrame, words: str) -> DataFrame:
+    """The first turn of each session that holds the words, case folded, with a snippet around them."""
+    at = F.locate(words.lower(), F.lower("text"))
+    hits = turns.where(F.lower("text").contains(words.lower())).withColumn("snippet", F.substring(F.col("text"), F.greatest(at - 40, F.lit(1)), F.lit(120)))
+    return hits.groupBy("session").agg(F.min_by(F.struct("turn", "role", "snippet"), "turn").alias("t")).select("session", "t.turn", "t.role", "t.snippet")
+
+
+def runs(turns: DataFrame, agent: str = "agent") -> DataFrame:
+    """Runs of consecutive turns by agents: an island for each stretch between turns of the main thread, a row per agent in it."""
+    w = Window.partitionBy("session").orderBy("turn")
+    tagged = turns.withColumn("island", F.sum(F.when(F.col(agent).isNull(), 1).otherwise(0)).over(w))
+    return tagged.where(F.col(agent).isNotNull()).groupBy("session", "island", agent).agg(F.count(F.lit(1)).alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+
+
+def matched(turns: DataFrame, usage: DataFrame, tolerance_ms: int = 10_000) -> DataFrame:
+    """Greedy: the assistant turns of a session in order each take the nearest usage event not yet taken, within the tolerance.
+
+    turns: session, key, ts_ms, assistant turns only.  usage: session, event, ts_ms.  A session is worked on as one.
+    """
+
+    def greedy(key: tuple, t: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
+        u = u.sort_values(["ts_ms", "event"]).reset_index(drop=True)
+        free, out = pd.Series(True, u.index), []
+        for row in t.sort_values(["ts_ms", "key"]).itertuples():
+            gap = (u.ts_ms - row.ts_ms).abs()[free]
+            if len(gap) and gap.min() <= tolerance_ms:
+                best = gap.idxmin()
+                free[best] = False
+                out.append((key[0], row.key, u.event[best]))
+        return pd.DataFrame(out, columns=["session", "key", "event"])
+
+    kinds = dict(turns.dtypes) | {f"u_{a}": b for a, b in usage.dtypes}
+    return turns.groupBy("session").cogroup(usage.groupBy("session")).applyInPandas(greedy, f"session {kinds['session']}, key {kinds['key']}, event {kinds['u_event']}")
+
+
+def normalised(df: DataFrame, column: str) -> DataFrame:
+    """Unicode NFKC, which Spark has no function for, in Arrow batches."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    return df.withColumn(column, nfkc(F.col(column)))
