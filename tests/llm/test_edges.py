@@ -269,3 +269,12 @@ def test_maxent_tail_join_is_exact(spark, monkeypatch):
     b = {r.doc_id: r for r in maxent.maxent_scores(df, df.where("doc_id < 99")).collect()}
     for i in a:
         assert a[i].n_known == b[i].n_known and a[i].base_score == pytest.approx(b[i].base_score)
+
+
+def test_adpcm_together_is_alone(spark):
+    rng = np.random.default_rng(4)
+    files = [telephony.write_wav(rng.integers(0, 256, 64 * n, dtype=np.uint8).tobytes(), "adpcm") for n in (1, 7, 300)]
+    got = telephony._adpcm_together([files[0], None, files[1], b"RIFF", files[2]])
+    assert sorted(got) == [0, 2, 4]
+    for i, f in zip((0, 2, 4), files):
+        assert (got[i] == np.concatenate(list(telephony._pcm_pieces("adpcm", telephony.read_wav(f)[2])))).all()
