@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from .common import arrow_batches, quoted, without
 
-SHORT, REMEMBERED = 128, 150_000
+#: Symbols of a word that the array is for; words, and pieces of words, that a worker remembers.
+SHORT, REMEMBERED, PIECES = 128, 200_000, 300_000
 _NO = 1 << 60
 #: White space of the tokenizer's pattern (Unicode White_Space); four bytes that str.split() also splits at are not in it.
 _SPACES = regex.compile("[\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -53,6 +54,8 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.symbols = byte_symbols()
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.pieces: dict[str, tuple[int, str, str]] = {}
 
     def merged(self, parts: list[str]) -> list[str]:
         if len(parts) > SHORT:
@@ -90,32 +93,48 @@ class WordBpe:
                     heapq.heappush(heap, (r, x, part[x], part[y]))
         return [p for p, ok in zip(part, alive) if ok]
 
+    def piece(self, piece: str) -> tuple[int, str, str]:
+        """Of a piece of the pattern: how many ids, the ids and the tokens joined by spaces."""
+        parts = [self.symbols[b] for b in piece.encode()]
+        parts[-1] += self.suffix
+        out = [x for x in self.merged(parts) if x in self.vocabulary]
+        return len(out), " ".join([str(self.vocabulary[x]) for x in out]), " ".join(out)
+
     def word(self, chunk: str) -> tuple[int, str, str]:
-        """Of a text without white space: how many ids, the ids and the tokens joined by spaces."""
-        out: list[str] = []
-        for piece in self.cut.split(chunk) if self.cut else [chunk]:
-            if piece in self.special:
-                out.append(piece)
+        """The same of a text without white space."""
+        found, pieces = [], self.pieces
+        for part in self.cut.split(chunk) if self.cut and any(x in chunk for x in self.special) else (chunk,):
+            if part in self.special:
+                found.append((1, str(self.special[part]), part))
                 continue
-            piece = unicodedata.normalize("NFC", piece)
-            piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()  # no final sigma by context
-            for p in _PIECES.findall(piece):
-                parts = [self.symbols[b] for b in p.encode()]
-                parts[-1] += self.suffix
-                out.extend(x for x in self.merged(parts) if x in self.vocabulary)
-        return len(out), " ".join(str(self.special[x] if x in self.special else self.vocabulary[x]) for x in out), " ".join(out)
+            if not part.isascii():
+                part = unicodedata.normalize("NFC", part)
+            part = "".join(c.lower() for c in part) if "Σ" in part else part.lower()  # no final sigma by context
+            for p in _PIECES.findall(part):
+                w = pieces.get(p)
+                if w is None:
+                    w = self.piece(p)
+                    if len(p) <= 64:
+                        if len(pieces) > PIECES:
+                            pieces.clear()
+                        pieces[p] = w
+                if w[0]:
+                    found.append(w)
+        if len(found) == 1:
+            return found[0]
+        return sum(w[0] for w in found), " ".join([w[1] for w in found]), " ".join([w[2] for w in found])
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """Of a whole text: how many ids, the ids and the tokens joined by spaces; words are remembered."""
         chunks = _SPACES.split(text) if _NOT_SPACES.search(text) else text.split()
-        words = self.words
-        if len(words) > REMEMBERED:
-            words.clear()
+        if len(self.words) > REMEMBERED:
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
         found = []
         for c in chunks:
             w = words.get(c)
             if w is None:
-                w = self.word(c)
+                w = older.get(c) or self.word(c)
                 if len(c) <= 64:
                     words[c] = w
             if w[0]:
