@@ -8,11 +8,14 @@ Pieces for which none has room are cut over the room that is left, so a block pa
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,47 +26,71 @@ from .common import arrow_batches, quoted, stored
 CAPACITY, BLOCK = 2048, 4096
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Words whose ids a worker remembers; beyond it the memory is emptied.
+#: Words whose ids a worker remembers before it starts anew, with the last ones at hand.
 REMEMBERED = 200_000
 
 
+#: The pattern of byte-level pre-tokenizers: a fixed value of the format.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
 class WordIds:
-    """Ids of whole texts by a byte-level BPE tokenizer, remembered by word.
+    """Ids of whole texts by a byte-level BPE tokenizer, remembered by word and by the pattern's pieces.
 
     The tokenizer's pattern lets a space only begin a piece, so a text without double spaces may be cut before every
-    space and its parts encoded on their own; any other text is encoded whole.
+    space and its parts encoded on their own; any other text is encoded whole, as is a part with a special token.  A
+    tokenizer of another kind encodes everything whole.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = f.read()
+        self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(spec)
+        pre = spec.get("pre_tokenizer") or {}
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not any(" " in x for x in self.special)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, parts: dict[str, str]) -> dict[str, bytes]:
+        """Ids of parts, given by name, through the ids of their pieces."""
+        out, cut = {}, {}
+        for name, part in parts.items():
+            if any(x in part for x in self.special):
+                out[name] = self.whole(part)
+            else:
+                cut[name] = PATTERN.findall(part)
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        pieces = self.pieces
+        new = list({p for c in cut.values() for p in c} - pieces.keys())
+        for i in range(0, len(new), 1000):
+            for p, e in zip(new[i : i + 1000], self.tokenizer.encode_batch_fast(new[i : i + 1000], add_special_tokens=False)):
+                pieces[p] = np.array(e.ids, "<u4").tobytes()
+        out.update((name, b"".join(map(pieces.__getitem__, c))) for name, c in cut.items())
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned ids, one array per text."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [None if "  " in t else t.split(" ") for t in texts]
-        known = self.known
-        new = list({w for s in split if s for w in s[1:]} - known.keys())
-        for i in range(0, len(new), 1000):
-            part = new[i : i + 1000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([" " + w for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = []
-        for text, s in zip(texts, split):
-            if s is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"))
-            else:
-                first = np.array(self.tokenizer.encode(s[0], add_special_tokens=False).ids, "<u4").tobytes()
-                out.append(np.frombuffer(first + b"".join(map(known.__getitem__, s[1:])), "<u4"))
-        return out
+            self.known, self.older = {}, self.known
+        split = [t.split(" ") if self.by_word and "  " not in t else None for t in texts]
+        known, older = self.known, self.older
+        new = {w for s in split if s for w in s[1:]} - known.keys()
+        known.update((w, older[w]) for w in new & older.keys())
+        known.update(self.learn({w: " " + w for w in new - older.keys()}))
+        first = self.learn({s[0]: s[0] for s in split if s})
+        return [np.frombuffer(self.whole(t) if s is None else first[s[0]] + b"".join(map(known.__getitem__, s[1:])), "<u4") for t, s in zip(texts, split)]
 
 
 _MADE: dict[str, WordIds] = {}
