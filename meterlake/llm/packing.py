@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_symbols
 from .common import arrow_batches, quoted, stored
 
 CAPACITY, BLOCK = 2048, 4096
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Words whose ids a worker remembers before it starts anew, with the last ones at hand.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 #: The pattern of byte-level pre-tokenizers: a fixed value of the format.
@@ -54,11 +56,26 @@ class WordIds:
         spec = json.loads(spec)
         pre = spec.get("pre_tokenizer") or {}
         self.special = [x["content"] for x in spec["added_tokens"]]
+        self.odd = [x for x in self.special if "<" not in x]
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not any(" " in x for x in self.special)
+        self.ranked = self._ranked(spec["model"]) if self.by_word else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    @staticmethod
+    def _ranked(model: dict):
+        """A faster encoder of single pieces with the same ids: only if an id is the rank of its merge."""
+        byte = {c: i for i, c in enumerate(byte_symbols())}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or not all(len(t) == 1 for t, i in model["vocab"].items() if i < 256):
+            return None
+        import tiktoken
+
+        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens={})
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -66,7 +83,7 @@ class WordIds:
         """Ids of parts, given by name, through the ids of their pieces."""
         out, cut = {}, {}
         for name, part in parts.items():
-            if any(x in part for x in self.special):
+            if "<" in part and any(x in part for x in self.special) or self.odd and any(x in part for x in self.odd):
                 out[name] = self.whole(part)
             else:
                 cut[name] = PATTERN.findall(part)
@@ -74,9 +91,13 @@ class WordIds:
             self.pieces = {}
         pieces = self.pieces
         new = list({p for c in cut.values() for p in c} - pieces.keys())
-        for i in range(0, len(new), 1000):
-            for p, e in zip(new[i : i + 1000], self.tokenizer.encode_batch_fast(new[i : i + 1000], add_special_tokens=False)):
-                pieces[p] = np.array(e.ids, "<u4").tobytes()
+        if self.ranked:
+            one = self.ranked._encode_single_piece
+            pieces.update((p, array("I", one(p)).tobytes()) for p in new)
+        else:
+            for i in range(0, len(new), 1000):
+                for p, e in zip(new[i : i + 1000], self.tokenizer.encode_batch_fast(new[i : i + 1000], add_special_tokens=False)):
+                    pieces[p] = np.array(e.ids, "<u4").tobytes()
         out.update((name, b"".join(map(pieces.__getitem__, c))) for name, c in cut.items())
         return out
 
