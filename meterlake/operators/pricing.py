@@ -22,19 +22,23 @@ def aliases(models: DataFrame, keys: DataFrame) -> DataFrame:
     return met.withColumn("n", F.row_number().over(w)).where("n = 1").select("model", "model_id")
 
 
+def segments(revisions: DataFrame) -> DataFrame:
+    """Revisions as stretches of a model's time that don't overlap (s_from, s_until): in each the latest in effect that is
+    still valid, where there is one.  Only revisions of one model meet each other."""
+    edges = revisions.select("model_id", F.col("effective_at").alias("s_from")).unionByName(revisions.where("valid_until IS NOT NULL").select("model_id", F.col("valid_until").alias("s_from"))).distinct()
+    spans = edges.withColumn("s_until", F.lead("s_from").over(Window.partitionBy("model_id").orderBy("s_from")))
+    met = spans.join(revisions, "model_id").where((F.col("effective_at") <= F.col("s_from")) & (F.col("valid_until").isNull() | (F.col("s_from") < F.col("valid_until"))))
+    return met.groupBy("model_id", "s_from", "s_until").agg(F.max_by(F.struct(*revisions.columns), F.struct("effective_at", "id")).alias("r"))
+
+
 def as_of(events: DataFrame, revisions: DataFrame) -> DataFrame:
     """Each event with the revision in force, the latest in effect that is still valid, or nulls.
 
-    The join is on the model, with the period as a residual; the best of an event is a max_by over its few matches, so
-    nothing is sorted.  Events carry `event_id`.
-    """
-    r = revisions.select(*[F.col(c).alias(f"r_{c}") for c in revisions.columns])
-    on = (F.col("model") == F.col("r_model_id")) & (F.col("r_effective_at") <= F.col("ts")) & (F.col("r_valid_until").isNull() | (F.col("ts") < F.col("r_valid_until")))
-    met = events.join(F.broadcast(r), on, "left")
-    best = F.max_by(F.struct(*r.columns), F.struct("r_effective_at", "r_id")).alias("r")
-    rest = [c for c in events.columns if c != "event_id"]
-    out = met.groupBy("event_id").agg(*[F.first(c).alias(c) for c in rest], best)
-    return out.select("event_id", *rest, *[F.col(f"r.r_{c}").alias(c if c not in ("id", "model_id") else f"revision_{c}") for c in revisions.columns])
+    Stretches of a model don't overlap, so an event meets one at most: a join on the model with the period as a
+    residual, and no grouping of events after it.  Catalyst broadcasts the stretches if their size allows it."""
+    s = segments(revisions).withColumnRenamed("model_id", "s_model")
+    on = (F.col("model") == F.col("s_model")) & (F.col("s_from") <= F.col("ts")) & (F.col("s_until").isNull() | (F.col("ts") < F.col("s_until")))
+    return events.join(s, on, "left").select(*events.columns, *[F.col(f"r.{c}").alias(c if c not in ("id", "model_id") else f"revision_{c}") for c in revisions.columns])
 
 
 def priced(events: DataFrame, revisions: DataFrame) -> DataFrame:

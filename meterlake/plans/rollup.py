@@ -92,6 +92,6 @@ def stitched(events: DataFrame, rollup: DataFrame, p: Plan) -> DataFrame:
 
 def ready_prefix(buckets: DataFrame, covered: DataFrame, dirty: DataFrame) -> DataFrame:
     """Of the buckets of a request (column ts, a bounded list), those before the first that isn't covered or is dirty."""
-    b = buckets.join(F.broadcast(covered.select("ts", F.lit(True).alias("c"))), "ts", "left").join(F.broadcast(dirty.select("ts", F.lit(True).alias("d"))), "ts", "left")
+    b = buckets.join(covered.select("ts", F.lit(True).alias("c")).distinct(), "ts", "left").join(dirty.select("ts", F.lit(True).alias("d")).distinct(), "ts", "left")
     ok = F.col("c").isNotNull() & F.col("d").isNull()
     return b.withColumn("ready", F.bool_and(ok).over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))).where("ready").select("ts")

@@ -62,7 +62,7 @@ def price_list(spark: SparkSession, text: DataFrame, column: str = "value") -> D
 
 def transcript_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of transcript files below a folder with their number in the file, whatever the files' split."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where("value <> ''")
 
 
@@ -86,3 +86,141 @@ def rollout_usage(lines: DataFrame) -> DataFrame:
     n = lambda p: F.coalesce(g(f"{base}.{p}").try_cast("long"), F.lit(0))
     cached = n("cached_input_tokens")
     return x.select("file", "line", "session_id", "model", F.expr("try_to_timestamp(get_json_object(value, '$.timestamp'))").alias("ts"), F.greatest(n("input_tokens") - cached, F.lit(0)).alias("input_tokens"), n("output_tokens").alias("output_tokens"), cached.alias("cache_read_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens")).where(X.total_tokens() > 0)
+
+
+def path_part(column: str, pattern: str) -> Column:
+    """The first group of a pattern in a path, null if there is none."""
+    return F.nullif(F.regexp_extract(column, pattern, 1), F.lit(""))
+
+
+def file_stem(column: str = "file") -> Column:
+    return path_part(column, r"([^/]+?)(?:\.[^./]*)?$")
+
+
+def _moment(*texts: Column) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(t) for t in texts])
+
+
+def with_missing_total(inp: Column, out: Column, cached: Column, extra: Column, total: Column) -> Column:
+    """Output with reasoning and with what a stated total has beyond the known counts."""
+    return out + extra + F.greatest(total - (inp + out + cached + extra), F.lit(0))
+
+
+#: Names under which session files give a count, the first that is there holds.
+TOKEN_NAMES = {
+    "input": ("input", "prompt", "input_tokens", "prompt_tokens"),
+    "output": ("output", "candidates", "output_tokens", "candidates_tokens"),
+    "cached": ("cached", "cached_tokens"),
+    "thoughts": ("thoughts", "reasoning", "thoughts_tokens", "reasoning_tokens"),
+    "tool": ("tool", "tool_tokens"),
+    "total": ("total", "total_tokens"),
+}
+
+
+def _session_tokens(tokens: Column, model: Column, direct: bool) -> Column:
+    """Model and counts of a JSON object of tokens; null without an object, a model or any token.  Fractions are cut off,
+    negatives are zero.  Input loses its cached part: in totals always, in messages if their total shows that it is in it."""
+    def number(name: str) -> Column:
+        found = F.coalesce(*[F.get_json_object(tokens, f"$.{k}").try_cast("double") for k in TOKEN_NAMES[name]])
+        return F.floor(F.greatest(found, F.lit(0.0))).cast("long")
+
+    n = {k: number(k) if k == "total" else F.coalesce(number(k), F.lit(0)) for k in TOKEN_NAMES}
+    whole = n["input"] + n["output"] + n["thoughts"] + n["tool"]
+    overlap = ((n["cached"] > 0) & n["total"].eqNullSafe(whole)) if direct else F.lit(True)
+    inp = F.when(overlap, F.greatest(n["input"] - n["cached"], F.lit(0))).otherwise(n["input"]) + n["tool"]
+    total = F.coalesce(n["total"], F.lit(0).cast("long"))
+    out = with_missing_total(inp, n["output"], n["cached"], n["thoughts"], total)
+    name = F.when(F.trim(model) != "", model)
+    return F.when(name.isNotNull() & F.startswith(F.trim(tokens), F.lit("{")) & (inp + out + n["cached"] > 0), F.struct(name.alias("model"), inp.alias("input_tokens"), out.alias("output_tokens"), n["cached"].alias("cache_read_tokens")))
+
+
+def _with_usage(records: DataFrame) -> DataFrame:
+    """records (file, line, session_id, hint, own: times of the record's own, fallback, j) to rows of usage."""
+    g = lambda p: F.get_json_object("j", p)
+    stats = F.coalesce(g("$.stats"), g("$.result.stats"))
+    models = F.map_entries(F.coalesce(F.from_json(F.get_json_object(stats, "$.models"), "map<string,string>"), F.expr("map()").cast("map<string,string>")))
+    by_model = F.filter(F.transform(models, lambda e: _session_tokens(F.get_json_object(e["value"], "$.tokens"), e["key"], False)), lambda u: u.isNotNull())
+    rest = F.array(_session_tokens(stats, F.coalesce("hint", F.lit("unknown")), False))
+    direct = F.array(_session_tokens(g("$.tokens"), F.coalesce(g("$.model"), F.col("hint")), True))
+    is_direct = g("$.type").eqNullSafe("gemini")
+    x = records.withColumn("usage", F.when(is_direct, direct).when(F.size(by_model) > 0, by_model).otherwise(rest))
+    own = F.when(is_direct, _moment(g("$.timestamp"), g("$.created_at"))).otherwise(_moment(g("$.timestamp")))
+    x = x.select("file", "line", "session_id", F.coalesce(own, "fallback").alias("ts"), F.when(is_direct, g("$.id")).alias("message_id"), F.explode("usage").alias("u")).where("u IS NOT NULL")
+    return x.select("file", "line", "session_id", "ts", "message_id", "u.*", F.lit(0).cast("long").alias("cache_creation_tokens"))
+
+
+def session_files(spark: SparkSession, path: str) -> DataFrame:
+    """Session files below a folder, whole: a JSON document or lines of it."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,jsonl}").text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+
+
+def session_usage(files: DataFrame) -> DataFrame:
+    """Usage of session files.  A document's messages count, or itself, or its totals by model.  In files of lines session
+    and model carry forward and a message said again under its id replaces the one before.  A count in quotes counts too."""
+    session = lambda j: F.coalesce(F.nullif(F.get_json_object(j, "$.sessionId"), F.lit("")), F.get_json_object(j, "$.session_id"))
+    g = lambda p: F.get_json_object("value", p)
+    document = files.where(F.endswith("file", F.lit(".json"))).withColumn("session_id", F.coalesce(session("value"), file_stem()))
+    messages = F.from_json(g("$.messages"), "array<string>")
+    within = document.where(messages.isNotNull()).select("file", "session_id", _moment(g("$.startTime"), g("$.lastUpdated")).alias("begun"), "modified", F.posexplode(messages).alias("line", "j"))
+    within = within.where(F.get_json_object("j", "$.type") == "gemini").select("file", "line", "session_id", F.lit(None).cast("string").alias("hint"), F.coalesce("begun", "modified").alias("fallback"), "j")
+    alone = document.where(messages.isNull()).select("file", F.lit(0).alias("line"), "session_id", g("$.model").alias("hint"), F.col("modified").alias("fallback"), F.col("value").alias("j"))
+    lines = files.where(F.endswith("file", F.lit(".jsonl"))).select("file", "modified", F.posexplode(F.split("value", "\n")).alias("line", "j")).where(F.get_json_object("j", "$").isNotNull())
+    w = Window.partitionBy("file").orderBy("line")
+    carried = lines.select("file", "line", F.coalesce(F.last(session("j"), True).over(w), file_stem()).alias("session_id"), F.last(F.get_json_object("j", "$.model"), True).over(w).alias("hint"), F.col("modified").alias("fallback"), "j")
+    said = _with_usage(carried)
+    key = F.coalesce("message_id", F.concat_ws("|", F.lit(""), "line", "model"))
+    last = said.groupBy("file", key.alias("k")).agg(F.max_by(F.struct(*said.columns), "line").alias("r")).select("r.*")
+    return _with_usage(within.unionByName(alone)).unionByName(last)
+
+
+def chat_usage(lines: DataFrame) -> DataFrame:
+    """Usage of the assistant's lines that carry usage metadata; a session without a name has its project's and file's.
+    lines has file, line, value and, if the files' times are known, modified."""
+    x = lines.where(F.contains("value", F.lit('"usageMetadata"')) & (F.get_json_object("value", "$.type") == "assistant"))
+    n = lambda p: F.greatest(F.coalesce(F.get_json_object("value", f"$.usageMetadata.{p}").try_cast("long"), F.lit(0)), F.lit(0))
+    inp, cached = n("promptTokenCount"), n("cachedContentTokenCount")
+    out = with_missing_total(inp, n("candidatesTokenCount"), cached, n("thoughtsTokenCount"), n("totalTokenCount"))
+    project = F.coalesce(path_part("file", r".*(?:^|/)projects/([^/]+)/chats/[^/]+(?:/|$)"), F.lit("unknown"))
+    modified = F.col("modified") if "modified" in lines.columns else F.lit(None).cast("timestamp")
+    g = lambda p: F.get_json_object("value", p)
+    rows = x.select("file", "line", F.coalesce(g("$.sessionId"), F.concat_ws("-", project, file_stem())).alias("session_id"), F.coalesce(g("$.model"), F.lit("unknown")).alias("model"), F.coalesce(_moment(g("$.timestamp")), modified).alias("ts"), inp.alias("input_tokens"), out.alias("output_tokens"), cached.alias("cache_read_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"))
+    return rows.where(X.total_tokens() > 0)
+
+
+CAPTURED = "generationId string, sessionId string, model string, tsMs bigint, inputTokens bigint, outputTokens bigint, cacheReadTokens bigint, cacheCreationTokens bigint"
+
+
+def captured_usage(lines: DataFrame) -> DataFrame:
+    """Captured generations: the first line of an id in a file counts, also if it has no tokens and so no row."""
+    x = lines.select("file", "line", F.from_json("value", CAPTURED).alias("u")).where("u.generationId IS NOT NULL AND u.tsMs IS NOT NULL")
+    first = x.groupBy("file", F.col("u.generationId").alias("message_id")).agg(F.min_by("u", "line").alias("u"))
+    counts = [F.coalesce(f"u.{a}Tokens", F.lit(0)).cast("long").alias(f"{b}_tokens") for a, b in (("input", "input"), ("output", "output"), ("cacheRead", "cache_read"), ("cacheCreation", "cache_creation"))]
+    return first.select("file", "message_id", F.col("u.sessionId").alias("session_id"), "u.model", F.timestamp_millis("u.tsMs").alias("ts"), *counts).where(X.total_tokens() > 0)
+
+
+def transcript_agent(column: str = "file") -> list[Column]:
+    """Of a path below agent-transcripts: the session, and of a subagent its id, its parent's and its depth."""
+    parts = F.split(F.regexp_extract(column, r"(?:^|/)agent-transcripts/(.*)$", 1), "/")
+    stem = file_stem(column)
+    name = F.when(stem.isin("transcript", "agent-transcript"), path_part(column, r"([^/]+)/[^/]+$")).otherwise(stem)
+    at = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i) == "subagents")
+    depth = F.size(at)
+    parent = F.when(depth == 1, F.get(parts, F.lit(0))).when(depth > 1, F.get(parts, F.element_at(at, -1) - 1))
+    session = F.when((depth > 0) & (F.size(parts) >= 2), F.get(parts, F.lit(0))).otherwise(name)
+    return [session.alias("session_id"), F.when(depth > 0, name).alias("agent_id"), parent.alias("agent_parent_id"), F.when(depth > 0, depth).alias("agent_depth")]
+
+
+def unsent(files: DataFrame, cursors: DataFrame) -> DataFrame:
+    """Lines of files (file, modified, size, value) that a cursor (file, modified, size, sent, prefix) hasn't sent: none of a
+    file that is unchanged, those after the sent ones if their hash is still the same, else all."""
+    c = cursors.select("file", F.col("modified").alias("c_modified"), F.col("size").alias("c_size"), "sent", "prefix")
+    x = files.join(c, "file", "left").where(~(F.col("modified").eqNullSafe(F.col("c_modified")) & F.col("size").eqNullSafe(F.col("c_size"))))
+    x = x.withColumn("lines", F.split("value", "\n"))
+    same = F.coalesce(prefix_hash(F.col("lines"), F.col("sent")) == F.col("prefix"), F.lit(False))
+    x = x.select("file", F.when(same, F.col("sent")).otherwise(0).alias("from"), F.posexplode("lines").alias("line", "value"))
+    return x.where("line >= from AND value <> ''").select("file", "line", "value")
+
+
+def prefix_hash(lines: Column, n: Column) -> Column:
+    return F.sha2(F.array_join(F.slice(lines, F.lit(1), n), "\n"), 256)

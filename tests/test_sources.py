@@ -36,7 +36,9 @@ def test_transcripts(spark, tmp_path):
     count = lambda n: {"type": "event_msg", "timestamp": "2024-01-01T00:00:00Z", "payload": {"type": "token_count", "info": {"total_token_usage": {"total_tokens": n}, "last_token_usage": {"input_tokens": 10, "cached_input_tokens": 4, "output_tokens": 3}}}}
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.jsonl").write_text("\n".join(map(json.dumps, [*a, count(13), count(13), count(26)])))
-    rows = logs.rollout_usage(logs.transcript_lines(spark, str(tmp_path))).collect()
+    lines = logs.transcript_lines(spark, str(tmp_path))
+    assert sorted(r.line for r in lines.collect()) == [0, 1, 2, 3, 4]
+    rows = logs.rollout_usage(lines).collect()
     assert [(r.session_id, r.model, r.input_tokens, r.cache_read_tokens) for r in rows] == [("s1", "m", 6, 4)] * 2
 
 
