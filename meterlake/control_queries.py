@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
 from .operators import deploy, history, ingest, repair
 from .plans import jobs, rollup
-from .queries import _ASOF, _GROUPS, _RATE, _TURNS, BASE, COST, COVER, PERIOD, SCOPE, SEOUL, START, TEAMED, TOKENS, YORK, ev, label, large, query, teamed, turns
+from .queries import _ASOF, _FNV, _GROUPS, _RATE, _TURNS, BASE, COST, COVER, PERIOD, SCOPE, SEOUL, START, TEAMED, TOKENS, YORK, ev, label, large, query, teamed, turns
 from .sources import tables as T
 
 table = T.table
 
 # Tools and rollouts
 
-_FNV = lambda t: f"(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({t}, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) % 100)::INT"
 _TOOL_ITEMS = """items AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 2 = 0 THEN 'mcp' ELSE 'skill' END AS kind, p_brand AS item_key, 'p' || (p_size % 3) AS provider, 'v' || (p_size % 4) || '.0.0' AS source_ref FROM part WHERE p_size % 3 <> 2),
 inv AS (SELECT l_suppkey AS device, l_orderkey AS position, CASE WHEN p_partkey % 2 = 0 THEN 'mcp' ELSE 'skill' END AS kind, p_brand AS item_key, 'p' || (p_size % 3) AS provider, CASE WHEN l_orderkey % 5 <> 0 THEN (p_size % 4) || '.0.0' END AS version FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND p_size < 20)"""
 
@@ -309,8 +308,6 @@ def _(spark, d):
 
 @query("win6_changed_totals", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders) WHERE was IS DISTINCT FROM o_orderstatus")
 def _(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return T.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.lag("o_orderstatus").over(w).alias("was")).where(~F.col("was").eqNullSafe(F.col("o_orderstatus"))).select("o_custkey", "o_orderkey")
 
@@ -346,3 +343,37 @@ def _(spark, d):
 @query("flt5_zero_usage", f"WITH {T.EV} SELECT provider_key, count(*) AS events FROM ev WHERE tokens > 0 GROUP BY 1")
 def _(spark, d):
     return T.usage_events(spark, d).where(X.total_tokens() > 0).groupBy("provider_key").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("agg30_operations_report", "WITH b AS (SELECT event_type AS operation, CASE WHEN event_id % 9 = 0 THEN 'failure' ELSE 'success' END AS outcome, user_id % 3 AS provider, event_id % 100 AS ms FROM events WHERE ts >= TIMESTAMP '2024-01-02'), g AS (SELECT operation, outcome, count(*) AS operations, sum(ms)::BIGINT AS latency_ms FROM b GROUP BY 1, 2), a AS (SELECT count(*) FILTER (WHERE provider = 1) AS active_operations FROM b) SELECT * FROM a LEFT JOIN g ON true")
+def _(spark, d):
+    """One row at least: the active provider's total stands also where there is nothing to group."""
+    i = F.col("event_id")
+    b = table(spark, d, "events").where("ts >= timestamp_ntz'2024-01-02'").select(F.col("event_type").alias("operation"), F.when(i % 9 == 0, "failure").otherwise("success").alias("outcome"), (F.col("user_id") % 3).alias("provider"), (i % 100).alias("ms"))
+    active = b.agg(F.count_if(F.col("provider") == 1).alias("active_operations"))
+    return active.join(b.groupBy("operation", "outcome").agg(F.count(F.lit(1)).alias("operations"), F.sum("ms").cast("long").alias("latency_ms")), F.lit(True), "left")
+
+
+@query("flt10_agent_scope", f"{_TURNS} SELECT session, count(*) FILTER (WHERE role <> 'assistant') AS main_turns, count(*) FILTER (WHERE role = 'assistant') AS agent_turns FROM t GROUP BY 1")
+def _(spark, d):
+    t = turns(spark, d).withColumn("agent_id", F.when(F.col("role") == "assistant", F.concat(F.lit("a"), (F.col("turn") % 2).cast("string"))))
+    return t.groupBy("session").agg(F.count_if(F.col("agent_id").isNull()).alias("main_turns"), F.count_if(F.col("agent_id").isNotNull()).alias("agent_turns"))
+
+
+@query("flt15_tuple_membership", f"WITH {T.EV} SELECT event_id FROM ev WHERE (user_id, provider_key, host) IN (SELECT user_id, provider_key, host FROM ev WHERE event_id % 100 = 0 AND host IS NOT NULL)")
+def _(spark, d):
+    e = T.usage_events(spark, d)
+    return e.join(e.where("event_id % 100 = 0").select("user_id", "provider_key", "host"), ["user_id", "provider_key", "host"], "left_semi").select("event_id")
+
+
+@query("win9_leaderboard_rank", f"{BASE}, s AS (SELECT user_id, sum(tokens)::BIGINT AS tokens FROM p GROUP BY 1) SELECT user_id, tokens, row_number() OVER (ORDER BY tokens DESC, user_id) AS rank FROM s ORDER BY rank LIMIT 5")
+def _(spark, d):
+    """Only the five rows shown are numbered."""
+    best = ev(spark, d).groupBy("user_id").agg(F.sum(X.total_tokens()).cast("long").alias("tokens")).orderBy(F.desc("tokens"), "user_id").limit(5)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("tokens"), "user_id")).cast("long"))
+
+
+@query("top9_nulls_last", f"{BASE}, s AS (SELECT model, max(ts) FILTER (WHERE host IS NOT NULL AND model <> 'm3') AS last_seen FROM p GROUP BY 1) SELECT model, last_seen FROM s ORDER BY last_seen DESC NULLS LAST, model NULLS LAST LIMIT 7")
+def _(spark, d):
+    s = ev(spark, d).groupBy("model").agg(F.max(F.when(F.col("host").isNotNull() & (F.col("model") != "m3"), F.col("ts"))).cast("timestamp_ntz").alias("last_seen"))
+    return s.orderBy(F.desc_nulls_last("last_seen"), F.asc_nulls_last("model")).limit(7)

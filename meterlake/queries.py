@@ -508,7 +508,10 @@ def _(spark, d):
     return history.matched(t, u)
 
 
-@query("alg32_cohort", None)
+_FNV = lambda t: f"(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({t}, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) % 100)::INT"
+
+
+@query("alg32_cohort", "SELECT c_custkey, " + _FNV("'seed:' || c_name") + " AS percent FROM customer")
 def _(spark, d):
     return T.table(spark, d, "customer").select("c_custkey", X.fnv1a_percent(F.concat(F.lit("seed:"), F.col("c_name"))).alias("percent"))
 
