@@ -42,7 +42,8 @@ def rollout_counts(policies: DataFrame, users: DataFrame, snapshots: DataFrame,
     devices = users.join(snapshots.groupBy("user_id").agg(F.countDistinct("snapshot_id").alias("n")), "user_id", "left").groupBy("team_id").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("eligible"))
     p = policies.where("enabled AND phase IN ('preflight', 'canary', 'expand')")
     met = p.select("policy_id", "seed", "version_id", "phase_started").join(reports, ["seed", "version_id"]).where("last_attempted_at >= phase_started")
-    counts = met.groupBy("policy_id").agg(F.countDistinct("report_id").alias("attempted"), F.countDistinct(F.when(F.col("status").isin("failed", "rolled_back"), F.col("report_id"))).alias("failed"))
+    once = met.groupBy("policy_id", "report_id").agg(F.max(F.coalesce(F.col("status").isin("failed", "rolled_back"), F.lit(False))).alias("bad"))
+    counts = once.groupBy("policy_id").agg(F.count("report_id").alias("attempted"), F.count_if("bad").alias("failed"))
     return p.join(devices, "team_id").join(counts, "policy_id", "left").select("policy_id", "phase", "phase_started", "eligible", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("attempted", "failed")])
 
 
