@@ -136,6 +136,25 @@ def dedup_key() -> Column:
     return F.sha2(F.when(F.nullif("request_id", F.lit("")).isNotNull(), by_request).otherwise(natural), 256)
 
 
+def collector_key(adapter: Column) -> Column:
+    """Of a row read from files, with message_id, model, session_id, ts_ms and token counts."""
+    text = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    counts = [F.col(f"{x}_tokens").cast("string") for x in ("input", "output", "cache_read", "cache_creation")]
+    by_id = F.concat_ws(":", adapter, F.col("message_id"), text("model"), *counts)
+    natural = F.concat_ws(":", adapter, text("session_id"), F.col("ts_ms").cast("string"), text("model"), *counts[:2])
+    return F.sha2(F.when(F.col("message_id").isNotNull(), by_id).otherwise(natural), 256)
+
+
+def share_percent(part: Column, whole: Column) -> Column:
+    """Rounded percent, null of nothing."""
+    return F.when(whole > 0, js_round(part / whole * 100)).cast("long")
+
+
+def bar_width(value: Column, largest: Column) -> Column:
+    """Percent of the largest, 3 at least; zero if the largest is none."""
+    return F.when(largest > 0, F.greatest(F.lit(3), js_round(value / largest * 100))).otherwise(0).cast("long")
+
+
 def clean_host(host: Column) -> Column:
     """Control characters and outer blanks go, 255 characters stay, empty becomes null."""
-    return F.nullif(F.substring(F.trim(F.regexp_replace(host, r"[\x00-\x1f\x7f]", "")), 1, 255), F.lit(""))
+    return F.nullif(F.trim(F.substring(F.trim(F.regexp_replace(host, r"[\x00-\x1f\x7f]", "")), 1, 255)), F.lit(""))

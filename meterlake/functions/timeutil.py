@@ -59,9 +59,31 @@ def preset(name: str, now: datetime, tz: str, earliest: datetime | None = None)
     return Period(first_instant(starts[name], tz), end)
 
 
-def previous(p: Period) -> Period:
-    """The period of the same length just before."""
-    return Period(p.start - (p.end - p.start), p.start)
+def previous(p: Period, name: str | None = None, tz: str | None = None) -> Period:
+    """The day, week, month, quarter or year before, for a preset of that name in a zone; else the same length just before."""
+    if tz is None or name not in ("today", "week", "month", "quarter", "year"):
+        return Period(p.start - (p.end - p.start), p.start)
+    first = p.start.astimezone(zone(tz)).date()
+    months = {"month": 1, "quarter": 3, "year": 12}.get(name)
+    before = add_months(first.replace(day=1), -months) if months else first - timedelta(days=7 if name == "week" else 1)
+    return Period(first_instant(before, tz), first_instant(first, tz))
+
+
+def anchor(now: datetime, minutes: int = 10) -> datetime:
+    """Now, floored, so that questions within the same minutes are the same."""
+    return now - timedelta(seconds=now.timestamp() % (minutes * 60))
+
+
+def insight_pair(name: str, tz: str, now: datetime) -> tuple[Period, Period]:
+    """7 (days), week or month up to now, and as much of the one before as has passed of this one, its end at most."""
+    if name == "7":
+        current = Period(now - timedelta(days=7), now)
+        return current, previous(current)
+    today = now.astimezone(zone(tz)).date()
+    start = week_start(today) if name == "week" else today.replace(day=1)
+    before = start - timedelta(days=7) if name == "week" else add_months(start, -1)
+    a, b = first_instant(before, tz), first_instant(start, tz)
+    return Period(b, now), Period(a, min(b, a + (now - b)))
 
 
 def clamped(p: Period, tz: str, days: int = 366) -> Period:

@@ -5,10 +5,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SNIPPET = 200
+#: What comes before a request, and what attachments leave in a text.
+REQUEST = r"(?is)^.*?(?:^|\n)#{1,6}\s*My request for [^:\n]+:\s*"
+ATTACHED = [
+    r"(?i)<image\b[\s\S]*?</image>",
+    r"(?i)<image\b[^>]*>",
+    r"(?im)^\s*#{1,6}\s*files? mentioned by the user:\s*$",
+    r"(?im)^\s*#{1,6}\s+(?:[\w.-]+-)?(?:codex-clipboard|claude-clipboard)[^\n]*$",
+]
+
+
+def cleaned(text: Column, size: int = SNIPPET) -> Column:
+    """The request within a text, without attachments, on one line; a longer one is cut and marked."""
+    body = F.regexp_replace(text, REQUEST, "")
+    for p in ATTACHED:
+        body = F.regexp_replace(body, p, " ")
+    line = F.trim(F.regexp_replace(body, r"\s+", " "))
+    return F.when(F.length(line) > size, F.concat(F.substring(line, 1, size), F.lit("…"))).otherwise(line)
 
 
 def groups(turns: DataFrame) -> DataFrame:

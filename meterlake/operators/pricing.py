@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
-PREFIXES = ("anthropic/", "openai/", "google/")
+#: vendors' prefixes of model names, the first that fits comes off; dated models behind a moving name.
+PREFIXES = ("us.anthropic.", "anthropic.", "openai/", "bedrock/")
+REVIEW = "codex-auto-review"
+REVIEW_MODELS = [
+    ("2025-08-07", "gpt-5"),
+    ("2025-09-15", "gpt-5-codex"),
+    ("2025-11-13", "gpt-5.1-codex"),
+    ("2025-12-11", "gpt-5.2-codex"),
+    ("2026-02-05", "gpt-5.3-codex"),
+    ("2026-03-05", "gpt-5.4"),
+    ("2026-04-23", "gpt-5.5"),
+]
+MODES = ("display", "auto", "calculate")
 
 
 def aliases(models: DataFrame, keys: DataFrame) -> DataFrame:
     """models (model, each once) to price keys (model_id, each once): as it is, without a vendor's prefix, without an
     eight-digit date, else the longest key that contains it or is contained; both relations are lists of names."""
-    plain = F.regexp_replace("model", "^(" + "|".join(PREFIXES) + ")", "")
+    plain = F.regexp_replace("model", "^(" + "|".join(re.escape(p) for p in PREFIXES) + ")", "")
     m = models.select("model", plain.alias("p"), F.regexp_replace(plain, r"-\d{8}$", "").alias("s"))
     k = F.col("model_id")
     rank = F.when(k == F.col("model"), 0).when(k == F.col("p"), 1).when(k == F.col("s"), 2).when(F.contains("p", k) | F.contains(k, "s"), 3)
@@ -58,3 +72,21 @@ def intervals(snapshots: DataFrame) -> DataFrame:
 def finalised(events: DataFrame, now: str, days: int = 90) -> DataFrame:
     """Drops what is older than the limit at receipt and cleans hosts."""
     return events.where(F.col("ts") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))).withColumn("host", X.clean_host(F.col("host")))
+
+
+def pricing_model(model: Column, ts: Column, provider: Column, adapter: Column) -> Column:
+    """The model that an event is priced as: the review model is the latest released by the event's UTC day, rollouts
+    without a model count as the first of them."""
+    day, first = F.to_date(ts), REVIEW_MODELS[0][1]
+    dated = F.lit(first)
+    for released, name in REVIEW_MODELS:
+        dated = F.when(day >= F.lit(released).cast("date"), name).otherwise(dated)
+    bare = model.isNull() & (provider == "codex") & (adapter == "codex")
+    return F.when(model == REVIEW, dated).when(bare, first).otherwise(model)
+
+
+def cost_by_mode(mode: str, given: Column, computed: Column) -> Column:
+    """display: the given cost; auto: the given one, else the computed one; calculate: the computed one; else zero."""
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode!r}")
+    return F.coalesce(*{"display": [given], "auto": [given, computed], "calculate": [computed]}[mode], F.lit(0.0))

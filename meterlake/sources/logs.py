@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..schemas import OTLP_LOGS, USAGE_WIRE
 
-DENIED = ("prompt", "text", "content", "message", "body")
+#: Attributes that may hold free text and are never kept.
+DENIED = ("prompt", "prompt_text", "user_prompt", "body", "Body", "latest_user_message", "message", "content", "text", "tool_result")
+#: Resource attributes that name the machine, the first that is there holds; a deployment may put its own before.
+HOSTS = ("host.name",)
 
 
 def attributes(column: str) -> Column:
@@ -19,26 +22,40 @@ def attributes(column: str) -> Column:
     return F.map_from_entries(F.transform(later, lambda kv: F.struct(kv["key"].alias("key"), v(kv).alias("value"))))
 
 
+def without_text(attributes: Column) -> Column:
+    return F.map_filter(attributes, lambda k, _: ~k.isin(*DENIED))
+
+
+def group_host(resource: str, order: str, keys: tuple[str, ...] = HOSTS) -> Column:
+    """An aggregate: the first record's machine, in order, of those that name one."""
+    host = X.clean_host(F.coalesce(*[F.element_at(resource, k) for k in keys]))
+    return F.min_by(host, F.when(host.isNotNull(), F.col(order)))
+
+
+def is_request(name: Column) -> Column:
+    return (name == "api_request") | F.endswith(name, F.lit(".api_request"))
+
+
 def otlp_records(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """A row per log record with a positive time: resource and record attributes, denied keys left out."""
     r = payloads.select(F.from_json(column, OTLP_LOGS.replace("\n", "")).alias("p")).select(F.explode("p.resourceLogs").alias("r"))
     s = r.select(F.col("r.resource.attributes").alias("ra"), F.explode("r.scopeLogs").alias("s"))
     x = s.select("ra", F.col("s.scope.name").alias("scope"), F.explode("s.logRecords").alias("l")).select("ra", "scope", "l.*")
     nanos = F.coalesce(F.nullif(F.col("timeUnixNano").try_cast("long"), F.lit(0)), F.col("observedTimeUnixNano").try_cast("long"))
-    safe = lambda c: F.map_filter(attributes(c), lambda k, _: ~k.isin(*DENIED))
-    return x.select("scope", "eventName", F.timestamp_micros((nanos / 1000).cast("long")).alias("ts"), nanos.alias("nanos"), safe("ra").alias("resource"), safe("attributes").alias("attributes")).where("nanos > 0")
+    safe = lambda c: without_text(attributes(c))
+    return x.select("scope", "eventName", F.timestamp_micros(F.call_function("div", nanos, F.lit(1000))).alias("ts"), nanos.alias("nanos"), safe("ra").alias("resource"), safe("attributes").alias("attributes")).where("nanos > 0")
 
 
-def requests(records: DataFrame) -> DataFrame:
+def requests(records: DataFrame, hosts: tuple[str, ...] = HOSTS) -> DataFrame:
     """Request events as usage: input of providers that include cached tokens is corrected, empty usage goes."""
     a = lambda k: F.element_at("attributes", k)
     n = lambda k: F.greatest(F.coalesce(a(k).try_cast("long"), F.lit(0)), F.lit(0))
     name = F.coalesce("eventName", a("event.name"))
-    rows = records.where((name == "api_request") | F.endswith(name, F.lit(".api_request")))
+    rows = records.where(is_request(name))
     subset = F.coalesce(F.element_at("resource", "service.name"), F.lit("")).contains("codex")
     cached = n("cache_read_tokens") + n("cached_token_count")
     inp = n("input_tokens") + n("input_token_count")
-    out = rows.select("ts", F.element_at("resource", "service.name").alias("service"), X.clean_host(F.element_at("resource", "host.name")).alias("host"), a("session.id").alias("session_id"), a("model").alias("model"), F.when(subset, F.greatest(inp - cached, F.lit(0))).otherwise(inp).alias("input_tokens"), (n("output_tokens") + n("output_token_count")).alias("output_tokens"), cached.alias("cache_read_tokens"), n("cache_creation_tokens").alias("cache_creation_tokens"))
+    out = rows.select("ts", F.element_at("resource", "service.name").alias("service"), X.clean_host(F.coalesce(*[F.element_at("resource", k) for k in hosts])).alias("host"), F.coalesce(a("session.id"), a("conversation.id")).alias("session_id"), a("model").alias("model"), F.when(subset, F.greatest(inp - cached, F.lit(0))).otherwise(inp).alias("input_tokens"), (n("output_tokens") + n("output_token_count")).alias("output_tokens"), cached.alias("cache_read_tokens"), n("cache_creation_tokens").alias("cache_creation_tokens"))
     return out.where(X.total_tokens() > 0)
 
 
