@@ -1,0 +1,268 @@
+"""Named queries on parsers, small joins, shares, periods and rollup state, each with the same question in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from datetime import UTC, date, datetime, timedelta
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .functions import exprs as X
+from .functions import timeutil
+from .operators import history, ingest, pricing, repair, tools, usage
+from .plans import jobs, rollup
+from .queries import _GROUPS, _TURNS, BASE, COST, COVER, PERIOD, SCOPE, SEOUL, START, TEAMED, TOKENS, YORK, M, both, ev, label, query, teamed, turns
+from .queries import _COMP, _TWO
+from .sources import logs, wire
+from .sources import tables as T
+
+table = T.table
+
+
+# Parsers
+
+_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
+
+
+def iso(c: str = "ts"):
+    return F.date_format(c, _ISO)
+
+
+def attr(key: str, value, kind: str = "stringValue"):
+    parts = {"stringValue": F.lit(None).cast("string"), "intValue": F.lit(None).cast("string")} | {kind: value.cast("string")}
+    return F.struct(F.lit(key).alias("key"), F.struct(*[v.alias(k) for k, v in parts.items()]).alias("value"))
+
+
+@query("src8_log_exports", f"""WITH {T.EV} SELECT host, session_id, model, ts, input_tokens - CASE WHEN user_id % 2 = 0 THEN cache_read_tokens ELSE 0 END AS input_tokens, output_tokens, cache_read_tokens
+ FROM ev WHERE event_id % 3 <> 0 AND event_id % 5 <> 0 AND output_tokens + input_tokens > 0""")
+def _(spark, d):
+    """Exports of one record an event: every third isn't a request, every fifth has no time."""
+    e, i = T.usage_events(spark, d), F.col("event_id")
+    nanos = F.when(i % 5 == 0, "0").otherwise(F.concat(F.unix_micros("ts").cast("string"), F.lit("000")))
+    name = F.when(i % 3 == 0, "user_prompt").otherwise("tool.api_request")
+    counts = [attr("input_tokens", F.col("input_tokens"), "intValue"), attr("output_tokens", F.col("output_tokens"), "intValue"), attr("cache_read_tokens", F.col("cache_read_tokens"), "intValue")]
+    kept = F.filter(F.array(attr("session.id", F.col("session_id")), attr("model", F.col("model")), attr("prompt", F.lit("secret")), *counts), lambda a: a["value"]["stringValue"].isNotNull() | a["value"]["intValue"].isNotNull())
+    record = F.struct(nanos.alias("timeUnixNano"), name.alias("eventName"), kept.alias("attributes"))
+    service = F.when(F.col("user_id") % 2 == 0, "codex-cli").otherwise("other")
+    resource = F.struct(F.array(attr("service.name", service), attr("host.name", F.coalesce("host", F.lit(" ")))).alias("attributes"))
+    export = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.struct(F.lit("s").alias("name")).alias("scope"), F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
+    rows = logs.requests(logs.otlp_records(e.select(F.to_json(export).alias("payload"))))
+    return rows.select("host", "session_id", "model", F.col("ts").cast("timestamp_ntz").alias("ts"), "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+@query("src9_wire_events", "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'dedupKey' WHEN event_id % 6 = 1 THEN 'ts' WHEN event_id % 6 = 2 THEN 'inputTokens' WHEN event_id % 6 = 3 THEN 'cacheCreation1hTokens' END AS error FROM events")
+def _(spark, d):
+    """Wire events, four of six with a fault."""
+    e, i = T.usage_events(spark, d), F.col("event_id") % 6
+    body = F.struct(F.when(i == 0, "").otherwise(F.col("dedup_key")).alias("dedupKey"), F.col("provider_key").alias("providerKey"), F.col("event_id").cast("string").alias("userId"), F.when(i == 1, "never").otherwise(iso()).alias("ts"), F.when(i == 2, -1).otherwise(F.col("input_tokens")).alias("inputTokens"), F.col("output_tokens").alias("outputTokens"), F.col("cache_read_tokens").alias("cacheReadTokens"), F.col("cache_creation_tokens").alias("cacheCreationTokens"), F.when(i == 3, F.col("cache_creation_tokens") + 1).alias("cacheCreation1hTokens"))
+    return logs.wire_events(e.select(F.to_json(body).alias("value"))).select(F.col("userId").cast("long").alias("event_id"), "error")
+
+
+@query("src10_tool_activity", f"""WITH {T.TOOLS} SELECT event_id, activity_kind, item_key, CASE WHEN event_id % 6 = 3 THEN 'maybe' ELSE outcome END AS outcome,
+ CASE event_id % 6 WHEN 0 THEN 'unknown' WHEN 1 THEN 'dedupKey' WHEN 2 THEN 'ts' WHEN 3 THEN 'outcome' END AS error FROM tl""")
+def _(spark, d):
+    t, i = T.tool_events(spark, d), F.col("event_id") % 6
+    item = F.struct(F.when(i == 1, "short").otherwise(F.sha2(F.col("event_id").cast("string"), 256)).alias("dedupKey"), F.lit("p").alias("providerKey"), F.col("session_id").alias("sessionId"), F.col("host"), F.when(i == 2, "soon").otherwise(iso()).alias("ts"), F.col("activity_kind").alias("activityKind"), F.col("item_key").alias("itemKey"), F.col("item_key").alias("displayName"), F.when(i == 3, "maybe").otherwise(F.col("outcome")).alias("outcome"), F.lit("explicit").alias("detection"), F.when(i == 0, "x").alias("more"))
+    bodies = t.select("event_id", F.to_json(F.array(item)).alias("value"))
+    return wire.activity(bodies).select("event_id", "activity_kind", "item_key", "outcome", "error")
+
+
+@query("src10_tool_inventory", """SELECT s_suppkey, item AS position, 'i' || item AS item_key, CASE WHEN s_suppkey % 4 = 0 THEN 'fingerprint' WHEN s_suppkey % 4 = 1 AND item = 1 THEN 'item.kind' END AS error
+ FROM supplier, (SELECT unnest([0, 1, 2])::INT AS item)""")
+def _(spark, d):
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    kind = lambda j: F.when((k % 4 == 1) & (j == 1), "hook").otherwise("mcp")
+    one = lambda j: F.struct(kind(j).alias("kind"), F.concat(F.lit("i"), j.cast("string")).alias("itemKey"), F.lit("n").alias("displayName"), F.lit("p").alias("sourceProvider"), (j == 0).alias("enabled"))
+    body = F.struct(F.col("s_name").alias("host"), F.when(k % 4 == 0, "none").otherwise(F.sha2(k.cast("string"), 256)).alias("fingerprint"), F.lit("2024-01-01T00:00:00Z").alias("observedAt"), F.transform(F.array(*map(F.lit, range(3))), one).alias("items"))
+    return wire.inventory(s.select("s_suppkey", F.to_json(body).alias("value"))).select("s_suppkey", "position", "item_key", "error")
+
+
+@query("src11_prompts", "SELECT conv_id, turn, role AS turn_role, text, CASE WHEN turn % 3 = 0 THEN 'a' END AS agent_id, CASE WHEN role NOT IN ('user', 'assistant') THEN 'turnRole' WHEN coalesce(text, '') = '' THEN 'text' WHEN turn % 3 = 0 AND conv_id % 2 = 0 THEN 'agent.depth' END AS error FROM conversations")
+def _(spark, d):
+    c = table(spark, d, "conversations")
+    agent = F.when(F.col("turn") % 3 == 0, F.struct(F.lit("a").alias("id"), F.when(F.col("conv_id") % 2 == 0, 33).otherwise(2).alias("depth")))
+    item = F.struct(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("dedupKey"), F.lit("p").alias("providerKey"), F.col("conv_id").cast("string").alias("sessionId"), F.col("role").alias("turnRole"), F.lit("2024-01-01T00:00:00Z").alias("ts"), "text", agent.alias("agent"))
+    return wire.prompts(c.select("conv_id", "turn", F.to_json(F.array(item)).alias("value"))).select("conv_id", "turn", "turn_role", "text", "agent_id", "error")
+
+
+def lines(spark, d, *columns) -> DataFrame:
+    """Events as lines of a file for each user."""
+    e = T.usage_events(spark, d)
+    return e.select(F.concat(F.lit("/home/projects/p/chats/u"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("file"), F.col("event_id").alias("line"), *columns)
+
+
+@query("src12_assistant_transcripts", f"WITH {T.EV} SELECT event_id AS line, session_id, model, ts, input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens FROM ev WHERE provider_key <> 'click' AND event_id % 9 <> 0 AND tokens > 0")
+def _(spark, d):
+    n = lambda c: F.when(F.col("event_id") % 9 == 0, 0).otherwise(F.col(c))
+    counts = F.struct(n("input_tokens").alias("input_tokens"), n("output_tokens").alias("output_tokens"), n("cache_read_tokens").alias("cache_read_input_tokens"), n("cache_creation_tokens").alias("cache_creation_input_tokens"))
+    value = F.struct(F.when(F.col("provider_key") == "click", "user").otherwise("assistant").alias("type"), F.col("session_id").alias("sessionId"), iso().alias("timestamp"), F.struct("model", counts.alias("usage")).alias("message"))
+    out = logs.assistant_usage(lines(spark, d, F.to_json(value).alias("value")))
+    return out.where("input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens > 0").select("line", "session_id", "model", F.col("ts").cast("timestamp_ntz").alias("ts"), *[f"{x}_tokens" for x in ("input", "output", "cache_read", "cache_creation")])
+
+
+@query("src13_rollouts", f"""WITH {T.EV}, c AS (SELECT *, count(*) FILTER (WHERE provider_key = 'view') OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM ev),
+m AS (SELECT *, last_value(CASE WHEN provider_key = 'view' THEN coalesce(model, '') END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS hint FROM ev),
+t AS (SELECT *, event_id // 2 AS total, lag(event_id // 2) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM m WHERE provider_key <> 'view')
+SELECT event_id AS line, hint AS model, input_tokens - cache_read_tokens AS input_tokens, output_tokens, cache_read_tokens FROM t WHERE total IS DISTINCT FROM was AND input_tokens > 0""")
+def _(spark, d):
+    """The model carries forward from turns (here, of views); totals said again are passed over."""
+    turn = F.struct(F.lit("turn_context").alias("type"), F.struct(F.coalesce("model", F.lit("")).alias("model")).alias("payload"))
+    last = F.struct("input_tokens", "output_tokens", F.col("cache_read_tokens").alias("cached_input_tokens"))
+    info = F.struct(F.struct(F.floor(F.col("event_id") / 2).alias("total_tokens")).alias("total_token_usage"), last.alias("last_token_usage"))
+    count = F.struct(F.lit("event_msg").alias("type"), iso().alias("timestamp"), F.struct(F.lit("token_count").alias("type"), info.alias("info")).alias("payload"))
+    value = F.when(F.col("provider_key") == "view", F.to_json(turn)).otherwise(F.to_json(count))
+    return logs.rollout_usage(lines(spark, d, value.alias("value"))).select("line", "model", "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+@query("src14_session_files", f"WITH {T.EV} SELECT session_id, coalesce(model, 'unknown') AS model, ts, input_tokens - cache_read_tokens + cache_creation_tokens AS input_tokens, output_tokens, cache_read_tokens FROM ev WHERE session_id IS NOT NULL AND model IS NOT NULL AND input_tokens > 0")
+def _(spark, d):
+    """A document of one message an event, whose total shows that cached tokens are within the input."""
+    e = T.usage_events(spark, d)
+    t = F.struct(F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output"), F.col("cache_read_tokens").alias("cached"), F.col("cache_creation_tokens").alias("tool"), (F.col("input_tokens") + F.col("output_tokens") + F.col("cache_creation_tokens")).alias("total"))
+    message = F.struct(F.lit("gemini").alias("type"), "model", iso().alias("timestamp"), t.alias("tokens"))
+    value = F.to_json(F.struct(F.col("session_id").alias("sessionId"), F.array(message).alias("messages")))
+    files = e.where("session_id IS NOT NULL").select(F.concat(F.lit("/s/"), F.col("event_id").cast("string"), F.lit(".json")).alias("file"), F.lit("2024-01-01").cast("timestamp").alias("modified"), value.alias("value"))
+    return logs.session_usage(files).select("session_id", "model", F.col("ts").cast("timestamp_ntz").alias("ts"), "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+@query("src15_chat_files", f"WITH {T.EV} SELECT event_id AS line, coalesce(session_id, 'p-u' || user_id) AS session_id, coalesce(model, 'unknown') AS model, ts, input_tokens, output_tokens + cache_creation_tokens AS output_tokens, cache_read_tokens FROM ev WHERE provider_key <> 'error' AND input_tokens > 0")
+def _(spark, d):
+    """The total has more than the known counts, and the rest is output."""
+    c = F.col
+    meta = F.struct(c("input_tokens").alias("promptTokenCount"), c("output_tokens").alias("candidatesTokenCount"), c("cache_read_tokens").alias("cachedContentTokenCount"), X.total_tokens().alias("totalTokenCount"))
+    value = F.struct(F.when(c("provider_key") == "error", "user").otherwise("assistant").alias("type"), c("session_id").alias("sessionId"), "model", iso().alias("timestamp"), meta.alias("usageMetadata"))
+    return logs.chat_usage(lines(spark, d, F.to_json(value).alias("value"))).select("line", "session_id", "model", F.col("ts").cast("timestamp_ntz").alias("ts"), "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+@query("src16_captured_generations", f"WITH {T.EV}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id // 200 ORDER BY event_id) AS n FROM ev) SELECT 'g' || (event_id // 200) AS message_id, session_id, model, date_trunc('millisecond', ts) AS ts, input_tokens, output_tokens FROM f WHERE n = 1 AND input_tokens > 0")
+def _(spark, d):
+    """The first line of a generation counts."""
+    c = F.col
+    value = F.struct(F.concat(F.lit("g"), F.floor(c("event_id") / 200).cast("string")).alias("generationId"), c("session_id").alias("sessionId"), "model", F.unix_millis("ts").alias("tsMs"), c("input_tokens").alias("inputTokens"), c("output_tokens").alias("outputTokens"))
+    out = logs.captured_usage(lines(spark, d, F.to_json(value).alias("value")))
+    return out.select("message_id", "session_id", "model", F.col("ts").cast("timestamp_ntz").alias("ts"), "input_tokens", "output_tokens")
+
+
+@query("src18_unsent_lines", """WITH l AS (SELECT c_custkey AS k, n::INT AS line FROM customer, (SELECT unnest(range(4)) AS n))
+SELECT '/f/' || k AS file, line, 'l' || line || '-' || k AS value FROM l WHERE k % 4 <> 0 AND (k % 4 <> 1 OR line >= 2)""")
+def _(spark, d):
+    """Of four files one is unchanged, one has two lines sent, one was rewritten, one is new."""
+    k = F.col("c_custkey")
+    text = F.array(*[F.concat(F.lit(f"l{n}-"), k.cast("string")) for n in range(4)])
+    c = table(spark, d, "customer").select(k, F.concat(F.lit("/f/"), k.cast("string")).alias("file"), text.alias("text"), F.lit("2024-01-02").cast("timestamp").alias("modified"), F.lit(40).alias("size"))
+    before = F.when(k % 4 == 0, F.col("modified")).otherwise(F.lit("2024-01-01").cast("timestamp"))
+    cursors = c.where(k % 4 != 3).select("file", before.alias("modified"), "size", F.lit(2).alias("sent"), F.when(k % 4 == 2, "other").otherwise(logs.prefix_hash(F.col("text"), F.lit(2))).alias("prefix"))
+    return logs.unsent(c.select("file", "modified", "size", F.array_join("text", "\n").alias("value")), cursors)
+
+
+@query("src19_price_list", "SELECT 'part' || p_partkey AS model_id, round(p_size * 1e-7 * 1e6, 8) AS input, round(p_partkey * 1e-8 * 1e6, 8) AS output FROM part WHERE p_partkey % 5 <> 0")
+def _(spark, d):
+    k = F.col("p_partkey")
+    price = F.struct((F.col("p_size") * F.lit(1e-7)).alias("input_cost_per_token"), F.when(k % 5 != 0, k * F.lit(1e-8)).alias("output_cost_per_token"))
+    text = table(spark, d, "part").select(F.to_json(F.create_map(F.concat(F.lit("part"), k.cast("string")), price)).alias("value"))
+    return logs.price_list(spark, text).select("model_id", "input", "output")
+
+
+@query("src21_inventory_fingerprint", """WITH i AS (SELECT DISTINCT l_suppkey AS device, l_returnflag AS kind, 'k' || (l_partkey % 3) AS item FROM lineitem)
+SELECT device, sha256(string_agg(kind || '|' || item, chr(10) ORDER BY kind, item)) AS fingerprint, count(*)::INT AS items FROM i GROUP BY 1""")
+def _(spark, d):
+    """What a device has, as a set: the same things have the same fingerprint in any order."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("device"), F.concat_ws("|", "l_returnflag", F.concat(F.lit("k"), (F.col("l_partkey") % 3).cast("string"))).alias("x")).distinct()
+    listed = li.groupBy("device").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return listed.select("device", F.sha2(F.array_join("x", "\n"), 256).alias("fingerprint"), F.size("x").alias("items"))
+
+
+# Sinks
+
+
+@query("snk5_hourly_rollup", f"WITH {T.EV} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, provider_key, coalesce(model, '') AS model, count(*) AS events, {TOKENS}, sum(cost_usd)::DOUBLE AS cost FROM ev GROUP BY 1, 2, 3")
+def _(spark, d):
+    e = T.usage_events(spark, d)
+    return e.groupBy(X.bucket_start("ts", 60).cast("timestamp_ntz").alias("bucket"), "provider_key", F.coalesce("model", F.lit("")).alias("model")).agg(F.count(F.lit(1)).alias("events"), *X.tokens(), F.sum("cost_usd").cast("double").alias("cost"))
+
+
+@query("snk10_snapshot_replace", "SELECT l_suppkey AS device, l_orderkey AS snapshot, l_partkey AS item FROM (SELECT *, max(l_orderkey) OVER (PARTITION BY l_suppkey) AS last FROM lineitem) WHERE l_orderkey = last")
+def _(spark, d):
+    """The items of each device's latest snapshot."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("device"), F.col("l_orderkey").alias("snapshot"), F.col("l_partkey").alias("item"))
+    last = li.groupBy("device").agg(F.max("snapshot").alias("snapshot"))
+    return li.join(last, ["device", "snapshot"], "left_semi")
+
+
+@query("snk11_host_versions", "WITH v AS (SELECT user_id, 'h' || (event_id % 3) AS host, event_id % 5 || '.0.' || (event_id % 7) AS version, event_id FROM events) SELECT user_id, host, arg_max(version, event_id) AS version FROM v GROUP BY 1, 2")
+def _(spark, d):
+    i = F.col("event_id")
+    seen = table(spark, d, "events").select("user_id", i, F.array(F.struct(F.concat(F.lit("h"), (i % 3).cast("string")).alias("host"), F.concat((i % 5).cast("string"), F.lit(".0."), (i % 7).cast("string")).alias("version"))).alias("hosts"))
+    return seen.select("user_id", "event_id", F.inline("hosts")).groupBy("user_id", "host").agg(F.max_by("version", "event_id").alias("version"))
+
+
+@query("snk12_metadata_backfill", "SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'old' WHEN turn % 2 = 0 THEN 'new' END AS agent_id FROM conversations")
+def _(spark, d):
+    """Only rows without an agent take the one that comes in."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 == 0, "old").alias("agent_id"))
+    found = c.where("turn % 2 = 0").select("conv_id", "turn", F.lit("new").alias("found"))
+    return c.join(found, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("agent_id", "found").alias("agent_id"))
+
+
+@query("snk14_lifetimes", f"WITH {T.EV} SELECT provider_key, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-04-20' - INTERVAL 97 DAY) AS raw, count(DISTINCT time_bucket(INTERVAL 15 MINUTE, ts)) FILTER (WHERE ts >= TIMESTAMP '2025-02-15' - INTERVAL 400 DAY) AS buckets FROM ev GROUP BY 1")
+def _(spark, d):
+    """What is left of raw events after 97 days, and of buckets after 400."""
+    since = lambda now, days: F.col("ts") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days))
+    return T.usage_events(spark, d).groupBy("provider_key").agg(F.count_if(since("2024-04-20", 97)).alias("raw"), F.countDistinct(F.when(since("2025-02-15", 400), X.bucket_start("ts"))).alias("buckets"))
+
+
+# Filters
+
+
+@query("flt3_provider_identification", f"WITH {T.EV}, p AS (SELECT * FROM (VALUES ('view', 'views'), ('click', 'clicks')) AS v(service, key)) SELECT key, count(*) AS events FROM ev LEFT JOIN p ON service = provider_key GROUP BY 1")
+def _(spark, d):
+    """Names of services are listed with each provider; an enabled provider goes before a disabled one."""
+    p = spark.sql("SELECT * FROM VALUES ('views', array('view', 'look'), true), ('old', array('click'), false), ('clicks', array('click'), true) AS p(key, patterns, enabled)")
+    names = p.select("key", "enabled", F.explode("patterns").alias("service")).groupBy("service").agg(F.min_by("key", F.struct(~F.col("enabled"), "key")).alias("key"))
+    return T.usage_events(spark, d).join(names, F.col("provider_key") == F.col("service"), "left").groupBy("key").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("flt4_request_events", "SELECT event_type, count(*) AS events FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
+def _(spark, d):
+    t = F.col("event_type")
+    name = F.when(t == "view", "api_request").when(t == "click", "tool.api_request").when(t == "error", "api_request.failed").otherwise(t)
+    return table(spark, d, "events").where(logs.is_request(name)).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("flt7_denied_attributes", "SELECT conv_id, turn, 'role' AS names FROM conversations")
+def _(spark, d):
+    keys = F.map_from_arrays(F.array(*map(F.lit, ["role", *logs.DENIED])), F.array(F.col("role"), *[F.col("text") for _ in logs.DENIED]))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.map_keys(logs.without_text(keys)), ",").alias("names"))
+
+
+@query("flt9_group_host", f"WITH {T.EV} SELECT user_id, arg_min(coalesce(CASE WHEN event_id % 4 = 0 THEN 'own' END, host), event_id) FILTER (WHERE event_id % 4 = 0 OR host IS NOT NULL) AS host FROM ev GROUP BY 1")
+def _(spark, d):
+    """The first machine that a record names, by a deployment's own attribute or else the usual one."""
+    own = F.when(F.col("event_id") % 4 == 0, "own")
+    e = T.usage_events(spark, d).select("user_id", "event_id", F.map_from_arrays(F.array(F.lit("my.host"), F.lit("host.name")), F.array(own, F.col("host"))).alias("resource"))
+    return e.groupBy("user_id").agg(logs.group_host("resource", "event_id", ("my.host", *logs.HOSTS)).alias("host"))
+
+
+@query("flt14_token_validity", "SELECT c_custkey AS token_id FROM customer WHERE c_custkey % 3 <> 0 AND (c_custkey % 4 <> 0 OR c_custkey % 8 = 4) AND c_custkey % 2 = 0")
+def _(spark, d):
+    """Offered tokens (even ones) that have a row which isn't revoked or expired."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k)
+    at = lambda x: F.lit(x).cast("timestamp")
+    held = c.select(k.alias("token_id"), F.sha2(k.cast("string"), 256).alias("token_hash"), F.when(k % 3 == 0, at("2024-01-01")).alias("revoked_at"), F.when(k % 8 == 4, at("2024-02-01")).when(k % 4 == 0, at("2024-01-10")).alias("expires_at"))
+    offered = c.where(k % 2 == 0).select(F.sha2(k.cast("string"), 256).alias("token_hash"))
+    now = at("2024-01-15")
+    return held.where(F.col("revoked_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > now))).join(offered, "token_hash", "left_semi").select("token_id")
+
+
+@query("flt16_visibility", "SELECT p_partkey AS item, p_size % 4 <> 0 AS listed, p_size % 4 <> 3 OR p_partkey % 5 = 1 AS readable FROM part")
+def _(spark, d):
+    """Drafts aren't listed; archived items open for their owner (here 1) alone."""
+    state = F.element_at(F.array(*map(F.lit, ["draft", "published", "deprecated", "archived"])), (F.col("p_size") % 4 + 1).cast("int"))
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), state.alias("state"), (F.col("p_partkey") % 5).alias("owner"))
+    return items.select("item", (F.col("state") != "draft").alias("listed"), ((F.col("state") != "archived") | (F.col("owner") == 1)).alias("readable"))
+
+
+@query("flt17_owner_rows", f"WITH {T.EV} SELECT event_id FROM ev WHERE user_id = 12 AND {PERIOD}")
+def _(spark, d):
+    return usage.scan(T.usage_events(spark, d), usage.Scope(SCOPE.start, SCOPE.end, user=12)).select("event_id")

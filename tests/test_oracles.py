@@ -4,6 +4,7 @@ import pytest
 from compare import both, connection
 
 import meterlake.control_queries
+import meterlake.inventory_queries
 import meterlake.queries as Q
 
 SF = "/root/testdata/sf0.01"
