@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as X
 from .functions import timeutil
-from .operators import history, ingest, pricing, repair, tools, usage
+from .operators import compare, deploy, history, ingest, pricing, repair, usage
 from .plans import jobs, rollup
-from .queries import _GROUPS, _TURNS, BASE, COST, COVER, PERIOD, SCOPE, SEOUL, START, TEAMED, TOKENS, YORK, M, both, ev, label, query, teamed, turns
-from .queries import _COMP, _TWO
+from .queries import _COMP, _TURNS, _TWO, BASE, COST, COVER, PERIOD, SCOPE, SEOUL, TEAMED, TOKENS, YORK, M, both, ev, label, query, teamed, turns
 from .sources import logs, wire
 from .sources import tables as T
 
@@ -266,3 +265,294 @@ def _(spark, d):
 @query("flt17_owner_rows", f"WITH {T.EV} SELECT event_id FROM ev WHERE user_id = 12 AND {PERIOD}")
 def _(spark, d):
     return usage.scan(T.usage_events(spark, d), usage.Scope(SCOPE.start, SCOPE.end, user=12)).select("event_id")
+
+
+# Joins
+
+
+@query("jn2_team_labels", f"{TEAMED} SELECT n_name AS label, count(*) AS events, {COST} FROM p JOIN nation ON n_nationkey = team_id GROUP BY 1")
+def _(spark, d):
+    """Inner: teams without a row vanish.  Summed by key first, so that labels meet sums alone."""
+    sums = usage.scan(teamed(spark, d), SCOPE).groupBy("team_id").agg(F.count(F.lit(1)).alias("events"), X.priced_cost().alias("cost"))
+    return sums.join(T.teams(spark, d), "team_id").select("label", "events", "cost")
+
+
+@query("jn3_label_fallback", f"{BASE}, u AS (SELECT user_id, count(*) AS events FROM p GROUP BY 1) SELECT user_id, events, coalesce(c_name, user_id::VARCHAR) AS label FROM u LEFT JOIN customer ON c_custkey = user_id")
+def _(spark, d):
+    sums = ev(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+    return sums.join(T.users(spark, d), "user_id", "left").withColumn("label", F.coalesce("label", F.col("user_id").cast("string")))
+
+
+_NAMES = "('gpt-5', 1), ('claude-x', 2), ('claude-x-pro', 3), ('o9-20240101', 4)"
+_ASKED = ["gpt-5", "openai/gpt-5", "bedrock/claude-x-20250101", "anthropic.claude-x-pro-v2", "o9", "none", "us.anthropic.claude-x"]
+
+
+@query("jn6_alias_lookup", f"""WITH k AS (SELECT * FROM (VALUES {_NAMES}) AS v(model_id, n)), m AS (SELECT unnest({_ASKED}) AS model), s AS (SELECT model, regexp_replace(model, '^(us\\.anthropic\\.|anthropic\\.|openai/|bedrock/)', '') AS p FROM m),
+x AS (SELECT *, regexp_replace(p, '-\\d{{8}}$', '') AS q FROM s), r AS (SELECT model, model_id, row_number() OVER (PARTITION BY model ORDER BY CASE WHEN model_id = model THEN 0 WHEN model_id = p THEN 1 WHEN model_id = q THEN 2 ELSE 3 END, length(model_id) DESC, model_id) AS n
+FROM x JOIN k ON model_id IN (model, p, q) OR contains(p, model_id) OR contains(model_id, q)) SELECT model, model_id FROM r WHERE n = 1""")
+def _(spark, d):
+    keys = spark.sql(f"SELECT model_id FROM VALUES {_NAMES} AS v(model_id, n)")
+    return pricing.aliases(spark.createDataFrame([(x,) for x in _ASKED], "model string"), keys)
+
+
+@query("jn7_session_page", f"WITH {T.EV}, g AS (SELECT session_id, max(ts) AS last FROM ev WHERE session_id IS NOT NULL GROUP BY 1 ORDER BY last DESC, session_id LIMIT 20) SELECT session_id, {COST}, {TOKENS}, {COVER} FROM ev SEMI JOIN g USING (session_id) GROUP BY 1")
+def _(spark, d):
+    """Usage of the sessions on a page of the twenty newest."""
+    e = T.usage_events(spark, d)
+    page = e.where("session_id IS NOT NULL").groupBy("session_id").agg(F.max("ts").alias("last")).orderBy(F.desc("last"), "session_id").limit(20)
+    return e.join(F.broadcast(page), "session_id", "left_semi").groupBy("session_id").agg(X.priced_cost().alias("cost"), *X.tokens(), *X.coverage())
+
+
+@query("jn9_exact_twins", f"""WITH {T.EV}, tw AS (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN model END AS model, 'unpriced' AS cost_status) FROM ev UNION ALL SELECT * FROM ev WHERE event_id % 3 = 0)
+SELECT event_id FROM tw a WHERE model IS NULL AND cost_status = 'unpriced' AND EXISTS (SELECT 1 FROM tw b WHERE b.model IS NOT NULL AND a.user_id = b.user_id AND a.session_id IS NOT DISTINCT FROM b.session_id AND a.host IS NOT DISTINCT FROM b.host AND a.ts = b.ts AND a.input_tokens = b.input_tokens AND a.output_tokens = b.output_tokens AND a.cache_read_tokens = b.cache_read_tokens AND a.cache_creation_tokens = b.cache_creation_tokens)""")
+def _(spark, d):
+    e = T.usage_events(spark, d)
+    bare = e.withColumn("model", F.when(F.col("event_id") % 2 == 0, F.col("model"))).withColumn("cost_status", F.lit("unpriced"))
+    return ingest.replayed(bare.unionByName(e.where("event_id % 3 = 0"))).select("event_id")
+
+
+@query("jn12_zone_units", f"WITH b AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS ts FROM events WHERE event_id % 50 = 0) SELECT DISTINCT '{SEOUL}' AS zone, 'day' AS unit, {label(SEOUL)} AS label FROM b UNION SELECT '{SEOUL}', 'hour', {label(SEOUL, '%Y-%m-%d %H:00')} FROM b UNION SELECT '{YORK}', 'day', {label(YORK)} FROM b UNION SELECT '{YORK}', 'hour', {label(YORK, '%Y-%m-%d %H:00')} FROM b")
+def _(spark, d):
+    return jobs.affected_jobs(ingest.dirty_buckets(T.usage_events(spark, d).where("event_id % 50 = 0")), [SEOUL, YORK])
+
+
+@query("jn13_snapshot_items", "SELECT s_suppkey AS device, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS items FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_partkey % 50 = 0 GROUP BY 1")
+def _(spark, d):
+    """Devices with what they have; one that has nothing stays."""
+    items = table(spark, d, "lineitem").where("l_partkey % 50 = 0").groupBy(F.col("l_suppkey").alias("device")).agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("items"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("device")).join(items, "device", "left").na.fill("", ["items"])
+
+
+@query("jn15_last_used", "SELECT c_custkey AS user_id, max(ts) AS last_used, count(event_id) AS events FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1")
+def _(spark, d):
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_used"), F.count(F.lit(1)).alias("events"))
+    return T.users(spark, d).select("user_id").join(last, "user_id", "left").na.fill(0, ["events"])
+
+
+@query("jn18_device_rows", f"""WITH {T.EV}, u AS (SELECT host, count(*) AS events FROM ev GROUP BY 1), i AS (SELECT s_suppkey AS device, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'h' || (s_suppkey % 7) END AS host FROM supplier WHERE s_suppkey % 7 NOT IN (1)),
+c AS (SELECT *, count(*) OVER (PARTITION BY host) > 1 AS shared FROM i)
+SELECT device, c.host, events, shared FROM c LEFT JOIN u ON u.host IS NOT DISTINCT FROM c.host UNION ALL SELECT NULL, host, events, false FROM u WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.host IS NOT DISTINCT FROM u.host)""")
+def _(spark, d):
+    s = F.col("s_suppkey")
+    inventory = table(spark, d, "supplier").where("s_suppkey % 7 <> 1").select(s.alias("device"), F.when(s % 5 != 0, F.concat(F.lit("h"), (s % 7).cast("string"))).alias("host"))
+    return deploy.device_rows(inventory, usage.devices(T.usage_events(spark, d)).select("host", "events"))
+
+
+@query("jn21_first_record", "SELECT c_custkey AS user_id, min(o_orderkey) AS first_record, count(o_orderkey) > 0 AS has_records FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1")
+def _(spark, d):
+    first = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("o_orderkey").alias("first_record"))
+    return T.users(spark, d).select("user_id").join(first, "user_id", "left").withColumn("has_records", F.col("first_record").isNotNull())
+
+
+# Windows, order, sets
+
+
+@query("win4_representative_turn", f"{_TURNS} SELECT DISTINCT ON (session) session, turn, role FROM t ORDER BY session, (role = 'user') DESC, turn")
+def _(spark, d):
+    """One row of each key without a sort of all rows: the least by an order, as an aggregate."""
+    order = F.struct((F.col("role") != "user").alias("a"), "turn")
+    return turns(spark, d).groupBy("session").agg(F.min_by(F.struct("turn", "role"), order).alias("t")).select("session", "t.*")
+
+
+@query("win5_carry_forward", f"WITH {T.EV} SELECT event_id, last_value(model IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS model FROM ev")
+def _(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return T.usage_events(spark, d).select("event_id", F.last("model", True).over(w).alias("model"))
+
+
+@query("top1_most_tokens", f"{BASE} SELECT session_id, sum(tokens)::BIGINT AS tokens FROM p WHERE session_id IS NOT NULL GROUP BY 1 ORDER BY tokens DESC, session_id LIMIT 100")
+def _(spark, d):
+    s = ev(spark, d).where("session_id IS NOT NULL").groupBy("session_id").agg(F.sum(X.total_tokens()).cast("long").alias("tokens"))
+    return s.orderBy(F.desc("tokens"), "session_id").limit(100)
+
+
+@query("top6_share_changes", f"{_TWO}, c AS ({_COMP}), s AS (SELECT key, current_tokens / sum(current_tokens) OVER () * 100 AS a, previous_tokens / sum(previous_tokens) OVER () * 100 AS b FROM c WHERE dimension = 'model') SELECT key, round(a, 6) AS current_share, round(b, 6) AS previous_share, round(a - b, 6) AS delta FROM s ORDER BY abs(a - b) DESC, key LIMIT 5")
+def _(spark, d):
+    return compare.share_changes(compare.composition(both(spark, d)).where("dimension = 'model'"))
+
+
+@query("top8_best_tools", f"WITH {T.TOOLS} SELECT item_key, count(*) FILTER (WHERE outcome = 'success') AS successes FROM tl GROUP BY 1 ORDER BY successes DESC, item_key LIMIT 3")
+def _(spark, d):
+    return T.tool_events(spark, d).groupBy("item_key").agg(F.count_if(F.col("outcome") == "success").alias("successes")).orderBy(F.desc("successes"), "item_key").limit(3)
+
+
+@query("set2_legitimate_keys", "SELECT event_id FROM events WHERE event_id % 4 = 0 EXCEPT SELECT event_id FROM events WHERE event_id % 6 = 0")
+def _(spark, d):
+    e = table(spark, d, "events").select("event_id")
+    return e.where("event_id % 4 = 0").join(e.where("event_id % 6 = 0"), "event_id", "left_anti")
+
+
+@query("set3_distinct_pairs", f"WITH {T.EV} SELECT DISTINCT provider_key, model FROM ev")
+def _(spark, d):
+    return T.usage_events(spark, d).select("provider_key", "model").distinct()
+
+
+@query("set4_scalar_subquery", f"WITH {T.EV}, u AS (SELECT user_id, count(*) AS events FROM ev GROUP BY 1) SELECT user_id, events, (SELECT max(events) FROM u) AS most FROM u WHERE events > (SELECT avg(events) FROM u)")
+def _(spark, d):
+    u = T.usage_events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
+    return u.crossJoin(F.broadcast(u.agg(F.max("events").alias("most"), F.avg("events").alias("mean")))).where("events > mean").drop("mean")
+
+
+@query("set7_json_recordset", "SELECT conv_id, turn, 'a' || turn AS agent FROM conversations")
+def _(spark, d):
+    """A JSON list a session, read back as rows."""
+    record = F.to_json(F.struct("turn", F.concat(F.lit("a"), F.col("turn").cast("string")).alias("agent")))
+    c = table(spark, d, "conversations").select("conv_id", F.concat(F.lit("["), record, F.lit("]")).alias("records"))
+    return c.select("conv_id", F.inline(F.from_json("records", "array<struct<turn:bigint,agent:string>>")))
+
+
+# Periods and rollup state
+
+
+@query("tim3_first_instants", f"WITH x AS (SELECT unnest(generate_series(DATE '2024-03-01', DATE '2024-11-30', INTERVAL 1 DAY)) AS wall) SELECT strftime(wall, '%Y-%m-%d') AS day, timezone('UTC', timezone('{YORK}', wall)) AS first_instant FROM x")
+def _(spark, d):
+    days = [date(2024, 3, 1) + timedelta(days=n) for n in range(275)]
+    rows = [(str(x), timeutil.first_instant(x, YORK).replace(tzinfo=None)) for x in days]
+    return spark.createDataFrame(rows, "day string, first_instant timestamp_ntz")
+
+
+@query("tim4_calendar", "SELECT event_id, (ts::DATE - CAST(dayofweek(ts) AS INT))::DATE AS week, date_trunc('quarter', ts)::DATE AS quarter, (ts::DATE + INTERVAL 1 MONTH)::DATE AS month_later FROM events")
+def _(spark, d):
+    day = F.to_date("ts")
+    return table(spark, d, "events").select("event_id", F.date_sub(day, F.dayofweek(day) - 1).alias("week"), F.trunc(day, "quarter").alias("quarter"), F.add_months(day, 1).alias("month_later"))
+
+
+_AT = datetime(2024, 1, 24, 12, 34, 56, tzinfo=UTC)
+
+
+@query("tim5_preset_usage", f"WITH {T.EV}, l AS (SELECT *, timezone('{SEOUL}', timezone('UTC', ts)) AS wall FROM ev) " + " UNION ALL ".join(f"SELECT '{n}' AS preset, '{s}' AS side, count(*) AS events FROM l WHERE wall >= TIMESTAMP '{a}' AND wall < TIMESTAMP '{b}'" for n, s, a, b in [("today", "current", "2024-01-24", "2024-01-25"), ("today", "previous", "2024-01-23", "2024-01-24"), ("week", "current", "2024-01-21", "2024-01-25"), ("week", "previous", "2024-01-14", "2024-01-21"), ("month", "current", "2024-01-01", "2024-01-25"), ("month", "previous", "2023-12-01", "2024-01-01"), ("7d", "current", "2024-01-18", "2024-01-25"), ("7d", "previous", "2024-01-11", "2024-01-18")]))
+def _(spark, d):
+    """Every preset and the period before it, counted in one scan."""
+    spans = {}
+    for n in ("today", "week", "month", "7d"):
+        spans[n, "current"] = timeutil.preset(n, _AT, SEOUL)
+        spans[n, "previous"] = timeutil.previous(spans[n, "current"], n, SEOUL)
+    return periods(T.usage_events(spark, d), spans, "preset", "side")
+
+
+def periods(events: DataFrame, spans: dict, *names: str) -> DataFrame:
+    """Events in each of a few periods, which may overlap: conditional counts of one scan, then a row each."""
+    n = [F.count_if((F.col("ts") >= F.lit(p.start)) & (F.col("ts") < F.lit(p.end))).alias(f"c{i}") for i, p in enumerate(spans.values())]
+    return events.agg(*n).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, key)], F.col(f"c{i}").alias("events")) for i, key in enumerate(spans)])))
+
+
+@query("tim6_clamped_period", f"WITH {T.EV} SELECT count(*) AS events FROM ev WHERE ts >= timezone('UTC', timezone('{YORK}', TIMESTAMP '2024-01-18')) AND ts < TIMESTAMP '2024-01-25'")
+def _(spark, d):
+    """The last seven local days (up to Jan 24, 19:00 in New York) of a long period."""
+    p = timeutil.clamped(timeutil.Period(datetime(2020, 1, 1, tzinfo=UTC), datetime(2024, 1, 25, tzinfo=UTC)), YORK, 7)
+    return T.usage_events(spark, d).where((F.col("ts") >= F.lit(p.start)) & (F.col("ts") < F.lit(p.end))).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("tim7_insight_pairs", f"WITH {T.EV} " + " UNION ALL ".join(f"SELECT '{n}' AS preset, '{s}' AS side, count(*) AS events FROM ev WHERE ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}'" for n, s, a, b in [("7", "current", "2024-01-17 12:30", "2024-01-24 12:30"), ("7", "previous", "2024-01-10 12:30", "2024-01-17 12:30"), ("week", "current", "2024-01-20 15:00", "2024-01-24 12:30"), ("week", "previous", "2024-01-13 15:00", "2024-01-17 12:30"), ("month", "current", "2023-12-31 15:00", "2024-01-24 12:30"), ("month", "previous", "2023-11-30 15:00", "2023-12-24 12:30")]))
+def _(spark, d):
+    spans = {(n, s): p for n in ("7", "week", "month") for s, p in zip(("current", "previous"), timeutil.insight_pair(n, SEOUL, timeutil.anchor(_AT)))}
+    return periods(T.usage_events(spark, d), spans, "preset", "side")
+
+
+@query("src6_zone_cache", f"{BASE} SELECT {M} FROM p")
+def _(spark, d):
+    """Head and tail from raw events, whole local days between them from a rollup of the zone."""
+    e = T.usage_events(spark, d)
+    first, last = timeutil.first_instant(date(2024, 1, 16), SEOUL), timeutil.first_instant(date(2024, 1, 24), SEOUL)
+    days = rollup.local_rollup(rollup.compact(e), SEOUL).where((F.col("bucket") >= "2024-01-16") & (F.col("bucket") < "2024-01-24"))
+    raw = lambda a, b: e.where((F.col("ts") >= a) & (F.col("ts") < b)).withColumn("cost_usd", F.col("cost_usd").cast("decimal(28,8)"))
+    at = lambda x: F.lit(x).cast("timestamp")
+    cols = [*rollup.DIMENSIONS, *rollup.SUMS, "cost_usd"]
+    parts = [raw(at(SCOPE.start), F.lit(first)), days.withColumn("cost_usd", F.col("cost_usd").cast("decimal(28,8)")), raw(F.lit(last), at(SCOPE.end))]
+    return usage.overview(parts[0].select(*cols).unionByName(parts[1].select(*cols)).unionByName(parts[2].select(*cols)))
+
+
+@query("str4_dirty_fence", f"{BASE} SELECT provider_key, {M} FROM p GROUP BY 1")
+def _(spark, d):
+    """A bucket within the period is dirty: the rollup is read up to it, raw events from there on; the rest of the rollup is wrong."""
+    e = T.usage_events(spark, d)
+    bad = datetime(2024, 1, 19, 6, 15, tzinfo=UTC)
+    stale = rollup.compact(e.where((F.col("ts") < F.lit(bad)) | (F.col("event_id") % 2 == 0)))
+    p = rollup.plan(datetime(2024, 1, 15, tzinfo=UTC), datetime(2024, 1, 25, tzinfo=UTC), datetime(2024, 1, 30, tzinfo=UTC), [bad])
+    return usage.breakdown(rollup.stitched(e, stale, p), "provider_key")
+
+
+@query("str5_ready_prefix", "WITH b AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-10 23:45', INTERVAL 15 MINUTE)) AS ts) SELECT ts FROM b WHERE ts < TIMESTAMP '2024-01-10 11:30'")
+def _(spark, d):
+    buckets = spark.sql("SELECT explode(sequence(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-10 23:45', INTERVAL 15 MINUTES)) AS ts")
+    covered = buckets.where("ts <> TIMESTAMP '2024-01-10 18:00'")
+    dirty = buckets.where("ts = TIMESTAMP '2024-01-10 11:30'")
+    return rollup.ready_prefix(buckets, covered, dirty).select(F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("agg36_rollup_progress", "SELECT 75.0::DOUBLE AS percent, 72 AS completed, 96 AS total, 25 AS remaining, 13 AS eta_minutes")
+def _(spark, d):
+    at = datetime(2024, 1, 10, tzinfo=UTC)
+    p = jobs.progress(at, at + timedelta(days=1), at + timedelta(hours=18), [at + timedelta(hours=3), at + timedelta(hours=20)], 2.0)
+    return spark.createDataFrame([(float(p.percent), p.completed, p.total, p.remaining, p.eta_minutes)], "percent double, completed int, total int, remaining int, eta_minutes int")
+
+
+# Algorithms
+
+
+@query("alg2_cost_modes", f"WITH {T.EV} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN cost_usd::DOUBLE ELSE 0 END AS display, CASE WHEN event_id % 2 = 0 THEN cost_usd::DOUBLE WHEN event_id % 3 = 0 THEN 1.5 ELSE 0 END AS auto, CASE WHEN event_id % 3 = 0 THEN 1.5 ELSE 0 END::DOUBLE AS calculate FROM ev")
+def _(spark, d):
+    given = F.when(F.col("event_id") % 2 == 0, F.col("cost_usd").cast("double"))
+    computed = F.when(F.col("event_id") % 3 == 0, F.lit(1.5))
+    return T.usage_events(spark, d).select("event_id", *[pricing.cost_by_mode(m, given, computed).alias(m) for m in pricing.MODES])
+
+
+@query("alg3_pricing_models", f"""WITH {T.EV}, x AS (SELECT *, (ts + to_days((event_id % 900)::INT))::DATE AS day, CASE WHEN event_id % 3 = 0 THEN 'codex-auto-review' ELSE model END AS said FROM ev)
+SELECT event_id, CASE WHEN said = 'codex-auto-review' THEN CASE WHEN day >= DATE '2026-04-23' THEN 'gpt-5.5' WHEN day >= DATE '2026-03-05' THEN 'gpt-5.4' WHEN day >= DATE '2026-02-05' THEN 'gpt-5.3-codex' WHEN day >= DATE '2025-12-11' THEN 'gpt-5.2-codex' WHEN day >= DATE '2025-11-13' THEN 'gpt-5.1-codex' WHEN day >= DATE '2025-09-15' THEN 'gpt-5-codex' ELSE 'gpt-5' END
+ WHEN said IS NULL AND provider_key = 'click' THEN 'gpt-5' ELSE said END AS model FROM x""")
+def _(spark, d):
+    e = T.usage_events(spark, d)
+    at = F.col("ts") + F.make_dt_interval((F.col("event_id") % 900).cast("int"))
+    said = F.when(F.col("event_id") % 3 == 0, pricing.REVIEW).otherwise(F.col("model"))
+    source = F.when(F.col("provider_key") == "click", "codex").otherwise(F.col("provider_key"))
+    return e.select("event_id", pricing.pricing_model(said, at, source, source).alias("model"))
+
+
+@query("alg7_dedup_keys", f"""WITH {T.EV}, x AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN 'r' || event_id END AS id, epoch_us(ts) // 1000 AS ms, concat_ws('|', input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens) AS n FROM ev)
+SELECT event_id, sha256(CASE WHEN id IS NOT NULL THEN concat_ws('|', 'req', id, coalesce(model, ''), n) ELSE concat_ws('|', 'nat', coalesce(session_id, ''), '', ms, n) END) AS server_key,
+ sha256(CASE WHEN id IS NOT NULL THEN concat_ws(':', 'files', id, coalesce(model, ''), replace(n, '|', ':')) ELSE concat_ws(':', 'files', coalesce(session_id, ''), ms, coalesce(model, ''), input_tokens, output_tokens) END) AS collector_key FROM x""")
+def _(spark, d):
+    said = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("r"), F.col("event_id").cast("string")))
+    e = T.usage_events(spark, d).withColumns({"request_id": said, "message_id": said, "sequence": F.lit(None).cast("long"), "ts_ms": F.unix_millis("ts")})
+    return e.select("event_id", X.dedup_key().alias("server_key"), X.collector_key(F.lit("files")).alias("collector_key"))
+
+
+@query("alg16_percent_delta", "SELECT p_partkey AS item, CASE WHEN p_size % 5 > 0 THEN nullif(greatest(-999, least(999, floor((p_partkey - p_size % 5) / (p_size % 5) * 100 + 0.5))), 0)::BIGINT END AS delta FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item"), X.percent_delta(F.col("p_partkey"), F.col("p_size") % 5).alias("delta"))
+
+
+@query("alg17_others_series", f"""{BASE}, m AS (SELECT user_id FROM p GROUP BY 1 ORDER BY sum(tokens) DESC, user_id LIMIT 3), d AS (SELECT {label(SEOUL)} AS bucket, user_id, sum(tokens) AS tokens FROM p GROUP BY 1, 2)
+SELECT bucket, m.user_id AS member, coalesce(sum(d.tokens) FILTER (WHERE d.user_id = m.user_id), 0)::BIGINT AS tokens FROM d, m GROUP BY 1, 2 UNION ALL SELECT bucket, NULL, coalesce(sum(tokens) FILTER (WHERE user_id NOT IN (SELECT user_id FROM m)), 0)::BIGINT FROM d GROUP BY 1""")
+def _(spark, d):
+    return usage.members_and_others(ev(spark, d), SEOUL, 3)
+
+
+@query("alg18_shares", f"{BASE}, u AS (SELECT user_id, sum(tokens)::BIGINT AS tokens FROM p GROUP BY 1) SELECT user_id, floor(tokens / sum(tokens) OVER () * 100 + 0.5)::BIGINT AS share, greatest(3, floor(tokens / max(tokens) OVER () * 100 + 0.5))::BIGINT AS width FROM u")
+def _(spark, d):
+    u = ev(spark, d).groupBy("user_id").agg(F.sum(X.total_tokens()).cast("long").alias("tokens"))
+    t = u.agg(F.sum("tokens").alias("whole"), F.max("tokens").alias("largest"))
+    return u.crossJoin(F.broadcast(t)).select("user_id", X.share_percent(F.col("tokens"), F.col("whole")).alias("share"), X.bar_width(F.col("tokens"), F.col("largest")).alias("width"))
+
+
+@query("alg20_withdrawal", "SELECT event_id FROM events WHERE NOT (user_id = 7 AND event_type = 'view' AND event_id % 2 = 0)")
+def _(spark, d):
+    """Listed keys of one owner and provider go; a listed key of another stays."""
+    e = T.usage_events(spark, d)
+    listed = e.where("event_id % 2 = 0").select("dedup_key", F.lit(7).cast("long").alias("user_id"), F.lit("view").alias("provider_key"))
+    return ingest.without_keys(e, listed, ["dedup_key", "user_id", "provider_key"]).select("event_id")
+
+
+@query("alg26_price_history", "WITH s AS (SELECT p_brand AS model_id, min(p_size) AS first FROM part GROUP BY 1) SELECT model_id, TIMESTAMP '2023-06-01' AS valid_from FROM s")
+def _(spark, d):
+    """Prices that never change have one stretch, from the start of the range."""
+    s = table(spark, d, "part").select(F.col("p_brand").alias("model_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("p_size") * 86400).alias("observed_at"), F.lit(1.0).alias("input"), F.lit(2.0).alias("output")).distinct()
+    return repair.history_intervals(s, "2023-06-01").select("model_id", F.col("valid_from").cast("timestamp_ntz").alias("valid_from"))
+
+
+@query("alg27_history_previews", f"{_TURNS}, g AS (SELECT session, arg_min(text, (role <> 'user', turn)) AS text FROM t GROUP BY 1), c AS (SELECT session, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM g) SELECT session, CASE WHEN length(line) > 40 THEN substr(line, 1, 40) || '…' ELSE line END AS preview FROM c")
+def _(spark, d):
+    """Previews of requests that come after a marker and between attachments."""
+    t = turns(spark, d).withColumn("text", F.concat(F.lit("## Files mentioned by the user:\n## codex-clipboard-1.png\n## My request for assistant:\n"), F.col("text"), F.lit('<image src="a">x</image>')))
+    pick = F.min_by("text", F.struct((F.col("role") != "user").alias("a"), "turn"))
+    return t.groupBy("session").agg(pick.alias("text")).select("session", history.cleaned(F.col("text"), 40).alias("preview"))

@@ -54,3 +54,12 @@ def insights(totals: DataFrame, parts: DataFrame, top: int = 3) -> DataFrame:
     d = (F.col("current_tokens") / F.nullif("tokens_current", F.lit(0)) - F.col("previous_tokens") / F.nullif("tokens_previous", F.lit(0))) * 100
     out = out.unionByName(both.where(~first & enough & (F.abs(d) + TOLERANCE >= SHARE)).select(F.when(d > 0, "composition.increase").otherwise("composition.decrease").alias("rule"), name.alias("name"), F.abs(d).alias("score"), turn.alias("turn")))
     return out.select(*pick).orderBy(F.desc("score"), "turn", "name").limit(top).select("rule", "name", F.round("score", 6).alias("score"))
+
+
+def share_changes(parts: DataFrame, top: int = 5) -> DataFrame:
+    """The parts of one dimension whose share of tokens changed most, in percentage points."""
+    t = parts.agg(*[F.sum(f"{p}_tokens").alias(p) for p in ("current", "previous")])
+    share = lambda p: F.coalesce(F.col(f"{p}_tokens") / F.nullif(F.col(p), F.lit(0)) * 100, F.lit(0.0))
+    x = parts.where("current_tokens > 0 OR previous_tokens > 0").crossJoin(F.broadcast(t)).select("key", share("current").alias("a"), share("previous").alias("b"))
+    best = x.orderBy(F.desc(F.abs(F.col("a") - F.col("b"))), "key").limit(top)
+    return best.select("key", F.round("a", 6).alias("current_share"), F.round("b", 6).alias("previous_share"), F.round(F.col("a") - F.col("b"), 6).alias("delta"))

@@ -111,3 +111,14 @@ def worst_versions(rows: DataFrame) -> DataFrame:
     """The lowest version of each user, by number and not by letter; what isn't a version is left out."""
     key = X.semver_key(F.col("version"))
     return rows.where(key.isNotNull()).groupBy("user_id").agg(F.min_by("version", F.struct(key.alias("k"), "version")).alias("version"))
+
+
+def device_rows(inventory: DataFrame, devices: DataFrame) -> DataFrame:
+    """Inventories (device, host) with the usage of their host (host, events), marked if they share it; then hosts with
+    usage that have no inventory.  A null host is a host."""
+    n = inventory.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    u = devices.select(F.col("host").alias("u_host"), "events").join(n.select(F.col("host").alias("n_host"), "n"), F.col("u_host").eqNullSafe(F.col("n_host")), "full")
+    u = u.select(F.coalesce("n_host", "u_host").alias("k"), "events", "n")
+    rows = inventory.join(u.where("n IS NOT NULL"), F.col("host").eqNullSafe(F.col("k")), "left").select("device", "host", "events", (F.col("n") > 1).alias("shared"))
+    rest = u.where("n IS NULL").select(F.lit(None).cast(dict(inventory.dtypes)["device"]).alias("device"), F.col("k").alias("host"), "events", F.lit(False).alias("shared"))
+    return rows.unionByName(rest)

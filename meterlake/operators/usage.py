@@ -96,3 +96,14 @@ def top_and_other(src: DataFrame, zone: str, top: int = 3) -> DataFrame:
 def peak(points: DataFrame, by: str) -> DataFrame:
     """The first bucket with the highest value."""
     return points.orderBy(F.desc(by), "bucket").limit(1)
+
+
+def members_and_others(src: DataFrame, zone: str, top: int) -> DataFrame:
+    """Tokens of the largest users in every bucket, zero where they have none, and of all others together (member null)."""
+    sums = src.groupBy(X.bucket_label("ts", zone).alias("bucket"), "user_id").agg(F.sum(X.total_tokens()).cast("long").alias("tokens"))
+    best = sums.groupBy("user_id").agg(F.sum("tokens").alias("all")).orderBy(F.desc("all"), "user_id").limit(top).select("user_id", F.col("user_id").alias("member"))
+    shown = sums.join(F.broadcast(best), "user_id", "left").groupBy("bucket", "member").agg(F.sum("tokens").alias("tokens"))
+    everyone = best.select("member").unionByName(best.sparkSession.createDataFrame([(None,)], "member bigint"))
+    grid = sums.select("bucket").distinct().crossJoin(F.broadcast(everyone)).select(F.col("bucket").alias("b"), F.col("member").alias("m"))
+    met = grid.join(shown, (F.col("b") == F.col("bucket")) & F.col("m").eqNullSafe(F.col("member")), "left")
+    return met.select(F.col("b").alias("bucket"), F.col("m").alias("member"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
