@@ -556,3 +556,67 @@ def _(spark, d):
     t = turns(spark, d).withColumn("text", F.concat(F.lit("## Files mentioned by the user:\n## codex-clipboard-1.png\n## My request for assistant:\n"), F.col("text"), F.lit('<image src="a">x</image>')))
     pick = F.min_by("text", F.struct((F.col("role") != "user").alias("a"), "turn"))
     return t.groupBy("session").agg(pick.alias("text")).select("session", history.cleaned(F.col("text"), 40).alias("preview"))
+
+
+@query("alg5_finalised_events", "SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN 'h' || (user_id % 4) END AS host FROM events WHERE ts >= TIMESTAMP '2024-04-18 12:00' - INTERVAL 90 DAY")
+def _(spark, d):
+    e = T.usage_events(spark, d).withColumn("host", F.concat(F.lit("\t "), F.col("host"), F.lit(" \x7f")))
+    return pricing.finalised(e, "2024-04-18 12:00").select("event_id", "host")
+
+
+@query("alg8_utilization_anchors", f"""WITH {T.EV}, d AS (SELECT DISTINCT user_id, {label(SEOUL)}::DATE AS day FROM ev), a AS (SELECT unnest(range(12))::INT AS week)
+SELECT week, count(*) FILTER (WHERE day >= DATE '2024-02-01' - (week * 7 + 7) AND day < DATE '2024-02-01' - week * 7) AS current_days, count(*) FILTER (WHERE day >= DATE '2024-02-01' - (week * 7 + 35) AND day < DATE '2024-02-01' - (week * 7 + 7)) AS baseline_days FROM a, d GROUP BY 1""")
+def _(spark, d):
+    """Active days of the last 7 local days and of the 28 before, at twelve weekly anchors, from one scan."""
+    days = T.usage_events(spark, d).select("user_id", F.to_date(X.local("ts", SEOUL)).alias("day")).distinct()
+    spans = {(w, s): timeutil.utilization_periods(date(2024, 2, 1) - timedelta(days=7 * w), "UTC")[k] for w in range(12) for k, s in enumerate(("current", "baseline"))}
+    within = lambda p: (F.col("day") >= F.lit(p.start.date())) & (F.col("day") < F.lit(p.end.date()))
+    n = days.agg(*[F.count_if(within(p)).alias(f"{s}{w}") for (w, s), p in spans.items()])
+    return n.select(F.inline(F.array(*[F.struct(F.lit(w).alias("week"), F.col(f"current{w}").alias("current_days"), F.col(f"baseline{w}").alias("baseline_days")) for w in range(12)])))
+
+
+@query("alg11_baseline_scores", """WITH b AS (SELECT l_suppkey AS k, list(l_discount) AS l, median(l_discount) AS m, max(l_tax) AS cur FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), s AS (SELECT k, m, cur, list_median(list_transform(l, lambda x: abs(x - m))) AS mad FROM b)
+SELECT k AS supplier, greatest(0, least(100, floor(0.5 + 50 + 15 * ((cur - m) / greatest(1.4826 * mad, 0.05)))))::BIGINT AS score FROM s""")
+def _(spark, d):
+    li = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.collect_list("l_discount").alias("baseline"), F.max("l_tax").alias("current"))
+    return li.select("supplier", X.baseline_score(F.col("current"), F.col("baseline")).alias("score"))
+
+
+@query("jn11_stale_rollup", f"{BASE}, r AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS bucket, count(*) AS raw, count(*) FILTER (WHERE event_id % 100 <> 0) AS kept FROM p GROUP BY 1) SELECT bucket, raw - kept AS missing FROM r WHERE raw <> kept")
+def _(spark, d):
+    """Buckets of which the rollup lacks events: raw counts to the left, those of the rollup or none."""
+    e = ev(spark, d)
+    n = lambda df, c: df.groupBy(X.bucket_start("ts").alias("bucket")).agg(F.sum("event_count").alias(c))
+    met = n(e, "raw").join(n(rollup.compact(e.where("event_id % 100 <> 0")), "kept"), "bucket", "left")
+    return met.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), (F.col("raw") - F.coalesce("kept", F.lit(0))).alias("missing")).where("missing <> 0")
+
+
+@query("agg27_having_page", f"{_TURNS} SELECT session, max(turn) AS last_turn FROM t GROUP BY 1 HAVING (max(turn), session) < (3, 40) ORDER BY last_turn DESC, session DESC LIMIT 21")
+def _(spark, d):
+    """A page after (3, 40), by what only the grouping knows."""
+    return history.page(history.groups(turns(spark, d)), (3, 40), 20).select("session", "last_turn")
+
+
+@query("str3_tick_buckets", """WITH x AS (SELECT unnest([TIMESTAMP '2024-01-02 00:00', TIMESTAMP '2024-01-03 00:00']) AS bucket UNION ALL SELECT unnest(generate_series(TIMESTAMP '2024-01-10 00:00', TIMESTAMP '2024-01-10 01:15', INTERVAL 15 MINUTE)))
+SELECT bucket, (SELECT count(*) FROM events WHERE ts >= bucket AND ts < bucket + INTERVAL 15 MINUTE) AS events FROM x""")
+def _(spark, d):
+    """A tick of eight: dirty buckets first, then on from the watermark, no later than half an hour ago."""
+    at = lambda *x: datetime(2024, 1, *x, tzinfo=UTC)
+    todo = rollup.next_buckets(at(10), [at(3), at(2)], at(10, 6), batch=8)
+    buckets = spark.createDataFrame([(b,) for b in todo], "bucket timestamp")
+    e = T.usage_events(spark, d).select(X.bucket_start("ts").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("events"))
+    return buckets.join(e, "bucket", "left").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.coalesce("events", F.lit(0)).alias("events"))
+
+
+@query("str7_prewarm_windows", f"SELECT 'day' AS unit, count(*) AS windows, timezone('UTC', timezone('{SEOUL}', TIMESTAMP '2024-01-30' - INTERVAL 399 DAY)) AS first_from, timezone('UTC', timezone('{SEOUL}', TIMESTAMP '2024-01-31')) AS last_to FROM range(25) UNION ALL SELECT 'hour', 48, timezone('UTC', timezone('{SEOUL}', TIMESTAMP '2024-01-30' - INTERVAL 31 DAY)), timezone('UTC', timezone('{SEOUL}', TIMESTAMP '2024-01-31'))")
+def _(spark, d):
+    w = spark.createDataFrame([(u, a.replace(tzinfo=None), b.replace(tzinfo=None)) for u, a, b in jobs.prewarm(date(2024, 1, 30), SEOUL)], "unit string, a timestamp_ntz, b timestamp_ntz")
+    return w.groupBy("unit").agg(F.count(F.lit(1)).alias("windows"), F.min("a").alias("first_from"), F.max("b").alias("last_to"))
+
+
+@query("str14_read_fence", "SELECT DISTINCT c_custkey AS user_id FROM customer WHERE c_custkey % 24 < 12 AND c_custkey % 24 + c_custkey % 3 + 1 > 6")
+def _(spark, d):
+    """Users whose period of replacement overlaps the half-open period asked for, hours 6 to 12 of a day."""
+    h = F.col("c_custkey") % 24
+    busy = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), h.alias("a"), (h + F.col("c_custkey") % 3 + 1).alias("b"))
+    return busy.where((F.col("a") < 12) & (F.col("b") > 6)).select("user_id")

@@ -82,3 +82,36 @@ def test_stream_is_idempotent(spark, tmp_path):
     raw = spark.read.parquet(str(tmp_path / "raw"))
     assert sorted(r.dedupKey for r in raw.collect()) == ["a", "b", "c"]
     assert spark.read.parquet(str(tmp_path / "dirty")).select("bucket").distinct().count() == 2
+
+
+def test_wire_bodies(spark):
+    from meterlake.sources import wire as W
+
+    bodies = lambda *x: spark.createDataFrame([(b,) for b in x], "value string")
+    sound = {"dedupKey": "a" * 64, "providerKey": "p", "ts": "2024-01-01T00:00:00Z", "activityKind": "mcp", "itemKey": "i", "displayName": "d", "outcome": "success", "detection": "explicit"}
+    rows = W.activity(bodies(json.dumps([sound, sound | {"more": 1}, sound | {"host": "h" * 256}]), "{}", "[]", None, json.dumps([sound] * 501))).collect()
+    errors = [r.error for r in rows]
+    assert errors[:3] == [None, "unknown", "host"] and errors[3:5] == ["body"] * 2 and set(errors[5:]) == {"length"} and len(errors) == 506
+    rows = W.inventory(bodies(json.dumps({"fingerprint": "b" * 64, "observedAt": "2024-01-01T00:00:00Z", "items": [{"kind": "plugin", "itemKey": "x", "displayName": "x", "sourceProvider": "p", "enabled": True}, {"kind": "plugin", "itemKey": "x", "displayName": "x", "sourceProvider": "p"}]}), json.dumps({"fingerprint": "b"}))).collect()
+    assert [r.error for r in rows] == [None, "item.enabled", "fingerprint"]
+    turn = {"dedupKey": "k", "providerKey": "p", "turnRole": "user", "ts": "2024-01-01T00:00:00Z", "text": "t"}
+    rows = W.prompts(bodies(json.dumps([turn, turn | {"text": ""}, turn | {"agent": {"id": "a", "depth": 33}}, turn | {"agent": {"id": "a", "depth": 2}}, turn | {"agent": {}}]))).collect()
+    assert [(r.error, r.agent_depth) for r in rows] == [(None, None), ("text", None), ("agent.depth", 33), (None, 2), ("agent.id", None)]
+
+
+def test_log_records_keep_microseconds_and_drop_text(spark):
+    attribute = lambda k, v: {"key": k, "value": {"stringValue": v}}
+    record = {"timeUnixNano": "1704838913938320999", "attributes": [attribute(k, "x") for k in ("model", *logs.DENIED)]}
+    payload = {"resourceLogs": [{"resource": {"attributes": []}, "scopeLogs": [{"logRecords": [record]}]}]}
+    (row,) = logs.otlp_records(spark.createDataFrame([(json.dumps(payload),)], "payload string")).collect()
+    assert row.ts.microsecond == 938320 and set(row.attributes) == {"model"}
+
+
+def test_previous_periods():
+    at = lambda *x: datetime(2024, *x, tzinfo=UTC)
+    p = timeutil.preset("month", at(3, 15, 12), "UTC")
+    assert timeutil.previous(p, "month", "UTC") == timeutil.Period(at(2, 1), at(3, 1))
+    assert timeutil.previous(timeutil.preset("quarter", at(5, 1), "UTC"), "quarter", "UTC").start == at(1, 1)
+    now, before = timeutil.insight_pair("month", "UTC", at(3, 30, 12))
+    assert now.start == at(3, 1) and before == timeutil.Period(at(2, 1), at(3, 1))  # a shorter month ends at its end
+    assert timeutil.anchor(at(3, 30, 12, 19, 59)) == at(3, 30, 12, 10)
