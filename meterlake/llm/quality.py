@@ -164,3 +164,17 @@ def judged(df: DataFrame, text_col: str = "text", rules: list[str] | None = None
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *[a for a, _ in added]])
 
     return df.mapInArrow(judge, schema)
+
+
+def oracle() -> str:
+    """The measures and verdicts over `documents` in DuckDB's SQL, by whole windows of words; all rules, as their order changes none."""
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+m AS (SELECT r, doc_id, t, ws, ls, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines FROM w),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM (SELECT r, i, ws[i:i + 4] AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM m WHERE len(ws) > 4))),
+p AS (SELECT r, count(DISTINCT i + o)::BIGINT AS n_repeat_words FROM g, (SELECT unnest(range(0, 5)) AS o) WHERE n > 1 GROUP BY r),
+b AS (SELECT m.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM m LEFT JOIN p USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 4 * len(ls) OR word_chars NOT BETWEEN 2 * n_words AND 15 * n_words OR 10 * length(regexp_replace(t, '[^!]', '', 'g')) > 3 * n_words
+    OR 2 * len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) > n_words OR 10 * length(regexp_replace(t, '[^\p{L}]', '', 'g')) < 4 * word_chars) AS kept FROM b"""

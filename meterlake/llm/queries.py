@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_hypergeometric_shards, op2_line_windows, op3_telephony, op4_chat_round_trip, op5_golay_simhash, op6_bloom_language, op7_balanced_packing, op8_rank_array_bpe, op9_quality_cascade, op10_maxent)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_windows": line_dedup.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_line_windows": line_dedup.oracle(), "op9_quality_cascade": quality.oracle()}
