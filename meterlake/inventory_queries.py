@@ -620,3 +620,50 @@ def _(spark, d):
     h = F.col("c_custkey") % 24
     busy = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), h.alias("a"), (h + F.col("c_custkey") % 3 + 1).alias("b"))
     return busy.where((F.col("a") < 12) & (F.col("b") > 6)).select("user_id")
+
+
+@query("src16_plain_transcripts", "SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE role <> 'system' AND NOT regexp_matches(text, '(^|\\n)(user|A):|(^|\\n)\\s*\\[(Tool|Thinking|tool)') AND trim(text) <> ''")
+def _(spark, d):
+    """Conversations written as plain text, a tool's call and result after each turn, and read back."""
+    c = table(spark, d, "conversations").where("role <> 'system'").where(~F.rlike("text", F.lit(r"(^|\n)(user|A):|(^|\n)\s*\[(Tool|Thinking|tool)"))).where("trim(text) <> ''")
+    mark = F.when(F.col("role") == "user", "user: ").otherwise("A: ")
+    text = F.concat(mark, F.col("text"), F.lit("\n[Tool call] mcp__docs__find(x)\n[Tool result] hidden"))
+    files = c.groupBy(F.col("conv_id").cast("string").alias("file")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", text.alias("x")))), lambda t: t["x"]), "\n").alias("value"))
+    return logs.plain_turns(files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))).select(F.col("file").cast("long").alias("session"), "turn", "role", "text")
+
+
+_JOBS = """j AS (SELECT o_orderkey AS id, date_trunc('day', o_orderdate) AS a, date_trunc('day', o_orderdate) + INTERVAL 1 DAY AS b, CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'pending' END AS state, TIMESTAMP '2024-01-01 12:00' - to_minutes(o_orderkey % 10) AS u FROM orders),
+e AS (SELECT *, b <= TIMESTAMP '1997-01-01' AND dayofmonth(a) <> 5 AS ready FROM j WHERE state = 'pending' OR (state = 'running' AND u < TIMESTAMP '2024-01-01 11:55'))"""
+
+
+def day_jobs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Jobs of a day each, and a dirty bucket on the fifth of every month."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    day = F.date_trunc("day", F.col("o_orderdate").cast("timestamp"))
+    state = F.when(k % 4 == 1, "running").when(k % 4 == 2, "done").otherwise("pending")
+    at = F.lit("2024-01-01 12:00").cast("timestamp")
+    rows = o.select(k.alias("id"), day.alias("source_from"), (day + F.make_dt_interval(F.lit(1))).alias("source_to"), state.alias("state"), (at - F.make_dt_interval(mins=(k % 10).cast("int"))).alias("updated_at"), F.lit(0).alias("created_at"), (k % 3).alias("generation"))
+    return rows, rows.select((F.col("source_from") + F.make_dt_interval(hours=F.lit(7))).alias("bucket")).where("dayofmonth(bucket) = 5").distinct()
+
+
+_CLOCK, _MARK = datetime(2024, 1, 1, 12, tzinfo=UTC), datetime(1997, 1, 1, tzinfo=UTC)
+
+
+@query("str8_job_claim", f"WITH {_JOBS} SELECT id FROM e WHERE ready ORDER BY id LIMIT 50")
+def _(spark, d):
+    rows, dirty = day_jobs(spark, d)
+    return jobs.claimed(rows, dirty, _MARK, _CLOCK, 50).where("claimed").select("id")
+
+
+@query("str8_job_waiting", f"WITH {_JOBS} SELECT count(*) FILTER (WHERE ready) AS eligible, count(*) FILTER (WHERE NOT ready) AS waiting FROM e")
+def _(spark, d):
+    rows, dirty = day_jobs(spark, d)
+    return jobs.waiting_counts(rows, dirty, _MARK, _CLOCK)
+
+
+@query("str8_job_completion", f"WITH {_JOBS} SELECT id, CASE WHEN state = 'running' AND id % 5 = 0 THEN 'pending' WHEN state = 'running' AND id % 5 <> 1 AND b <= TIMESTAMP '1997-01-01' AND dayofmonth(a) <> 5 THEN 'done' ELSE state END AS state FROM j")
+def _(spark, d):
+    """Every fifth job failed, and every fifth was invalidated meanwhile."""
+    rows, dirty = day_jobs(spark, d)
+    results = rows.select("id", F.when(F.col("id") % 5 == 1, -1).otherwise(F.col("generation")).alias("generation"), (F.col("id") % 5 != 0).alias("ok"))
+    return jobs.completed(rows, results, dirty, _MARK, _CLOCK).select("id", "state")

@@ -144,3 +144,46 @@ def layer(mode: str, rollup: Cutover, zones: Cutover) -> str:
     if mode == "raw" or (mode == "auto" and rollup.state != "active"):
         return "raw"
     return "zones" if zones.state == "active" else "rollup"
+
+
+#: A running job that hasn't been heard of for so many seconds may be claimed again.
+ABANDONED = 5 * 60
+
+
+def with_readiness(jobs: DataFrame, dirty: DataFrame, watermark: datetime) -> DataFrame:
+    """Jobs (id, source_from, source_to) with `ready`: all their 15-minute buckets are below the watermark and none is dirty
+    (column bucket).  A job is expanded to its buckets, 96 or so a day, so the dirty ones meet them by an equal key."""
+    step = F.make_dt_interval(mins=F.lit(15))
+    within = jobs.select("id", F.explode(F.sequence("source_from", F.col("source_to") - step, step)).alias("bucket"))
+    held = within.join(dirty.select("bucket").distinct(), "bucket", "left_semi").select("id").distinct().withColumn("held", F.lit(True))
+    below = F.coalesce(F.col("source_to") <= F.lit(watermark), F.lit(False))
+    return jobs.join(held, "id", "left").withColumn("ready", below & F.col("held").isNull()).drop("held")
+
+
+def _waiting(now: datetime):
+    lost = (F.col("state") == "running") & (F.col("updated_at") < F.lit(now - timedelta(seconds=ABANDONED)))
+    return (F.col("state") == "pending") | lost
+
+
+def claimed(jobs: DataFrame, dirty: DataFrame, watermark: datetime, now: datetime, limit: int) -> DataFrame:
+    """All jobs after a claim by the one writer: the oldest that wait and are ready are running as of now, `claimed` marks them."""
+    oldest = with_readiness(jobs, dirty, watermark).where(F.col("ready") & _waiting(now)).orderBy("created_at", "id").limit(limit)
+    met = jobs.join(F.broadcast(oldest.select("id", F.lit(True).alias("claimed"))), "id", "left").withColumn("claimed", F.coalesce("claimed", F.lit(False)))
+    return met.withColumn("state", F.when(F.col("claimed"), "running").otherwise(F.col("state"))).withColumn("updated_at", F.when(F.col("claimed"), F.lit(now)).otherwise(F.col("updated_at")))
+
+
+def waiting_counts(jobs: DataFrame, dirty: DataFrame, watermark: datetime, now: datetime) -> DataFrame:
+    """How many jobs could be claimed, and how many wait for the buckets below them."""
+    w = with_readiness(jobs, dirty, watermark).where(_waiting(now))
+    return w.agg(F.count_if("ready").alias("eligible"), F.count_if(~F.col("ready")).alias("waiting"))
+
+
+def completed(jobs: DataFrame, results: DataFrame, dirty: DataFrame, watermark: datetime, now: datetime) -> DataFrame:
+    """All jobs after results (id, generation, ok): a running job of that generation is done if it is still ready, and
+    pending again if it failed; a job that was invalidated meanwhile, or isn't ready any more, stays as it is."""
+    r = results.select("id", F.col("generation").alias("r_generation"), "ok")
+    met = with_readiness(jobs, dirty, watermark).join(r, "id", "left")
+    mine = (F.col("state") == "running") & (F.col("generation") == F.col("r_generation"))
+    state = F.when(mine & F.col("ok") & F.col("ready"), "done").when(mine & ~F.col("ok"), "pending").otherwise(F.col("state"))
+    moved = F.coalesce(mine & ((F.col("ok") & F.col("ready")) | ~F.col("ok")), F.lit(False))
+    return met.withColumn("updated_at", F.when(moved, F.lit(now)).otherwise(F.col("updated_at"))).withColumn("state", state).select(*jobs.columns)

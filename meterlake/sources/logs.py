@@ -241,3 +241,39 @@ def unsent(files: DataFrame, cursors: DataFrame) -> DataFrame:
 
 def prefix_hash(lines: Column, n: Column) -> Column:
     return F.sha2(F.array_join(F.slice(lines, F.lit(1), n), "\n"), 256)
+
+
+#: Lines of plain transcripts that start a turn, and lines that are not part of a text.
+TURN_MARK = r"^(user|A):\s*"
+ASIDE_MARK = r"^\s*\[(?:Tool call|Tool result|Thinking|tool)\]"
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """Lines with the number of the turn they are in and its role, null before the first."""
+    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.nullif(F.regexp_extract("value", TURN_MARK, 1), F.lit(""))
+    role = F.when(mark == "user", "user").when(mark == "A", "assistant")
+    return lines.select("file", "line", "value", F.count(role).over(w).alias("turn"), F.last(role, True).over(w).alias("role"), mark.isNotNull().alias("begins"))
+
+
+def plain_turns(lines: DataFrame) -> DataFrame:
+    """Turns of plain-text transcripts (file, line, value): text after a mark up to the next, without tool lines; turns
+    without text go.  turn counts the marks of a file from 1."""
+    x = _marked(lines).where(F.col("role").isNotNull() & (F.col("begins") | ~F.rlike("value", F.lit(ASIDE_MARK))))
+    said = F.when(F.col("begins"), F.regexp_replace("value", TURN_MARK, "")).otherwise(F.col("value"))
+    turns = x.groupBy("file", "turn", "role").agg(F.sort_array(F.collect_list(F.struct("line", said.alias("said")))).alias("said"))
+    return turns.select("file", "turn", "role", F.btrim(F.array_join("said.said", "\n"), F.lit(" \n\r\t")).alias("text")).where("text <> ''")
+
+
+def tool_key(name: Column) -> Column:
+    """server.tool of a call to a server's tool, null of another call."""
+    rest = F.regexp_extract(name, "^mcp__(.+)$", 1)
+    server, tool = F.substring_index(rest, "__", 1), F.regexp_replace(rest, "^.*?__", "")
+    return F.when(rest.contains("__") & (server != "") & (tool != ""), F.concat_ws(".", server, F.regexp_replace(tool, "__", ".")))
+
+
+def plain_tools(lines: DataFrame) -> DataFrame:
+    """Calls of servers' tools in the assistant's turns of plain-text transcripts, in order from 0."""
+    key = tool_key(F.regexp_extract("value", r"^\s*\[Tool call\]\s*([^\s(]+)", 1))
+    calls = _marked(lines).where("role = 'assistant' AND NOT begins").select("file", "line", key.alias("item_key")).where("item_key IS NOT NULL")
+    return calls.withColumn("call", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)

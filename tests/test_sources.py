@@ -115,3 +115,10 @@ def test_previous_periods():
     now, before = timeutil.insight_pair("month", "UTC", at(3, 30, 12))
     assert now.start == at(3, 1) and before == timeutil.Period(at(2, 1), at(3, 1))  # a shorter month ends at its end
     assert timeutil.anchor(at(3, 30, 12, 19, 59)) == at(3, 30, 12, 10)
+
+
+def test_plain_transcripts(spark):
+    text = "lost\nuser: a\nb\nA: c\n[Tool call] mcp__docs__search__all(q)\n  [Tool result] hidden\nd\n[Tool call] other\nuser:\nA: "
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(text.split("\n"))], "file string, line int, value string")
+    assert sorted((r.turn, r.role, r.text) for r in logs.plain_turns(lines).collect()) == [(1, "user", "a\nb"), (2, "assistant", "c\nd")]
+    assert [(r.call, r.item_key) for r in logs.plain_tools(lines).collect()] == [(0, "docs.search.all")]
