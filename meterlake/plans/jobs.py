@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 from math import ceil, floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeutil
@@ -187,3 +187,29 @@ def completed(jobs: DataFrame, results: DataFrame, dirty: DataFrame, watermark:
     state = F.when(mine & F.col("ok") & F.col("ready"), "done").when(mine & ~F.col("ok"), "pending").otherwise(F.col("state"))
     moved = F.coalesce(mine & ((F.col("ok") & F.col("ready")) | ~F.col("ok")), F.lit(False))
     return met.withColumn("updated_at", F.when(moved, F.lit(now)).otherwise(F.col("updated_at"))).withColumn("state", state).select(*jobs.columns)
+
+
+def first_tasks(candidates: DataFrame, now: datetime, by: str) -> DataFrame:
+    """`next_task` of every coordinator at once: candidates (by, task, due, next_attempt, last_started, eligible_since)."""
+    since = lambda c: F.unix_micros(F.lit(now)) - F.unix_micros(c)
+    wait = F.when(F.col("task") == "pricing_repair", REPAIR_CADENCE).otherwise(CADENCE) * 1_000_000
+    rested = F.col("last_started").isNull() | (since("last_started") >= wait)
+    ready = F.col("due") & rested & (F.col("next_attempt").isNull() | (F.col("next_attempt") <= F.lit(now)))
+    starved = F.coalesce(since("eligible_since") >= STARVED * 1_000_000, F.lit(False))
+    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("task"))
+    urgency = F.struct((F.col("task") != "validation").alias("a"), (~starved).alias("b"), F.coalesce(F.unix_micros("last_started"), F.lit(-(1 << 62))).alias("c"), place.alias("d"))
+    return candidates.where(ready).groupBy(by).agg(F.min_by("task", urgency).alias("task"))
+
+
+def limit_after(limit: Column, processed: Column, duration_ms: Column, failed: Column, least: int, most: int) -> Column:
+    """`next_limit` as an expression."""
+    at = F.least(F.lit(most), F.greatest(F.lit(least), limit))
+    less = F.greatest(F.lit(least), F.floor(at / 2))
+    more = F.least(F.lit(most), F.ceil(at * 1.25))
+    return F.when(failed | (duration_ms >= SLOW_MS), less).when((processed >= at) & (duration_ms <= FAST_MS), more).otherwise(at).cast("int")
+
+
+def read_layer(mode: Column, rollup: Column, zones: Column) -> Column:
+    """`layer` as an expression over the layers' states."""
+    raw = (mode == "raw") | ((mode == "auto") & (rollup != "active"))
+    return F.when(raw, "raw").when(zones == "active", "zones").otherwise("rollup")

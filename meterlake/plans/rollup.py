@@ -95,3 +95,19 @@ def ready_prefix(buckets: DataFrame, covered: DataFrame, dirty: DataFrame) -> Da
     b = buckets.join(covered.select("ts", F.lit(True).alias("c")).distinct(), "ts", "left").join(dirty.select("ts", F.lit(True).alias("d")).distinct(), "ts", "left")
     ok = F.col("c").isNotNull() & F.col("d").isNull()
     return b.withColumn("ready", F.bool_and(ok).over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))).where("ready").select("ts")
+
+
+def advanced(watermark: datetime, committed: DataFrame, now: datetime, days: int = 400) -> DataFrame:
+    """One row: the watermark after buckets (column bucket) were committed.  It moves over those that follow on without a
+    gap, and is never more than `days` behind; of so many days the buckets are numbered in one task, 96 a day."""
+    at = max(watermark, now - timedelta(days=days))
+    at -= timedelta(seconds=at.timestamp() % WIDTH.total_seconds())
+    ahead = committed.where((F.col("bucket") >= F.lit(at)) & (F.col("bucket") <= F.lit(now))).select("bucket").distinct()
+    place = F.floor((F.unix_seconds("bucket") - F.lit(int(at.timestamp()))) / int(WIDTH.total_seconds()))
+    joined = ahead.withColumn("n", F.row_number().over(Window.orderBy("bucket")) - 1).where(F.col("n") == place)
+    return joined.agg((F.lit(at) + F.make_dt_interval(mins=(F.count(F.lit(1)) * 15).cast("int"))).alias("watermark"))
+
+
+def final(rows: DataFrame, now: datetime, delay: timedelta = timedelta(minutes=30)) -> DataFrame:
+    """Rows whose bucket ended so long ago that it may be compacted."""
+    return rows.where(X.bucket_start("ts") + F.expr("interval 15 minutes") <= F.lit(now - delay))

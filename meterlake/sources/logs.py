@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,10 +73,31 @@ def wire_events(lines: DataFrame, column: str = "value") -> DataFrame:
     return e.withColumn("ts", t).withColumn("error", bad)
 
 
-def price_list(spark: SparkSession, text: DataFrame, column: str = "value") -> DataFrame:
+def price_list(spark: SparkSession, text: DataFrame, column: str = "value", *more: Column) -> DataFrame:
     """A JSON map of prices per token to a table of prices per million; entries without input or output price are passed over."""
-    m = text.select(F.explode(F.from_json(column, "map<string,struct<input_cost_per_token:double,output_cost_per_token:double,cache_read_input_token_cost:double>>")).alias("model_id", "p"))
-    return m.where("p.input_cost_per_token IS NOT NULL AND p.output_cost_per_token IS NOT NULL").select("model_id", *[F.round(F.col(f"p.{a}") * 1e6, 8).alias(b) for a, b in (("input_cost_per_token", "input"), ("output_cost_per_token", "output"), ("cache_read_input_token_cost", "cache_read"))])
+    m = text.select(*more, F.explode(F.from_json(column, "map<string,struct<input_cost_per_token:double,output_cost_per_token:double,cache_read_input_token_cost:double>>")).alias("model_id", "p"))
+    kept = [c for c in m.columns if c not in ("model_id", "p")]
+    return m.where("p.input_cost_per_token IS NOT NULL AND p.output_cost_per_token IS NOT NULL").select("model_id", *kept, *[F.round(F.col(f"p.{a}") * 1e6, 8).alias(b) for a, b in (("input_cost_per_token", "input"), ("output_cost_per_token", "output"), ("cache_read_input_token_cost", "cache_read"))])
+
+
+def price_snapshots(files: DataFrame, column: str = "value") -> DataFrame:
+    """Price files with the time of their commit (committed_at) to a row a model and file; a file is read by its own."""
+    return price_list(files.sparkSession, files, column, F.col("committed_at").alias("observed_at"))
+
+
+def discovered(files: DataFrame, root: str, extensions: tuple[str, ...], depth: int = 12) -> DataFrame:
+    """Files (column file) below a root that have one of the extensions and are at most so many folders deep."""
+    start = f"{root.rstrip('/')}/"
+    below = F.startswith(F.col("file"), F.lit(start)) & (F.size(F.split(F.substr("file", F.lit(len(start) + 1)), "/")) - 1 <= depth)
+    named = F.lit(False)
+    for x in extensions:
+        named |= F.endswith(F.col("file"), F.lit(x))
+    return files.where(below & named)
+
+
+def is_chat_file(column: str, root: str) -> Column:
+    """Exactly root/projects/<one folder>/chats/<name>.jsonl."""
+    return F.rlike(F.col(column), F.lit("^" + re.escape(root.rstrip("/")) + r"/projects/[^/]+/chats/[^/]+\.jsonl$"))
 
 
 def transcript_lines(spark: SparkSession, path: str) -> DataFrame:

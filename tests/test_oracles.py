@@ -6,6 +6,7 @@ from compare import both, connection
 import meterlake.control_queries
 import meterlake.inventory_queries
 import meterlake.queries as Q
+import meterlake.state_queries
 
 SF = "/root/testdata/sf0.01"
 
