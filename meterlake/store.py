@@ -7,7 +7,9 @@ scan without replacements needs no shuffle, and one with few needs a broadcast a
 
 from __future__ import annotations
 
+import time
 import uuid
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +64,11 @@ class UsageStore:
         again = self.table("replacements")
         version = 1 if again is None else again.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
         self._append(rows.select(*self.columns, F.lit(version).cast("long").alias("version"), F.lit(gone).alias("gone")), "replacements")
-        self._append(ingest.dirty_buckets(rows), "dirty")
+        self._mark(rows)
+
+    def _mark(self, rows: DataFrame) -> None:
+        """The buckets of changed rows are dirty until they are compacted after this."""
+        self._append(ingest.dirty_buckets(rows).withColumn("mark", F.lit(time.time_ns())), "dirty")
 
     def _scan(self, scope: Scope) -> DataFrame:
         return usage.scan(self.events(), scope)
@@ -98,7 +104,7 @@ class UsageStore:
         else:
             inserted = new.count()
         self._append(new.withColumn("event_month", F.date_format("ts", "yyyy-MM")), "usage_events", "event_month")
-        self._append(ingest.dirty_buckets(new), "dirty")
+        self._mark(new)
         return {"inserted": inserted, "deduped": batch.count() - inserted}
 
     def recompute_daily(self, days: list[str]) -> None:
@@ -152,19 +158,50 @@ class UsageStore:
             self._replace(rows, gone=True)
         return {"reconciled": n, "affected_buckets": ingest.dirty_buckets(rows)}
 
+    def pending_buckets(self) -> DataFrame:
+        """Buckets that changed and weren't compacted since."""
+        dirty, done = self.table("dirty"), self.table("compacted")
+        if dirty is None:
+            return self.spark.createDataFrame([], "bucket timestamp")
+        last = dirty.groupBy("bucket").agg(F.max("mark").alias("mark"))
+        if done is None:
+            return last.select("bucket")
+        met = last.join(done.groupBy("bucket").agg(F.max("mark").alias("done")), "bucket", "left")
+        return met.where(F.col("done").isNull() | (F.col("done") <= F.col("mark"))).select("bucket")
+
+    def compact_buckets(self, buckets: list[datetime]) -> None:
+        """15-minute rows of these buckets, a bounded list, which replace the buckets' old rows when read."""
+        if not buckets:
+            return
+        width = F.expr("interval 15 minutes")
+        rows = self.events().where((F.col("ts") >= F.lit(min(buckets))) & (F.col("ts") < F.lit(max(buckets)) + width))
+        self._compact(rows.where(X.bucket_start("ts").isin(*[F.lit(b) for b in buckets])), self.spark.createDataFrame([(b,) for b in buckets], "bucket timestamp"))
+
     def compact(self, start: str, end: str) -> None:
-        """15-minute rows of a range under a new version, which replaces the buckets' old rows when read."""
-        had = self.table("quarter_hours")
-        version = 1 if had is None else had.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
-        self._append(rollup.compact(self._scan(Scope(start, end)), version), "quarter_hours")
+        """15-minute rows of all changed buckets of a range that begins and ends on bucket edges."""
+        at = lambda x: F.lit(x).cast("timestamp")
+        buckets = self._staged(self.pending_buckets().where((F.col("bucket") >= at(start)) & (F.col("bucket") < at(end))))
+        rows = self._scan(Scope(start, end)).withColumn("bucket", X.bucket_start("ts")).join(buckets, "bucket", "left_semi")
+        self._compact(rows, buckets)
+
+    def _compact(self, rows: DataFrame, buckets: DataFrame) -> None:
+        """Rows first and then the note of their version: without it they aren't read, so a job that was lost does no harm."""
+        version = time.time_ns()
+        self._append(rollup.compact(rows, version), "quarter_hours")
+        self._append(buckets.select("bucket", F.lit(version).alias("mark")), "compacted")
+
+    def quarter_hours(self) -> DataFrame:
+        """Of each bucket the rows of its last compaction, none if that found no events."""
+        rows, done = self.table("quarter_hours"), self.table("compacted")
+        if rows is None or done is None:
+            return rollup.compact(self.events().where("false"))
+        last = done.groupBy(F.col("bucket").alias("ts")).agg(F.max("mark").alias("version"))
+        return rows.join(last, ["ts", "version"], "left_semi").select(*rows.columns)
 
     def reconcile_rollups(self, start: str, end: str) -> DataFrame:
         """Buckets whose rollup has all events but other statuses or costs."""
-        had, period = self.table("quarter_hours"), Scope(start, end)
-        if had is None:
-            return self.spark.createDataFrame([], "bucket timestamp")
-        none = self.spark.createDataFrame([], "bucket timestamp")
-        return repair.stale_buckets(self._scan(period), usage.scan(rollup.collapse(had), period), none)
+        period, none = Scope(start, end), self.spark.createDataFrame([], "bucket timestamp")
+        return repair.stale_buckets(self._scan(period), usage.scan(self.quarter_hours(), period), none)
 
     # Questions
 

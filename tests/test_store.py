@@ -119,3 +119,30 @@ def test_watermark_and_outbox(spark):
     same = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "a"), (3, "a"), (3, "a")], "batch_id int, dedup_key string")
     t = {r.batch_id: r.token for r in outbox.tokens(same).collect()}
     assert t[1] == t[2] != t[3]
+
+
+def test_maintenance(spark, store):
+    """Ticks bring the rollup up to date and active; a change makes buckets dirty until the next ticks; the state lasts."""
+    from meterlake.plans.maintenance import Maintenance
+
+    e = T.usage_events(spark, SF).where("ts >= '2024-01-15' AND ts < '2024-01-15 06:00'")
+    start, now = datetime(2024, 1, 15, tzinfo=UTC), datetime(2024, 1, 15, 6, 30, tzinfo=UTC)
+    store.save_usage_events(e)
+    m, ran = Maintenance(store, start, 16), []
+    for n in range(5):
+        ran.append(m.tick(now + timedelta(minutes=2 * n)))
+        m = Maintenance(store, start, 16)
+    assert ran[:4] == ["pricing_repair", "quarter_hours", "pricing_repair", "quarter_hours"] and ran[4] == "validation"
+    assert m.cutover.state == "observing" and m.watermark >= datetime(2024, 1, 15, 6, tzinfo=UTC)
+    m.cutover = jobs.Cutover("active", 3600, 0, now, now)
+    end = datetime(2024, 1, 15, 6, tzinfo=UTC)
+    same = lambda: rows(usage.overview(m.source(start, end))) == rows(usage.overview(m.source(start, end, "raw")))
+    assert same() and m.dirty(9) == []
+    one = store.events().orderBy("ts").limit(1)
+    user, provider = one.first().user_id, one.first().provider_key
+    assert store.reconcile_usage(user, provider, one)["reconciled"] == 1
+    assert len(m.dirty(9)) == 1 and same()
+    m.quarter_hours(now, m.dirty(9))
+    assert m.dirty(9) == [] and same()
+    got = store.quarter_hours().agg(F.sum("event_count")).first()[0]
+    assert got == e.count() - 1
