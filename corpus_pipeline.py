@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.llm import langid, line_dedup, packing, quality, simhash
+from meterlake.llm import langid, line_dedup, minhash, packing, quality
 from meterlake.llm.common import documents, stored
 from meterlake.llm.queries import tokenizer
 
@@ -37,8 +37,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs).select(*docs.columns)
+    """One document of each group of near-duplicates stays: texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 at least are linked.  The stage keeps its name; fingerprints at two bits don't reach so far."""
+    return minhash.one_of_each(docs, shingle=5, similarity=0.8).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No SQL expresses the fingerprints, the language filter or the tokenizer; tests/llm hold run() against brute force.
+#: No SQL expresses the shingles, the language filter or the tokenizer; tests/llm hold run() against brute force.
 ORACLE_SQL = None
 
 
