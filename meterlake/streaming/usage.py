@@ -1,4 +1,4 @@
-"""Streaming ingest: wire events from files, idempotent by key within a watermark, into raw rows and late-safe buckets."""
+"""Streaming ingest: wire events from files, idempotent by key however late, into raw rows and late-safe buckets."""
 
 from __future__ import annotations
 
@@ -10,24 +10,25 @@ from ..functions import exprs as X
 from ..sources.logs import wire_events
 
 
-def wire_stream(spark: SparkSession, path: str, late: str = "30 minutes") -> DataFrame:
-    """Sound events; a key said again within the watermark is passed over."""
+def wire_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Sound events, late ones and repeated keys included: raw_sink passes over keys that were said before."""
     lines = spark.readStream.schema("value string").text(path)
-    sound = wire_events(lines).where("error IS NULL")
-    return sound.withWatermark("ts", late).dropDuplicatesWithinWatermark(["dedupKey"])
+    return wire_events(lines).where("error IS NULL")
 
 
-def quarter_hours(stream: DataFrame) -> DataFrame:
-    """15-minute windows that are closed by the watermark (append mode)."""
+def quarter_hours(stream: DataFrame, late: str = "30 minutes") -> DataFrame:
+    """15-minute windows that are closed by the watermark (append mode); a key said again within it counts once."""
+    stream = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["dedupKey"])
     return stream.groupBy(F.window("ts", "15 minutes"), "providerKey").agg(F.count(F.lit(1)).alias("events"), F.sum("inputTokens").alias("input_tokens")).select(F.col("window.start").alias("bucket"), "providerKey", "events", "input_tokens")
 
 
 def raw_sink(stream: DataFrame, table: str, dirty: str, checkpoint: str) -> StreamingQuery:
-    """Appends keys that the table doesn't have, and the buckets that each batch touched.  A batch is written under its
-    number, so that one that is run again replaces itself."""
+    """Appends keys that the table doesn't have, one event of each, and the buckets that each batch touched.  A batch is
+    written under its number, so that one that is run again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.dropDuplicates(["dedupKey"])
         try:
             had = spark.read.parquet(table).where(F.col("batch") != number).select("dedupKey")
             batch = batch.join(had, "dedupKey", "left_anti")

@@ -84,6 +84,17 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "dirty")).select("bucket").distinct().count() == 2
 
 
+def test_stream_keeps_events_hours_late(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    run = lambda: stream.raw_sink(stream.wire_stream(spark, str(source)), str(tmp_path / "raw"), str(tmp_path / "dirty"), str(tmp_path / "c")).awaitTermination(60)
+    for k, lines in enumerate([[wire("a", ts="2024-01-01T12:00:00Z")], [wire("b", ts="2024-01-01T12:01:00Z")], [wire("late", ts="2024-01-01T06:00:00Z"), wire("late", ts="2024-01-01T06:00:00Z"), wire("a", ts="2024-01-01T12:00:00Z")]]):
+        (source / f"{k}.json").write_text("\n".join(lines))
+        run()
+    assert sorted(r.dedupKey for r in spark.read.parquet(str(tmp_path / "raw")).collect()) == ["a", "b", "late"]
+    assert {r.bucket.hour for r in spark.read.parquet(str(tmp_path / "dirty")).collect()} == {6, 12}
+
+
 def test_wire_bodies(spark):
     from meterlake.sources import wire as W
 
