@@ -1,7 +1,7 @@
 """Cost-balanced packing of token sequences.
 
-A document's full stretches of `capacity` tokens are sequences of their own.  What remains of each document is packed in
-blocks of bounded size: a block opens as many sequences as its tokens need, and takes its pieces in descending order of
+A document's full stretches of `capacity` tokens are sequences of their own, as they are in the order of cost: no piece
+costs more, so they come first, and each fills the first empty sequence.  What remains of each document is packed in blocks of bounded size: a block opens as many sequences as its tokens need, and takes its pieces in descending order of
 estimated cost (linear plus quadratic in length, as attention is), each to the sequence of lowest cost that has room.
 Pieces for which none has room are cut over the room that is left, so a block pads less than one sequence.
 """
@@ -11,40 +11,33 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_symbols
-from .common import arrow_batches, quoted, stored
+from .common import arrow_batches, fresh, quoted, stored
+from .pieces import PieceNumbers, character_classes, flat
 
 CAPACITY, BLOCK = 2048, 4096
 #: Estimated cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Words whose ids a worker remembers before it starts anew, with the last ones at hand.
-REMEMBERED = 300_000
-
-
-#: The pattern of byte-level pre-tokenizers: a fixed value of the format.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+RESULTS = "start length ids_crc32 doc_tokens sequence_id offset padded_to ids".split()
 
 
 class WordIds:
-    """Ids of whole texts by a byte-level BPE tokenizer, remembered by word and by the pattern's pieces.
+    """Ids of whole texts by a byte-level BPE tokenizer, with ids remembered for the pieces of its pattern.
 
-    The tokenizer's pattern lets a space only begin a piece, so a text without double spaces may be cut before every
-    space and its parts encoded on their own; any other text is encoded whole, as is a part with a special token.  A
-    tokenizer of another kind encodes everything whole.
+    Texts with a special token, and all texts of a tokenizer of another kind, are encoded whole by the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table: np.ndarray | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,16 +49,13 @@ class WordIds:
         spec = json.loads(spec)
         pre = spec.get("pre_tokenizer") or {}
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.odd = [x for x in self.special if "<" not in x]
-        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None and not any(" " in x for x in self.special)
-        self.ranked = self._ranked(spec["model"]) if self.by_word else None
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("normalizer") is None
+        ranked = self._ranked(spec["model"]) if by_piece else None
+        self.pieces = PieceNumbers(ranked or self._by_library, character_classes() if table is None else table, True, False) if by_piece else None
 
     @staticmethod
     def _ranked(model: dict):
-        """A faster encoder of single pieces with the same ids: only if an id is the rank of its merge."""
+        """A faster encoder of pieces with the same ids: only if an id is the rank of its merge."""
         byte = {c: i for i, c in enumerate(byte_symbols())}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
@@ -74,53 +64,38 @@ class WordIds:
         import tiktoken
 
         ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if i < 256 + len(merges)}
-        return tiktoken.Encoding("ranked", pat_str=PATTERN.pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, parts: dict[str, str]) -> dict[str, bytes]:
-        """Ids of parts, given by name, through the ids of their pieces."""
-        out, cut = {}, {}
-        for name, part in parts.items():
-            if "<" in part and any(x in part for x in self.special) or self.odd and any(x in part for x in self.odd):
-                out[name] = self.whole(part)
-            else:
-                cut[name] = PATTERN.findall(part)
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        pieces = self.pieces
-        new = list({p for c in cut.values() for p in c} - pieces.keys())
-        if self.ranked:
-            one = self.ranked._encode_single_piece
-            pieces.update((p, array("I", one(p)).tobytes()) for p in new)
-        else:
-            for i in range(0, len(new), 1000):
-                for p, e in zip(new[i : i + 1000], self.tokenizer.encode_batch_fast(new[i : i + 1000], add_special_tokens=False)):
-                    pieces[p] = np.array(e.ids, "<u4").tobytes()
-        out.update((name, b"".join(map(pieces.__getitem__, c))) for name, c in cut.items())
+        one = tiktoken.Encoding("ranked", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary  # the whole is one piece
+        return lambda pieces: [one(p.decode()) for p in pieces]
+
+    def _by_library(self, pieces: list[bytes]) -> list[list[int]]:
+        out = []
+        for i in range(0, len(pieces), 1000):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[i : i + 1000]], add_special_tokens=False)]
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Little-endian unsigned ids, one array per text."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        split = [t.split(" ") if self.by_word and "  " not in t else None for t in texts]
-        known, older = self.known, self.older
-        new = {w for s in split if s for w in s[1:]} - known.keys()
-        known.update((w, older[w]) for w in new & older.keys())
-        known.update(self.learn({w: " " + w for w in new - older.keys()}))
-        first = self.learn({s[0]: s[0] for s in split if s})
-        return [np.frombuffer(self.whole(t) if s is None else first[s[0]] + b"".join(map(known.__getitem__, s[1:])), "<u4") for t, s in zip(texts, split)]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (nulls are empty), one after another, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        whole = np.full(len(texts), self.pieces is None)
+        for x in self.special:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.pieces.of(*flat(texts))
+        aside = {int(i): np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(whole)}
+        rest, counts = self.pieces.of(*flat(pc.if_else(pa.array(whole), "", texts))) if self.pieces else (np.zeros(0, np.uint32), np.zeros(len(texts), np.int64))
+        parts = np.split(rest, np.cumsum(counts)[:-1])
+        for i, ids in aside.items():
+            parts[i], counts[i] = ids, len(ids)
+        return np.concatenate(parts), counts
 
 
 _MADE: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, table: np.ndarray | None = None) -> WordIds:
     """One for each worker process."""
     if path not in _MADE:
-        _MADE[path] = WordIds(path)
+        _MADE[path] = WordIds(path, table)
     return _MADE[path]
 
 
@@ -162,32 +137,48 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     sequence_id, offset (longs), padded_to (long), and with_ids the ids as bytes.
 
     A null or empty text is its end token alone.  Repeated rows are packed each for itself; an empty table gives no
-    piece.  A sequence is padded to the capacity, except where its length is a power of two.  Blocks are dealt by a row
-    number in a stored table, so neither a repeated id nor a lost executor changes them.
+    piece.  A long text is encoded in stretches and gives as many pieces as it needs.  A sequence is padded to the
+    capacity, except where its length is a power of two.  Blocks are dealt by a row number in a stored table, so neither a
+    repeated id nor a lost executor changes them.  An id column with the name of a result has underscores put before it;
+    other columns are not used.
     """
     spark = df.sparkSession
-    arrow_batches(spark)
+    arrow_batches(spark, 4000, 4)
     kind = df.schema[id_col].dataType
-    pieces = T.StructType([T.StructField(id_col, kind)] + T._parse_datatype_string("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary").fields)
+    id_name = fresh([*RESULTS, "row", "block"], id_col)[0]
+    pieces = T.StructType([T.StructField(id_name, kind)] + T._parse_datatype_string("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary").fields)
+
+    classes = spark.sparkContext.broadcast(character_classes())  # a megabyte
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, part = 0, TaskContext.get().partitionId()
-        encoder = word_ids(tokenizer_path)
+        encoder = word_ids(tokenizer_path, classes.value)
         for batch in batches:
-            at, rows = [], []
-            for i, ids in enumerate(encoder.encode([x or "" for x in batch.column(1).to_pylist()])):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for start in range(0, len(ids), capacity):
-                    piece, whole = ids[start : start + capacity], start + capacity <= len(ids)
-                    data = piece.tobytes()
-                    at.append(i)
-                    rows.append((start, len(piece), zlib.crc32(data), len(ids), (1 << 62) | (part << 40) | made if whole else None, (data if with_ids else None) if whole else piece.astype("<u2" if piece.max() < 65536 else "<u4").tobytes()))
-                    made += whole
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            arrays = [pa.array(x, pa.int64()) for x in columns[:5]] + [pa.array(columns[5], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *arrays], pieces.names)
-
-    table = df.select(quoted(id_col), quoted(text_col)).mapInArrow(cut, pieces).withColumn("row", F.monotonically_increasing_id())
+            ids, counts = encoder.encode(batch.column(1))
+            ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+            counts = counts + 1
+            n = -(-counts // capacity)  # pieces of each text
+            at = np.repeat(np.arange(len(counts)), n)
+            start = (np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) * capacity
+            length = np.minimum(counts[at] - start, capacity)
+            whole = length == capacity
+            ends = np.cumsum(length)
+            data = memoryview(ids.view(np.uint8))
+            crc = np.zeros(len(at), np.int64)
+            for k in np.flatnonzero(whole):
+                crc[k] = zlib.crc32(data[4 * (ends[k] - capacity) : 4 * ends[k]])
+            sequence = (np.int64(1) << 62) | np.int64(part << 40) | (made + np.cumsum(whole) - whole)
+            made += int(whole.sum())
+            kept = np.ones(len(at), bool) if with_ids else ~whole
+            narrow = not with_ids and len(ids) and ids.max() < 65536
+            small = ids if with_ids else ids[np.repeat(kept, length)]
+            small = small.astype("<u2" if narrow else "<u4")
+            offsets = pa.array(np.concatenate(([0], np.cumsum(length * kept) * small.itemsize)).astype(np.int32))
+            binary = pa.Array.from_buffers(pa.binary(), len(at), [None, offsets.buffers()[1], pa.py_buffer(small)])
+            sequence = pa.array(sequence, mask=~whole)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(start), pa.array(length), pa.array(crc), pa.array(counts[at]), sequence, binary], pieces.names)
+
+    table = df.select(quoted(id_col).alias(id_name), quoted(text_col).alias("text")).mapInArrow(cut, pieces).withColumn("row", F.monotonically_increasing_id())
     table = stored(table, "pieces")
     rest = table.where("sequence_id IS NULL")
     blocks = max(1, -(-rest.count() // BLOCK))
@@ -210,7 +201,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         c = list(zip(*rows)) if rows else [[]] * 7
         take = pa.array(at, pa.int32())
         long = [pa.array(x, pa.int64()) for x in c[:6]]
-        return pa.table([block.column(id_col).take(take), *long[:3], block.column("doc_tokens").take(take), *long[3:], pa.array(c[6], pa.binary())], out_schema.names)
+        return pa.table([block.column(id_name).take(take), *long[:3], block.column("doc_tokens").take(take), *long[3:], pa.array(c[6], pa.binary())], out_schema.names)
 
     dealt = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     tails = dealt.groupBy("block").applyInArrow(fill, out_schema)
