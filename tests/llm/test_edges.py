@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from meterlake.llm import bpe, chat, langid, line_dedup, maxent, packing, quality, sharding, simhash, telephony
+from meterlake.llm import bpe, chat, langid, line_dedup, maxent, packing, pieces, quality, sharding, simhash, telephony
 from meterlake.llm import queries as Q
 
 LONG = "word %d and more text here\n" * 3
@@ -206,7 +207,7 @@ def test_packing(spark):
 
     t, e = Tokenizer.from_file(path), packing.WordIds(path)
     texts = ["a  b", "x <|endoftext|> y<|endoftext|>", " lead", "tail ", "a \n b\n\n c", "a\t b", "", " ", "it's 12½² Ünï ", "a \u00a0b \u2003 c"]
-    assert [x.tolist() for x in e.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert encodings(e, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_packed_by_cost():
@@ -222,7 +223,7 @@ def test_packed_by_cost():
     assert spread.std() / spread.mean() < 0.25
 
 
-def test_bpe(spark):
+def test_bpe(spark, monkeypatch):
     path = Q.tokenizer("word_bpe_49k.json")
     from tokenizers import Tokenizer
 
@@ -230,15 +231,54 @@ def test_bpe(spark):
     rng = random.Random(2)
     texts = [r.text or "" for r in table(spark).collect()] + ["a" * 3000, "ab" * 1000 + " " + "é" * 500, "<|startoftext|>x<|endoftext|>'LL", "don't WE'LL ½² ﬁ ǅ \u0085x\u2028y \u200b z"]
     texts += ["".join(rng.choices("abé'sS. \t日1½#\u0301\x1c", k=60)) for _ in range(200)]
-    for text in texts:
+    for text, got in zip(texts, encodings(b, texts)):
         ids = t.encode(text, add_special_tokens=False).ids
-        n, said, tokens = b.encode(text)
-        assert (n, said, tokens) == (len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)), text[:80]
-        assert b.decode(ids) == tokens
+        assert got == ids, text[:80]
+        assert b.decode(got) == t.decode(ids, skip_special_tokens=False)
     out = bpe.encoded(table(spark), path)
     assert out.count() == 10 and bpe.encoded(table(spark, []), path).count() == 0
-    parts = [*"abracadabraabracadabra"]
-    assert b.merged(parts) == b._merged_long(parts)
+    for n in (1, 2, 22, 126, 127, 128, 129, 130, 300):  # on both sides of the length that the array is for
+        for letters in ("ab", "abracdé", "etaoinshrdlu"):
+            parts = [b.symbols[x] for x in "".join(rng.choices(letters, k=n)).encode()]
+            monkeypatch.setattr(bpe, "SHORT", 10**9)
+            by_array = b.merged(parts)
+            monkeypatch.undo()
+            assert by_array == b._merged_long(parts) == b.merged(parts)
+
+
+def encodings(encoder, texts):
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_code_point(name):
+    """Ids equal the library's whatever Unicode tables Python follows."""
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer(name)
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    encoder = packing.WordIds(path) if name.startswith("byte") else bpe.WordBpe(path)
+    points = [chr(c) for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in (0xE0001, 0xE0100, 0xF0000, 0x10FFFD)]
+    texts = [f"a{c}b {c}1 {c}{c}'s e{c}\u0301" for c in points]
+    assert encodings(encoder, texts) == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_stretches_of_a_long_text(monkeypatch, name):
+    """However short the stretches that are cut together, the ids are those of the whole."""
+    path = Q.tokenizer(name)
+    encoder = packing.WordIds(path) if name.startswith("byte") else bpe.WordBpe(path)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abé'sre \t\n1#Ü ", k=rng.choice([0, 3, 50, 3000]))) for _ in range(200)] + ["x" * 5000, ""]
+    want = encodings(encoder, texts)
+    assert [encodings(encoder, [x])[0] for x in texts] == want
+    plain = pieces.slices
+    for limit in (7, 100, 1000):
+        monkeypatch.setattr(pieces, "slices", lambda d, e, limit=limit: plain(d, e, limit))
+        assert encodings(encoder, texts) == want
 
 
 def test_quality(spark):
