@@ -20,21 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, quoted
+from .common import arrow_batches, fresh, quoted
 
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 _NAMES = {v: k for k, v in ROLES.items()}
 OPEN, CLOSE = "### ", "\n</turn>\n"
-_CONTROL = re.compile(r"(\\*)(###|</turn>)")
+_CONTROL = re.compile(r"\\?(?:###|</turn>)")  # with one backslash at most, so that runs of them are read once
+RESULTS = ("n_turns", "formatted", "loss_spans")
 _ROLE = re.compile(r"([A-Za-z]+|=[^: \n]*): ")
 
 
 def escaped(text: str) -> str:
-    return _CONTROL.sub(r"\\\g<0>", text)
+    return _CONTROL.sub(r"\\\g<0>", text)  # it makes no difference before which of its backslashes
 
 
 def unescaped(text: str) -> str:
-    return _CONTROL.sub(lambda m: m[0][1:] if m[1] else m[0], text)
+    return _CONTROL.sub(lambda m: m[0].removeprefix("\\"), text)
 
 
 def role_name(role: str | None) -> str:
@@ -53,7 +54,7 @@ def parse(formatted: str) -> list[tuple[str, int, int]] | None:
             return None
         begin = m.end()
         for c in _CONTROL.finditer(formatted, begin):
-            if not c[1]:
+            if formatted[c.start()] != "\\":
                 break
         else:
             return None
@@ -88,9 +89,11 @@ def chat_format(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
 
     Turns are in order of turn, role and text, nulls first, so ties and repeated rows have one order; a null role or
     text is empty; a row with a null id is a conversation of its own; an empty table gives an empty table; other columns
-    are not used.  A conversation is one value of the result and is gathered as one.
+    are not used; an id column with the name of a result has underscores put before it.  A conversation is one value of
+    the result and is gathered as one; texts of any length and content are escaped and parsed in time linear in them.
     """
-    arrow_batches(df.sparkSession, 500)
+    arrow_batches(df.sparkSession)
+    name = fresh(RESULTS, id_col)[0]
     alone = F.when(quoted(id_col).isNull(), F.monotonically_increasing_id())
     turns = df.select(quoted(id_col).alias("id"), alone.alias("alone"), F.struct(quoted(turn_col).alias("turn"), quoted(role_col).alias("role"), quoted(text_col).alias("text")).alias("t"))
     whole = turns.groupBy("id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("id", "turns")
@@ -107,7 +110,7 @@ def chat_format(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
             counts = pa.array([len(x) for x in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(texts, pa.string()), pa.array(loss, kind)], ["id", "n_turns", "formatted", "loss_spans"])
 
-    return whole.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return whole.mapInArrow(run, schema).withColumnRenamed("id", name)
 
 
 def chat_digest(df: DataFrame, id_col: str = "conv_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -23,7 +24,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
 
@@ -31,26 +32,39 @@ def shared_root(spark: SparkSession) -> str:
 class Stored:
     """A table written to the shared folder and read again, which cuts the lineage and survives lost executors."""
 
+    #: Tables that were not dropped yet, oldest first.
+    kept: list[Stored] = []
+
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_root(self.spark)}/{name}-{uuid.uuid4().hex}"
         schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
+        self.kept.append(self)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.kept.remove(self)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
-    """Bounds what a Python worker holds at once, by rows and by bytes, so that long texts don't add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+def drop_stored(before: int | None = None) -> None:
+    """Drops the tables that operators have stored (the first ones, up to a place in Stored.kept): for a caller that has
+    saved the results which read them."""
+    for table in Stored.kept[:before]:
+        table.drop()
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once, by rows and by bytes, so that long texts don't add up.  The bounds are the
+    session's, and the same for every operator, as plans run later than they are made."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def fresh(taken: Iterable[str], *names: str) -> list[str]:

@@ -5,7 +5,8 @@ slots; the bitwise AND of an n-gram's slots is the set of all languages that hav
 n-grams for each language; the counts are corrected for the filter's false positives (the share of a language's bits
 that are set, to the power of the number of slots), and the language with the highest count is the answer.
 
-A language's n-grams are those in at least MIN_SHARE of its sampled texts, which bounds their number whatever the sample.
+A language's n-grams are those in at least MIN_SHARE of its sampled texts (and in one), which bounds their number
+whatever the sample.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_batches, quoted, without
 
-#: Labelled documents of each language to learn from (expected number), drawn at random with a fixed seed.
+#: Labelled documents of each language to learn from (expected number), drawn by a hash with a fixed seed.
 SAMPLE, SEED = 2000, 42
 GRAM, SLOTS_LOG2, PROBES, MIN_SHARE, PIECE = 4, 21, 3, 0.01, 1 << 18
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -91,14 +92,16 @@ class Filter:
         return self.languages[best], float(min(1.0, max(0.0, share[best])))
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filter:
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str | None = "doc_id") -> Filter:
     """The filter from labelled rows (null labels and null texts are passed over).
 
-    About SAMPLE texts of each language are used, or all if there are no more.  Only n-grams in
-    at least MIN_SHARE of them come to the driver, a number bounded by the mean distinct n-grams of a text / MIN_SHARE.
+    About SAMPLE texts of each language are used, or all if there are no more, chosen by a hash of id and text (of the text
+    alone without an id column), so neither partitions nor files matter.  Only n-grams in at least MIN_SHARE of them come
+    to the driver, a number bounded by the mean distinct n-grams of a text / MIN_SHARE.
     """
-    arrow_batches(df.sparkSession, 500)
-    rows = df.select(quoted(text_col).alias("text"), quoted(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    arrow_batches(df.sparkSession)
+    draw = F.pmod(F.xxhash64(*([quoted(id_col)] if id_col in df.columns else []), quoted(text_col), F.lit(SEED)), F.lit(1 << 40)) / (1 << 40)
+    rows = df.select(quoted(text_col).alias("text"), quoted(lang_col).alias("lang"), draw.alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     rate = F.lit(0.0)
@@ -107,7 +110,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filt
             rate = F.when(F.col("lang") == x, F.lit(SAMPLE / counts[x])).otherwise(rate)
         else:
             rate = F.when(F.col("lang") == x, F.lit(2.0)).otherwise(rate)
-    sample = rows.where(F.rand(SEED) < rate)  # by row, so that a text with many copies fills no sample
+    sample = rows.where(F.col("draw") < rate).select("text", "lang")  # by row, so that a text with many copies fills no sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -132,7 +135,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filt
     sums = sample.mapInArrow(run, "lang string, gram long, texts long").groupBy("lang", "gram").agg(F.sum("texts").alias("texts"))
     least = F.lit(0)
     for x in languages:
-        least = F.when(F.col("lang") == x, F.lit(max(2 if counts[x] >= 50 else 1, int(MIN_SHARE * min(counts[x], SAMPLE))))).otherwise(least)
+        least = F.when(F.col("lang") == x, F.lit(max(1, int(MIN_SHARE * min(counts[x], SAMPLE))))).otherwise(least)
     found = sums.where(F.col("texts") >= least).select("lang", "gram").toArrow()
     slots = np.zeros((1 << SLOTS_LOG2, max(1, -(-len(languages) // 8))), np.uint8)
     names, h = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy().view(np.uint64)
@@ -152,7 +155,7 @@ def identified(df: DataFrame, model: Filter, text_col: str = "text", keep: list[
     repeat; an empty table gives an empty table; columns named lang_pred or score are replaced.  Texts are read whole.
     """
     spark = df.sparkSession
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     source = df.select(*[quoted(c) for c in keep], *([] if text_col in keep else [quoted(text_col)]))
     at, n = source.columns.index(text_col), len(keep)

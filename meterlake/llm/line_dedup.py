@@ -18,13 +18,18 @@ def drop_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     First means the smallest (id, hash of the text, place), null ids first.  Rows with the same id and text are one
     document to this operator: they get the same text.  A null text stays null and has no lines; an empty text is one
-    empty line; texts of fewer lines than a window are left alone.  A text that loses all its lines becomes empty.
-    Other columns pass through; columns named n_lines or n_removed are replaced.
+    empty line; texts of fewer lines than a window are left alone.  A text that loses all its lines becomes empty; a very
+    long text is one array of lines and of their hashes.  The separator is taken as it is.  Repeated rows repeat; an empty
+    table gives an empty one.  Other columns pass through, whatever their names; those named n_lines or n_removed are
+    replaced, unless it is the id or the text, which can't have these names.
     """
+    if {id_col.lower(), text_col.lower()} & {"n_lines", "n_removed"}:
+        raise ValueError("the id and the text can't be named n_lines or n_removed")
     df = without(df, "n_lines", "n_removed")
-    lines, text_hash, drop = fresh(df.columns, "lines", "text_hash", "drop_places")
+    lines, text_hash, drop, its_id, its_hash = fresh(df.columns, "lines", "text_hash", "drop_places", "covered_id", "covered_hash")
+    separate = lambda column: F.split(column, "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
     docs = df.withColumn(text_hash, F.xxhash64(quoted(text_col)))
-    cut = docs.select(quoted(id_col).alias("id"), quoted(text_hash).alias("th"), F.split(quoted(text_col), separator, -1).alias("l"))
+    cut = docs.select(quoted(id_col).alias("id"), quoted(text_hash).alias("th"), separate(quoted(text_col)).alias("l"))
     part = [f"l[i + {k}]" for k in range(window)]
     hashed = F.expr(f"transform(sequence(0, size(l) - {window}), i -> struct(xxhash64({', '.join(part)}) as h1, xxhash64(7L, {', '.join(reversed(part))}) as h2))")
     windows = cut.where(F.size("l") >= window).select("id", "th", F.posexplode(hashed).alias("at", "w")).select("id", "th", "at", "w.h1", "w.h2")
@@ -35,9 +40,9 @@ def drop_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str =
     # Both sides come from tables, so the adaptive planner may split a hot window of the left side over tasks.
     later = windows.join(repeated, ["h1", "h2"]).where(~F.struct("id", "th", "at").eqNullSafe(F.col("first")))
     later = later.select("id", "th", "at").groupBy("id", "th").agg(F.collect_set("at").alias("starts"))
-    covered = later.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.flatten(F.transform("starts", lambda p: F.sequence(p, p + window - 1))).alias(drop))
-    out = docs.join(covered, quoted(id_col).eqNullSafe(F.col("_id")) & (quoted(text_hash) == F.col("_th")), "left").drop("_id", "_th")
-    out = out.withColumn(lines, F.split(quoted(text_col), separator, -1))
+    covered = later.select(F.col("id").alias(its_id), F.col("th").alias(its_hash), F.flatten(F.transform("starts", lambda p: F.sequence(p, p + window - 1))).alias(drop))
+    out = docs.join(covered, quoted(id_col).eqNullSafe(quoted(its_id)) & (quoted(text_hash) == quoted(its_hash)), "left").drop(its_id, its_hash)
+    out = out.withColumn(lines, separate(quoted(text_col)))
     places = F.array_except(F.sequence(F.lit(0), F.size(quoted(lines)) - 1), quoted(drop))
     kept = F.when(quoted(drop).isNull(), quoted(text_col)).otherwise(F.array_join(F.transform(places, lambda p: quoted(lines)[p]), separator))
     out = out.withColumn("n_lines", F.coalesce(F.size(quoted(lines)), F.lit(0)).cast("long"))

@@ -121,7 +121,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Texts without words are copies of each other.  The columns are those of df.  Rows are told apart by a number of
     their own, so repeated or null ids do no harm.
     """
-    node, keys, row = fresh(df.columns, "node", "keys", "row_number")
+    node, keys, row, stay_row = fresh(df.columns, "node", "keys", "row_number", "stay_row")
     table = _nodes(df, text_col, shingle, similarity, node, keys).withColumn(row, F.monotonically_increasing_id())
     table = stored(table, "minhash-rows")
     rows = table.select(quoted(node).alias("node"), quoted(row).alias("row"))
@@ -134,5 +134,5 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     classes = one.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", F.coalesce("root", "node").alias("component"))
     classes = stored(classes, "minhash-classes")
     tagged = table.select(quoted(id_col).alias("id"), quoted(node).alias("node"), quoted(row).alias("row")).join(classes, "node")
-    stay = tagged.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias("stay_row"))
-    return table.join(stay, quoted(row) == F.col("stay_row"), "left_semi").drop(node, keys, row)
+    stay = tagged.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias(stay_row))
+    return table.join(stay, quoted(row) == quoted(stay_row), "left_semi").drop(node, keys, row)

@@ -118,6 +118,12 @@ def slices(data: np.ndarray, ends: np.ndarray, limit: int = SLICE) -> Iterator[t
         at = to
 
 
+def distinct_pieces(data: np.ndarray, start: np.ndarray) -> pa.DictionaryArray:
+    """The pieces that begin at the given places, which cover the data."""
+    offsets = pa.array(np.append(start, len(data)).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+
+
 class PieceNumbers:
     """The numbers (such as token ids) that each distinct piece stands for, remembered in one pool."""
 
@@ -130,10 +136,6 @@ class PieceNumbers:
         self.begin, self.size = np.zeros(1, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def tidy(self) -> None:
-        if len(self.place) > PIECES or len(self.pool) > POOL:
-            self.clear()
-
     def _learn(self, new: list[bytes]) -> None:
         found = self.numbers_of(new)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
@@ -151,9 +153,9 @@ class PieceNumbers:
             inside = ends[(ends >= a) & (ends < b)] - a
             kinds = classes_of(part, self.table)
             start = np.flatnonzero(begins(part, kinds, inside, *self.how))
-            offsets = pa.array(np.append(start, b - a).astype(np.int32))
-            pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(part))]).dictionary_encode()
-            self.tidy()
+            pieces = distinct_pieces(part, start)
+            if len(self.place) > PIECES or len(self.pool) > POOL:
+                self.clear()
             distinct = pieces.dictionary.to_pylist()
             new = [x for x in distinct if x not in self.place]
             if new:

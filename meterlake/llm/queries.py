@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, line_dedup, maxent, packing, quality, sharding, simhash, telephony
-from .common import documents, residue
+from .common import documents, residue, stored
 
 
 def tokenizer(name: str) -> str:
@@ -31,8 +31,9 @@ def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media and PCM at half the rate are stored together and read back for the digests and the features."""
     media = telephony.telephony_stored(documents(spark, sf_dir), "text", ["doc_id"])
-    out = telephony.telephony_decoded(media, with_pcm=False, digest=True)
+    out = telephony.telephony_digest(stored(telephony.telephony_decoded(media, up=1, down=2), "telephony"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
@@ -71,7 +72,7 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", residue(F.col("doc_id"), 10) == 0)
-    return maxent.maxent_scores(docs, docs.where("NOT held_out"), keep=["doc_id", "held_out"])
+    return maxent.maxent_scores(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -6,14 +6,13 @@ row of the matrix, the rows are exchanged, and each cell permutes what it receiv
 as likely as any other, and no shard differs from another by more than one row.
 
 A cell is a slice of a shard's slots, so that a shard is never the work of a single task.  The matrix has at most
-MAX_BLOCKS x shards x MAX_SLICES entries, whatever the size of the input, and is all that the driver sees.
+MAX_BLOCKS x MAX_CELLS entries (32 MB), whatever the size of the input, and is all that the driver sees.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import random
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,66 +23,62 @@ from .common import fresh, quoted, stored, without
 MAX_BLOCKS, MAX_CELLS, GROUP = 4096, 1024, 32
 
 
-def _log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+#: Rows up to which numpy draws from the hypergeometric law.
+NUMPY_LIMIT = 10**9
 
 
-def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """How many of `draws` drawn without return are good: by inversion, outward from the mode, for counts of any size."""
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of `draws` drawn without return are good, for counts of any size: by inversion over all counts that have a
+    chance of 1e-30 or more, whose chances follow from each other by exact ratios."""
     low, high = max(0, draws - bad), min(good, draws)
     if low == high:
         return low
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    top = math.exp(_log_choose(good, mode) + _log_choose(bad, draws - mode) - _log_choose(good + bad, draws))
-    u = rng.random() - top
-    left = right = mode
-    p_left = p_right = top
-    while u > 0 and (left > low or right < high):
-        if right < high:
-            p_right *= (good - right) / (right + 1) * (draws - right) / (bad - draws + right + 1)
-            right += 1
-            u -= p_right
-            if u <= 0:
-                return right
-        if left > low:
-            p_left *= left / (good - left + 1) * (bad - draws + left) / (draws - left + 1)
-            left -= 1
-            u -= p_left
-            if u <= 0:
-                return left
-    return mode
+    n = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (n + 2)))
+    wide = math.sqrt(draws * (good / n) * (bad / n) * ((n - draws) / max(1, n - 1)))
+    a, b = max(low, mode - int(12 * wide) - 64), min(high, mode + int(12 * wide) + 64)
+    k = np.arange(a, b, dtype=np.float64)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1))))
+    chance = np.cumsum(np.exp(logs - logs.max()))
+    return a + int(np.searchsorted(chance, rng.random() * chance[-1], "right"))
 
 
 def communication_matrix(blocks: list[int], cells: list[int], seed: int) -> list[list[int]]:
-    """Row sums are `blocks`, column sums are `cells`; drawn as a uniform permutation would give it."""
-    left, out = list(cells), []
-    small = sum(cells) < 10**9
-    rng, exact = np.random.default_rng(seed), random.Random(seed)
-    for n in blocks:
-        if small:
-            row = rng.multivariate_hypergeometric(left, n, method="marginals").tolist() if n else [0] * len(left)
-        else:
-            row, rest, to_draw = [], sum(left), n
-            for size in left:
-                row.append(hypergeometric(exact, size, rest - size, to_draw))
-                rest, to_draw = rest - size, to_draw - row[-1]
-        left = [a - b for a, b in zip(left, row)]
-        out.append(row)
-    return out
+    """Row sums are `blocks`, column sums are `cells`; drawn as a uniform permutation would give it.  A table of more rows
+    than numpy's generator takes is first split: half of the blocks draw their share of every cell, again and again."""
+    rng = np.random.default_rng(seed)
+
+    def drawn(blocks: list[int], cells: list[int]) -> list[list[int]]:
+        if sum(cells) < NUMPY_LIMIT:
+            left, out = np.array(cells), []
+            for n in blocks:
+                out.append(rng.multivariate_hypergeometric(left, n, method="marginals"))
+                left = left - out[-1]
+            return [x.tolist() for x in out]
+        if len(blocks) == 1:
+            return [list(cells)]
+        half = len(blocks) // 2
+        first, rest, draws = [], sum(cells), sum(blocks[:half])
+        for size in cells:
+            first.append(hypergeometric(rng, size, rest - size, draws))
+            rest, draws = rest - size, draws - first[-1]
+        return drawn(blocks[:half], first) + drawn(blocks[half:], [a - b for a, b in zip(cells, first)])
+
+    return drawn(blocks, cells)
 
 
 def uniform_shards(df: DataFrame, shards: int = 8, seed: int = 0, rows_per_cell: int = 20_000) -> DataFrame:
     """df with `shard` (0 to shards - 1) and `slot` (0 onward without gaps in each shard); sizes differ by one row at most.
 
-    The place of a row depends on the seed, on its values and on the input's partitions.  Rows that are equal in all
-    columns are interchangeable and each gets a place of its own.  Null and empty values, very long ones and repeated
-    rows are ordinary rows; an empty table gives an empty table; columns of df named shard or slot are replaced.
+    The place of a row depends on the seed and on its place in the input's partitions, not on its values, so copies are
+    dealt out like any rows.  Null and empty values, very long ones and repeated rows are ordinary rows; an empty table
+    gives an empty table; columns of df named shard or slot are replaced.
     The table is written once to the shared folder, so pass only the columns that are wanted in the result.
     """
     spark = df.sparkSession
     df = without(df, "shard", "slot")
     block, at, cell, starts = fresh(df.columns, "block", "at", "cell", "starts")
-    key = F.xxhash64(F.lit(seed), *[F.to_json(F.struct(quoted(c))) if "map" in t else quoted(c) for c, t in df.dtypes])
+    key = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     # Local permutation; the id of a row then holds its block and its place in it.
     mixed = df.coalesce(MAX_BLOCKS).withColumn(at, key).sortWithinPartitions(at).withColumn(at, F.monotonically_increasing_id())
     mixed = mixed.withColumn(block, F.shiftrightunsigned(at, 33).cast("int")).withColumn(at, quoted(at).bitwiseAND(F.lit((1 << 33) - 1)))
@@ -99,9 +94,10 @@ def uniform_shards(df: DataFrame, shards: int = 8, seed: int = 0, rows_per_cell:
         first = [0, *np.cumsum(row).tolist()[:-1]]
         groups = [first[i : i + GROUP] for i in range(0, len(first), GROUP)]
         rows.append({"b": b, "g": [x[0] for x in groups], "s": groups})
-    matrix = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<b:int,g:array<bigint>,s:array<array<bigint>>>>")).alias("x"))
-    matrix = matrix.select(F.col("x.b").alias(block), F.struct("x.g", "x.s").alias(starts))
-    dealt = mixed.join(F.broadcast(matrix), block)
+    json_rows = spark.createDataFrame([(json.dumps(x),) for x in rows], "j string")
+    matrix = json_rows.select(F.from_json("j", "struct<b:int,g:array<bigint>,s:array<array<bigint>>>").alias("x"))
+    matrix = stored(matrix.select(F.col("x.b").alias(block), F.struct("x.g", "x.s").alias(starts)), "sharding-matrix")
+    dealt = mixed.join(F.broadcast(matrix), block)  # MAX_BLOCKS x MAX_CELLS numbers at most
     # The last start that isn't above the row's place, first among the groups of cells, then within the group.
     group = F.size(F.filter(quoted(starts)["g"], lambda x: x <= quoted(at)))
     dealt = dealt.withColumn(cell, group)

@@ -105,7 +105,7 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def linked_pairs(distinct: DataFrame) -> DataFrame:
     """distinct: a stored table of one column fp, each once.  Pairs (a, b) that connect all fingerprints within two bits:
     every such pair is linked, directly or through words that lie within two bits of both."""
-    arrow_batches(distinct.sparkSession, 4096)
+    arrow_batches(distinct.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,12 +173,15 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null and empty texts have fingerprint zero and link like any other; equal texts share a fingerprint, so a group of
     copies is one node; repeated rows give repeated results; null ids are passed over by the least id (a component of
-    nulls only has none); an empty table gives an empty table.  Other columns are not returned.
+    nulls only has none); an empty table gives an empty table.  A text is fingerprinted in stretches of shingles, however
+    long.  Other columns are not returned; an id column named fp or component has an underscore put before it.
     """
-    fps = stored(fingerprints(df, text_col, [id_col], shingle), "simhash")
-    classes = stored(fingerprint_classes(fps, id_col), "simhash-classes")
+    name = fresh(["fp", "component"], id_col)[0]
+    source = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    fps = stored(fingerprints(source, "text", ["id"], shingle), "simhash")
+    classes = stored(fingerprint_classes(fps, "id"), "simhash-classes")
     # Both sides are tables: a fingerprint with a third of all rows is split by the adaptive planner.
-    return fps.join(classes, "fp").select(quoted(id_col), "fp", "component")
+    return fps.join(classes, "fp").select(F.col("id").alias(name), "fp", "component")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -186,10 +189,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     The columns are those of df.  Rows are told apart by a number of their own, so repeated or null ids do no harm.
     """
-    fp, row = fresh(df.columns, "fp", "row_number")
+    fp, row, stay_row = fresh(df.columns, "fp", "row_number", "stay_row")
     table = fingerprints(df, text_col, None, shingle, fp).withColumn(row, F.monotonically_increasing_id())
     table = stored(table, "simhash-rows")
     classes = stored(fingerprint_classes(table.select(quoted(fp).alias("fp"), quoted(row).alias("row")), "row"), "simhash-classes")
     tagged = table.select(quoted(id_col).alias("id"), quoted(fp).alias("fp"), quoted(row).alias("row")).join(classes, "fp")
-    stay = tagged.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias("stay_row"))
-    return table.join(stay, quoted(row) == F.col("stay_row"), "left_semi").drop(fp, row)
+    stay = tagged.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias(stay_row))
+    return table.join(stay, quoted(row) == quoted(stay_row), "left_semi").drop(fp, row)

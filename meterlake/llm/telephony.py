@@ -6,10 +6,12 @@ decoded one place at a time with numpy across all blocks.  PCM is resampled by a
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -71,21 +73,33 @@ def write_wav(payload: bytes, codec: str, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", (len(chunks) + 4) & 0xFFFFFFFF) + b"WAVE" + chunks
 
 
-def read_wav(data: bytes) -> tuple[str, int, memoryview]:
-    """Codec, rate and payload of a WAV file; ValueError for anything else."""
+class Wav(NamedTuple):
+    codec: str
+    rate: int
+    payload: memoryview
+    block: int  # bytes of an ADPCM block, or of a sample
+
+
+def read_wav(data: bytes) -> Wav:
+    """A mono telephony WAV file; ValueError for anything else."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, codec, rate = 12, None, 0
+    at, form = 12, None
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if at + 8 + size > len(data):
+            raise ValueError("cut short")
         if name == b"fmt ":
-            codec, rate = _TAGS.get(struct.unpack_from("<H", data, at + 8)[0]), struct.unpack_from("<I", data, at + 12)[0]
+            if size < 16:
+                raise ValueError("no format")
+            tag, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", data, at + 8)
+            form = (_TAGS.get(tag), rate, block)
+            if form[0] is None or channels != 1 or rate == 0 or (bits, block) != (8, 1) and form[0] != "adpcm" or form[0] == "adpcm" and (bits != 4 or block < 5):
+                raise ValueError("a format that isn't telephony")
         elif name == b"data":
-            if codec is None:
-                raise ValueError("a codec that isn't telephony")
-            if at + 8 + size > len(data):
-                raise ValueError("cut short")
-            return codec, rate, memoryview(data)[at + 8 : at + 8 + size]
+            if form is None or size % form[2]:
+                raise ValueError("no format, or not whole blocks")
+            return Wav(form[0], form[1], memoryview(data)[at + 8 : at + 8 + size], form[2])
         at += 8 + size + (size & 1)
     raise ValueError("no data")
 
@@ -118,44 +132,57 @@ def resampled(pcm: np.ndarray, up: int, down: int, half: int = 4) -> np.ndarray:
 PIECE = 1 << 18
 
 
-def _pcm_pieces(codec: str, payload: memoryview) -> Iterator[np.ndarray]:
-    """Samples of a payload of one clip, a bounded number at a time."""
-    raw = np.frombuffer(payload, np.uint8)
-    step = PIECE if codec != "adpcm" else PIECE // PER_BLOCK * BLOCK
+def pcm_pieces(wav: Wav) -> Iterator[np.ndarray]:
+    """Samples of a clip, a bounded number at a time."""
+    raw = np.frombuffer(wav.payload, np.uint8)
+    step = PIECE if wav.codec != "adpcm" else max(1, PIECE // wav.block) * wav.block
     for i in range(0, len(raw), step):
-        yield table(codec)[raw[i : i + step]] if codec != "adpcm" else adpcm(raw[i : i + step].reshape(-1, BLOCK)).ravel()
+        yield table(wav.codec)[raw[i : i + step]] if wav.codec != "adpcm" else adpcm(raw[i : i + step].reshape(-1, wav.block)).ravel()
 
 
-def _adpcm_together(files: list[bytes | None]) -> dict[int, np.ndarray]:
-    """Samples of the batch's ADPCM files of up to PIECE bytes, by place: their blocks are decoded together, PIECE * 8 bytes at a time."""
+def adpcm_together(files: list[Wav | None]) -> dict[int, np.ndarray]:
+    """Samples of the batch's ADPCM files of up to PIECE bytes, by place: blocks of one size are decoded together, PIECE * 8 bytes at a time."""
     out: dict[int, np.ndarray] = {}
-    held: list[tuple[int, np.ndarray]] = []
-
-    def decode() -> None:
-        pcm = adpcm(np.concatenate([x for _, x in held]))
-        ends = np.cumsum([len(x) for _, x in held])
-        out.update((i, part.ravel()) for (i, _), part in zip(held, np.split(pcm, ends[:-1])))
-        held.clear()
-
-    for i, data in enumerate(files):
-        try:
-            codec, _, payload = read_wav(data or b"")
-        except ValueError:
-            continue
-        if codec == "adpcm" and len(payload) and len(payload) <= PIECE and len(payload) % BLOCK == 0:
-            held.append((i, np.frombuffer(payload, np.uint8).reshape(-1, BLOCK)))
-            if sum(len(x) for _, x in held) * BLOCK > PIECE * 8:
-                decode()
-    if held:
-        decode()
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+    def decode(block: int) -> None:
+        some = held.pop(block)
+        pcm = adpcm(np.concatenate([x for _, x in some]))
+        ends = np.cumsum([len(x) for _, x in some])
+        out.update((i, part.ravel()) for (i, _), part in zip(some, np.split(pcm, ends[:-1])))
+
+    for i, wav in enumerate(files):
+        if wav and wav.codec == "adpcm" and 0 < len(wav.payload) <= PIECE:
+            same = held.setdefault(wav.block, [])
+            same.append((i, np.frombuffer(wav.payload, np.uint8).reshape(-1, wav.block)))
+            if sum(len(x) for _, x in same) * wav.block > PIECE * 8:
+                decode(wav.block)
+    for block in list(held):
+        decode(block)
     return out
 
 
+def resampled_pieces(pieces: Iterator[np.ndarray], up: int, down: int) -> Iterator[np.ndarray]:
+    """PCM at up / down times its rate, as resampled() gives it for the whole; two pieces are held at a time."""
+    halo, done, held = 64 * down, 0, np.zeros(0, np.int16)  # held: samples before the piece, for its left context
+    pcm = next(pieces, None)
+    while pcm is not None:
+        after = next(pieces, None)
+        whole = np.concatenate([held, pcm, after[:halo]] if after is not None else [held, pcm])
+        begin = done - len(held)  # of `whole`, among all samples; a multiple of down
+        first, end = -(-done * up // down), -(-(done + len(pcm)) * up // down)
+        yield resampled(whole, up, down)[first - begin * up // down : end - begin * up // down]
+        done += len(pcm)
+        held = np.concatenate([held, pcm])[-(halo + done % down) :]
+        pcm = after
+
+
 def telephony_stored(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns to keep (all, if not said), n_bytes (long) and media (binary): each text's UTF-8 bytes, padded with
     bytes 0 to a positive multiple of 64, as the payload of a WAV file.  Its codec is given by the payload's crc32, so
-    equal texts give equal files.  A null text counts as empty; columns named n_bytes or media are replaced."""
-    arrow_batches(df.sparkSession, 500)
+    equal texts give equal files.  A null text counts as empty; columns named n_bytes or media are replaced; repeated rows
+    repeat; an empty table gives an empty one.  A file is one value, so a text may have about 2 GB."""
+    arrow_batches(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("n_bytes", "media")]
     source = df.select(*[quoted(c) for c in keep], *([] if text_col in keep else [quoted(text_col)]))
     at, n = source.columns.index(text_col), len(keep)
@@ -174,67 +201,77 @@ def telephony_stored(df: DataFrame, text_col: str = "text", keep: list[str] | No
     return source.mapInArrow(run, T.StructType([*source.schema.fields[:n], *T._parse_datatype_string("n_bytes long, media binary").fields]))
 
 
-def telephony_decoded(df: DataFrame, media_col: str = "media", up: int = 2, down: int = 1, with_pcm: bool = True, digest: bool = False) -> DataFrame:
-    """df and: codec (string), rate (int, of the PCM), n_samples (long), pcm_crc32 (long), feature (string) and, with_pcm,
-    pcm (binary, little-endian 16 bits); with digest also payload_bytes, payload_sha256, tail_crc32.  df's media column is
-    kept with_pcm, else replaced by media_bytes and media_sha256.
+def _read(data: bytes | None) -> Wav | None:
+    try:
+        return read_wav(data or b"")
+    except ValueError:
+        return None
+
 
-    Null media, or media that isn't a telephony WAV, gives nulls.  feature: codec, samples, root mean square, peak, zero
-    crossings and the crc32 of the PCM.  Columns of df with the names of results are replaced; repeated rows repeat.
+def telephony_decoded(df: DataFrame, media_col: str = "media", up: int = 2, down: int = 1) -> DataFrame:
+    """df and: codec (string), rate (int, of the PCM), n_samples (long, at the clip's own rate) and pcm (binary: little-endian 16 bits).
+
+    Null media, or media that isn't a mono telephony WAV of whole blocks, gives nulls; a clip without samples gives an
+    empty pcm.  Columns of df with the names of results are replaced; repeated rows repeat; an empty table gives an empty
+    one.  A long clip is decoded and resampled piece by piece into its one value.
     """
-    import hashlib
-
-    arrow_batches(df.sparkSession, 500)
-    new = "codec string, rate int, n_samples long, pcm_crc32 long, feature string" + (", pcm binary" if with_pcm else ", media_bytes long, media_sha256 string")
-    new += ", payload_bytes long, payload_sha256 string, tail_crc32 long" if digest else ""
-    fields = T._parse_datatype_string(new).fields
-    df = without(df, *[f.name for f in fields if f.name.lower() != media_col.lower()])
-    at, kept = df.columns.index(media_col), [i for i, c in enumerate(df.columns) if with_pcm or c != media_col]
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-
-    def one(data: bytes | None, decoded: np.ndarray | None) -> tuple:
-        more = () if with_pcm else (None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest())
-        try:
-            codec, rate, payload = read_wav(data or b"")
-            if codec == "adpcm" and len(payload) % BLOCK:
-                raise ValueError("not whole blocks")
-        except ValueError:
-            return (None,) * (5 + with_pcm) + more + (None,) * (3 * digest)
-        n = crossings = crc = squares = peak = 0
-        last, pieces, halo = None, [], 64 * down
-        held = np.zeros(0, np.int16)  # samples kept to give the next piece its left context
-        for pcm in [decoded] if decoded is not None else _pcm_pieces(codec, payload):
-            wide = pcm.astype(np.int64)
-            squares += int((wide * wide).sum())
-            peak = max(peak, int(np.abs(wide).max()))
-            sign = pcm >= 0
-            crossings += int((sign[1:] != sign[:-1]).sum()) + (last is not None and last != bool(sign[0]))
-            last, n = bool(sign[-1]), n + len(pcm)
-            pieces.append(pcm)
-        out, done = [], 0
-        for i, pcm in enumerate(pieces):
-            right = pieces[i + 1][:halo] if i + 1 < len(pieces) else pcm[:0]
-            whole = np.concatenate([held, pcm, right])
-            begin = done - len(held)  # of `whole`, among all samples; a multiple of down
-            y = resampled(whole, up, down)
-            first, end = -(-done * up // down), -(-(done + len(pcm)) * up // down)
-            y = y[first - begin * up // down : end - begin * up // down]
-            crc = zlib.crc32(y.tobytes(), crc)
-            if with_pcm:
-                out.append(y.tobytes())
-            done += len(pcm)
-            context = halo + done % down
-            held = whole[: len(whole) - len(right)][-context:]
-        feature = f"{codec};{n};{(squares / n) ** 0.5:.3f};{peak};{crossings};{crc:08x}"
-        result = (codec, rate * up // down, n, crc, feature)
-        result += (b"".join(out),) if with_pcm else more
-        return result + ((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])) if digest else ())
+    arrow_batches(df.sparkSession)
+    fields = T._parse_datatype_string("codec string, rate int, n_samples long, pcm binary").fields
+    df = without(df, *[f.name for f in fields if f.name != media_col.lower()])
+    at = df.columns.index(media_col)
+    if media_col.lower() in [f.name for f in fields]:
+        raise ValueError(f"the media column can't be named {media_col}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = [_read(x) for x in batch.column(at).to_pylist()]
+            together = adpcm_together(files)
+            rows = []
+            for i, wav in enumerate(files):
+                if wav is None:
+                    rows.append((None,) * 4)
+                    continue
+                n = len(wav.payload) if wav.codec != "adpcm" else len(wav.payload) // wav.block * (1 + 2 * (wav.block - 4))
+                pieces = iter([together.pop(i)]) if i in together else pcm_pieces(wav)
+                rows.append((wav.codec, wav.rate * up // down, n, b"".join([y.astype("<i2").tobytes() for y in resampled_pieces(pieces, up, down)])))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()))]], [*batch.schema.names, *[f.name for f in fields]])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+
+
+def feature(codec: str, rate: int, pcm: bytes) -> str:
+    """Codec, rate, samples, root mean square, peak, zero crossings (sign changes, zero being positive) and crc32 of PCM."""
+    samples, squares, peak, crossings, last = np.frombuffer(pcm, "<i2"), 0, 0, 0, None
+    for i in range(0, len(samples), PIECE):
+        wide = samples[i : i + PIECE].astype(np.int64)
+        squares += int((wide * wide).sum())
+        peak = max(peak, int(np.abs(wide).max()))
+        sign = wide >= 0
+        crossings += int((sign[1:] != sign[:-1]).sum()) + (last is not None and last != bool(sign[0]))
+        last = bool(sign[-1])
+    return f"{codec};{rate};{len(samples)};{(squares / max(1, len(samples))) ** 0.5:.3f};{peak};{crossings};{zlib.crc32(pcm):08x}"
+
+
+def telephony_digest(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm") -> DataFrame:
+    """Instead of the media and the PCM of a stored table: media_bytes, media_sha256, payload_bytes, payload_sha256,
+    tail_crc32 (of its last 64 bytes) and feature, of the PCM.  Media that can't be read has nulls but for the first two."""
+    arrow_batches(df.sparkSession)
+    fields = T._parse_datatype_string("media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string").fields
+    df = without(df, *[f.name for f in fields if f.name not in (media_col.lower(), pcm_col.lower())])
+    media, pcm, codec, rate = (df.columns.index(c) for c in (media_col, pcm_col, "codec", "rate"))
+    kept = [i for i in range(len(df.columns)) if i not in (media, pcm)]
+    kinds = {"string": pa.string(), "bigint": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = batch.column(at).to_pylist()
-            together = _adpcm_together(files)
-            rows = [one(x, together.get(i)) for i, x in enumerate(files)]
+            rows = []
+            for data, sound, name, hertz in zip(batch.column(media), batch.column(pcm), batch.column(codec).to_pylist(), batch.column(rate).to_pylist()):
+                data, sound = data.as_py(), sound.as_py()
+                wav = _read(data)
+                row = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                row += (None,) * 3 if wav is None else (len(wav.payload), hashlib.sha256(wav.payload).hexdigest(), zlib.crc32(wav.payload[-64:]))
+                rows.append((*row, None if sound is None else feature(name, hertz, sound)))
             columns = list(zip(*rows)) if rows else [[]] * len(fields)
             arrays = [pa.array(x, kinds[f.dataType.simpleString()]) for x, f in zip(columns, fields)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *arrays], [*[batch.schema.names[i] for i in kept], *[f.name for f in fields]])

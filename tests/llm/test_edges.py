@@ -1,14 +1,17 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for every operator."""
 
+import math
 import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from meterlake.llm import bpe, chat, langid, line_dedup, maxent, packing, pieces, quality, sharding, simhash, telephony
+from meterlake.llm import bpe, chat, langid, line_dedup, maxent, minhash, packing, pieces, quality, sharding, simhash, telephony
 from meterlake.llm import queries as Q
 
 LONG = "word %d and more text here\n" * 3
@@ -54,11 +57,35 @@ def test_matrix():
     for seed in range(5):
         m = np.array(sharding.communication_matrix([5, 0, 17, 8], [10, 10, 10], seed))
         assert m.sum(1).tolist() == [5, 0, 17, 8] and m.sum(0).tolist() == [10, 10, 10] and m.min() >= 0
-    rng = random.Random(1)
+    rng = np.random.default_rng(1)
     draws = [sharding.hypergeometric(rng, 10, 20, 12) for _ in range(4000)]
     assert abs(np.mean(draws) - 4) < 0.1 and abs(np.var(draws) - 12 * (1 / 3) * (2 / 3) * 18 / 29) < 0.15
-    big = sharding.communication_matrix([2 * 10**9, 10**9], [10**9] * 3, 0)
-    assert [sum(c) for c in zip(*big)] == [10**9] * 3
+    chance = [math.comb(10, k) * math.comb(20, 12 - k) / math.comb(30, 12) for k in range(11)]
+    assert sum((draws.count(k) - 4000 * p) ** 2 / (4000 * p) for k, p in enumerate(chance) if 4000 * p > 5) < 25
+    n = 10**12
+    far = [sharding.hypergeometric(rng, n // 4, 3 * n // 4, n // 2) for _ in range(200)]
+    assert abs(np.mean(far) - n / 8) < 5 * math.sqrt(n * 3 / 64 / 200)
+    big = sharding.communication_matrix([2 * 10**9, 10**9, 7, 0], [10**9 + 7, 10**9, 10**9], 0)
+    assert [sum(c) for c in zip(*big)] == [10**9 + 7, 10**9, 10**9] and [sum(r) for r in big] == [2 * 10**9, 10**9, 7, 0]
+
+
+def test_split_draw_is_the_same_law(monkeypatch):
+    """Where the table is split before numpy draws, cells have the means and variances of the one law."""
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", 20)
+    split = np.array([sharding.communication_matrix([5, 9, 17, 8], [20, 12, 7], s) for s in range(4000)])
+    assert (split.sum(2) == [5, 9, 17, 8]).all() and (split.sum(1) == [20, 12, 7]).all()
+    for i, n in enumerate([5, 9, 17, 8]):
+        for j, c in enumerate([20, 12, 7]):
+            mean, variance = n * c / 39, n * (c / 39) * (1 - c / 39) * (39 - n) / 38
+            assert abs(split[:, i, j].mean() - mean) < 4 * math.sqrt(variance / 4000)
+            assert abs(split[:, i, j].var() / variance - 1) < 0.12
+
+
+def test_copies_are_dealt_like_any_rows(spark):
+    """4,000 rows of four values: every value has its share in every shard."""
+    rows = spark.range(0, 4000, 1, 4).select((F.col("id") % 4).alias("value"))
+    found = Counter((r.value, r.shard) for r in sharding.uniform_shards(rows, 8, rows_per_cell=100).collect())
+    assert sum((found[v, s] - 125) ** 2 / 125 for v in range(4) for s in range(8)) < 60  # 99.9 % of 21 degrees: 47
 
 
 def test_line_dedup(spark):
@@ -75,10 +102,26 @@ def test_telephony(spark):
     df = table(spark)
     media = telephony.telephony_stored(df)
     out = telephony.telephony_decoded(media).collect()
-    assert len(out) == 10 and all(r.rate == 16000 and len(r.pcm) == 4 * r.n_samples and zlib.crc32(bytes(r.pcm)) == r.pcm_crc32 for r in out)
+    assert len(out) == 10 and all(r.rate == 16000 and len(r.pcm) == 4 * r.n_samples for r in out)
     assert telephony.telephony_decoded(telephony.telephony_stored(table(spark, []))).count() == 0
-    bad = spark.createDataFrame([(bytearray(b"RIFF"),), (None,)], "media binary")
-    assert all(r.codec is None and r.pcm is None for r in telephony.telephony_decoded(bad).collect())
+    digest = telephony.telephony_digest(telephony.telephony_decoded(media)).collect()
+    assert len(digest) == 10 and all(r.payload_bytes % 64 == 0 and r.payload_bytes >= r.n_bytes for r in digest)
+
+
+def test_telephony_bad_files(spark):
+    """What isn't a mono telephony WAV gives nulls, and a clip without samples an empty PCM; no task dies."""
+    good = telephony.write_wav(bytes(range(64)) * 3, "mulaw")
+    form = lambda codec, channels=1, rate=8000, block=1, bits=8: struct.pack("<HHIIHH", codec, channels, rate, rate, block, bits)
+    wav = lambda form, data: b"RIFF" + struct.pack("<I", 28 + len(form) + len(data)) + b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(data)) + data
+    bad = [b"RIFF", None, b"", *[good[:n] for n in range(0, len(good), 3)], wav(form(7, channels=2, block=2), b"ab"), wav(form(1, block=2, bits=16), b"ab"), wav(form(7)[:10], b"ab"), wav(form(0x11, block=64, bits=4), b"a" * 65), wav(form(0x11, block=4, bits=4), b"a" * 64)]
+    empty = [wav(form(7), b""), wav(form(6), b""), wav(form(0x11, block=64, bits=4), b"")]
+    larger = wav(form(0x11, block=256, bits=4), bytes(range(256)) * 2)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*bad, *empty, larger, good])], "i int, media binary")
+    rows = sorted(telephony.telephony_decoded(df).collect())
+    assert all(r.codec is None and r.pcm is None for r in rows[: len(bad)])
+    assert all(r.n_samples == 0 and r.pcm == b"" for r in rows[len(bad) : -2])
+    assert rows[-2].n_samples == 2 * 505 and len(rows[-2].pcm) == 4 * 1010 and rows[-1].n_samples == 192
+    assert telephony.telephony_digest(telephony.telephony_decoded(df)).count() == len(rows)
 
 
 def test_telephony_codecs():
@@ -108,14 +151,17 @@ def test_telephony_codecs():
     assert len(telephony.resampled(tone, 3, 2)) == 6000 and len(telephony.resampled(tone[:1], 2, 1)) == 2
 
 
-def test_telephony_pieces(monkeypatch, spark):
-    df = spark.createDataFrame([(1, "abcdefgh" * 400), (2, "some other text, longer " * 300), (3, "x y z " * 500)], "doc_id long, text string")
-    whole = {r.doc_id: r.feature for r in telephony.telephony_decoded(telephony.telephony_stored(df)).collect()}
-    payloads = [(telephony.read_wav(bytes(r.media))) for r in telephony.telephony_stored(df).collect()]
-    for codec, _, payload in payloads:
-        pcm = np.concatenate(list(telephony._pcm_pieces(codec, payload)))
-        y = telephony.resampled(pcm, 2, 1)
-        assert f"{zlib.crc32(y.tobytes()):08x}" in {f.split(";")[-1] for f in whole.values()}
+def test_telephony_pieces(monkeypatch):
+    """A clip that is decoded and resampled piece by piece gives the PCM of the whole."""
+    rng = np.random.default_rng(2)
+    for codec in telephony.CODECS:
+        wav = telephony.read_wav(telephony.write_wav(rng.integers(0, 256, 64 * 150, dtype=np.uint8).tobytes(), codec))
+        pcm = np.concatenate(list(telephony.pcm_pieces(wav)))
+        monkeypatch.setattr(telephony, "PIECE", 1000)
+        for up, down in ((2, 1), (1, 2), (3, 4), (2, 3)):
+            got = np.concatenate(list(telephony.resampled_pieces(telephony.pcm_pieces(wav), up, down)))
+            assert np.array_equal(got, telephony.resampled(pcm, up, down))
+        monkeypatch.undo()
 
 
 def test_chat(spark):
@@ -294,19 +340,19 @@ def test_quality(spark):
 
 def test_maxent(spark):
     df = table(spark)
-    rows = {r.doc_id: r for r in maxent.maxent_scores(df, df.where("doc_id <> 7")).collect()}
+    rows = {r.doc_id: r for r in maxent.maxent_scores(df, F.col("doc_id") != 7).collect()}
     assert rows[1].n_tokens == rows[2].n_tokens == rows[3].n_tokens == 1 and rows[7].n_known == 1
-    none = maxent.maxent_scores(df, table(spark, [])).collect()
+    none = maxent.maxent_scores(df, F.lit(False)).collect()
     assert len(none) == 10 and all(r.n_known == 0 and r.train_tokens == 0 and r.score == pytest.approx(r.base_score) for r in none)
-    assert maxent.maxent_scores(table(spark, []), df).count() == 0
+    assert maxent.maxent_scores(table(spark, []), F.lit(True)).count() == 0
 
 
 def test_maxent_tail_join_is_exact(spark, monkeypatch):
     """With hardly any head, all counts come through the join and nothing changes."""
     df = spark.createDataFrame([(i, f"a b c word{i % 7} word{i % 3} a") for i in range(40)] + [(99, "new a")], "doc_id long, text string")
-    a = {r.doc_id: r for r in maxent.maxent_scores(df, df.where("doc_id < 99")).collect()}
+    a = {r.doc_id: r for r in maxent.maxent_scores(df, F.col("doc_id") < 99).collect()}
     monkeypatch.setattr(maxent, "HEAD", 2)
-    b = {r.doc_id: r for r in maxent.maxent_scores(df, df.where("doc_id < 99")).collect()}
+    b = {r.doc_id: r for r in maxent.maxent_scores(df, F.col("doc_id") < 99).collect()}
     for i in a:
         assert a[i].n_known == b[i].n_known and a[i].base_score == pytest.approx(b[i].base_score)
 
@@ -314,7 +360,119 @@ def test_maxent_tail_join_is_exact(spark, monkeypatch):
 def test_adpcm_together_is_alone(spark):
     rng = np.random.default_rng(4)
     files = [telephony.write_wav(rng.integers(0, 256, 64 * n, dtype=np.uint8).tobytes(), "adpcm") for n in (1, 7, 300)]
-    got = telephony._adpcm_together([files[0], None, files[1], b"RIFF", files[2]])
+    got = telephony.adpcm_together([telephony.read_wav(files[0]), None, telephony.read_wav(files[1]), None, telephony.read_wav(files[2])])
     assert sorted(got) == [0, 2, 4]
     for i, f in zip((0, 2, 4), files):
-        assert (got[i] == np.concatenate(list(telephony._pcm_pieces("adpcm", telephony.read_wav(f)[2])))).all()
+        assert (got[i] == np.concatenate(list(telephony.pcm_pieces(telephony.read_wav(f))))).all()
+
+
+def test_chat_long_runs():
+    """A megabyte of backslashes, and of control strings, in linear time."""
+    for text in ("\\" * 10**6, "\\" * 10**6 + "###", "###" * 300_000, "</turn>\n" * 100_000, "\\###" * 200_000):
+        turns = [("user", text), ("assistant", text)]
+        assert chat.read_back(chat.formatted(turns)) == turns
+
+
+INSIDE = "doc_id text id _id th _th at l w h1 h2 first starts covered_id covered_hash n_lines n_removed lines text_hash drop_places fp component row row_number stay_row least_id root node keys k a b start length ids_crc32 doc_tokens sequence_id offset padded_to ids block n_turns formatted loss_spans alone turns tokens known base model tail n_tokens n_known train_tokens base_score score kept lang lang_pred lang_given held_out codec rate n_samples pcm media n_bytes shard slot cell x g s turn role decoded ids_sha256 c0 c1 draw"
+
+
+def clashing(spark, id_name):
+    """Three rows whose extra columns have every name that an operator uses inside, and an id of the given name."""
+    names = [id_name, "text", *[x for x in INSIDE.split() if x not in (id_name, "text")]]
+    texts = ["one line of some words here\nthe second line\nthird line\nfourth one", "another text of words that are not the same", None]
+    return spark.createDataFrame([(i, t, *["extra"] * (len(names) - 2)) for i, t in enumerate(texts)], ", ".join(f"`{n}` {'long' if k == 0 else 'string'}" for k, n in enumerate(names)))
+
+
+@pytest.mark.parametrize("id_name", ["doc_id", "start", "fp", "component", "row", "id", "n_tokens", "sequence_id", "_id"])
+def test_clashing_names(spark, id_name):
+    df = clashing(spark, id_name)
+    extra = lambda out: {c for c in out.columns if c in df.columns}
+    outs = {
+        "shards": sharding.uniform_shards(df, 2),
+        "lines": line_dedup.drop_repeated_windows(df, id_name),
+        "media": telephony.telephony_digest(telephony.telephony_decoded(telephony.telephony_stored(df))),
+        "classes": simhash.near_duplicate_classes(df, id_name),
+        "one": simhash.one_of_each(df, id_name),
+        "near": minhash.one_of_each(df, id_name),
+        "language": langid.identified(df, langid.learn(df, lang_col="lang", id_col=id_name)),
+        "packed": packing.pack(df, Q.tokenizer("byte_bpe_50k.json"), id_name),
+        "encoded": bpe.encoded(df, Q.tokenizer("word_bpe_49k.json")),
+        "judged": quality.judged(df, measures=True),
+        "scores": maxent.maxent_scores(df, F.lit(True), id_name),
+    }
+    for name, out in outs.items():
+        assert len({c.lower() for c in out.columns}) == len(out.columns), name
+        assert len(out.collect()) == 3, name
+    for name in ("one", "near"):
+        assert outs[name].columns == df.columns
+    assert len(extra(outs["shards"])) == len(df.columns)
+    turns = df.withColumn("turn", F.lit(1)).withColumn("role", F.lit("user"))
+    out = chat.chat_format(turns, id_name)
+    assert out.count() == 3 and len(set(out.columns)) == 4
+
+
+def test_clashing_chat_ids(spark):
+    for name in ("n_turns", "formatted", "loss_spans"):
+        df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], f"{name} long, turn long, role string, text string")
+        out = chat.chat_format(df, name)
+        assert out.columns[0] == f"_{name}" and chat.chat_digest(out, f"_{name}").collect()[0].loss_chars == 1
+
+
+def test_clashing_pipeline_columns(spark):
+    import corpus_pipeline
+
+    df = clashing(spark, "doc_id").withColumn("n_chars", F.lit(0).cast("long")).withColumn("lang", F.lit("en")).withColumn("source", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "/root/testdata/sf0.001")
+        assert out.columns == df.columns, name
+        assert all(r.kept == r.score == r.stay_row == r.n_lines == r.lang_given == "extra" for r in out.collect()), name
+        assert stage(spark, df.limit(0), "/root/testdata/sf0.001").count() == 0, name
+    assert corpus_pipeline.packing_stage(spark, df, "").count() == 3
+
+
+def test_language_by_sets(spark):
+    """Predictions and scores equal a version with sets of n-grams for each language, where the filter has no false positives."""
+    rng = random.Random(8)
+    parts = {"aa": "ka ke lo mi", "bb": "tra stu pli ka", "cc": "öx üz ka ñe"}
+    rows = [(i, "".join(rng.choices(parts[x].split() + [" ", ". "], k=rng.randint(5, 60))), x) for i, x in enumerate(rng.choices(list(parts), k=150))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        out, gap = [], True
+        for c in text.lower():
+            if c.isalpha():
+                out.append(c)
+                gap = False
+            elif not gap or not out:
+                out.append(" ")
+                gap = True
+        out = [" ", *out, " "]
+        squeezed = [c for i, c in enumerate(out) if c != " " or i == 0 or out[i - 1] != " "]
+        squeezed += [" "] * (4 - len(squeezed))
+        return [g for i in range(len(squeezed) - 3) if (g := "".join(squeezed[i : i + 4])).strip() and " " not in g[1:3]]
+
+    n = Counter(x for _, _, x in rows)
+    texts = Counter((x, g) for _, t, x in rows for g in set(grams(t)))
+    known = {x: {g for (y, g), k in texts.items() if y == x and k >= max(1, int(langid.MIN_SHARE * n[x]))} for x in sorted(parts)}
+    model = langid.learn(df)
+    assert model.languages == sorted(parts) and (model.false < 1e-6).all()
+    tests = [t for _, t, _ in rows] + ["ka", "k", "xyz wv", "KA KE lo, mi! 123"]
+    for t in tests:
+        g = grams(t)
+        share = {x: sum(a in known[x] for a in g) / max(1, len(g)) for x in known}
+        lang, score = model.predict(t)
+        assert score == pytest.approx(max(share.values()), abs=1e-5) and share[lang] == max(share.values()), t
+    # Bits: every language that has an n-gram is in its mask.
+    h = np.unique(np.concatenate([x for t in tests for x in langid.grams(t)]))
+    bits = model.masks(h)
+    for i, x in enumerate(model.languages):
+        own = np.unique(np.concatenate([a for _, t, y in rows if y == x for a in langid.grams(t)]))
+        assert (bits[np.isin(h, own), 0] & (1 << i)).all()
+
+
+def test_language_sample_is_of_rows(spark, monkeypatch):
+    """The sample doesn't depend on partitions."""
+    monkeypatch.setattr(langid, "SAMPLE", 20)
+    df = spark.createDataFrame([(i, f"text number {'abcdefghij'[i % 10] * 5} of {i}", "xy"[i % 2]) for i in range(400)], "doc_id long, text string, lang string")
+    a, b = langid.learn(df.repartition(1)), langid.learn(df.repartition(7))
+    assert (a.slots == b.slots).all() and a.slots.any()

@@ -10,7 +10,7 @@ import duckdb
 import pytest
 import xxhash
 
-from meterlake.llm import chat, line_dedup
+from meterlake.llm import chat, line_dedup, telephony
 from meterlake.llm import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +65,49 @@ def test_op3(spark, docs):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
         assert r.media_bytes > len(payload)
         assert features.setdefault(data, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+        if len(features) <= 60:  # sample by sample
+            codec = r.feature.split(";")[0]
+            pcm = [float(x) for x in slow_pcm(codec, payload)]
+            half = [max(-32768, min(32767, slow_half(pcm, 2 * i))) for i in range(-(-len(pcm) // 2))]
+            crossings = sum((a >= 0) != (b >= 0) for a, b in zip(half, half[1:]))
+            rms = math.sqrt(sum(x * x for x in half) / len(half))
+            got = r.feature.split(";")
+            assert got[1] == "4000" and int(got[2]) == len(half) and abs(float(got[3]) - rms) < 1 and abs(int(got[4]) - max(map(abs, half))) <= 1
+            assert abs(int(got[5]) - crossings) <= 0.01 * len(half) + 2
+    assert {f.split(";")[0] for _, f in features.values()} == set(telephony.CODECS)
+
+
+def slow_pcm(codec, payload):
+    """One sample at a time."""
+    if codec != "adpcm":
+        for b in payload:
+            b ^= 0xFF if codec == "mulaw" else 0x55
+            exponent, mantissa = b >> 4 & 7, b & 15
+            if codec == "mulaw":
+                size = ((2 * mantissa + 33) << exponent + 2) - 132
+                yield -size if b & 0x80 else size
+            else:
+                size = (2 * mantissa + 1) * 8 if exponent == 0 else (2 * mantissa + 33) * 8 << exponent - 1
+                yield size if b & 0x80 else -size
+        return
+    for at in range(0, len(payload), 64):
+        block = payload[at : at + 64]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        yield value
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = int(telephony.STEPS[index])
+                change = (step >> 3) + sum(s for bit, s in ((4, step), (2, step >> 1), (1, step >> 2)) if code & bit)
+                value = max(-32768, min(32767, value - change if code & 8 else value + change))
+                index = max(0, min(88, index + int(telephony.INDEX_CHANGE[code & 7])))
+                yield value
+
+
+def slow_half(pcm, at):
+    """The sample at a place after a windowed sinc that halves the band; silence outside."""
+    taps = [(k, 0.5 * (1 if k == 0 else math.sin(math.pi * k / 2) / (math.pi * k / 2)) * (0.5 + 0.5 * math.cos(math.pi * k / 4))) for k in range(-3, 5)]
+    total = sum(h for _, h in taps)
+    return round(sum(h / total * pcm[at + k] for k, h in taps if 0 <= at + k < len(pcm)))
 
 
 def test_op4(spark):
