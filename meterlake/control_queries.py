@@ -15,17 +15,18 @@ table = T.table
 
 # Tools and rollouts
 
-_TOOL_ITEMS = """items AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 2 = 0 THEN 'mcp' ELSE 'skill' END AS kind, p_brand AS item_key, 'p' || (p_size % 3) AS provider, 'v' || (p_size % 4) || '.0.0' AS source_ref FROM part WHERE p_size % 3 <> 2),
-inv AS (SELECT l_suppkey AS device, l_orderkey AS position, CASE WHEN p_partkey % 2 = 0 THEN 'mcp' ELSE 'skill' END AS kind, p_brand AS item_key, 'p' || (p_size % 3) AS provider, CASE WHEN l_orderkey % 5 <> 0 THEN (p_size % 4) || '.0.0' END AS version FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND p_size < 20)"""
+_TOOL_ITEMS = """items AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 2 = 0 THEN 'mcp' ELSE 'skill' END AS kind, p_brand AS item_key, 'p' || (p_size % 10) AS provider, 'v' || (p_size % 4) || '.0.0' AS source_ref FROM part),
+inv AS (SELECT l_suppkey AS device, l_orderkey * 10 + l_linenumber AS position, CASE WHEN p_partkey % 2 = 0 THEN 'mcp' ELSE 'skill' END AS kind, p_brand AS item_key, CASE WHEN p_size < 20 THEN 'p' || (p_size % 10) ELSE 'elsewhere' END AS provider, CASE WHEN l_orderkey % 5 <> 0 THEN (p_size % 4) || '.0.0' END AS version FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
 @query("alg31_install_state", f"""WITH {_TOOL_ITEMS}, f AS (SELECT kind, item_key, provider, arg_min({{'v': version}}, (device, position)) AS found FROM inv GROUP BY 1, 2, 3)
 SELECT item, CASE WHEN found IS NULL THEN 'not_installed' ELSE 'installed' END AS status, found.v AS version, CASE WHEN found IS NULL THEN NULL WHEN found.v IS NULL THEN 'unknown' WHEN found.v = substr(source_ref, 2) THEN 'same' ELSE 'different' END AS version_relation FROM items LEFT JOIN f USING (kind, item_key, provider)""")
 def _(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 2 == 0, "mcp").otherwise("skill").alias("kind"), F.col("p_brand").alias("item_key"), F.concat(F.lit("p"), (F.col("p_size") % 3).cast("string")).alias("provider"), F.concat((F.col("p_size") % 4).cast("string"), F.lit(".0.0")).alias("plain"))
-    items = p.where("p_size % 3 <> 2").select(F.col("p_partkey").alias("item"), "kind", "item_key", "provider", F.concat(F.lit("v"), "plain").alias("source_ref"))
-    li = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_suppkey", "l_orderkey", "l_partkey")
-    inventory = li.join(p.where("p_size < 20"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("device"), F.col("l_orderkey").alias("position"), "kind", "item_key", "provider", F.when(F.col("l_orderkey") % 5 != 0, F.col("plain")).alias("version"))
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 2 == 0, "mcp").otherwise("skill").alias("kind"), F.col("p_brand").alias("item_key"), F.concat(F.lit("p"), (F.col("p_size") % 10).cast("string")).alias("provider"), F.concat((F.col("p_size") % 4).cast("string"), F.lit(".0.0")).alias("plain"))
+    items = p.select(F.col("p_partkey").alias("item"), "kind", "item_key", "provider", F.concat(F.lit("v"), "plain").alias("source_ref"))
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"))
+    elsewhere = F.when(F.col("p_size") < 20, F.col("provider")).otherwise("elsewhere").alias("provider")
+    inventory = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("device"), "position", "kind", "item_key", elsewhere, F.when(F.col("l_orderkey") % 5 != 0, F.col("plain")).alias("version"))
     return deploy.install_states(items, inventory).select("item", "status", "version", "version_relation")
 
 
@@ -38,7 +39,7 @@ def _(spark, d):
 _NOW = "2024-01-01 00:00:00"
 _ROLLOUT = f"""WITH p AS (SELECT n_nationkey::BIGINT AS policy_id, n_nationkey % 4 AS version_id, CASE n_nationkey % 3 WHEN 0 THEN 'preflight' WHEN 1 THEN 'canary' ELSE 'expand' END AS phase, TIMESTAMP '{_NOW}' - to_minutes(n_nationkey * 5) AS phase_started FROM nation WHERE n_nationkey % 8 <> 7),
 e AS (SELECT c_nationkey AS team, count(DISTINCT o_orderkey) AS eligible FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
-r AS (SELECT l_partkey % 25 AS seed, l_suppkey % 4 AS version, CASE WHEN l_orderkey % 7 <> 0 THEN l_shipdate + INTERVAL 40 YEAR END AS tried, CASE WHEN l_orderkey % 900 = 0 THEN 'failed' ELSE 'installed' END AS status, (l_orderkey, l_linenumber) AS id FROM lineitem WHERE l_orderkey % 3 = 0),
+r AS (SELECT l_partkey % 25 AS seed, l_suppkey % 4 AS version, CASE WHEN l_orderkey % 7 <> 0 THEN l_shipdate + INTERVAL 40 YEAR END AS tried, CASE WHEN l_orderkey % 900 = 0 THEN 'failed' ELSE 'installed' END AS status, (l_orderkey, l_linenumber) AS id FROM lineitem),
 k AS (SELECT policy_id, phase, phase_started, eligible, count(DISTINCT id) FILTER (WHERE tried IS NOT NULL) AS attempted, count(DISTINCT id) FILTER (WHERE status = 'failed') AS failed FROM p JOIN e ON team = policy_id LEFT JOIN r ON seed = policy_id AND version = version_id AND tried >= phase_started GROUP BY ALL),
 m AS (SELECT *, date_diff('minute', phase_started, TIMESTAMP '{_NOW}') AS age, failed >= 2 OR (attempted > 0 AND failed / attempted >= 0.2) AS back FROM k),
 g AS (SELECT *, NOT back AND phase = 'canary' AND age >= 30 AND attempted >= greatest(1, ceil(eligible * 0.1)) AS c, NOT back AND phase = 'expand' AND age >= 60 AND attempted >= greatest(1, ceil(eligible * 0.5)) AS x FROM m)"""
@@ -50,7 +51,7 @@ def rollouts(spark, d) -> DataFrame:
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("team_id"))
     snapshots = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("snapshot_id"))
     o = F.col("l_orderkey")
-    reports = table(spark, d, "lineitem").where(o % 3 == 0).select(F.struct("l_orderkey", "l_linenumber").alias("report_id"), (F.col("l_partkey") % 25).alias("seed"), (F.col("l_suppkey") % 4).alias("version_id"), F.when(o % 7 != 0, (F.col("l_shipdate") + F.expr("interval 40 years")).cast("timestamp")).alias("last_attempted_at"), F.when(o % 900 == 0, "failed").otherwise("installed").alias("status"))
+    reports = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("report_id"), (F.col("l_partkey") % 25).alias("seed"), (F.col("l_suppkey") % 4).alias("version_id"), F.when(o % 7 != 0, (F.col("l_shipdate") + F.expr("interval 40 years")).cast("timestamp")).alias("last_attempted_at"), F.when(o % 900 == 0, "failed").otherwise("installed").alias("status"))
     return deploy.rollout_counts(policies, users, snapshots, reports)
 
 
@@ -269,10 +270,10 @@ def _(spark, d):
     return o.groupBy("token", "host").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
 
 
-@query("snk7_bucket_replacement", f"WITH {T.EV} SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, sum(CASE WHEN user_id < 8 THEN 2 * input_tokens ELSE input_tokens END)::BIGINT AS input_tokens FROM ev WHERE ts < TIMESTAMP '2024-01-04' GROUP BY 1")
+@query("snk7_bucket_replacement", f"WITH {T.EV} SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, sum(CASE WHEN user_id < 8 THEN 2 * input_tokens ELSE input_tokens END)::BIGINT AS input_tokens FROM ev GROUP BY 1")
 def _(spark, d):
     """Buckets of changed users are compacted again under a higher version and replace the old rows whole."""
-    e = T.usage_events(spark, d).where("ts < timestamp'2024-01-04'")
+    e = T.usage_events(spark, d)
     changed = e.withColumn("input_tokens", F.when(F.col("user_id") < 8, F.col("input_tokens") * 2).otherwise(F.col("input_tokens")))
     again = changed.withColumn("bucket", X.bucket_start("ts")).join(ingest.dirty_buckets(e.where("user_id < 8")), "bucket", "left_semi")
     rows = rollup.collapse(rollup.compact(e).unionByName(rollup.compact(again, 2)))
@@ -286,11 +287,11 @@ def _(spark, d):
     return e.join(b, F.col("host").eqNullSafe(F.col("bh")) & F.col("model").eqNullSafe(F.col("bm")) & (F.col("user_id") == F.col("bu")), "left_semi").select("event_id")
 
 
-@query("jn17_usage_and_tool_days", f"WITH {T.TOOLS}, u AS (SELECT user_id, {label(SEOUL)} AS day, count(*) AS events FROM ev WHERE user_id % 2 = 0 AND provider_key = 'view' GROUP BY 1, 2), t AS (SELECT user_id, {label(SEOUL)} AS day, count(*) AS calls FROM tl WHERE user_id % 3 = 0 AND activity_kind = 'skill' GROUP BY 1, 2) SELECT user_id, day, coalesce(events, 0) AS events, coalesce(calls, 0) AS calls FROM u FULL JOIN t USING (user_id, day)")
+@query("jn17_usage_and_tool_days", f"WITH {T.TOOLS}, u AS (SELECT user_id, {label(SEOUL)} AS day, count(*) AS events FROM ev WHERE provider_key = 'view' GROUP BY 1, 2), t AS (SELECT user_id, {label(SEOUL)} AS day, count(*) AS calls FROM tl WHERE activity_kind = 'skill' GROUP BY 1, 2) SELECT user_id, day, coalesce(events, 0) AS events, coalesce(calls, 0) AS calls FROM u FULL JOIN t USING (user_id, day)")
 def _(spark, d):
     n = lambda df, name: df.groupBy("user_id", X.bucket_label("ts", SEOUL).alias("day")).agg(F.count(F.lit(1)).alias(name))
-    u = n(T.usage_events(spark, d).where("user_id % 2 = 0 AND provider_key = 'view'"), "events")
-    t = n(T.tool_events(spark, d).where("user_id % 3 = 0 AND activity_kind = 'skill'"), "calls")
+    u = n(T.usage_events(spark, d).where("provider_key = 'view'"), "events")
+    t = n(T.tool_events(spark, d).where("activity_kind = 'skill'"), "calls")
     return u.join(t, ["user_id", "day"], "full").na.fill(0, ["events", "calls"])
 
 

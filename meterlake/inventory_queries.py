@@ -311,15 +311,15 @@ def _(spark, d):
     return ingest.replayed(bare.unionByName(e.where("event_id % 3 = 0"))).select("event_id")
 
 
-@query("jn12_zone_units", f"WITH b AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS ts FROM events WHERE event_id % 50 = 0) SELECT DISTINCT '{SEOUL}' AS zone, 'day' AS unit, {label(SEOUL)} AS label FROM b UNION SELECT '{SEOUL}', 'hour', {label(SEOUL, '%Y-%m-%d %H:00')} FROM b UNION SELECT '{YORK}', 'day', {label(YORK)} FROM b UNION SELECT '{YORK}', 'hour', {label(YORK, '%Y-%m-%d %H:00')} FROM b")
+@query("jn12_zone_units", f"WITH b AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS ts FROM events) SELECT DISTINCT '{SEOUL}' AS zone, 'day' AS unit, {label(SEOUL)} AS label FROM b UNION SELECT '{SEOUL}', 'hour', {label(SEOUL, '%Y-%m-%d %H:00')} FROM b UNION SELECT '{YORK}', 'day', {label(YORK)} FROM b UNION SELECT '{YORK}', 'hour', {label(YORK, '%Y-%m-%d %H:00')} FROM b")
 def _(spark, d):
-    return jobs.affected_jobs(ingest.dirty_buckets(T.usage_events(spark, d).where("event_id % 50 = 0")), [SEOUL, YORK])
+    return jobs.affected_jobs(ingest.dirty_buckets(T.usage_events(spark, d)), [SEOUL, YORK])
 
 
-@query("jn13_snapshot_items", "SELECT s_suppkey AS device, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS items FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_partkey % 50 = 0 GROUP BY 1")
+@query("jn13_snapshot_items", "SELECT s_suppkey AS device, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS items FROM supplier LEFT JOIN lineitem ON CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END = s_suppkey GROUP BY 1")
 def _(spark, d):
-    """Devices with what they have; one that has nothing stays."""
-    items = table(spark, d, "lineitem").where("l_partkey % 50 = 0").groupBy(F.col("l_suppkey").alias("device")).agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("items"))
+    """Devices with what they have; one that has nothing stays.  Items of every seventh device name none."""
+    items = table(spark, d, "lineitem").groupBy(F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("device")).agg(F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("items"))
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("device")).join(items, "device", "left").na.fill("", ["items"])
 
 
@@ -404,11 +404,18 @@ def _(spark, d):
 # Periods and rollup state
 
 
-@query("tim3_first_instants", f"WITH x AS (SELECT unnest(generate_series(DATE '2024-03-01', DATE '2024-11-30', INTERVAL 1 DAY)) AS wall) SELECT strftime(wall, '%Y-%m-%d') AS day, timezone('UTC', timezone('{YORK}', wall)) AS first_instant FROM x")
+_ZONED = "CASE n % 4 WHEN 0 THEN 'Asia/Seoul' WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Europe/Berlin' ELSE 'Etc/UTC' END"
+
+
+def zone_of(n):
+    return F.when(n % 4 == 0, SEOUL).when(n % 4 == 1, YORK).when(n % 4 == 2, "Europe/Berlin").otherwise("Etc/UTC")
+
+
+@query("tim3_first_instants", f"WITH x AS (SELECT DISTINCT o_orderdate::DATE AS wall, o_orderkey % 4 AS n FROM orders) SELECT strftime(wall, '%Y-%m-%d') AS day, {_ZONED} AS zone, timezone('UTC', timezone({_ZONED}, wall::TIMESTAMP)) AS first_instant FROM x")
 def _(spark, d):
-    days = [date(2024, 3, 1) + timedelta(days=n) for n in range(275)]
-    rows = [(str(x), timeutil.first_instant(x, YORK).replace(tzinfo=None)) for x in days]
-    return spark.createDataFrame(rows, "day string, first_instant timestamp_ntz")
+    """The first instants of all days on which something was ordered, in four zones, over many changes of clocks."""
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").cast("string").alias("day"), zone_of(F.col("o_orderkey")).alias("zone")).distinct()
+    return days.withColumn("first_instant", X.first_instant(F.col("day"), F.col("zone")))
 
 
 @query("tim4_calendar", "SELECT event_id, (ts::DATE - CAST(dayofweek(ts) AS INT))::DATE AS week, date_trunc('quarter', ts)::DATE AS quarter, (ts::DATE + INTERVAL 1 MONTH)::DATE AS month_later FROM events")
@@ -480,14 +487,25 @@ def _(spark, d):
     return rollup.ready_prefix(buckets, covered, dirty).select(F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("agg36_rollup_progress", "SELECT 75.0::DOUBLE AS percent, 72 AS completed, 96 AS total, 25 AS remaining, 13 AS eta_minutes")
-def _(spark, d):
-    at = datetime(2024, 1, 10, tzinfo=UTC)
-    p = jobs.progress(at, at + timedelta(days=1), at + timedelta(hours=18), [at + timedelta(hours=3), at + timedelta(hours=20)], 2.0)
-    return spark.createDataFrame([(float(p.percent), p.completed, p.total, p.remaining, p.eta_minutes)], "percent double, completed int, total int, remaining int, eta_minutes int")
+_EDGES = "s AS (SELECT c_custkey AS id, TIMESTAMP '2024-01-10' + to_days(c_custkey % 5) AS a, TIMESTAMP '2024-01-10' + to_days(c_custkey % 5 + c_custkey % 4) + to_minutes(15 * (c_custkey % 90)) AS b, CASE WHEN c_custkey % 11 <> 0 THEN TIMESTAMP '2024-01-10' + to_minutes(15 * (c_custkey % 700)) END AS w, c_custkey % 4 * 0.5::DOUBLE AS pace FROM customer)"
 
 
-# Algorithms
+@query("agg36_rollup_progress", f"""WITH {_EDGES}, q AS (SELECT *, (date_diff('minute', a, b) + 14) // 15 AS total, CASE WHEN w IS NULL THEN a ELSE least(b, greatest(a, w)) END AS edge FROM s),
+r AS (SELECT *, greatest(0, date_diff('minute', edge, b) // 15) AS ahead FROM q), e AS (SELECT DISTINCT user_id, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket FROM events),
+n AS (SELECT id, count(bucket) AS again FROM r LEFT JOIN e ON user_id = id AND bucket >= a AND bucket < b AND NOT (date_diff('minute', edge, bucket) % 15 = 0 AND bucket >= edge AND date_diff('minute', edge, bucket) // 15 < ahead) GROUP BY 1)
+SELECT id, CASE WHEN total > 0 THEN floor(1000 * greatest(0, total - ahead) / total + 0.5) / 10 ELSE 100.0 END::DOUBLE AS percent, greatest(0, total - ahead)::BIGINT AS completed, total::BIGINT AS total, (ahead + again)::BIGINT AS remaining, CASE WHEN ahead + again = 0 THEN 0 WHEN pace > 0 THEN ceil((ahead + again) / pace) END::BIGINT AS eta_minutes FROM r JOIN n USING (id)""")
+def _(spark, d):
+    """The progress of many coordinators, each with its range, watermark and pace; a user's events make its buckets dirty."""
+    k, at = F.col("c_custkey"), F.lit("2024-01-10").cast("timestamp")
+    state = table(spark, d, "customer").select(
+        k.alias("id"),
+        (at + F.make_dt_interval((k % 5).cast("int"))).alias("start"),
+        (at + F.make_dt_interval((k % 5 + k % 4).cast("int"), mins=(k % 90 * 15).cast("int"))).alias("end"),
+        F.when(k % 11 != 0, at + F.make_dt_interval(mins=(k % 700 * 15).cast("int"))).alias("watermark"),
+        (k % 4 * F.lit(0.5)).alias("per_minute"),
+    )
+    dirty = T.usage_events(spark, d).select(F.col("user_id").alias("id"), X.bucket_start("ts").alias("bucket"))
+    return jobs.progress_of(state, dirty)
 
 
 @query("alg2_cost_modes", f"WITH {T.EV} SELECT event_id, CASE WHEN event_id % 2 = 0 THEN cost_usd::DOUBLE ELSE 0 END AS display, CASE WHEN event_id % 2 = 0 THEN cost_usd::DOUBLE WHEN event_id % 3 = 0 THEN 1.5 ELSE 0 END AS auto, CASE WHEN event_id % 3 = 0 THEN 1.5 ELSE 0 END::DOUBLE AS calculate FROM ev")
@@ -575,10 +593,10 @@ def _(spark, d):
     return n.select(F.inline(F.array(*[F.struct(F.lit(w).alias("week"), F.col(f"current{w}").alias("current_days"), F.col(f"baseline{w}").alias("baseline_days")) for w in range(12)])))
 
 
-@query("alg11_baseline_scores", """WITH b AS (SELECT l_suppkey AS k, list(l_discount) AS l, median(l_discount) AS m, max(l_tax) AS cur FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), s AS (SELECT k, m, cur, list_median(list_transform(l, lambda x: abs(x - m))) AS mad FROM b)
+@query("alg11_baseline_scores", """WITH b AS (SELECT l_suppkey AS k, list(l_discount) AS l, median(l_discount) AS m, max(l_tax) AS cur FROM lineitem GROUP BY 1), s AS (SELECT k, m, cur, list_median(list_transform(l, lambda x: abs(x - m))) AS mad FROM b)
 SELECT k AS supplier, greatest(0, least(100, floor(0.5 + 50 + 15 * ((cur - m) / greatest(1.4826 * mad, 0.05)))))::BIGINT AS score FROM s""")
 def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.collect_list("l_discount").alias("baseline"), F.max("l_tax").alias("current"))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.collect_list("l_discount").alias("baseline"), F.max("l_tax").alias("current"))
     return li.select("supplier", X.baseline_score(F.col("current"), F.col("baseline")).alias("score"))
 
 
@@ -608,10 +626,15 @@ def _(spark, d):
     return buckets.join(e, "bucket", "left").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
-@query("str7_prewarm_windows", f"SELECT 'day' AS unit, count(*) AS windows, timezone('UTC', timezone('{SEOUL}', TIMESTAMP '2024-01-30' - INTERVAL 399 DAY)) AS first_from, timezone('UTC', timezone('{SEOUL}', TIMESTAMP '2024-01-31')) AS last_to FROM range(25) UNION ALL SELECT 'hour', 48, timezone('UTC', timezone('{SEOUL}', TIMESTAMP '2024-01-30' - INTERVAL 31 DAY)), timezone('UTC', timezone('{SEOUL}', TIMESTAMP '2024-01-31'))")
+@query("str7_prewarm_windows", f"""WITH z AS (SELECT n_nationkey AS id, {_ZONED.replace("n %", "n_nationkey %")} AS zone, DATE '2024-01-10' + (n_nationkey * 13)::INT AS today FROM nation), i AS (SELECT *, unnest([399, 31, -1]) AS back FROM z),
+j AS (SELECT id, back, timezone('UTC', timezone(zone, (today - back::INT)::TIMESTAMP)) AS moment FROM i), p AS (SELECT id, max(moment) FILTER (WHERE back = 399) AS a, max(moment) FILTER (WHERE back = 31) AS h, max(moment) FILTER (WHERE back = -1) AS b FROM j GROUP BY 1)
+SELECT id, 'day' AS unit, 25::BIGINT AS windows, a AS first_from, b AS last_to FROM p UNION ALL SELECT id, 'hour', ceil(date_diff('minute', h, b) / 960.0)::BIGINT, h, b FROM p""")
 def _(spark, d):
-    w = spark.createDataFrame([(u, a.replace(tzinfo=None), b.replace(tzinfo=None)) for u, a, b in jobs.prewarm(date(2024, 1, 30), SEOUL)], "unit string, a timestamp_ntz, b timestamp_ntz")
-    return w.groupBy("unit").agg(F.count(F.lit(1)).alias("windows"), F.min("a").alias("first_from"), F.max("b").alias("last_to"))
+    """Windows of many zones and days, over changes of clocks: 25 chunks of days and as many of hours as the last days have."""
+    n = F.col("n_nationkey")
+    at = table(spark, d, "nation").select(n.alias("id"), zone_of(n).alias("zone"), F.date_add(F.lit("2024-01-10").cast("date"), (n * 13).cast("int")).alias("today"))
+    w = jobs.prewarm_windows(at)
+    return w.groupBy("id", "unit").agg(F.count(F.lit(1)).alias("windows"), F.min("start").alias("first_from"), F.max("end").alias("last_to"))
 
 
 @query("str14_read_fence", "SELECT DISTINCT c_custkey AS user_id FROM customer WHERE c_custkey % 24 < 12 AND c_custkey % 24 + c_custkey % 3 + 1 > 6")

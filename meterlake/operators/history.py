@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,14 +63,29 @@ def matched(turns: DataFrame, usage: DataFrame, tolerance_ms: int = 10_000) -> D
     """
 
     def greedy(key: tuple, t: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
-        u = u.sort_values(["ts_ms", "event"]).reset_index(drop=True)
-        free, out = pd.Series(True, u.index), []
-        for row in t.sort_values(["ts_ms", "key"]).itertuples():
-            gap = (u.ts_ms - row.ts_ms).abs()[free]
-            if len(gap) and gap.min() <= tolerance_ms:
-                best = gap.idxmin()
-                free[best] = False
-                out.append((key[0], row.key, u.event[best]))
+        u = u.sort_values(["ts_ms", "event"])
+        at, events = u.ts_ms.tolist(), u.event.tolist()
+        n = len(at)
+        after, before = list(range(n + 1)), list(range(n + 1))  # the next free event from here on, and (by place + 1) up to here
+
+        def free(to: list[int], i: int) -> int:
+            while to[i] != i:
+                to[i] = to[to[i]]
+                i = to[i]
+            return i
+
+        out = []
+        for name, ts in t.sort_values(["ts_ms", "key"])[["key", "ts_ms"]].itertuples(index=False):
+            place = bisect_left(at, ts)
+            right, left = free(after, place), free(before, place) - 1
+            best = None
+            if left >= 0:
+                best = free(after, bisect_left(at, at[left]))  # the first free one of that time
+            if right < n and (best is None or at[right] - ts < ts - at[best]):
+                best = right
+            if best is not None and abs(at[best] - ts) <= tolerance_ms:
+                after[best], before[best + 1] = best + 1, best
+                out.append((key[0], name, events[best]))
         return pd.DataFrame(out, columns=["session", "key", "event"])
 
     kinds = dict(turns.dtypes) | {f"u_{a}": b for a, b in usage.dtypes}

@@ -29,11 +29,13 @@ def aliases(models: DataFrame, keys: DataFrame) -> DataFrame:
     eight-digit date, else the longest key that contains it or is contained; both relations are lists of names."""
     plain = F.regexp_replace("model", "^(" + "|".join(re.escape(p) for p in PREFIXES) + ")", "")
     m = models.select("model", plain.alias("p"), F.regexp_replace(plain, r"-\d{8}$", "").alias("s"))
-    k = F.col("model_id")
-    rank = F.when(k == F.col("model"), 0).when(k == F.col("p"), 1).when(k == F.col("s"), 2).when(F.contains("p", k) | F.contains(k, "s"), 3)
-    met = m.join(F.broadcast(keys), rank.isNotNull()).withColumn("r", rank)
-    w = Window.partitionBy("model").orderBy("r", F.desc(F.length("model_id")), "model_id")
-    return met.withColumn("n", F.row_number().over(w)).where("n = 1").select("model", "model_id")
+    names = m.select("model", F.posexplode(F.array("model", "p", "s")).alias("r", "model_id"))
+    equal = names.join(keys.select("model_id"), "model_id").groupBy("model").agg(F.min_by("model_id", "r").alias("model_id"))
+    # Only models that no key equals are held against all keys, as no equality can express a part of a name.
+    rest, k = m.join(equal, "model", "left_anti"), F.col("model_id")
+    part = rest.join(keys.select("model_id"), F.contains("p", k) | F.contains(k, "s"))
+    best = part.groupBy("model").agg(F.min_by("model_id", F.struct(-F.length("model_id"), "model_id")).alias("model_id"))
+    return equal.unionByName(best)
 
 
 def segments(revisions: DataFrame) -> DataFrame:

@@ -92,10 +92,17 @@ def personal(days: DataFrame, current: tuple[str, str], baseline: tuple[str, str
 
 
 def organisation(scores: DataFrame) -> DataFrame:
-    """Median, quartiles by nearest rank and bands; fewer than five active users are suppressed, fewer than five scores insufficient."""
-    s = F.col("score")
-    g = scores.agg(F.count_if(F.col("active_days") > 0).alias("active"), F.collect_list("score").alias("v"), F.count_if(s >= 56).alias("above"), F.count_if(s.between(45, 55)).alias("usual"), F.count_if(s <= 44).alias("below"))
-    n = F.size("v")
-    state = F.when(F.col("active") < 5, "suppressed").when(n < 5, "insufficient").otherwise("ready")
+    """Median, quartiles by nearest rank and bands; fewer than five active users are suppressed, fewer than five scores
+    insufficient.  Scores are whole numbers up to 100, so users are counted by score and ranks come from 101 rows at most."""
+    s, n = F.col("score"), F.col("n")
+    counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("active_days") > 0).alias("a"))
+    total = lambda on: F.coalesce(F.sum(F.when(on, n)), F.lit(0)).cast("long")
+    g = counts.agg(F.coalesce(F.sum("a"), F.lit(0)).cast("long").alias("active"), total(s.isNotNull()).alias("eligible"), F.sort_array(F.collect_list(F.when(s.isNotNull(), F.struct("score", "n")))).alias("v"), total(s >= 56).alias("above"), total(s.between(45, 55)).alias("usual"), total(s <= 44).alias("below"))
+    last = F.col("eligible") - 1
+    start = lambda k: F.struct(k.cast("long").alias("left"), F.lit(None).cast("long").alias("hit"))
+    ranked = lambda k: F.aggregate("v", start(k), lambda a, x: F.struct((a["left"] - x["n"]).alias("left"), F.coalesce(a["hit"], F.when(a["left"] < x["n"], x["score"].cast("long"))).alias("hit")))["hit"]
+    median = (ranked(F.floor(last / 2)) + ranked(F.ceil(last / 2))) / 2
+    quartile = lambda share: ranked(F.floor(last * share + 0.5)).cast(scores.schema["score"].dataType)
+    state = F.when(F.col("active") < 5, "suppressed").when(F.col("eligible") < 5, "insufficient").otherwise("ready")
     ready = lambda x: F.when(state == "ready", x)
-    return g.select("active", n.cast("long").alias("eligible"), state.alias("state"), ready(X.array_median(F.col("v"))).cast("double").alias("median"), ready(X.nearest_rank(F.col("v"), 0.25)).alias("p25"), ready(X.nearest_rank(F.col("v"), 0.75)).alias("p75"), *[ready(F.col(c)).alias(c) for c in ("above", "usual", "below")])
+    return g.select("active", "eligible", state.alias("state"), ready(median).cast("double").alias("median"), ready(quartile(0.25)).alias("p25"), ready(quartile(0.75)).alias("p75"), *[ready(F.col(c)).alias(c) for c in ("above", "usual", "below")])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeutil
-from ..functions.exprs import bucket_label
+from ..functions.exprs import bucket_label, first_instant
 
 #: Fixed values of scheduling, in seconds.
 CADENCE, REPAIR_CADENCE, STARVED = 60, 10, 120
@@ -42,6 +42,18 @@ def prewarm(today: date, zone: str, days: int = 400, hour_days: int = 32, chunk:
     return out
 
 
+def prewarm_windows(zones: DataFrame, days: int = 400, hour_days: int = 32, chunk: int = 16) -> DataFrame:
+    """`prewarm` of many zones and days (id, zone, today) at once: id, unit, start and end."""
+    at = lambda n: first_instant(F.date_sub("today", n), F.col("zone"))
+    by_day = zones.select("id", "zone", "today", F.explode(F.sequence(F.lit(0), F.lit(days - 1), F.lit(chunk))).alias("n"))
+    by_day = by_day.select("id", F.lit("day").alias("unit"), at(F.least(F.col("n") + chunk, F.lit(days)) - 1).alias("start"), at(F.col("n") - 1).alias("end"))
+    hours = F.make_dt_interval(hours=F.lit(chunk))
+    span = zones.select("id", at(F.lit(hour_days - 1)).alias("low"), at(F.lit(-1)).alias("high"))
+    by_hour = span.select("id", "low", F.explode(F.sequence(F.col("high"), F.col("low") + F.expr("interval 1 second"), -hours)).alias("end"))
+    by_hour = by_hour.select("id", F.lit("hour").alias("unit"), F.greatest("low", F.col("end") - hours).alias("start"), "end")
+    return by_day.unionByName(by_hour)
+
+
 @dataclass(frozen=True)
 class Candidate:
     task: str
@@ -95,6 +107,21 @@ def progress(start: datetime, end: datetime, watermark: datetime | None, dirty:
     return Progress(round(100 * done / total, 1) if total else 100.0, done, total, left, eta)
 
 
+def progress_of(states: DataFrame, dirty: DataFrame, minutes: int = 15) -> DataFrame:
+    """`progress` of many: states (id, start, end, watermark, per_minute), dirty (id, bucket)."""
+    width, micros = minutes * 60_000_000, F.unix_micros
+    s = states.select("id", "per_minute", micros("start").alias("a"), micros("end").alias("b"), F.coalesce(F.least("end", F.greatest("start", F.nvl2("watermark", F.col("watermark"), F.col("start")))), "start").alias("edge"))
+    s = s.withColumn("edge", micros("edge")).withColumn("total", F.ceil(F.greatest(F.col("b") - F.col("a"), F.lit(0)) / width)).withColumn("ahead", F.greatest(F.floor((F.col("b") - F.col("edge")) / width), F.lit(0)))
+    d = dirty.select(F.col("id").alias("d_id"), micros("bucket").alias("d")).distinct()
+    past = F.col("d") - F.col("edge")
+    within = (F.col("d") >= F.col("a")) & (F.col("d") < F.col("b")) & ~((past % width == 0) & (past >= 0) & (past / width < F.col("ahead")))
+    again = s.join(d, F.col("id") == F.col("d_id")).where(within).groupBy("id").agg(F.count(F.lit(1)).alias("again"))
+    met = s.join(again, "id", "left").withColumn("left", F.col("ahead") + F.coalesce("again", F.lit(0))).withColumn("done", F.greatest(F.col("total") - F.col("ahead"), F.lit(0)))
+    percent = F.when(F.col("total") > 0, F.floor(1000 * F.col("done") / F.col("total") + 0.5) / 10).otherwise(100.0)
+    eta = F.when(F.col("left") == 0, 0).when(F.col("per_minute") > 0, F.ceil(F.col("left") / F.col("per_minute")))
+    return met.select("id", percent.alias("percent"), F.col("done").cast("long").alias("completed"), F.col("total").cast("long").alias("total"), F.col("left").cast("long").alias("remaining"), eta.cast("long").alias("eta_minutes"))
+
+
 def backlog(jobs: DataFrame) -> DataFrame:
     """Pending and running jobs of each zone, hours and days apart, and the oldest that waits."""
     n = lambda s, u: F.count_if((F.col("state") == s) & (F.col("unit") == u)).alias(f"{s}_{u}s")

@@ -85,7 +85,7 @@ def _(spark, d):
 def _(spark, d):
     providers = spark.sql("SELECT * FROM VALUES ('click', 'logfile'), ('view', 'logfile'), ('error', 'logfile'), ('signup', 'otel') AS p(provider_key, method)")
     gate = providers.where("method = 'logfile'").select("provider_key")
-    return T.usage_events(spark, d).join(F.broadcast(gate), "provider_key", "left_semi").groupBy("provider_key").agg(F.count(F.lit(1)).alias("events"))
+    return T.usage_events(spark, d).join(gate, "provider_key", "left_semi").groupBy("provider_key").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("flt6_expiry", f"WITH {T.EV} SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-20') AS kept, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-20') AS expired FROM ev")
@@ -334,11 +334,13 @@ def _(spark, d):
     return src.groupBy(X.bucket_label("ts", SEOUL).alias("bucket")).agg(*X.measures())
 
 
-@query("agg22_fingerprints_agree")
+@query("agg22_fingerprints_agree", f"WITH {T.EV}, c AS (SELECT count(*) AS rows FROM (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS b, provider_key, user_id, session_id, model, host, cost_status FROM ev)) SELECT true AS agree, (SELECT rows FROM c) AS rows, count(*) AS event_count, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM ev")
 def _(spark, d):
+    """The fingerprints of the raw events and of a rollup of them are the same, hash and all."""
     e = T.usage_events(spark, d)
     a, b = rollup.fingerprint(e), rollup.fingerprint(rollup.compact(e))
-    return a.intersect(b)
+    both = a.select(F.struct(*a.columns).alias("a")).crossJoin(b.select(F.struct(*b.columns).alias("b")))  # a row each
+    return both.select((F.col("a") == F.col("b")).alias("agree"), *[F.col(f"a.{c}").alias(c) for c in ("rows", "event_count", "input_tokens", "output_tokens")])
 
 
 @query("snk6_dirty_buckets", "SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS bucket FROM events WHERE user_id = 3")

@@ -136,13 +136,15 @@ def _(spark, d):
     return logs.requests(records).select("session_id", "input_tokens", "output_tokens", "cache_read_tokens")
 
 
-@query("alg29_turn_matches", f"WITH {T.EV}, s AS (SELECT session_id, min(event_id) AS event FROM ev WHERE session_id IS NOT NULL GROUP BY 1) SELECT session_id AS session, event AS key, event FROM s")
+@query("alg29_turn_matches", f"""WITH {T.EV}, e AS (SELECT session_id AS session, event_id AS event, epoch_ms(ts) AS ms FROM ev WHERE session_id IS NOT NULL), s AS (SELECT session, min(ms) AS m FROM e GROUP BY 1),
+a AS (SELECT session, arg_min(event, (abs(ms - m - 4000), ms, event)) AS event FROM e JOIN s USING (session) GROUP BY 1), b AS (SELECT e.session, arg_min(e.event, (abs(ms - m - 5000), ms, e.event)) AS event FROM e JOIN s USING (session) JOIN a ON a.session = e.session AND a.event <> e.event GROUP BY 1),
+c AS (SELECT e.session, arg_min(e.event, (abs(ms - m - 6000), ms, e.event)) AS event FROM e JOIN s USING (session) JOIN a ON a.session = e.session AND a.event <> e.event JOIN b ON b.session = e.session AND b.event <> e.event GROUP BY 1)
+SELECT session, 1 AS key, event FROM a UNION ALL SELECT session, 2, event FROM b UNION ALL SELECT session, 3, event FROM c""")
 def _(spark, d):
-    """One turn a session, four seconds after its first event and far from a second one taken: the nearest event is its own."""
-    e = T.usage_events(spark, d).where("session_id IS NOT NULL")
-    first = e.groupBy("session_id").agg(F.min_by(F.struct("event_id", "ts"), "event_id").alias("x")).select(F.col("session_id").alias("session"), F.col("x.event_id").alias("event"), F.unix_millis("x.ts").alias("ts_ms"))
-    t = first.select("session", F.col("event").alias("key"), (F.col("ts_ms") + 4000).alias("ts_ms"))
-    return history.matched(t, first).select("session", "key", "event")
+    """Three turns of a session, all nearest to its first event: the first takes it, the others what is left, if there is any."""
+    e = T.usage_events(spark, d).where("session_id IS NOT NULL").select(F.col("session_id").alias("session"), F.col("event_id").alias("event"), F.unix_millis("ts").alias("ts_ms"))
+    t = e.groupBy("session").agg(F.min("ts_ms").alias("first")).select("session", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("key"), "first").select("session", "key", (F.col("first") + 3000 + F.col("key") * 1000).alias("ts_ms"))
+    return history.matched(t, e, 2 * 86_400_000).select("session", "key", "event")
 
 
 @query("alg30_agent_turns", f"{_TURNS}, a AS (SELECT *, CASE WHEN turn % 3 = 2 THEN 'b' || (session % 2) END AS agent FROM t), i AS (SELECT *, sum(CASE WHEN agent IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY turn) AS island FROM a) SELECT session, agent, count(DISTINCT island) AS runs, count(*) AS turns FROM i WHERE agent IS NOT NULL GROUP BY 1, 2")
@@ -181,15 +183,17 @@ def _(spark, d):
 # Time and state
 
 
-@query("tim11_zone_names", "SELECT * FROM (VALUES ('Asia/Seoul', true), ('Etc/UTC', true), ('America/New_York', true), ('seoul', false), ('+09:00', false), ('Asia/Seoul; DROP', false)) AS v(zone, known)")
+@query("tim11_zone_names", """WITH c AS (SELECT DISTINCT CASE o_orderkey % 5 WHEN 0 THEN n_name WHEN 1 THEN upper(n_name[1:1]) || lower(n_name[2:]) WHEN 2 THEN 'Asia/' || upper(n_name[1:1]) || lower(n_name[2:]) WHEN 3 THEN ['Asia/Seoul', 'Etc/UTC', 'America/New_York', 'seoul'][n_nationkey % 4 + 1] ELSE ['+09:00', 'Asia/Seoul; DROP', 'Europe/Berlin ', 'UTC'][n_nationkey % 4 + 1] END AS zone FROM orders JOIN nation ON n_nationkey = o_orderkey % 25)
+SELECT zone, zone IN (SELECT name FROM pg_timezone_names()) AS known FROM c""")
 def _(spark, d):
-    def known(name: str) -> bool:
-        try:
-            return bool(timeutil.zone(name))
-        except ValueError:
-            return False
-
-    return spark.createDataFrame([(x, known(x)) for x in ("Asia/Seoul", "Etc/UTC", "America/New_York", "seoul", "+09:00", "Asia/Seoul; DROP")], "zone string, known boolean")
+    """Names that people gave against the names of all zones, exactly as they are."""
+    key, n = F.col("o_orderkey"), F.col("n_nationkey")
+    title = F.concat(F.upper(F.substring("n_name", 1, 1)), F.lower(F.substring("n_name", 2, 100)))
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (n % 4 + 1).cast("int"))
+    asked = F.when(key % 5 == 0, F.col("n_name")).when(key % 5 == 1, title).when(key % 5 == 2, F.concat(F.lit("Asia/"), title)).when(key % 5 == 3, pick("Asia/Seoul", "Etc/UTC", "America/New_York", "seoul")).otherwise(pick("+09:00", "Asia/Seoul; DROP", "Europe/Berlin ", "UTC"))
+    said = table(spark, d, "orders").join(table(spark, d, "nation"), key % 25 == n).select(asked.alias("zone")).distinct()
+    known = spark.createDataFrame([(x, True) for x in sorted(timeutil.available_timezones())], "zone string, known boolean")
+    return said.join(known, "zone", "left").na.fill(False, ["known"])
 
 
 @query("str1_watermark", "WITH b AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS b FROM events WHERE event_type <> 'view'), g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-24 12:00', INTERVAL 15 MINUTE)) AS g) SELECT coalesce(min(g), TIMESTAMP '2024-01-24 12:15') AS watermark FROM g WHERE g NOT IN (SELECT b FROM b)")
@@ -247,12 +251,13 @@ def _(spark, d):
 _STATES = "['backfilling', 'observing', 'active', 'fallback']"
 
 
-@query("str12_read_layer", f"WITH m AS (SELECT unnest(['raw', 'auto', 'rollup']) AS mode), r AS (SELECT unnest({_STATES}) AS rollup), z AS (SELECT unnest({_STATES}) AS zones) SELECT mode, rollup, zones, CASE WHEN mode = 'raw' OR (mode = 'auto' AND rollup <> 'active') THEN 'raw' WHEN zones = 'active' THEN 'zones' ELSE 'rollup' END AS layer FROM m, r, z")
+@query("str12_read_layer", f"WITH s AS (SELECT ['raw', 'auto', 'rollup'][l_orderkey % 3 + 1] AS mode, {_STATES}[l_partkey % 4 + 1] AS rollup, {_STATES}[l_suppkey % 4 + 1] AS zones FROM lineitem) SELECT mode, rollup, zones, CASE WHEN mode = 'raw' OR (mode = 'auto' AND rollup <> 'active') THEN 'raw' WHEN zones = 'active' THEN 'zones' ELSE 'rollup' END AS layer, count(*) AS reads FROM s GROUP BY ALL")
 def _(spark, d):
-    each = lambda name, *values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    """Where reads go, by mode and the states of both layers."""
+    pick = lambda c, *values: F.element_at(F.array(*map(F.lit, values)), (F.col(c) % len(values) + 1).cast("int"))
     states = ("backfilling", "observing", "active", "fallback")
-    x = spark.range(1).select(each("mode", "raw", "auto", "rollup")).select("mode", each("rollup", *states)).select("*", each("zones", *states))
-    return x.withColumn("layer", jobs.read_layer(F.col("mode"), F.col("rollup"), F.col("zones")))
+    x = table(spark, d, "lineitem").select(pick("l_orderkey", "raw", "auto", "rollup").alias("mode"), pick("l_partkey", *states).alias("rollup"), pick("l_suppkey", *states).alias("zones"))
+    return x.withColumn("layer", jobs.read_layer(F.col("mode"), F.col("rollup"), F.col("zones"))).groupBy("mode", "rollup", "zones", "layer").agg(F.count(F.lit(1)).alias("reads"))
 
 
 @query("agg3_empty_scope", f"{BASE} SELECT {label(SEOUL)} AS bucket, count(*) AS events FROM p WHERE false GROUP BY 1")

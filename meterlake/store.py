@@ -2,23 +2,26 @@
 
 Facts are append-only.  `usage_events` has the first row of every key; a row that is repriced, moved to a team or withdrawn
 is in `replacements` under a higher version.  Reads take the last version of replaced keys and all others as they are, so a
-scan without replacements needs no shuffle, and one with few needs a broadcast at most.  One writer at a time.
+scan without replacements needs no shuffle, and one with few needs a broadcast at most.  Both tables are partitioned by
+the month of `ts` (in UTC), so a question about a period reads its months alone; a key always has the same `ts`.  One
+writer at a time.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
-from .operators import compare, ingest, pricing, repair, tools, usage
+from .functions import timeutil
+from .operators import compare, history, ingest, pricing, repair, tools, usage
 from .operators.usage import Scope
-from .plans import rollup
+from .plans import outbox, rollup
 
 EVENT = """event_id bigint, dedup_key string, provider_key string, user_id bigint, session_id string, model string, host string,
 ts timestamp, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint,
@@ -50,8 +53,17 @@ class UsageStore:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def events(self) -> DataFrame:
-        base, again = self.table("usage_events"), self.table("replacements")
+    def _months(self, name: str, period: tuple[str | datetime, str | datetime] | None) -> DataFrame | None:
+        """A table of facts, of a period (its end included) only the months."""
+        rows = self.table(name)
+        if rows is None or period is None:
+            return rows
+        first, last = (X.utc_month(F.lit(x).cast("timestamp")) for x in period)
+        return rows.where((F.col("event_month") >= first) & (F.col("event_month") <= last))
+
+    def events(self, period: tuple[str | datetime, str | datetime] | None = None) -> DataFrame:
+        """All events, or those of the months of a period."""
+        base, again = self._months("usage_events", period), self._months("replacements", period)
         if base is None:
             return self.spark.createDataFrame([], EVENT)
         if again is None:
@@ -61,9 +73,8 @@ class UsageStore:
         return kept.select(*self.columns).unionByName(last.where("NOT gone").select(*self.columns))
 
     def _replace(self, rows: DataFrame, gone: bool = False) -> None:
-        again = self.table("replacements")
-        version = 1 if again is None else again.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
-        self._append(rows.select(*self.columns, F.lit(version).cast("long").alias("version"), F.lit(gone).alias("gone")), "replacements")
+        version = F.lit(time.time_ns()).cast("long")
+        self._append(rows.select(*self.columns, version.alias("version"), F.lit(gone).alias("gone"), X.utc_month(F.col("ts")).alias("event_month")), "replacements", "event_month")
         self._mark(rows)
 
     def _mark(self, rows: DataFrame) -> None:
@@ -71,7 +82,7 @@ class UsageStore:
         self._append(ingest.dirty_buckets(rows).withColumn("mark", F.lit(time.time_ns())), "dirty")
 
     def _scan(self, scope: Scope) -> DataFrame:
-        return usage.scan(self.events(), scope)
+        return usage.scan(self.events((scope.start, scope.end)), scope)
 
     def _oldest(self, rows: DataFrame, limit: int) -> tuple[DataFrame, bool]:
         """The oldest rows up to a limit, and whether there are more."""
@@ -87,12 +98,15 @@ class UsageStore:
 
     def save_usage_events(self, batch: DataFrame) -> dict[str, int]:
         """Priced by time, attributed to the team of that time; a key that is there already is passed over.  A batch that
-        is sent again inserts nothing, and a withdrawn key may come back."""
+        is sent again inserts nothing, and a withdrawn key may come back.  Only the months of the batch are read."""
         price = pricing.priced(batch.drop("team_id", "revision_id"), self.revisions)
         rows = price.withColumns({"cost_usd": F.col("price").cast("decimal(18,8)"), "cost_status": F.col("status")})
-        rows = ingest.attributed(rows.drop("price", "status"), self.assignments).select(*self.columns)
-        new = self._staged(ingest.new_rows(rows, self.events(), order="ts"))
-        base = self.table("usage_events")
+        rows = self._staged(ingest.attributed(rows.drop("price", "status"), self.assignments).select(*self.columns))
+        *period, sent = rows.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+        if not sent:
+            return {"inserted": 0, "deduped": 0}
+        new = self._staged(ingest.new_rows(rows, self.events(period), order="ts"))
+        base = self._months("usage_events", period)
         if base is not None:
             back = new.join(base.select("dedup_key"), "dedup_key", "left_semi")
             if not back.isEmpty():
@@ -103,13 +117,16 @@ class UsageStore:
                 inserted = new.count()
         else:
             inserted = new.count()
-        self._append(new.withColumn("event_month", F.date_format("ts", "yyyy-MM")), "usage_events", "event_month")
+        self._append(new.withColumn("event_month", X.utc_month(F.col("ts"))), "usage_events", "event_month")
         self._mark(new)
-        return {"inserted": inserted, "deduped": batch.count() - inserted}
+        return {"inserted": inserted, "deduped": sent - inserted}
 
     def recompute_daily(self, days: list[str]) -> None:
         """Rebuilds these local days of both marts and no others."""
-        rows = self.events().where(X.bucket_label("ts", self.zone).isin(*days))
+        if not days:
+            return
+        near = (datetime.fromisoformat(min(days)) - timedelta(days=2), datetime.fromisoformat(max(days)) + timedelta(days=3))
+        rows = self.events(near).where(X.bucket_label("ts", self.zone).isin(*days))
         for key, name in (("user_id", "user_days"), ("team_id", "team_days")):
             ingest.rewrite_days(self.spark, ingest.daily_mart(rows, self.zone, key), f"{self.root}/{name}")
 
@@ -128,13 +145,15 @@ class UsageStore:
     def pricing_recovery_models(self, start: str, end: str) -> DataFrame:
         return ingest.diagnostics(self._scan(Scope(start, end)))
 
-    def repair_pricing(self, start: str, end: str, limit: int = 500) -> dict:
-        """Prices the oldest events that have no sound price and for which there is one now."""
-        known = pricing.segments(self.revisions)
-        candidates = repair.price_candidates(self._scan(Scope(start, end)))
+    def repair_pricing(self, start: str, end: str, limit: int = 500, weak: DataFrame | None = None) -> dict:
+        """Prices the oldest events that have no sound price, or one by a revision found not authoritative (weak:
+        revision_id), and for which there is one now."""
+        sound = self.revisions if weak is None else self.revisions.join(weak.select(F.col("revision_id").alias("id")), "id", "left_anti").select(*self.revisions.columns)
+        known = pricing.segments(sound)
+        candidates = repair.price_candidates(self._scan(Scope(start, end)), weak)
         on = (F.col("model") == F.col("model_id")) & (F.col("s_from") <= F.col("ts")) & (F.col("s_until").isNull() | (F.col("ts") < F.col("s_until")))
         rows, more = self._oldest(candidates.join(known, on, "left_semi"), limit)
-        out = repair.price_repair(rows, self.revisions).where(F.col("outcome").isin("recovered", "repriced"))
+        out = repair.price_repair(rows, sound, weak).where(F.col("outcome").isin("recovered", "repriced"))
         out = self._staged(out.withColumns({"cost_usd": F.col("price").cast("decimal(18,8)"), "cost_status": F.lit("priced")}).select(*self.columns, "outcome"))
         n = {r[0]: r[1] for r in out.groupBy("outcome").count().collect()}
         if n:
@@ -174,7 +193,7 @@ class UsageStore:
         if not buckets:
             return
         width = F.expr("interval 15 minutes")
-        rows = self.events().where((F.col("ts") >= F.lit(min(buckets))) & (F.col("ts") < F.lit(max(buckets)) + width))
+        rows = self.events((min(buckets), max(buckets) + timedelta(minutes=15))).where((F.col("ts") >= F.lit(min(buckets))) & (F.col("ts") < F.lit(max(buckets)) + width))
         self._compact(rows.where(X.bucket_start("ts").isin(*[F.lit(b) for b in buckets])), self.spark.createDataFrame([(b,) for b in buckets], "bucket timestamp"))
 
     def compact(self, start: str, end: str) -> None:
@@ -219,7 +238,7 @@ class UsageStore:
         return {"overview": usage.overview(rows), "daily": usage.series(rows, self.zone, bucket), "by_model": usage.breakdown(rows, "model", "(unknown)"), "by_host": usage.breakdown(rows, "host")}
 
     def insight_comparison(self, current: Scope, previous: Scope, zone: str | None = None) -> dict[str, DataFrame]:
-        both = compare.tagged(self.events(), current, previous)
+        both = compare.tagged(self.events((min(current.start, previous.start), max(current.end, previous.end))), current, previous)
         return {"trend": compare.summary_and_trend(both, zone or self.zone, current.start, previous.start), "composition": compare.composition(both)}
 
     def utilization_usage(self, scope: Scope, zone: str | None = None) -> DataFrame:
@@ -251,3 +270,65 @@ class UsageStore:
 
     def session_events(self, user: int, session: str) -> DataFrame:
         return self.events().where((F.col("user_id") == user) & (F.col("session_id") == session)).orderBy("ts", "dedup_key")
+
+    def storage_stats(self) -> DataFrame:
+        """Rows, first and last instant of each table of facts (the mart's days aside)."""
+        out = None
+        for name in ("raw_events", "usage_events", "replacements", "quarter_hours"):
+            rows = self.table(name)
+            at = "received_at" if name == "raw_events" else "ts"
+            one = (self.spark.createDataFrame([(0, None, None)], "n long, first timestamp, last timestamp") if rows is None else rows.agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))).select(F.lit(name).alias("name"), "n", "first", "last")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def supports_zone(self, zone: str) -> bool:
+        return zone in timeutil.available_timezones()
+
+    def flush_outbox(self, batches: DataFrame, now: datetime, send, limit: int = 100) -> DataFrame:
+        """batches (batch_id, state, updated_at): claims the waiting ones, sends each by a call that may fail, and gives all
+        of them as they are then.  A batch that failed is pending again."""
+        held = self._staged(outbox.claimed(batches, now, limit))
+        done = []
+        for (batch_id,) in held.where("claimed").select("batch_id").orderBy("batch_id").collect():  # limit at most
+            try:
+                send(batch_id)
+                done.append((batch_id, True))
+            except Exception:  # whatever the receiver raised
+                done.append((batch_id, False))
+        return outbox.delivered(held.drop("claimed"), self.spark.createDataFrame(done, f"batch_id {dict(batches.dtypes)['batch_id']}, ok boolean"))
+
+    # History (turns: session, turn, role, text) and tools
+
+    def save_turns(self, turns: DataFrame) -> None:
+        self._append(turns.select("session", "turn", "role", "text"), "turns")
+
+    def _turns(self) -> DataFrame:
+        rows = self.table("turns")
+        return self.spark.createDataFrame([], "session bigint, turn bigint, role string, text string") if rows is None else rows.dropDuplicates(["session", "turn"])
+
+    def history_page(self, before: tuple[int, int] | None = None, size: int = 20) -> tuple[DataFrame, bool]:
+        """Sessions, the last active first, with a preview of their request, and whether there are more."""
+        rows = self._staged(history.page(history.groups(self._turns()), before, size))
+        return rows.orderBy(F.desc("last_turn"), F.desc("session")).limit(size), rows.count() > size
+
+    def history_search(self, words: str) -> DataFrame:
+        return history.search(self._turns(), words)
+
+    def history_session(self, session: int) -> DataFrame:
+        """The turns of a session in order; those that a tool put there are marked, with the command that they call."""
+        mine, user = self._turns().where(F.col("session") == session), F.col("role") == "user"
+        return mine.select("turn", "role", "text", (user & X.is_meta(F.col("text"))).alias("meta"), F.when(user, X.meta_command(F.col("text"))).alias("command")).orderBy("turn")
+
+    def save_tool_events(self, rows: DataFrame) -> None:
+        """event_id, user_id, session_id, host, ts, activity_kind, item_key, outcome; a known event_id is passed over."""
+        had = self.table("tool_events")
+        new = self._staged(rows.dropDuplicates(["event_id"]) if had is None else rows.dropDuplicates(["event_id"]).join(had.select("event_id"), "event_id", "left_anti"))
+        self._append(new.withColumn("event_month", X.utc_month(F.col("ts"))), "tool_events", "event_month")
+
+    def tool_activity(self, start: str, end: str, user: int | None = None) -> dict[str, DataFrame]:
+        """The summary and the table of tools of a period, of one user or of all."""
+        rows = self._months("tool_events", (start, end))
+        if rows is None:
+            rows = self.spark.createDataFrame([], "event_id bigint, user_id bigint, session_id string, host string, ts timestamp, activity_kind string, item_key string, outcome string")
+        rows = rows.where(Scope(start, end, user=user).predicate())
+        return {"summary": tools.summary(rows), "tools": tools.table(rows), "days": tools.reliability_days(rows, self.zone)}

@@ -24,21 +24,24 @@ def quarter_hours(stream: DataFrame, late: str = "30 minutes") -> DataFrame:
 
 def raw_sink(stream: DataFrame, table: str, dirty: str, checkpoint: str) -> StreamingQuery:
     """Appends keys that the table doesn't have, one event of each, and the buckets that each batch touched.  A batch is
-    written under its number, so that one that is run again replaces itself."""
+    written under its number, so that one that is run again replaces itself.  The table is partitioned by the day (in UTC)
+    of its events first, and a batch meets the keys of its own days only, so its cost doesn't grow with the table."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates(["dedupKey"])
+        sent = batch.dropDuplicates(["dedupKey"]).withColumn("day", F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyyMMdd").cast("int"))
+        sent.persist()
+        days = [r.day for r in sent.select("day").distinct().collect()]
         try:
-            had = spark.read.parquet(table).where(F.col("batch") != number).select("dedupKey")
-            batch = batch.join(had, "dedupKey", "left_anti")
+            had = spark.read.parquet(table).where(F.col("day").isin(days) & (F.col("batch") != number)).select("dedupKey")
+            batch = sent.join(had, "dedupKey", "left_anti")
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+            batch = sent
         batch = batch.withColumn("batch", F.lit(number))
-        batch.persist()
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(table)
         batch.select(X.bucket_start("ts").alias("bucket"), "batch").distinct().write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(dirty)
-        batch.unpersist()
+        sent.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,12 +1,20 @@
 """Every query with SQL of its own against DuckDB over the same tables."""
 
+import random
+from collections import Counter
+from datetime import UTC, date, datetime, timedelta
+
 import pytest
 from compare import both, connection
 
 import meterlake.control_queries
 import meterlake.inventory_queries
 import meterlake.queries as Q
+import meterlake.reading_queries
 import meterlake.state_queries
+from meterlake.functions import cursor
+from meterlake.operators import history
+from meterlake.plans import jobs
 
 SF = "/root/testdata/sf0.01"
 
@@ -29,3 +37,56 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
 def test_runs(spark, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
+
+
+def test_turns_take_the_nearest_free_event(spark):
+    """Each turn in order, against a plain loop; with few instants, so that turns compete and times tie."""
+    rng = random.Random(6)
+    for tolerance, span in ((10_000, 60_000), (3, 12), (10**9, 40)):
+        turns = [(s, k, rng.randrange(span)) for s in range(6) for k in range(rng.randrange(40))]
+        usage = [(s, e, rng.randrange(span)) for s in range(1, 7) for e in range(rng.randrange(40))]
+        want = set()
+        for s in range(7):
+            free = sorted((ts, e) for x, e, ts in usage if x == s)
+            for ts, k in sorted((ts, k) for x, k, ts in turns if x == s):
+                best = min(free, key=lambda u: (abs(u[0] - ts), u), default=None)
+                if best and abs(best[0] - ts) <= tolerance:
+                    free.remove(best)
+                    want.add((s, k, best[1]))
+        got = history.matched(spark.createDataFrame(turns, "session int, key int, ts_ms long"), spark.createDataFrame(usage, "session int, event int, ts_ms long"), tolerance)
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_next_progress_and_windows_agree_with_the_driver(spark):
+    """The relations give what the functions for one coordinator give."""
+    at, q = datetime(2024, 3, 9, tzinfo=UTC), timedelta(minutes=15)
+    rng, states, dirty, want = random.Random(2), [], [], set()
+    for i in range(60):
+        start = at + rng.randrange(20) * q
+        end, mark = start + rng.randrange(-2, 30) * q + timedelta(minutes=rng.choice([0, 7])), rng.choice([None, at + rng.randrange(60) * q])
+        pace, bad = rng.choice([0.0, 0.5, 2.0]), [at + rng.randrange(60) * q for _ in range(rng.randrange(8))]
+        states.append((i, start, end, mark, pace))
+        dirty += [(i, b) for b in bad]
+        p = jobs.progress(start, end, mark, bad, pace)
+        want.add((i, p.completed, p.total, p.remaining, p.eta_minutes))
+    got = jobs.progress_of(spark.createDataFrame(states, "id int, start timestamp, end timestamp, watermark timestamp, per_minute double"), spark.createDataFrame(dirty, "id int, bucket timestamp"))
+    assert {(r.id, r.completed, r.total, r.remaining, r.eta_minutes) for r in got.collect()} == want
+    zones = [(0, "Asia/Seoul", date(2024, 1, 30)), (1, "America/New_York", date(2024, 3, 12)), (2, "America/Santiago", date(2024, 9, 9)), (3, "Etc/UTC", date(2024, 2, 29))]
+    rows = jobs.prewarm_windows(spark.createDataFrame(zones, "id int, zone string, today date")).collect()
+    assert Counter(tuple(r) for r in rows) == Counter((i, u, a.replace(tzinfo=None), b.replace(tzinfo=None)) for i, z, t in zones for u, a, b in jobs.prewarm(t, z))
+
+
+def test_signed_cursors():
+    now = datetime(2024, 1, 2, 3, 4, 5, 678000, tzinfo=UTC)
+    c = cursor.Cursor(now, now + timedelta(days=1), cursor.Place(now, "s/é"), cursor.Place(now, "k"), "12")
+    text = cursor.encode(c, "user:1", "secret")
+    assert cursor.decode(text, "user:1", "secret") == c and cursor.decode(cursor.encode(cursor.Cursor(now, c.end), "", "x"), "", "x") == cursor.Cursor(now, c.end)
+    payload, signature = text.split(".")
+    for bad in (None, "", payload, f"{payload}.", f".{signature}", f"{payload}.{signature}.x", f"{payload}x.{signature}", f"{payload}.{signature[:-2]}AA", "é.ü"):
+        assert cursor.decode(bad, "user:1", "secret") is None, bad
+    assert cursor.decode(text, "user:2", "secret") is None and cursor.decode(text, "user:1", "other") is None
+    for bad in (cursor.Cursor(now, now), cursor.Cursor(now, c.end, cursor.Place(now, "")), cursor.Cursor(now, c.end, None, c.after), cursor.Cursor(now, c.end, None, c.after, "1x")):
+        with pytest.raises(ValueError):
+            cursor.encode(bad, "", "x")
+    with pytest.raises(ValueError):
+        cursor.decode(text, "user:1", "")
