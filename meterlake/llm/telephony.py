@@ -253,14 +253,14 @@ def feature(codec: str, rate: int, pcm: bytes) -> str:
     return f"{codec};{rate};{len(samples)};{(squares / max(1, len(samples))) ** 0.5:.3f};{peak};{crossings};{zlib.crc32(pcm):08x}"
 
 
-def telephony_digest(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm") -> DataFrame:
-    """Instead of the media and the PCM of a stored table: media_bytes, media_sha256, payload_bytes, payload_sha256,
+def telephony_digest(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm", with_pcm: bool = False) -> DataFrame:
+    """Instead of the media, and of the PCM unless with_pcm: media_bytes, media_sha256, payload_bytes, payload_sha256,
     tail_crc32 (of its last 64 bytes) and feature, of the PCM.  Media that can't be read has nulls but for the first two."""
     arrow_batches(df.sparkSession)
     fields = T._parse_datatype_string("media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string").fields
     df = without(df, *[f.name for f in fields if f.name not in (media_col.lower(), pcm_col.lower())])
     media, pcm, codec, rate = (df.columns.index(c) for c in (media_col, pcm_col, "codec", "rate"))
-    kept = [i for i in range(len(df.columns)) if i not in (media, pcm)]
+    kept = [i for i in range(len(df.columns)) if i != media and (with_pcm or i != pcm)]
     kinds = {"string": pa.string(), "bigint": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
