@@ -1,11 +1,15 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash keys propose pairs, the shingle sets decide.
-
-A text is the set of its shingles' hashes; texts with the same set are one node.  BAND minima make a key, and there are
-as many keys as leave a pair at the least similarity unproposed with a chance of MISS at most.  Proposed pairs are
-verified on the whole sets, and verified pairs are links of a graph whose components are the groups.
-
-A key with more than BUCKET nodes isn't compared in pairs: each of its nodes meets REPS of them, the first ones in as many
-fixed orders, so pairs grow with the nodes.  Two nodes of such a key that no representative resembles may be missed.
+"""Near copies by the Jaccard similarity of word shingles: fingerprints and MinHash keys propose pairs, the sets decide.
+
+A text is the set of its shingles' hashes; texts with the same set are one node.  Golay keys of SimHash fingerprints (of the
+same shingles) propose nodes within two bits.  They don't reach nodes at the least similarity, which are about ten bits
+apart, so MinHash keys propose these: some minima make a key, and there are as many keys as leave a pair at the least
+similarity unproposed with a chance of MISS at most.  All proposed pairs are verified on the whole sets, and verified pairs
+are links of a graph whose components are the groups.
+
+A key with more than BUCKET nodes isn't compared in pairs.  A few of its nodes lead: all others are held against them, and
+distances (one less the similarity, a metric) tell for which nodes no link can be missing: a node at distance d of a leader
+links to none beyond d + 1 - similarity, so if all up to there are in the leader's component, so are all its links.  The
+other nodes get longer keys, and those that the longest keys can't part lead in their turn until none is left.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_batches, fresh, quoted, stored
-from .simhash import components
+from .simhash import components, fingerprints, linked_pairs
 
-SEED, BAND, MISS, BUCKET, REPS = 42, 4, 1e-5, 64, 4
+SEED, MISS, BUCKET, LEADERS = 42, 1e-5, 64, 2
+#: Minima in a key, from the first keys to the longest.
+BANDS = (4, 8, 16)
 _CHUNK = 4096
 
 
@@ -36,38 +42,38 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(w), SEED) for w in zip(*(words[i:] for i in range(shingle)))), np.uint64, n))
 
 
-def bands(similarity: float) -> int:
-    """Keys for which two sets at this similarity share none with a chance of MISS at most."""
-    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log1p(-(similarity**BAND)))
+def bands(similarity: float, band: int) -> int:
+    """Keys of so many minima for which two sets at this similarity share none with a chance of MISS at most."""
+    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log1p(-(similarity**band)))
 
 
 def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def minhash_keys(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+def minhash_keys(hashes: np.ndarray, multipliers: np.ndarray, band: int) -> np.ndarray:
     """One key (signed long) for each band of a set; an empty set has none."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    mixed = hashes ^ (hashes >> np.uint64(31))
-    least = np.min([np.min(mixed[i : i + _CHUNK, None] * multipliers, axis=0) for i in range(0, len(mixed), _CHUNK)], axis=0)
-    key = np.arange(len(multipliers) // BAND, dtype=np.uint64) + np.uint64(1)
-    for column in least.reshape(-1, BAND).T:
+    mixed, step = hashes ^ (hashes >> np.uint64(31)), max(1, _CHUNK * 64 // len(multipliers))
+    least = np.min([np.min(mixed[i : i + step, None] * multipliers, axis=0) for i in range(0, len(mixed), step)], axis=0)
+    key = np.arange(len(multipliers) // band, dtype=np.uint64) + np.uint64(1)
+    for column in least.reshape(-1, band).T:
         key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     return key.view(np.int64)
 
 
-def _nodes(df: DataFrame, text_col: str, shingle: int, similarity: float, node: str, keys: str) -> DataFrame:
+def _nodes(df: DataFrame, text_col: str, shingle: int, similarity: float, band: int, node: str, keys: str) -> DataFrame:
     """df with the hash of each text's shingle set and the set's keys."""
     arrow_batches(df.sparkSession)
-    at, multipliers = df.columns.index(text_col), _multipliers(BAND * bands(similarity))
+    at, multipliers = df.columns.index(text_col), _multipliers(band * bands(similarity, band))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py(), shingle) for x in batch.column(at)]
             names = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            found = [minhash_keys(s, multipliers) for s in sets]
+            found = [minhash_keys(s, multipliers, band) for s in sets]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found or [np.zeros(0, np.int64)]), pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), lists], [*batch.schema.names, node, keys])
@@ -75,64 +81,114 @@ def _nodes(df: DataFrame, text_col: str, shingle: int, similarity: float, node:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(node, T.LongType()), T.StructField(keys, T.ArrayType(T.LongType()))]))
 
 
-def proposed_pairs(keys: DataFrame) -> DataFrame:
-    """keys: a stored table of k and node, each once.  Pairs (a, b) to verify, each once."""
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """keys: a stored table of k and node, each once.  Those that more than one node has, with their count; stored."""
     shared = stored(keys.groupBy("k").count().where("count > 1"), "minhash-shared")
-    members = stored(keys.join(shared, "k"), "minhash-members")
-    few = members.where(F.col("count") <= BUCKET).groupBy("k").agg(F.collect_list("node").alias("m"))  # BUCKET at most
+    return stored(keys.join(shared, "k"), "minhash-members")
+
+
+def close_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes of each key that has BUCKET at most."""
+    few = members.where(F.col("count") <= BUCKET).groupBy("k").agg(F.collect_list("node").alias("m"))
     all_of = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    pairs = few.select(F.explode(all_of).alias("p")).select("p.a", "p.b")
-    many = members.where(F.col("count") > BUCKET).select("k", "node")
-    first = many.groupBy("k").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(REPS)])).alias("reps"))
-    stars = many.join(first, "k").select("node", F.explode("reps").alias("rep")).where("node <> rep")
-    stars = stars.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
-    return pairs.union(stars).distinct()
+    return few.select(F.explode(all_of).alias("p")).select("p.a", "p.b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """pairs: stored, (a, b); texts: node and text, each node once.  The pairs whose sets are as similar, at least."""
-    arrow_batches(pairs.sparkSession)
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts: node and text, each node once.  node and s, the bytes of its set; stored."""
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)], pa.binary())], ["node", "s"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return stored(texts.select("node", "text").mapInArrow(run, "node long, s binary"), "minhash-sets")
+
+
+def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b), each once, with the distance of their sets: one less the Jaccard similarity; stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            out = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
-                    keep.append(False)
-                    continue
                 both = np.sort(np.concatenate((x, y)), kind="stable")
                 n = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                out.append(1 - n / max(1, len(x) + len(y) - n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "d"])
 
-    sets = stored(texts.select("node", "text").mapInArrow(sets_of, "node long, s binary"), "minhash-sets")
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    met = stored(pairs.select("a", "b").distinct(), "minhash-pairs").join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return stored(met.mapInArrow(run, "a long, b long, d double"), "minhash-distances")
+
+
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """rows: node and fp.  Pairs (a, b) of nodes whose fingerprints are within two bits, as operator 5 links them; nodes with
+    one fingerprint are paired with the least of them."""
+    least = stored(rows.groupBy("fp").agg(F.min("node").alias("first")), "minhash-fingerprints")
+    same = rows.join(least, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    apart = linked_pairs(least.select("fp"))
+    name = lambda c, n: least.select(F.col("fp").alias(c), F.col("first").alias(n))
+    far = apart.join(name("a", "x"), "a").join(name("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(far)
+
+
+def crowded_links(hot: DataFrame, links: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """links (a, b) and what else connects the nodes of keys (hot: k, node) with more than BUCKET."""
+    slack, level, turn = 1 - similarity + 1e-9, 0, 0
+    while not hot.isEmpty():
+        turn += 1
+        order = [F.xxhash64("node", F.lit(turn * LEADERS + i)) for i in range(LEADERS)]
+        lead = hot.groupBy("k").agg(F.array_distinct(F.array(*[F.min(F.struct(x.alias("h"), "node"))["node"] for x in order])).alias("lead"))
+        held = stored(hot.join(lead, "k").select("k", "node", F.explode("lead").alias("leader")), "minhash-led")
+        ends = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        found = distances(held.where("node <> leader").select(*ends), sets)
+        links = stored(links.union(found.where(F.col("d") <= slack).select("a", "b")).distinct(), "minhash-links")
+        roots = stored(components(links), "minhash-roots")
+        root = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+        met = held.select("k", "node", "leader", *ends).join(found, ["a", "b"], "left").select("k", "node", "leader", F.coalesce("d", F.lit(0.0)).alias("d"))
+        met = met.join(root("node", "r"), "node", "left").join(root("leader", "q"), "leader", "left").withColumn("within", F.coalesce("r", "node") == F.coalesce("q", "leader"))
+        met = stored(met.select("k", "node", "leader", "d", "within"), "minhash-reached")
+        edge = met.where("NOT within").groupBy("k", "leader").agg(F.min("d").alias("edge"))
+        settled = met.where("within").join(edge, ["k", "leader"], "left").where(F.col("edge").isNull() | (F.col("d") + slack < F.col("edge"))).select("k", "node").distinct()
+        # A leader has met every node of its key.
+        rest = stored(hot.join(settled, ["k", "node"], "left_anti").join(held.select("k", F.col("leader").alias("node")).distinct(), ["k", "node"], "left_anti"), "minhash-rest")
+        if level + 1 < len(BANDS):
+            level += 1
+            again = texts.join(rest.select("node").distinct(), "node", "left_semi").select("text")
+            keys = _nodes(again, "text", shingle, similarity, BANDS[level], "node", "keys").select("node", F.explode("keys").alias("k")).distinct()
+            members = shared_keys(stored(keys, "minhash-keys"))
+        else:
+            members = shared_keys(rest)
+        more = distances(close_pairs(members), sets).where(F.col("d") <= slack)
+        links = stored(links.union(more.select("a", "b")), "minhash-links")
+        hot = stored(members.where(F.col("count") > BUCKET).select("k", "node"), "minhash-hot")
+    return links
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """df with one row left of each group of near copies: that of the least id (null ids last), one of repeated rows.
 
-    Texts without words are copies of each other.  The columns are those of df.  Rows are told apart by a number of
-    their own, so repeated or null ids do no harm.
+    Texts without words (null ones too) are copies of each other.  A very long text is a set as large.  The columns are
+    those of df, whatever their names; an empty table gives an empty one.  Rows are told apart by a number of their own,
+    so repeated or null ids do no harm.
     """
-    node, keys, row, stay_row = fresh(df.columns, "node", "keys", "row_number", "stay_row")
-    table = _nodes(df, text_col, shingle, similarity, node, keys).withColumn(row, F.monotonically_increasing_id())
-    table = stored(table, "minhash-rows")
+    node, keys, fp, row, stay_row = fresh(df.columns, "node", "keys", "fp", "row_number", "stay_row")
+    table = fingerprints(_nodes(df, text_col, shingle, similarity, BANDS[0], node, keys), text_col, None, shingle, fp)
+    table = stored(table.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
     rows = table.select(quoted(node).alias("node"), quoted(row).alias("row"))
     one = stored(rows.groupBy("node").agg(F.min("row").alias("row")), "minhash-nodes")
-    first = table.select(quoted(node).alias("node"), quoted(row).alias("row"), quoted(keys).alias("keys")).join(one.select("row"), "row", "left_semi")
-    pairs = stored(proposed_pairs(stored(first.select("node", F.explode("keys").alias("k")), "minhash-keys")), "minhash-pairs")
-    asked = one.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi")
+    first = table.select(quoted(node).alias("node"), quoted(row).alias("row"), quoted(keys).alias("keys"), quoted(fp).alias("fp")).join(one.select("row"), "row", "left_semi")
+    members = shared_keys(stored(first.select("node", F.explode("keys").alias("k")).distinct(), "minhash-keys"))
+    hot = stored(members.where(F.col("count") > BUCKET).select("k", "node"), "minhash-hot")
+    pairs = stored(close_pairs(members).union(fingerprint_pairs(stored(first.select("node", "fp"), "minhash-first"))).distinct(), "minhash-proposed")
+    asked = one.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct(), "node", "left_semi")
     texts = table.select(quoted(node).alias("node"), quoted(row).alias("row"), quoted(text_col).alias("text")).join(asked.select("row"), "row", "left_semi")
-    roots = components(stored(verified(pairs, texts, shingle, similarity), "minhash-links"))
+    sets = shingle_sets(texts, shingle)
+    links = distances(pairs, sets).where(F.col("d") <= 1 - similarity + 1e-9).select("a", "b")
+    roots = components(crowded_links(hot, links, sets, texts, shingle, similarity))
     classes = one.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", F.coalesce("root", "node").alias("component"))
     classes = stored(classes, "minhash-classes")
     tagged = table.select(quoted(id_col).alias("id"), quoted(node).alias("node"), quoted(row).alias("row")).join(classes, "node")
     stay = tagged.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias(stay_row))
-    return table.join(stay, quoted(row) == quoted(stay_row), "left_semi").drop(node, keys, row)
+    return table.join(stay, quoted(row) == quoted(stay_row), "left_semi").drop(node, keys, fp, row)

@@ -60,3 +60,25 @@ def test_many_near_copies_of_one_text(spark):
     left = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert Counter(r.doc_id for r in left.collect()) == Counter(survivors(texts))
     assert minhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_crowded_keys(spark, monkeypatch):
+    """Families with most of their text in common: some nearly equal, some linked in chains, some just too far apart, all in
+    keys with more texts than are compared in pairs; the groups are those of brute force."""
+    monkeypatch.setattr(minhash, "BUCKET", 6)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(3):
+        shared = [f"s{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(25):  # about 0.65 to each other, each with a near copy
+            own = shared + [f"o{rng.randrange(10**6)}" for _ in range(28)]
+            texts += [" ".join(own), " ".join(edited(rng, own, 1))]
+        chain = list(shared)
+        for _ in range(25):  # a chain that leads away
+            chain = edited(rng, chain, 2)
+            texts.append(" ".join(chain))
+        texts += [" ".join(edited(rng, shared, rng.randint(0, 3))) for _ in range(25)]
+    rng.shuffle(texts)
+    left = minhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = survivors(texts)
+    assert {r.doc_id for r in left.collect()} == want and 10 < len(want) < len(texts) - 60
