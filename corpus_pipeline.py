@@ -58,7 +58,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: texts whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 at least are linked.  The stage keeps its name; fingerprints at two bits don't reach so far.
+    similarity of 0.8 at least are linked.  Pairs are proposed by SimHash fingerprints within two bits, as operator 5 finds
+    them, and by MinHash keys, as texts at 0.8 are about ten bits apart; the whole sets of both texts decide.
 
     Texts without words (null ones too) are copies of each other; the least id stays, null ids last, and one of repeated
     rows.  Columns pass through, whatever their names; an empty table gives an empty one."""
