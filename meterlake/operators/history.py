@@ -29,10 +29,11 @@ def cleaned(text: Column, size: int = SNIPPET) -> Column:
     return F.when(F.length(line) > size, F.concat(F.substring(line, 1, size), F.lit("…"))).otherwise(line)
 
 
-def groups(turns: DataFrame) -> DataFrame:
-    """Sessions with their first user turn (else the first turn) as a preview, blanks folded, cut to 200 characters."""
+def groups(turns: DataFrame, requests: bool = False) -> DataFrame:
+    """Sessions with their first user turn (else the first turn) as a preview: blanks folded and cut to 200 characters, or
+    the request within it."""
     pick = F.min_by("text", F.struct((F.col("role") != "user").alias("a"), "turn"))
-    text = F.trim(F.regexp_replace(pick, r"\s+", " "))
+    text = cleaned(pick, SNIPPET - 1) if requests else F.trim(F.regexp_replace(pick, r"\s+", " "))
     return turns.groupBy("session").agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("role").alias("roles"), F.bool_or(F.col("role") == "assistant").alias("answered"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.substring(text, 1, SNIPPET).alias("preview"))
 
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeutil
@@ -199,6 +199,15 @@ def claimed(jobs: DataFrame, dirty: DataFrame, watermark: datetime, now: datetim
     return met.withColumn("state", F.when(F.col("claimed"), "running").otherwise(F.col("state"))).withColumn("updated_at", F.when(F.col("claimed"), F.lit(now)).otherwise(F.col("updated_at")))
 
 
+def shared_claims(jobs: DataFrame, now: datetime, workers: int, limit: int, order: str = "created_at") -> DataFrame:
+    """Which of several workers that claim at once gets which waiting jobs (id, state, updated_at): the oldest go to the
+    first, who passes over none, and each further worker skips what those before it hold.  The ranks are of workers x
+    limit rows at most."""
+    oldest = jobs.where(_waiting(now)).orderBy(order, "id").limit(workers * limit)
+    place = F.row_number().over(Window.orderBy(order, "id")) - 1
+    return oldest.withColumn("worker", F.floor(place / limit).cast("int"))
+
+
 def waiting_counts(jobs: DataFrame, dirty: DataFrame, watermark: datetime, now: datetime) -> DataFrame:
     """How many jobs could be claimed, and how many wait for the buckets below them."""
     w = with_readiness(jobs, dirty, watermark).where(_waiting(now))

@@ -85,7 +85,7 @@ class Maintenance:
         """Raw events and 15-minute rows up to the frontier must agree in sums and hash."""
         end = rollup.frontier(self.watermark, dirty)
         between = lambda df: df.where((F.col("ts") >= F.lit(self.start)) & (F.col("ts") < F.lit(end)))
-        a, b = (rollup.fingerprint(between(x)).first() for x in (self.store.events(), self.store.quarter_hours()))
+        a, b = (rollup.fingerprint(between(x)).first() for x in (self.store.events((self.start, end)), self.store.quarter_hours()))
         self.cutover, self.check = jobs.validated(self.cutover, now, a == b, mismatch=a != b), False
 
     def pricing_repair(self, now: datetime, dirty: list[datetime]) -> None:
@@ -101,6 +101,6 @@ class Maintenance:
     def source(self, start: datetime, end: datetime, mode: str = "auto"):
         """What a question over a period reads: raw events, or rows of the rollup where it is active and complete."""
         if jobs.layer(mode, self.cutover, jobs.Cutover()) == "raw":
-            return self.store.events().where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
+            return self.store.events((start, end)).where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
         p = rollup.plan(start, end, self.watermark, self.dirty(1))
-        return rollup.stitched(self.store.events(), self.store.quarter_hours(), p)
+        return rollup.stitched(self.store.events((start, end)), self.store.quarter_hours(), p)

@@ -266,7 +266,7 @@ def _(spark, d):
 
 
 def scores(spark, d) -> DataFrame:
-    days = tools.merged_days(tools.usage_days(T.usage_events(spark, d), SEOUL, CAPABLE), tools.reliability_days(T.tool_events(spark, d), SEOUL))
+    days = tools.stacked_days(tools.usage_days(T.usage_events(spark, d), SEOUL, CAPABLE), tools.reliability_days(T.tool_events(spark, d), SEOUL))
     return tools.personal(days, ("2024-01-23", "2024-01-30"), ("2023-12-26", "2024-01-23"))
 
 

@@ -75,6 +75,15 @@ def _(spark, d):
     return a.join(b, "batch_id").select("batch_id", (F.col("token") == F.col("again")).alias("same_again"), F.col("rows").alias("n"))
 
 
+@query("top10_skip_locked_claims", f"WITH j AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' ELSE 'done' END AS state, {_NOW} - to_minutes(o_orderkey % 10) AS seen, o_orderdate AS created FROM orders), w AS (SELECT id, row_number() OVER (ORDER BY created, id) - 1 AS n FROM j WHERE state = 'pending' OR (state = 'running' AND seen < {_NOW} - INTERVAL 5 MINUTE)) SELECT id, (n // 50)::INT AS worker FROM w WHERE n < 200")
+def _(spark, d):
+    """Four workers claim fifty jobs each at once; none gets what another holds."""
+    k = F.col("o_orderkey")
+    state = F.when(k % 4 == 0, "pending").when(k % 4 == 1, "running").otherwise("done")
+    waiting = table(spark, d, "orders").select(k.alias("id"), state.alias("state"), (F.lit(NOW) - F.make_dt_interval(mins=(k % 10).cast("int"))).alias("updated_at"), F.col("o_orderdate").alias("created_at"))
+    return jobs.shared_claims(waiting, NOW, 4, 50).select("id", "worker")
+
+
 # Joins and aggregates
 
 

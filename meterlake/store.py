@@ -308,7 +308,7 @@ class UsageStore:
 
     def history_page(self, before: tuple[int, int] | None = None, size: int = 20) -> tuple[DataFrame, bool]:
         """Sessions, the last active first, with a preview of their request, and whether there are more."""
-        rows = self._staged(history.page(history.groups(self._turns()), before, size))
+        rows = self._staged(history.page(history.groups(self._turns(), requests=True), before, size))
         return rows.orderBy(F.desc("last_turn"), F.desc("session")).limit(size), rows.count() > size
 
     def history_search(self, words: str) -> DataFrame:

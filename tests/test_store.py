@@ -146,3 +146,62 @@ def test_maintenance(spark, store):
     assert m.dirty(9) == [] and same()
     got = store.quarter_hours().agg(F.sum("event_count")).first()[0]
     assert got == e.count() - 1
+
+
+def scanned_months(df):
+    """The partition filters of the plan's scans."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]]
+
+
+def test_questions_read_their_months(spark, store):
+    store.save_usage_events(T.usage_events(spark, SF))
+    store.reconcile_usage(3, "view", store.events().select("dedup_key"))
+    scope = Scope("2024-01-15", "2024-01-25")
+    asked = [store.overview(scope), store.daily_series(scope), store.leaderboard(scope), store.preview_unassigned(scope), store.utilization_usage(scope), store.insight_comparison(scope, Scope("2024-01-05", "2024-01-15"))["trend"]]
+    for df in asked:
+        filters = [f for f in scanned_months(df) if f]  # tables of labels have no partitions
+        assert len(filters) >= 2 and all("event_month" in f and "2024-01" in f for f in filters), filters
+    assert store.overview(Scope("2025-05-01", "2025-06-01")).first().sessions == 0
+    assert rows(store.storage_stats().where("name = 'usage_events'").select("n")) == [(T.usage_events(spark, SF).count(),)]
+    assert store.supports_zone("Asia/Seoul") and not store.supports_zone("seoul")
+
+
+def test_weak_revisions_are_priced_again(spark, store):
+    store.save_usage_events(T.usage_events(spark, SF))
+    used = store.events().where("revision_id IS NOT NULL").select("revision_id").distinct().orderBy("revision_id").limit(1)
+    n = store.events().join(used, "revision_id", "left_semi").count()
+    out = store.repair_pricing("2023-01-01", "2025-01-01", 10_000, used)
+    left = store.events().where("cost_status = 'priced'").join(used, "revision_id", "left_semi").count()
+    assert n > 0 and left == n - out["repriced"] - out["recovered"] or left < n
+
+
+def test_history_and_tools(spark, store):
+    turns = spark.createDataFrame([(1, 0, "user", "# My request for X:\n  fix   it"), (1, 1, "assistant", "done"), (2, 0, "user", "<command-name>/model</command-name><command-args>fast</command-args>"), (2, 5, "assistant", "Fixed")], "session long, turn long, role string, text string")
+    assert store.history_page()[0].count() == 0 and store.tool_activity("2024-01-01", "2024-02-01")["tools"].count() == 0
+    store.save_turns(turns)
+    store.save_turns(turns)
+    page, more = store.history_page(None, 1)
+    assert [(r.session, r.turns) for r in page.collect()] == [(2, 2)] and more
+    page, more = store.history_page((5, 2), 1)
+    assert [(r.session, r.preview) for r in page.collect()] == [(1, "fix it")] and not more
+    assert {r.session for r in store.history_search("FIX").collect()} == {1, 2}
+    assert [(r.turn, r.meta, r.command) for r in store.history_session(2).collect()] == [(0, True, "/model fast"), (5, False, None)]
+    t = T.tool_events(spark, SF)
+    store.save_tool_events(t)
+    store.save_tool_events(t.limit(50))
+    got = store.tool_activity("2024-01-15", "2024-01-25")
+    from meterlake.operators import tools
+
+    assert rows(got["summary"]) == rows(tools.summary(t.where("ts >= '2024-01-15' AND ts < '2024-01-25'")))
+
+
+def test_outbox_flush(spark, store):
+    now = datetime(2024, 1, 20, tzinfo=UTC)
+    box = spark.createDataFrame([(i, "pending", now - timedelta(minutes=i)) for i in range(6)], "batch_id int, state string, updated_at timestamp")
+
+    def send(i):
+        if i % 2:
+            raise OSError("no answer")
+
+    assert sorted((r.batch_id, r.state) for r in store.flush_outbox(box, now, send, 4).collect()) == [(0, "delivered"), (1, "pending"), (2, "delivered"), (3, "pending"), (4, "pending"), (5, "pending")]
