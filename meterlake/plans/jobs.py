@@ -166,6 +166,28 @@ def validated(c: Cutover, now: datetime, sound: bool, mismatch: bool = False) ->
     return replace(c, state="active", failures=0, checked=now, validated=now)
 
 
+def watched(looks: Column) -> Column:
+    """What becomes of a layer by looks at it (an array of structs in order: at in seconds, ready, sound), from backfilling
+    on: `observe`, and `validated` where it is due, as one fold.  A struct of state, healthy, failures, checked, validated."""
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit("backfilling").alias("state"), F.lit(0).cast("long").alias("healthy"), F.lit(0).cast("long").alias("failures"), none.alias("checked"), none.alias("validated"))
+
+    def after(c: Column, look: Column) -> Column:
+        at, active = look["at"].cast("long"), c["state"] == "active"
+        new, watching = c["state"].isin("backfilling", "fallback"), c["state"] == "observing"
+        passed = F.coalesce(F.least(F.lit(STEP), F.greatest(F.lit(0), at - c["checked"])), F.lit(0)).cast("long")
+        healthy = F.when(look["ready"] & watching, F.least(F.lit(HEALTHY), c["healthy"] + passed)).otherwise(c["healthy"]).cast("long")
+        due = F.when(new, True).when(watching, healthy >= HEALTHY).otherwise(F.coalesce(at - c["validated"] >= REVALIDATE, F.lit(True)))
+        check, ok = look["ready"] & due, look["sound"]
+        failed = c["failures"] + F.when(~look["ready"], active.cast("long")).when(check & ~ok, 1).otherwise(0)
+        failures = F.when(~look["ready"], failed).when(check & ok, 0).when(check, failed).when(new, c["failures"]).otherwise(0).cast("long")
+        back = F.when(~look["ready"], active & (failed >= FAILURES)).when(check & ~ok, active & (failed >= FAILURES)).otherwise(False)
+        state = F.when(back, "fallback").when(check & ok, F.when(new, "observing").otherwise("active")).otherwise(c["state"])
+        return F.struct(state.alias("state"), F.when(check & ok & new, 0).otherwise(healthy).cast("long").alias("healthy"), failures.alias("failures"), at.alias("checked"), F.when(check & ok, at).otherwise(c["validated"]).alias("validated"))
+
+    return F.aggregate(looks, start, after)
+
+
 def layer(mode: str, rollup: Cutover, zones: Cutover) -> str:
     """What reads go to: raw, rollup or zones; in mode auto a layer counts only while active, and zones need the rollup."""
     if mode == "raw" or (mode == "auto" and rollup.state != "active"):

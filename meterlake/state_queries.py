@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime, timedelta
+from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
-from .functions import timeutil
+from .functions import sql, timeutil
 from .operators import history, pricing, tools, usage
-from .plans import jobs, outbox, rollup
+from .plans import answers, jobs, outbox, rollup
 from .queries import _ASOF, _LAG, _OUT, _SCORED, _TURNS, _TWO, BASE, COVER, SEOUL, TEAMED, YORK, M, both, ev, label, large, query, scores, teamed, turns
 from .sources import logs
 from .sources import tables as T
@@ -243,18 +244,39 @@ def _(spark, d):
     return x.select("l_orderkey", "l_linenumber", jobs.limit_after((25 + c("l_partkey") % 600).cast("int"), c("l_suppkey") * 7 % 700, c("l_orderkey") * 37 % 12000, (c("l_returnflag") == "R") & (c("l_orderkey") % 4 == 0), 25, 500).alias("lim"))
 
 
-@query("str11_cutover", "SELECT * FROM (VALUES (0, 'backfilling'), (1, 'observing'), (60, 'observing'), (61, 'active'), (90, 'active'), (91, 'active'), (92, 'fallback'), (93, 'observing')) AS v(minute, state)")
+@query("str11_cutover", """WITH RECURSIVE n AS (SELECT c_custkey AS id FROM customer), r AS (
+SELECT id, -1 AS m, 'backfilling' AS state, 0 AS healthy, 0 AS failures, NULL::INT AS checked, NULL::INT AS validated FROM n
+UNION ALL SELECT id, m + 1, CASE WHEN NOT ready THEN CASE WHEN state = 'active' AND failures >= 2 THEN 'fallback' ELSE state END WHEN state IN ('backfilling', 'fallback') THEN 'observing' WHEN state = 'observing' AND h >= 3600 THEN 'active' ELSE state END,
+ CASE WHEN ready AND state IN ('backfilling', 'fallback') THEN 0 WHEN ready AND state = 'observing' THEN h ELSE healthy END,
+ CASE WHEN NOT ready THEN failures + (state = 'active')::INT ELSE 0 END, m + 1,
+ CASE WHEN ready AND (state IN ('backfilling', 'fallback') OR (state = 'observing' AND h >= 3600) OR (state = 'active' AND (m + 1 - validated) * 60 >= 21600)) THEN m + 1 ELSE validated END
+FROM (SELECT *, m + 1 > id % 3 AND NOT (m + 1 >= 70 + id % 20 AND m + 1 < 71 + id % 20 + id % 5) AS ready, least(3600, healthy + least(60, greatest(0, coalesce((m + 1 - checked) * 60, 0)))) AS h FROM r) WHERE m < 120)
+SELECT id, state, healthy::BIGINT AS healthy, failures::BIGINT AS failures, (validated * 60)::BIGINT AS validated FROM r WHERE m = 120""")
 def _(spark, d):
-    """A layer is sound from minute 1 on, is watched for an hour and becomes active; from minute 90 on it fails three times,
-    and at 93 it is sound again."""
-    c, at, out = jobs.Cutover(), NOW, {}
-    for m in range(94):
-        ready = m > 0 and not 90 <= m < 93
-        c, check = jobs.observe(c, at + timedelta(minutes=m), ready)
-        if check:
-            c = jobs.validated(c, at + timedelta(minutes=m), True)
-        out[m] = c.state
-    return spark.createDataFrame([(m, out[m]) for m in (0, 1, 60, 61, 90, 91, 92, 93)], "minute int, state string")
+    """Two hours of many layers, looked at every minute: each becomes ready, is watched for an hour and is active, until it
+    fails for up to four minutes, and from three on falls back."""
+    n, m = F.col("c_custkey"), F.sequence(F.lit(0), F.lit(120))
+    begins = 70 + n % 20
+    looks = F.transform(m, lambda x: F.struct((x * 60).cast("long").alias("at"), ((x > n % 3) & ~((x >= begins) & (x < begins + 1 + n % 5))).alias("ready"), F.lit(True).alias("sound")))
+    c = table(spark, d, "customer").select(n.alias("id"), jobs.watched(looks).alias("c"))
+    return c.select("id", "c.state", "c.healthy", "c.failures", "c.validated")
+
+
+@query("str13_shared_answers", f"{BASE} SELECT provider_key, count(*) AS events, 1::BIGINT AS computed FROM p GROUP BY 1")
+def _(spark, d):
+    """A question asked by several at once and again soon after is answered by one computation."""
+    kept = answers.Answers(600)
+    ask = lambda: kept.ask(("providers", "2024-01-15", "2024-01-25"), lambda: ev(spark, d).groupBy("provider_key").agg(F.count(F.lit(1)).alias("events")))
+    with ThreadPoolExecutor(4) as pool:
+        found = [f.result() for f in [pool.submit(ask) for _ in range(4)]]
+    return found[-1].withColumn("computed", F.lit(kept.computed).cast("long"))
+
+
+@query("fn_sql_functions", f"WITH {T.EV} SELECT {label(SEOUL)} AS day, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket, sum(tokens)::BIGINT AS tokens, CASE WHEN count(*) FILTER (WHERE cost_status = 'unpriced') > 0 AND count(*) FILTER (WHERE cost_status <> 'unpriced') > 0 THEN 'partial' WHEN count(*) FILTER (WHERE cost_status = 'unpriced') > 0 THEN 'unpriced' WHEN count(*) FILTER (WHERE cost_status = 'legacy') > 0 THEN 'legacy' ELSE 'complete' END AS coverage FROM ev GROUP BY 1, 2")
+def _(spark, d):
+    """The shared expressions as functions of SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT usage_day(ts, 'Asia/Seoul') AS day, CAST(usage_bucket(ts) AS TIMESTAMP_NTZ) AS bucket, sum(usage_tokens(input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens)) AS tokens, usage_coverage(count_if(cost_status = 'priced'), count_if(cost_status = 'unpriced'), count_if(cost_status = 'legacy')) AS coverage FROM {e} GROUP BY ALL", e=T.usage_events(spark, d))
 
 
 _STATES = "['backfilling', 'observing', 'active', 'fallback']"

@@ -6,6 +6,7 @@ from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from compare import both, connection
+from pyspark.sql import functions as F
 
 import meterlake.control_queries
 import meterlake.inventory_queries
@@ -14,7 +15,7 @@ import meterlake.reading_queries
 import meterlake.state_queries
 from meterlake.functions import cursor
 from meterlake.operators import history
-from meterlake.plans import jobs
+from meterlake.plans import answers, jobs
 
 SF = "/root/testdata/sf0.01"
 
@@ -90,3 +91,47 @@ def test_signed_cursors():
             cursor.encode(bad, "", "x")
     with pytest.raises(ValueError):
         cursor.decode(text, "user:1", "")
+
+
+def test_layers_are_watched_alike(spark):
+    """The fold over looks gives what the functions for one layer give."""
+    rng, rows, want = random.Random(3), [], {}
+    for i in range(40):
+        at, c, looks = datetime(2024, 1, 1, tzinfo=UTC), jobs.Cutover(), []
+        soon, well = rng.choice([0.98, 0.6]), rng.choice([0.98, 0.6])
+        for _ in range(rng.randrange(1, 300)):
+            at += timedelta(seconds=rng.choice([30, 60, 400, 7200 if rng.random() < 0.1 else 60]))
+            ready, sound = rng.random() < (soon if len(looks) < 150 else 0.5), rng.random() < well
+            c, check = jobs.observe(c, at, ready)
+            if check:
+                c = jobs.validated(c, at, sound)
+            looks.append((int(at.timestamp()), ready, sound))
+        rows.append((i, looks))
+        want[i] = (c.state, c.healthy, c.failures, int(c.checked.timestamp()), c.validated and int(c.validated.timestamp()))
+    df = spark.createDataFrame(rows, "id int, looks array<struct<at: long, ready: boolean, sound: boolean>>")
+    assert {r.id: tuple(r.c) for r in df.select("id", jobs.watched(F.col("looks")).alias("c")).collect()} == want
+    assert len({w[0] for w in want.values()}) >= 3
+
+
+def test_answers_age():
+    at = [0.0]
+
+    class Frame:
+        def persist(self):
+            return self
+
+        def count(self):
+            return 1
+
+        def unpersist(self):
+            at.append("gone")
+
+    kept = answers.Answers(10, lambda: at[0])
+    a = kept.ask("q", Frame)
+    at[0] = 9.9
+    assert kept.ask("q", Frame) is a and kept.computed == 1
+    at[0] = 10.0
+    assert kept.ask("q", Frame) is not a and kept.computed == 2 and at[1:] == ["gone"]
+    with pytest.raises(ZeroDivisionError):
+        kept.ask("bad", lambda: 1 / 0)
+    assert kept.ask("bad", Frame) and kept.computed == 3
