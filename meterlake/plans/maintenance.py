@@ -44,21 +44,21 @@ class StateFiles:
 
 
 class Maintenance:
-    """tick() runs the task whose turn it is: validation, repair of prices, or 15-minute rows (dirty buckets for half a
-    batch at most, then on from the watermark)."""
+    """tick() runs the task whose turn it is: validation, repair of prices, 15-minute rows (dirty buckets for half a batch at
+    most, then on from the watermark), or the local days of zones that these changed."""
 
-    def __init__(self, store: UsageStore, start: datetime, batch: int = 16):
-        self.store, self.start, self.batch, self.files = store, start, batch, StateFiles(store)
+    def __init__(self, store: UsageStore, start: datetime, batch: int = 16, zones: tuple[str, ...] = ()):
+        self.store, self.start, self.batch, self.names, self.files = store, start, batch, zones, StateFiles(store)
         s = self.files.load()
         at = lambda x: datetime.fromisoformat(x) if x else None
         c = s.get("cutover", {})
         self.watermark = at(s.get("watermark")) or start
         self.cutover = jobs.Cutover(**(c | {k: at(c.get(k)) for k in ("checked", "validated")})) if c else jobs.Cutover()
         self.limit, self.started = s.get("limit", MOST), {k: at(v) for k, v in s.get("started", {}).items()}
-        self.check = s.get("check", False)
+        self.check, self.rolled = s.get("check", False), s.get("rolled", 0)
 
     def _save(self) -> None:
-        self.files.save({"watermark": self.watermark, "cutover": asdict(self.cutover), "limit": self.limit, "started": self.started, "check": self.check})
+        self.files.save({"watermark": self.watermark, "cutover": asdict(self.cutover), "limit": self.limit, "started": self.started, "check": self.check, "rolled": self.rolled})
 
     def dirty(self, most: int) -> list[datetime]:
         """The oldest dirty buckets below the watermark, a bounded number."""
@@ -74,6 +74,8 @@ class Maintenance:
         elif dirty and self.cutover.state == "active":
             self.cutover, _ = jobs.observe(self.cutover, now, False)
         tasks = {"validation": self.check, "pricing_repair": True, "quarter_hours": bool(dirty) or not caught_up}
+        if self.names:
+            tasks["zones"] = self.store.newest_compaction() > self.rolled
         task = jobs.next_task([jobs.Candidate(t, due, None, self.started.get(t)) for t, due in tasks.items()], now)
         if task:
             self.started[task] = now
@@ -98,6 +100,11 @@ class Maintenance:
         self.store.compact_buckets(todo)
         self.watermark += rollup.WIDTH * sum(b >= self.watermark for b in todo)
 
+    def zones(self, now: datetime, dirty: list[datetime]) -> None:
+        newest = self.store.newest_compaction()
+        self.store.roll_zones(list(self.names), self.rolled, newest)
+        self.rolled = newest
+
     def source(self, start: datetime, end: datetime, mode: str = "auto"):
         """What a question over a period reads: raw events, or rows of the rollup where it is active and complete."""
         if jobs.layer(mode, self.cutover, jobs.Cutover()) == "raw":

@@ -21,7 +21,7 @@ from .functions import exprs as X
 from .functions import timeutil
 from .operators import compare, history, ingest, pricing, repair, tools, usage
 from .operators.usage import Scope
-from .plans import outbox, rollup
+from .plans import jobs, outbox, rollup
 
 EVENT = """event_id bigint, dedup_key string, provider_key string, user_id bigint, session_id string, model string, host string,
 ts timestamp, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint,
@@ -217,6 +217,28 @@ class UsageStore:
         last = done.groupBy(F.col("bucket").alias("ts")).agg(F.max("mark").alias("version"))
         return rows.join(last, ["ts", "version"], "left_semi").select(*rows.columns)
 
+    def newest_compaction(self) -> int:
+        done = self.table("compacted")
+        return 0 if done is None else done.agg(F.coalesce(F.max("mark"), F.lit(0))).first()[0]
+
+    def roll_zones(self, zones: list[str], after: int, to: int) -> None:
+        """Rebuilds the local days of these zones that were changed by compactions after one and up to another, and no others."""
+        changed = self.table("compacted").where((F.col("mark") > after) & (F.col("mark") <= to)).select("bucket")
+        days = self._staged(jobs.affected_jobs(changed, zones).where("unit = 'day'").select("zone", F.col("label").alias("day")))
+        rows = self.quarter_hours()
+        for zone in zones:
+            mine = days.where(F.col("zone") == zone).select("day")
+            part = rows.withColumn("day", X.bucket_label("ts", zone)).join(mine, "day", "left_semi")
+            out = rollup.local_rollup(part, zone).withColumnRenamed("bucket", "day").withColumn("zone", F.lit(zone))
+            none = mine.join(out.select("day").distinct(), "day", "left_anti")  # days that have lost all their events
+            out = out.unionByName(none.withColumn("zone", F.lit(zone)), allowMissingColumns=True)
+            out.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("zone", "day").parquet(f"{self.root}/zone_days")
+
+    def zone_days(self, zone: str) -> DataFrame | None:
+        """The rows of a zone's local days, as far as they were rolled up."""
+        rows = self.table("zone_days")
+        return None if rows is None else rows.where((F.col("zone") == zone) & F.col("event_count").isNotNull()).withColumn("day", F.col("day").cast("string"))
+
     def reconcile_rollups(self, start: str, end: str) -> DataFrame:
         """Buckets whose rollup has all events but other statuses or costs."""
         period, none = Scope(start, end), self.spark.createDataFrame([], "bucket timestamp")

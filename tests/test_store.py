@@ -5,6 +5,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from meterlake.functions import exprs as X
 from meterlake.operators import ingest, pricing, usage
 from meterlake.operators.usage import Scope
 from meterlake.plans import jobs, outbox, rollup
@@ -205,3 +206,30 @@ def test_outbox_flush(spark, store):
             raise OSError("no answer")
 
     assert sorted((r.batch_id, r.state) for r in store.flush_outbox(box, now, send, 4).collect()) == [(0, "delivered"), (1, "pending"), (2, "delivered"), (3, "pending"), (4, "pending"), (5, "pending")]
+
+
+def test_maintenance_of_zones(spark, store):
+    """The loop keeps the local days of zones up to date with the 15-minute rows, also where events go again."""
+    from meterlake.plans.maintenance import Maintenance
+
+    e = T.usage_events(spark, SF).where("ts >= '2024-01-15' AND ts < '2024-01-15 18:00'")
+    start, now = datetime(2024, 1, 15, tzinfo=UTC), datetime(2024, 1, 15, 19, tzinfo=UTC)
+    store.save_usage_events(e)
+    m, ran = Maintenance(store, start, 96, ("Asia/Seoul", "America/New_York")), []
+    for n in range(6):
+        ran.append(m.tick(now + timedelta(minutes=2 * n)))
+    assert "zones" in ran and m.rolled == store.newest_compaction() > 0
+
+    def agrees():
+        for zone in m.names:
+            got = store.zone_days(zone).groupBy("day").agg(F.sum("event_count").alias("n"), F.sum("input_tokens").alias("t"))
+            want = store.events().groupBy(X.bucket_label("ts", zone).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("t"))
+            assert rows(got) == rows(want)
+
+    agrees()
+    one = store.events().orderBy("ts").limit(3)
+    for r in one.collect():
+        store.reconcile_usage(r.user_id, r.provider_key, one.where(F.col("dedup_key") == r.dedup_key))
+    m.quarter_hours(now, m.dirty(9))
+    m.zones(now, [])
+    agrees()
