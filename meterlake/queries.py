@@ -502,8 +502,15 @@ def _(spark, d):
     return history.runs(turns(spark, d).withColumn("agent", agent))
 
 
-@query("jn8_turn_usage_match")
+_GREEDY = """u AS (SELECT session_id AS session, event_id AS event, epoch_ms(ts) AS ms FROM ev WHERE session_id IS NOT NULL), t AS (SELECT session, event AS key, ms + 4000 AS ms, row_number() OVER (PARTITION BY session ORDER BY ms, event) AS n FROM u WHERE event % 2 = 0),
+r AS (SELECT session, 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS key, NULL::BIGINT AS event FROM (SELECT DISTINCT session FROM t)
+UNION ALL SELECT session, n, CASE WHEN event IS NULL THEN taken ELSE list_append(taken, event) END, key, event FROM (SELECT r.session, t.n, t.key, r.taken, arg_min(u.event, (abs(u.ms - t.ms), u.ms, u.event)) FILTER (WHERE abs(u.ms - t.ms) <= 10000 AND NOT list_contains(r.taken, u.event)) AS event FROM r JOIN t ON t.session = r.session AND t.n = r.n + 1 JOIN u ON u.session = t.session GROUP BY ALL))
+SELECT session, key, event FROM r WHERE event IS NOT NULL"""
+
+
+@query("jn8_turn_usage_match", f"WITH RECURSIVE {T.EV}, {_GREEDY}")
 def _(spark, d):
+    """Turns in order, each with the nearest event of its session that none before it took, within ten seconds."""
     e = T.usage_events(spark, d).where("session_id IS NOT NULL")
     u = e.select(F.col("session_id").alias("session"), F.col("event_id").alias("event"), F.unix_millis("ts").alias("ts_ms"))
     t = e.where("event_id % 2 = 0").select(F.col("session_id").alias("session"), F.col("event_id").alias("key"), (F.unix_millis("ts") + 4000).alias("ts_ms"))

@@ -42,7 +42,7 @@ def _(spark, d):
     return t.select("session", "turn", X.is_meta(F.col("text")).alias("meta"), X.meta_command(F.col("text")).alias("command"))
 
 
-@query("fn_numbers", """WITH x AS (SELECT o_orderkey AS id, o_totalprice::DECIMAL(18,2) AS p, (o_orderkey * o_orderkey * 37) % 5000000000 AS n FROM orders),
+@query("fn_numbers", r"""WITH x AS (SELECT o_orderkey AS id, o_totalprice::DECIMAL(18,2) AS p, (o_orderkey * o_orderkey * 37) % 5000000000 AS n FROM orders),
 s AS (SELECT *, CASE WHEN round(n / 1e9, 1) >= 1 THEN 1e9 WHEN round(n / 1e6, 1) >= 1 THEN 1e6 WHEN round(n / 1e3, 1) >= 1 THEN 1e3 ELSE 1 END AS size FROM x)
 SELECT id, '$' || format('{:,}', floor(p)::BIGINT) || '.' || lpad(((p - floor(p)) * 100)::INT::VARCHAR, 2, '0') AS price, regexp_replace(format('{:.1f}', round(n / size, 1)), '\.0$', '') || CASE size WHEN 1e9 THEN 'B' WHEN 1e6 THEN 'M' WHEN 1e3 THEN 'K' ELSE '' END AS n FROM s""")
 def _(spark, d):
@@ -51,7 +51,7 @@ def _(spark, d):
     return o.select(F.col("o_orderkey").alias("id"), X.usd(F.col("o_totalprice").cast("decimal(18,2)")).alias("price"), X.compact_number(n.cast("double")).alias("n"))
 
 
-@query("fn_request_previews", f"{_TURNS}, r AS (SELECT session, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM t WHERE role = 'user') SELECT session, turn, CASE WHEN length(x) > 200 THEN substr(x, 1, 200) || '…' ELSE x END AS preview FROM r")
+@query("fn_request_previews", rf"{_TURNS}, r AS (SELECT session, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS x FROM t WHERE role = 'user') SELECT session, turn, CASE WHEN length(x) > 200 THEN substr(x, 1, 200) || '…' ELSE x END AS preview FROM r")
 def _(spark, d):
     """The request of each user turn, found behind a heading, among attachments."""
     shown = F.concat(F.lit("# Files mentioned by the user:\n## My request for the tool:\n"), F.col("text"), F.lit("\n<image name='a'>x</image>"))
