@@ -6,10 +6,11 @@ apart, so MinHash keys propose these: some minima make a key, and there are as m
 similarity unproposed with a chance of MISS at most.  All proposed pairs are verified on the whole sets, and verified pairs
 are links of a graph whose components are the groups.
 
-A key with more than BUCKET nodes isn't compared in pairs.  A few of its nodes lead: all others are held against them, and
-distances (one less the similarity, a metric) tell for which nodes no link can be missing: a node at distance d of a leader
-links to none beyond d + 1 - similarity, so if all up to there are in the leader's component, so are all its links.  The
-other nodes get longer keys, and those that the longest keys can't part lead in their turn until none is left.
+A key with more than BUCKET nodes isn't compared in pairs.  Some of its nodes lead: all others are held against them.  What
+is left to find is a link between two components, so a key whose nodes are all in one is done.  So is a node that has led,
+and one that distances (one less the similarity, a metric) settle: a node at distance d of a leader links to none beyond
+d + 1 - similarity, so if all up to there are in the leader's component, so are all its links.  The others get longer keys;
+in the longest, nodes outside the largest component of a key lead first, until nothing is left.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql import types as T
 from .common import arrow_batches, fresh, quoted, stored
 from .simhash import components, fingerprints, linked_pairs
 
-SEED, MISS, BUCKET, LEADERS = 42, 1e-5, 64, 2
+SEED, MISS, BUCKET = 42, 1e-5, 64
+#: Nodes of a key that lead at once: any, and such as are outside its largest component.
+LEADERS, OUTSIDERS = 2, 8
 #: Minima in a key, from the first keys to the longest.
 BANDS = (4, 8, 16)
 _CHUNK = 4096
@@ -136,34 +139,44 @@ def fingerprint_pairs(rows: DataFrame) -> DataFrame:
 def crowded_links(hot: DataFrame, links: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """links (a, b) and what else connects the nodes of keys (hot: k, node) with more than BUCKET."""
     slack, level, turn = 1 - similarity + 1e-9, 0, 0
-    while not hot.isEmpty():
+    if hot.isEmpty():
+        return links
+    links = stored(links, "minhash-links")
+    roots = stored(components(links), "minhash-roots")
+    rooted = lambda df, c, name: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    while True:
         turn += 1
-        order = [F.xxhash64("node", F.lit(turn * LEADERS + i)) for i in range(LEADERS)]
-        lead = hot.groupBy("k").agg(F.array_distinct(F.array(*[F.min(F.struct(x.alias("h"), "node"))["node"] for x in order])).alias("lead"))
+        at = stored(rooted(hot, "node", "r"), "minhash-rooted")
+        parts = at.groupBy("k", "r").count().groupBy("k").agg(F.count(F.lit(1)).alias("parts"), F.max_by("r", F.struct("count", "r")).alias("main"))
+        hot = stored(at.join(parts.where("parts > 1"), "k").select("k", "node", (F.col("r") != F.col("main")).alias("outside")), "minhash-hot")
+        if hot.isEmpty():
+            return links
+        first = lambda i, node: F.min(F.when(node.isNotNull(), F.struct(F.xxhash64(node, F.lit(turn * 100 + i)).alias("h"), node.alias("node"))))["node"]
+        lead = [first(i, F.col("node")) for i in range(LEADERS)] + [first(i, F.when(F.col("outside"), F.col("node"))) for i in range(OUTSIDERS)]
+        lead = hot.groupBy("k").agg(F.array_distinct(F.array_compact(F.array(*lead))).alias("lead"))
         held = stored(hot.join(lead, "k").select("k", "node", F.explode("lead").alias("leader")), "minhash-led")
         ends = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
         found = distances(held.where("node <> leader").select(*ends), sets)
         links = stored(links.union(found.where(F.col("d") <= slack).select("a", "b")).distinct(), "minhash-links")
         roots = stored(components(links), "minhash-roots")
-        root = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
         met = held.select("k", "node", "leader", *ends).join(found, ["a", "b"], "left").select("k", "node", "leader", F.coalesce("d", F.lit(0.0)).alias("d"))
-        met = met.join(root("node", "r"), "node", "left").join(root("leader", "q"), "leader", "left").withColumn("within", F.coalesce("r", "node") == F.coalesce("q", "leader"))
+        met = rooted(rooted(met, "node", "r"), "leader", "q").withColumn("within", F.col("r") == F.col("q"))
         met = stored(met.select("k", "node", "leader", "d", "within"), "minhash-reached")
         edge = met.where("NOT within").groupBy("k", "leader").agg(F.min("d").alias("edge"))
-        settled = met.where("within").join(edge, ["k", "leader"], "left").where(F.col("edge").isNull() | (F.col("d") + slack < F.col("edge"))).select("k", "node").distinct()
-        # A leader has met every node of its key.
-        rest = stored(hot.join(settled, ["k", "node"], "left_anti").join(held.select("k", F.col("leader").alias("node")).distinct(), ["k", "node"], "left_anti"), "minhash-rest")
+        settled = met.where("within").join(edge, ["k", "leader"], "left").where(F.col("edge").isNull() | (F.col("d") + slack < F.col("edge"))).select("k", "node")
+        done = settled.union(held.select("k", F.col("leader").alias("node"))).distinct()  # a leader has met every node of its key
+        rest = stored(hot.select("k", "node").join(done, ["k", "node"], "left_anti"), "minhash-rest")
         if level + 1 < len(BANDS):
             level += 1
             again = texts.join(rest.select("node").distinct(), "node", "left_semi").select("text")
             keys = _nodes(again, "text", shingle, similarity, BANDS[level], "node", "keys").select("node", F.explode("keys").alias("k")).distinct()
-            members = shared_keys(stored(keys, "minhash-keys"))
-        else:
-            members = shared_keys(rest)
+            rest = stored(keys, "minhash-keys")
+        members = shared_keys(rest)
         more = distances(close_pairs(members), sets).where(F.col("d") <= slack)
-        links = stored(links.union(more.select("a", "b")), "minhash-links")
-        hot = stored(members.where(F.col("count") > BUCKET).select("k", "node"), "minhash-hot")
-    return links
+        if not more.isEmpty():
+            links = stored(links.union(more.select("a", "b")).distinct(), "minhash-links")
+            roots = stored(components(links), "minhash-roots")
+        hot = members.where(F.col("count") > BUCKET).select("k", "node")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
