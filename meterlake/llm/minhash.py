@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_batches, fresh, quoted, stored
-from .simhash import components, fingerprints, linked_pairs
+from .simhash import components, fingerprint, linked_pairs
 
 SEED, MISS, BUCKET = 42, 1e-5, 64
 #: Nodes of a key that lead at once: any, and such as are outside its largest component.
@@ -67,8 +67,8 @@ def minhash_keys(hashes: np.ndarray, multipliers: np.ndarray, band: int) -> np.n
     return key.view(np.int64)
 
 
-def _nodes(df: DataFrame, text_col: str, shingle: int, similarity: float, band: int, node: str, keys: str) -> DataFrame:
-    """df with the hash of each text's shingle set and the set's keys."""
+def _nodes(df: DataFrame, text_col: str, shingle: int, similarity: float, band: int, node: str, keys: str, fp: str | None = None) -> DataFrame:
+    """df with the hash of each text's shingle set and the set's keys, and the fingerprint if it has a name."""
     arrow_batches(df.sparkSession)
     at, multipliers = df.columns.index(text_col), _multipliers(band * bands(similarity, band))
 
@@ -79,9 +79,12 @@ def _nodes(df: DataFrame, text_col: str, shingle: int, similarity: float, band:
             found = [minhash_keys(s, multipliers, band) for s in sets]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found or [np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), lists], [*batch.schema.names, node, keys])
+            more = [pa.array(np.array([fingerprint(x.as_py(), shingle) for x in batch.column(at)], np.uint64).view(np.int64))] if fp else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), lists, *more], [*batch.schema.names, *new])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(node, T.LongType()), T.StructField(keys, T.ArrayType(T.LongType()))]))
+    new = [node, keys, *([fp] if fp else [])]
+    kinds = [T.LongType(), T.ArrayType(T.LongType()), T.LongType()]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(x, kind) for x, kind in zip(new, kinds)]]))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -187,7 +190,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     so repeated or null ids do no harm.
     """
     node, keys, fp, row, stay_row = fresh(df.columns, "node", "keys", "fp", "row_number", "stay_row")
-    table = fingerprints(_nodes(df, text_col, shingle, similarity, BANDS[0], node, keys), text_col, None, shingle, fp)
+    table = _nodes(df, text_col, shingle, similarity, BANDS[0], node, keys, fp)
     table = stored(table.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
     rows = table.select(quoted(node).alias("node"), quoted(row).alias("row"))
     one = stored(rows.groupBy("node").agg(F.min("row").alias("row")), "minhash-nodes")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 OTHER, LETTER, NUMBER, WHITE = range(4)
 #: Bytes that are cut together; distinct pieces, and their numbers, that a worker remembers before it starts anew.
-SLICE, PIECES, POOL = 4 << 20, 400_000, 4_000_000
+SLICE, PIECES, POOL = 4 << 20, 250_000, 2_000_000
 
 
 @lru_cache
