@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_dedup, maxent, packing, quality, sharding, simhash, telephony
+from . import bpe, chat, fim, langid, line_dedup, maxent, packing, quality, sharding, simhash, telephony
 from .common import documents, residue, stored
 
 
@@ -75,9 +75,15 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.maxent_scores(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
+def op11_lookaround_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fim_transform(documents(spark, sf_dir).select("doc_id", "text"))
+    restored = fim.fim_restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_hypergeometric_shards, op2_line_windows, op3_telephony, op4_chat_round_trip, op5_golay_simhash, op6_bloom_language, op7_balanced_packing, op8_rank_array_bpe, op9_quality_cascade, op10_maxent)
+    for f in (op1_hypergeometric_shards, op2_line_windows, op3_telephony, op4_chat_round_trip, op5_golay_simhash, op6_bloom_language, op7_balanced_packing, op8_rank_array_bpe, op9_quality_cascade, op10_maxent, op11_lookaround_fim)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_windows": line_dedup.oracle(), "op9_quality_cascade": quality.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_line_windows": line_dedup.oracle(), "op9_quality_cascade": quality.oracle(), "op11_lookaround_fim": fim.oracle()}
