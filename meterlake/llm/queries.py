@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, langid, line_dedup, maxent, packing, quality, sharding, simhash, telephony
+from . import bpe, chat, fim, langid, line_dedup, maxent, nearest, packing, quality, sharding, simhash, telephony, trie
 from .common import documents, residue, stored
 
 
@@ -81,9 +81,17 @@ def op11_lookaround_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op12_peeled_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"), rebuild=trie.spliced)
+
+
+def op13_block_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_hypergeometric_shards, op2_line_windows, op3_telephony, op4_chat_round_trip, op5_golay_simhash, op6_bloom_language, op7_balanced_packing, op8_rank_array_bpe, op9_quality_cascade, op10_maxent, op11_lookaround_fim)
+    for f in (op1_hypergeometric_shards, op2_line_windows, op3_telephony, op4_chat_round_trip, op5_golay_simhash, op6_bloom_language, op7_balanced_packing, op8_rank_array_bpe, op9_quality_cascade, op10_maxent, op11_lookaround_fim, op12_peeled_trie, op13_block_neighbours)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_windows": line_dedup.oracle(), "op9_quality_cascade": quality.oracle(), "op11_lookaround_fim": fim.oracle()}
+ORACLE_SQL: dict[str, str] = {"op2_line_windows": line_dedup.oracle(), "op9_quality_cascade": quality.oracle(), "op11_lookaround_fim": fim.oracle(), "op12_peeled_trie": trie.oracle(), "op13_block_neighbours": nearest.oracle()}

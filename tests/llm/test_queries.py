@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 import xxhash
+from compare import both, connection
 
 from meterlake.llm import chat, line_dedup, telephony
 from meterlake.llm import queries as Q
@@ -296,11 +297,5 @@ def test_pipeline(spark, docs):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_sql(spark, name):
     """Queries with SQL of their own agree with it, over whole tables."""
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    cur = con.execute(Q.ORACLE_SQL[name])
-    columns = sorted(c[0] for c in cur.description)
-    at = [[c[0] for c in cur.description].index(c) for c in columns]
-    got = Q.QUERIES[name](spark, SF)
-    assert sorted(got.columns) == columns
-    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in cur.fetchall()), key=repr)
+    got, want, _, _ = both(spark, connection(SF), Q.QUERIES[name], Q.ORACLE_SQL[name], SF)
+    assert got == want and want[1]
