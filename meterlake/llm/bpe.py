@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_batches, quoted
+from .common import arrow_batches, mapped, quoted
 from .pieces import WHITE, PieceNumbers, character_classes, flat
 
 #: Symbols of a word that the array is for; ids whose text is made at once.
@@ -241,4 +241,4 @@ def encoded(df: DataFrame, tokenizer_path: str, text_col: str = "text", keep: li
                 found = [pa.array(list(map(hashed, x)), pa.string()) for x in (bpe.joined(ids, counts, bpe.decimal), decoded)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(counts), *found], [*batch.schema.names[:n], *[f.name for f in fields]])
 
-    return source.mapInArrow(run, T.StructType(source.schema.fields[:n] + fields))
+    return mapped(source, run, T.StructType(source.schema.fields[:n] + fields))

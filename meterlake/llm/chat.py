@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, fresh, quoted
+from .common import arrow_batches, fresh, mapped, quoted
 
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 _NAMES = {v: k for k, v in ROLES.items()}
@@ -132,4 +132,4 @@ def chat_digest(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
             arrays = [pa.array(x, pa.string() if f.name.endswith("sha256") else pa.int64()) for x, f in zip(columns, fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [id_col, *[f.name for f in fields]])
 
-    return source.mapInArrow(run, T.StructType([df.schema[id_col], *fields]))
+    return mapped(source, run, T.StructType([df.schema[id_col], *fields]))

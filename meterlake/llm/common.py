@@ -6,10 +6,11 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
@@ -67,6 +68,20 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def mapped(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name, dots and clashes included: batches know them by their places."""
+    import pyarrow as pa
+
+    places = lambda n: [f"c{i}" for i in range(n)]
+    plain = T.StructType([T.StructField(c, f.dataType) for c, f in zip(places(len(schema)), schema)])
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, places(batch.num_columns))
+
+    return df.toDF(*places(len(df.columns))).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """The names, with underscores in front until none of them is taken (case aside)."""
     used, out = {x.lower() for x in taken}, []

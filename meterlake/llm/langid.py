@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, quoted, without
+from .common import arrow_batches, mapped, quoted, without
 
 #: Labelled documents of each language to learn from (expected number), drawn by a hash with a fixed seed.
 SAMPLE, SEED = 2000, 42
@@ -166,7 +166,7 @@ def identified(df: DataFrame, model: Filter, text_col: str = "text", keep: list[
             found = [shared.value.predict(x.as_py()) for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*batch.schema.names[:n], "lang_pred", "score"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:n], *T._parse_datatype_string("lang_pred string, score double").fields]))
+    return mapped(source, run, T.StructType([*source.schema.fields[:n], *T._parse_datatype_string("lang_pred string, score double").fields]))
 
 
 def held_out(column: Column) -> Column:

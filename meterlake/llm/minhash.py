@@ -6,11 +6,11 @@ apart, so MinHash keys propose these: some minima make a key, and there are as m
 similarity unproposed with a chance of MISS at most.  All proposed pairs are verified on the whole sets, and verified pairs
 are links of a graph whose components are the groups.
 
-A key with more than BUCKET nodes isn't compared in pairs.  Some of its nodes lead: all others are held against them.  What
-is left to find is a link between two components, so a key whose nodes are all in one is done.  So is a node that has led,
-and one that distances (one less the similarity, a metric) settle: a node at distance d of a leader links to none beyond
-d + 1 - similarity, so if all up to there are in the leader's component, so are all its links.  The others get longer keys;
-in the longest, nodes outside the largest component of a key lead first, until nothing is left.
+A key with more than BUCKET nodes isn't compared in pairs.  First all its nodes are held against LEADERS of them.  A link
+that is still to find has an end outside the key's largest component, so these nodes are held against all.  Either way
+blocks of nodes meet: the shingles that both blocks hold are coded, and the counts of common ones are a matrix product.
+Nodes meet only at sizes that can reach the similarity, and a pair of blocks emits the links that join its components,
+not all it finds.  So every link between components is found, in two passes, within the memory of two blocks.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, fresh, quoted, stored
+from .common import arrow_batches, fresh, mapped, quoted, stored
 from .simhash import components, fingerprint, linked_pairs
 
 SEED, MISS, BUCKET = 42, 1e-5, 64
-#: Nodes of a key that lead at once: any, and such as are outside its largest component.
-LEADERS, OUTSIDERS = 2, 8
-#: Minima in a key, from the first keys to the longest.
-BANDS = (4, 8, 16)
+#: Minima in a key; nodes that lead a crowded key.
+BAND, LEADERS = 4, 2
+#: Nodes in a block, and shingles in all of them, on average at most; columns of a product at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 _CHUNK = 4096
 
 
@@ -84,7 +84,7 @@ def _nodes(df: DataFrame, text_col: str, shingle: int, similarity: float, band:
 
     new = [node, keys, *([fp] if fp else [])]
     kinds = [T.LongType(), T.ArrayType(T.LongType()), T.LongType()]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(x, kind) for x, kind in zip(new, kinds)]]))
+    return mapped(df, run, T.StructType([*df.schema.fields, *[T.StructField(x, kind) for x, kind in zip(new, kinds)]]))
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -101,13 +101,14 @@ def close_pairs(members: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """texts: node and text, each node once.  node and s, the bytes of its set; stored."""
+    """texts: node and text, each node once.  node, s (the bytes of its set) and n (its size); stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)], pa.binary())], ["node", "s"])
+            found = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())], ["node", "s", "n"])
 
-    return stored(texts.select("node", "text").mapInArrow(run, "node long, s binary"), "minhash-sets")
+    return stored(texts.select("node", "text").mapInArrow(run, "node long, s binary, n long"), "minhash-sets")
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -139,47 +140,88 @@ def fingerprint_pairs(rows: DataFrame) -> DataFrame:
     return same.union(far)
 
 
-def crowded_links(hot: DataFrame, links: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """links (a, b) and what else connects the nodes of keys (hot: k, node) with more than BUCKET."""
-    slack, level, turn = 1 - similarity + 1e-9, 0, 0
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set on the left shares with each on the right."""
+    owners = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    hashes = [np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (left, right)]
+    shared = np.intersect1d(*hashes)
+    entries = []
+    for h, o in zip(hashes, owners):
+        code = np.searchsorted(shared, h)
+        code[code == len(shared)] = 0
+        held = shared[code] == h if len(shared) else np.zeros(len(h), bool)
+        order = np.argsort(code[held], kind="stable")
+        entries.append((code[held][order], o[held][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        factors = []
+        for (code, owner), rows in zip(entries, out.shape):
+            a, b = np.searchsorted(code, (at, at + COLUMNS))
+            factors.append(np.zeros((rows, min(COLUMNS, len(shared) - at)), np.float32))
+            factors[-1][owner[a:b], code[a:b] - at] = 1
+        out += factors[0] @ factors[1].T
+    return out
+
+
+def joining(left: np.ndarray, right: np.ndarray, labels: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Of the linked places of a matrix of nodes, as many as join the components which labels (left, then right) don't."""
+    labels, out = labels.copy(), []
+    for i, row in enumerate(linked):
+        at = np.flatnonzero(row)
+        other, first = np.unique(labels[len(left) + at], return_index=True)
+        apart = other != labels[i]
+        if apart.any():
+            out += [(int(left[i]), int(right[j])) for j in at[first[apart]]]
+            labels[np.isin(labels, other[apart])] = labels[i]
+    return out
+
+
+def block_links(some: DataFrame, every: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """some, every: k and node, each once, stored.  Links (a, b) that join the components which roots (node, root) give:
+    of nodes in some to nodes in every that share a key with them.  Stored."""
+    width = max(-math.log(similarity), 1e-3) * (1 + 1e-6)  # sets of linked nodes are less than one such step apart in size
+    sized = sets.select("node", "n", F.floor(F.log("n") / width).cast("int").alias("c"))
+    some, every = (stored(df.join(sized, "node"), "minhash-sized") for df in (some, every))
+    blocks = lambda: F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    shape = every.groupBy("k").agg(blocks().alias("n_right")).join(some.groupBy("k").agg(blocks().alias("n_left"), F.collect_set("c").alias("classes")), "k")
+    shape = stored(shape, "minhash-shapes")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = some.join(shape, "k").select("k", "c", of("n_left").alias("i"), every_of("n_right").alias("j"), F.lit(True).alias("left"), "node")
+    near = F.filter("classes", lambda x: F.abs(x - F.col("c")) <= 1)
+    right = every.join(shape, "k").select("k", F.explode(near).alias("c"), "n_left", of("n_right").alias("j"), "node")
+    right = right.select("k", "c", every_of("n_left").alias("i"), "j", F.lit(False).alias("left"), "node")
+    held = left.union(right).join(sets.select("node", "s"), "node").join(roots, "node", "left").select("k", "c", "i", "j", "left", "node", F.coalesce("root", "node").alias("root"), "s")
+
+    def run(table: pa.Table) -> pa.Table:
+        on_left = table.column("left").to_numpy()
+        nodes, labels, values = table.column("node").to_numpy(), table.column("root").to_numpy(), table.column("s").to_pylist()
+        sides = [np.flatnonzero(on_left), np.flatnonzero(~on_left)]
+        held = [[np.frombuffer(values[i], np.uint64) for i in side] for side in sides]
+        counts = common_counts(*held)
+        sizes = [np.array([len(x) for x in side], np.float64) for side in held]
+        union = np.maximum(sizes[0][:, None] + sizes[1] - counts, 1)
+        found = joining(nodes[sides[0]], nodes[sides[1]], labels[np.concatenate(sides)], counts >= (similarity - 1e-9) * union)
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return stored(held.groupBy("k", "c", "i", "j").applyInArrow(run, "a long, b long"), "minhash-block-links")
+
+
+def crowded_links(hot: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """links (a, b) and what else connects the nodes of keys (hot: k, node; stored) with more than BUCKET."""
     if hot.isEmpty():
         return links
     links = stored(links, "minhash-links")
+    first = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"]
+    lead = hot.groupBy("k").agg(F.array_distinct(F.array(*[first(i) for i in range(LEADERS)])).alias("lead")).select("k", F.explode("lead").alias("node"))
     roots = stored(components(links), "minhash-roots")
-    rooted = lambda df, c, name: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    while True:
-        turn += 1
-        at = stored(rooted(hot, "node", "r"), "minhash-rooted")
-        parts = at.groupBy("k", "r").count().groupBy("k").agg(F.count(F.lit(1)).alias("parts"), F.max_by("r", F.struct("count", "r")).alias("main"))
-        hot = stored(at.join(parts.where("parts > 1"), "k").select("k", "node", (F.col("r") != F.col("main")).alias("outside")), "minhash-hot")
-        if hot.isEmpty():
-            return links
-        first = lambda i, node: F.min(F.when(node.isNotNull(), F.struct(F.xxhash64(node, F.lit(turn * 100 + i)).alias("h"), node.alias("node"))))["node"]
-        lead = [first(i, F.col("node")) for i in range(LEADERS)] + [first(i, F.when(F.col("outside"), F.col("node"))) for i in range(OUTSIDERS)]
-        lead = hot.groupBy("k").agg(F.array_distinct(F.array_compact(F.array(*lead))).alias("lead"))
-        held = stored(hot.join(lead, "k").select("k", "node", F.explode("lead").alias("leader")), "minhash-led")
-        ends = (F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        found = distances(held.where("node <> leader").select(*ends), sets)
-        links = stored(links.union(found.where(F.col("d") <= slack).select("a", "b")).distinct(), "minhash-links")
-        roots = stored(components(links), "minhash-roots")
-        met = held.select("k", "node", "leader", *ends).join(found, ["a", "b"], "left").select("k", "node", "leader", F.coalesce("d", F.lit(0.0)).alias("d"))
-        met = rooted(rooted(met, "node", "r"), "leader", "q").withColumn("within", F.col("r") == F.col("q"))
-        met = stored(met.select("k", "node", "leader", "d", "within"), "minhash-reached")
-        edge = met.where("NOT within").groupBy("k", "leader").agg(F.min("d").alias("edge"))
-        settled = met.where("within").join(edge, ["k", "leader"], "left").where(F.col("edge").isNull() | (F.col("d") + slack < F.col("edge"))).select("k", "node")
-        done = settled.union(held.select("k", F.col("leader").alias("node"))).distinct()  # a leader has met every node of its key
-        rest = stored(hot.select("k", "node").join(done, ["k", "node"], "left_anti"), "minhash-rest")
-        if level + 1 < len(BANDS):
-            level += 1
-            again = texts.join(rest.select("node").distinct(), "node", "left_semi").select("text")
-            keys = _nodes(again, "text", shingle, similarity, BANDS[level], "node", "keys").select("node", F.explode("keys").alias("k")).distinct()
-            rest = stored(keys, "minhash-keys")
-        members = shared_keys(rest)
-        more = distances(close_pairs(members), sets).where(F.col("d") <= slack)
-        if not more.isEmpty():
-            links = stored(links.union(more.select("a", "b")).distinct(), "minhash-links")
-            roots = stored(components(links), "minhash-roots")
-        hot = members.where(F.col("count") > BUCKET).select("k", "node")
+    links = links.union(block_links(stored(lead, "minhash-leaders"), hot, sets, roots, similarity))
+    roots = stored(components(links), "minhash-roots")
+    at = stored(hot.join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("r")), "minhash-rooted")
+    parts = at.groupBy("k", "r").count().groupBy("k").agg(F.count(F.lit(1)).alias("parts"), F.max_by("r", F.struct("count", "r")).alias("main")).where("parts > 1")
+    rest = stored(at.join(parts, "k").select("k", "node", (F.col("r") != F.col("main")).alias("outside")), "minhash-rest")
+    return links.union(block_links(rest.where("outside").select("k", "node"), rest.select("k", "node"), sets, roots, similarity))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -190,7 +232,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     so repeated or null ids do no harm.
     """
     node, keys, fp, row, stay_row = fresh(df.columns, "node", "keys", "fp", "row_number", "stay_row")
-    table = _nodes(df, text_col, shingle, similarity, BANDS[0], node, keys, fp)
+    table = _nodes(df, text_col, shingle, similarity, BAND, node, keys, fp)
     table = stored(table.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
     rows = table.select(quoted(node).alias("node"), quoted(row).alias("row"))
     one = stored(rows.groupBy("node").agg(F.min("row").alias("row")), "minhash-nodes")
@@ -202,7 +244,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     texts = table.select(quoted(node).alias("node"), quoted(row).alias("row"), quoted(text_col).alias("text")).join(asked.select("row"), "row", "left_semi")
     sets = shingle_sets(texts, shingle)
     links = distances(pairs, sets).where(F.col("d") <= 1 - similarity + 1e-9).select("a", "b")
-    roots = components(crowded_links(hot, links, sets, texts, shingle, similarity))
+    roots = components(crowded_links(hot, links, sets, similarity))
     classes = one.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", F.coalesce("root", "node").alias("component"))
     classes = stored(classes, "minhash-classes")
     tagged = table.select(quoted(id_col).alias("id"), quoted(node).alias("node"), quoted(row).alias("row")).join(classes, "node")

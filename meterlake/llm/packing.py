@@ -145,7 +145,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     spark = df.sparkSession
     arrow_batches(spark)
     kind = df.schema[id_col].dataType
-    id_name = fresh([*RESULTS, "row", "block"], id_col)[0]
+    id_name, given = "id", fresh([*RESULTS, "row", "block"], id_col)[0]
     pieces = T.StructType([T.StructField(id_name, kind)] + T._parse_datatype_string("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary").fields)
 
     classes = spark.sparkContext.broadcast(character_classes())  # a megabyte
@@ -206,5 +206,5 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     dealt = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     tails = dealt.groupBy("block").applyInArrow(fill, out_schema)
     wholes = table.where("sequence_id IS NOT NULL").select(*pieces.names[:6], F.lit(0).cast("long").alias("offset"), F.lit(capacity).cast("long").alias("padded_to"), "ids")
-    out = wholes.unionByName(tails)
+    out = wholes.unionByName(tails).withColumnRenamed(id_name, given)
     return out if with_ids else out.drop("ids")

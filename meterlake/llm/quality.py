@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_SEPARATORS, arrow_batches, quoted, without
+from .common import WORD_SEPARATORS, arrow_batches, mapped, quoted, without
 
 SYMBOLS = "#*$%&|<>"
 #: Documents (expected number) of the sample on which the order of the rules is estimated.
@@ -168,7 +168,7 @@ def judged(df: DataFrame, text_col: str = "text", rules: list[str] | None = None
             new = [pa.array(x, pa.bool_() if b == "boolean" else pa.int64()) for x, (_, b) in zip(zip(*rows) if rows else [[]] * len(added), added)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *[a for a, _ in added]])
 
-    return df.mapInArrow(judge, schema)
+    return mapped(df, judge, schema)
 
 
 def oracle() -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, arrow_batches, fresh, quoted, stored
+from .common import Stored, arrow_batches, fresh, mapped, quoted, stored
 
 SEED, BUCKET, MAX_BITS = 42, 64, 2
 #: Generator polynomial of the Golay code of length 23: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", keep: list[str] | None =
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps)], [*batch.schema.names[: len(keep)], name])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_batches, quoted, without
+from .common import arrow_batches, mapped, quoted, without
 
 RATE, BLOCK = 8000, 64
 CODECS = {"mulaw": 7, "alaw": 6, "adpcm": 0x11}
@@ -198,7 +198,7 @@ def telephony_stored(df: DataFrame, text_col: str = "text", keep: list[str] | No
                 files.append(write_wav(payload, names[zlib.crc32(payload) % 3]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [*batch.schema.names[:n], "n_bytes", "media"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:n], *T._parse_datatype_string("n_bytes long, media binary").fields]))
+    return mapped(source, run, T.StructType([*source.schema.fields[:n], *T._parse_datatype_string("n_bytes long, media binary").fields]))
 
 
 def _read(data: bytes | None) -> Wav | None:
@@ -237,7 +237,7 @@ def telephony_decoded(df: DataFrame, media_col: str = "media", up: int = 2, down
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()))]], [*batch.schema.names, *[f.name for f in fields]])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return mapped(df, run, T.StructType([*df.schema.fields, *fields]))
 
 
 def feature(codec: str, rate: int, pcm: bytes) -> str:
@@ -276,4 +276,4 @@ def telephony_digest(df: DataFrame, media_col: str = "media", pcm_col: str = "pc
             arrays = [pa.array(x, kinds[f.dataType.simpleString()]) for x, f in zip(columns, fields)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *arrays], [*[batch.schema.names[i] for i in kept], *[f.name for f in fields]])
 
-    return df.mapInArrow(run, T.StructType([df.schema.fields[i] for i in kept] + fields))
+    return mapped(df, run, T.StructType([df.schema.fields[i] for i in kept] + fields))

@@ -373,7 +373,7 @@ def test_chat_long_runs():
         assert chat.read_back(chat.formatted(turns)) == turns
 
 
-INSIDE = "doc_id text id _id th _th at l w h1 h2 first starts covered_id covered_hash n_lines n_removed lines text_hash drop_places fp component row row_number stay_row least_id root node keys k a b start length ids_crc32 doc_tokens sequence_id offset padded_to ids block n_turns formatted loss_spans alone turns tokens known base model tail n_tokens n_known train_tokens base_score score kept lang lang_pred lang_given held_out codec rate n_samples pcm media n_bytes shard slot cell x g s turn role decoded ids_sha256 c0 c1 draw"
+INSIDE = "n.dot doc_id text id _id th _th at l w h1 h2 first starts covered_id covered_hash n_lines n_removed lines text_hash drop_places fp component row row_number stay_row least_id root node keys k a b start length ids_crc32 doc_tokens sequence_id offset padded_to ids block n_turns formatted loss_spans alone turns tokens known base model tail n_tokens n_known train_tokens base_score score kept lang lang_pred lang_given held_out codec rate n_samples pcm media n_bytes shard slot cell x g s turn role decoded ids_sha256 c0 c1 draw"
 
 
 def clashing(spark, id_name):
@@ -383,7 +383,7 @@ def clashing(spark, id_name):
     return spark.createDataFrame([(i, t, *["extra"] * (len(names) - 2)) for i, t in enumerate(texts)], ", ".join(f"`{n}` {'long' if k == 0 else 'string'}" for k, n in enumerate(names)))
 
 
-@pytest.mark.parametrize("id_name", ["doc_id", "start", "fp", "row", "n_tokens"])
+@pytest.mark.parametrize("id_name", ["doc_id", "start", "fp", "row", "n_tokens", "row.id"])
 def test_clashing_names(spark, id_name):
     df = clashing(spark, id_name)
     outs = {
@@ -413,10 +413,10 @@ def test_clashing_names(spark, id_name):
 
 
 def test_clashing_chat_ids(spark):
-    for name in ("n_turns", "formatted", "loss_spans"):
-        df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], f"{name} long, turn long, role string, text string")
+    for name in ("n_turns", "formatted", "loss_spans", "_conv.id"):
+        df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], f"`{name}` long, turn long, role string, text string")
         out = chat.chat_format(df, name)
-        assert out.columns[0] == f"_{name}" and chat.chat_digest(out, f"_{name}").collect()[0].loss_chars == 1
+        assert out.columns[0] == (given := name if name == "_conv.id" else f"_{name}") and chat.chat_digest(out, given).collect()[0].loss_chars == 1
 
 
 def test_clashing_pipeline_columns(spark):
