@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, date, datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
@@ -12,7 +12,7 @@ from .functions import timeutil
 from .operators import compare, deploy, history, ingest, pricing, repair, usage
 from .plans import jobs, rollup
 from .queries import _COMP, _TURNS, _TWO, BASE, COST, COVER, PERIOD, SCOPE, SEOUL, TEAMED, TOKENS, YORK, M, both, ev, label, query, teamed, turns
-from .sources import logs, wire
+from .sources import logs, segments, wire
 from .sources import tables as T
 
 table = T.table
@@ -356,8 +356,7 @@ def _(spark, d):
 
 @query("win5_carry_forward", f"WITH {T.EV} SELECT event_id, last_value(model IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS model FROM ev")
 def _(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return T.usage_events(spark, d).select("event_id", F.last("model", True).over(w).alias("model"))
+    return segments.carried(T.usage_events(spark, d).select("user_id", "event_id", "model"), "user_id", "event_id", ("model",)).select("event_id", "model")
 
 
 @query("top1_most_tokens", f"{BASE} SELECT session_id, sum(tokens)::BIGINT AS tokens FROM p WHERE session_id IS NOT NULL GROUP BY 1 ORDER BY tokens DESC, session_id LIMIT 100")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..schemas import OTLP_LOGS, USAGE_WIRE
+from .segments import carried, lines_below, numbered
 
 #: Attributes that may hold free text and are never kept.
 DENIED = ("prompt", "prompt_text", "user_prompt", "body", "Body", "latest_user_message", "message", "content", "text", "tool_result")
@@ -100,10 +101,17 @@ def is_chat_file(column: str, root: str) -> Column:
     return F.rlike(F.col(column), F.lit("^" + re.escape(root.rstrip("/")) + r"/projects/[^/]+/chats/[^/]+\.jsonl$"))
 
 
-def transcript_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of transcript files below a folder with their number in the file, whatever the files' split."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where("value <> ''")
+def transcript_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Lines of transcript files below a folder, read by byte ranges; see segments.lines_below."""
+    return lines_below(spark, path, pattern)
+
+
+def _places(lines: DataFrame) -> list[str]:
+    return [c for c in ("file", "line", "segment", "place") if c in lines.columns]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows if "line" in rows.columns else numbered(rows)
 
 
 def assistant_usage(lines: DataFrame) -> DataFrame:
@@ -111,21 +119,22 @@ def assistant_usage(lines: DataFrame) -> DataFrame:
     g = lambda p: F.get_json_object("value", p)
     n = lambda p: F.coalesce(g(f"$.message.usage.{p}").try_cast("long"), F.lit(0))
     hour = F.coalesce(g("$.message.usage.cache_creation.ephemeral_1h_input_tokens").try_cast("long"), F.lit(0))
-    out = lines.where(g("$.type") == "assistant").select("file", "line", g("$.sessionId").alias("session_id"), g("$.message.model").alias("model"), g("$.requestId").alias("request_id"), F.expr("try_to_timestamp(get_json_object(value, '$.timestamp'))").alias("ts"), n("input_tokens").alias("input_tokens"), n("output_tokens").alias("output_tokens"), n("cache_read_input_tokens").alias("cache_read_tokens"), n("cache_creation_input_tokens").alias("cache_creation_tokens"), hour.alias("one_hour_tokens"))
-    return out.where(X.total_tokens() > 0)
+    kept = _places(lines)
+    out = lines.select(*kept, (g("$.type") == "assistant").alias("said"), g("$.sessionId").alias("session_id"), g("$.message.model").alias("model"), g("$.requestId").alias("request_id"), F.expr("try_to_timestamp(get_json_object(value, '$.timestamp'))").alias("ts"), n("input_tokens").alias("input_tokens"), n("output_tokens").alias("output_tokens"), n("cache_read_input_tokens").alias("cache_read_tokens"), n("cache_creation_input_tokens").alias("cache_creation_tokens"), hour.alias("one_hour_tokens"))
+    return _numbered(out).where(F.col("said") & (X.total_tokens() > 0)).drop("said").select("file", "line", *[c for c in out.columns if c not in (*kept, "said")])
 
 
 def rollout_usage(lines: DataFrame) -> DataFrame:
     """Rollout files: session and model carry forward, a cumulative total said again is passed over, cached input comes off."""
     g = lambda p: F.get_json_object("value", p)
-    w = Window.partitionBy("file").orderBy("line")
     base = "$.payload.info.last_token_usage"
-    x = lines.withColumn("session_id", F.last(F.when(g("$.type") == "session_meta", g("$.payload.id")), True).over(w)).withColumn("model", F.last(F.when(g("$.type") == "turn_context", g("$.payload.model")), True).over(w))
-    x = x.where(g("$.payload.type") == "token_count").withColumn("total", g("$.payload.info.total_token_usage.total_tokens").try_cast("long")).where("total IS NOT NULL")
-    x = x.withColumn("was", F.lag("total").over(w)).where(~F.col("total").eqNullSafe(F.col("was")))
     n = lambda p: F.coalesce(g(f"{base}.{p}").try_cast("long"), F.lit(0))
     cached = n("cached_input_tokens")
-    return x.select("file", "line", "session_id", "model", F.expr("try_to_timestamp(get_json_object(value, '$.timestamp'))").alias("ts"), F.greatest(n("input_tokens") - cached, F.lit(0)).alias("input_tokens"), n("output_tokens").alias("output_tokens"), cached.alias("cache_read_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens")).where(X.total_tokens() > 0)
+    total = F.when(g("$.payload.type") == "token_count", g("$.payload.info.total_token_usage.total_tokens").try_cast("long"))
+    kept = _places(lines)
+    x = lines.select(*kept, F.when(g("$.type") == "session_meta", g("$.payload.id")).alias("session_id"), F.when(g("$.type") == "turn_context", g("$.payload.model")).alias("model"), total.alias("total"), F.expr("try_to_timestamp(get_json_object(value, '$.timestamp'))").alias("ts"), F.greatest(n("input_tokens") - cached, F.lit(0)).alias("input_tokens"), n("output_tokens").alias("output_tokens"), cached.alias("cache_read_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"))
+    x = carried(x, last=("session_id", "model"), before={"was": "total"}).where(F.col("total").isNotNull() & ~F.col("total").eqNullSafe(F.col("was")))
+    return x.where(X.total_tokens() > 0).select("file", "line", "session_id", "model", "ts", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
 
 
 def path_part(column: str, pattern: str) -> Column:
@@ -190,13 +199,18 @@ def _with_usage(records: DataFrame) -> DataFrame:
 
 
 def session_files(spark: SparkSession, path: str) -> DataFrame:
-    """Session files below a folder, whole: a JSON document or lines of it."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,jsonl}").text(path, wholetext=True)
+    """Session documents below a folder, each one JSON value and so one row; session_lines() reads the others."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
 
 
-def session_usage(files: DataFrame) -> DataFrame:
-    """Usage of session files.  A document's messages count, or itself, or its totals by model.  In files of lines session
+def session_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Session files of lines below a folder, read by byte ranges."""
+    return lines_below(spark, path)
+
+
+def session_usage(files: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Usage of session files (whole, and those of lines as session_lines gives them).  A document's messages count, or itself, or its totals by model.  In files of lines session
     and model carry forward and a message said again under its id replaces the one before.  A count in quotes counts too."""
     session = lambda j: F.coalesce(F.nullif(F.get_json_object(j, "$.sessionId"), F.lit("")), F.get_json_object(j, "$.session_id"))
     g = lambda p: F.get_json_object("value", p)
@@ -205,10 +219,13 @@ def session_usage(files: DataFrame) -> DataFrame:
     within = document.where(messages.isNotNull()).select("file", "session_id", _moment(g("$.startTime"), g("$.lastUpdated")).alias("begun"), "modified", F.posexplode(messages).alias("line", "j"))
     within = within.where(F.get_json_object("j", "$.type") == "gemini").select("file", "line", "session_id", F.lit(None).cast("string").alias("hint"), F.coalesce("begun", "modified").alias("fallback"), "j")
     alone = document.where(messages.isNull()).select("file", F.lit(0).alias("line"), "session_id", g("$.model").alias("hint"), F.col("modified").alias("fallback"), F.col("value").alias("j"))
-    lines = files.where(F.endswith("file", F.lit(".jsonl"))).select("file", "modified", F.posexplode(F.split("value", "\n")).alias("line", "j")).where(F.get_json_object("j", "$").isNotNull())
-    w = Window.partitionBy("file").orderBy("line")
-    carried = lines.select("file", "line", F.coalesce(F.last(session("j"), True).over(w), file_stem()).alias("session_id"), F.last(F.get_json_object("j", "$.model"), True).over(w).alias("hint"), F.col("modified").alias("fallback"), "j")
-    said = _with_usage(carried)
+    if lines is None:
+        lines = files.where(F.endswith("file", F.lit(".jsonl"))).select("file", "modified", F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    kept = _places(lines)
+    hints = lines.select(*kept, session("value").alias("session_id"), g("$.model").alias("hint"), F.col("modified").alias("fallback"), F.when(g("$").isNotNull(), F.col("value")).alias("j"))
+    follow = carried(hints, last=("session_id", "hint")).where("j IS NOT NULL")
+    follow = follow.select("file", "line", F.coalesce("session_id", file_stem()).alias("session_id"), "hint", "fallback", "j")
+    said = _with_usage(follow)
     key = F.coalesce("message_id", F.concat_ws("|", F.lit(""), "line", "model"))
     last = said.groupBy("file", key.alias("k")).agg(F.max_by(F.struct(*said.columns), "line").alias("r")).select("r.*")
     return _with_usage(within.unionByName(alone)).unionByName(last)
@@ -217,15 +234,15 @@ def session_usage(files: DataFrame) -> DataFrame:
 def chat_usage(lines: DataFrame) -> DataFrame:
     """Usage of the assistant's lines that carry usage metadata; a session without a name has its project's and file's.
     lines has file, line, value and, if the files' times are known, modified."""
-    x = lines.where(F.contains("value", F.lit('"usageMetadata"')) & (F.get_json_object("value", "$.type") == "assistant"))
+    said = F.contains("value", F.lit('"usageMetadata"')) & (F.get_json_object("value", "$.type") == "assistant")
     n = lambda p: F.greatest(F.coalesce(F.get_json_object("value", f"$.usageMetadata.{p}").try_cast("long"), F.lit(0)), F.lit(0))
     inp, cached = n("promptTokenCount"), n("cachedContentTokenCount")
     out = with_missing_total(inp, n("candidatesTokenCount"), cached, n("thoughtsTokenCount"), n("totalTokenCount"))
     project = F.coalesce(path_part("file", r".*(?:^|/)projects/([^/]+)/chats/[^/]+(?:/|$)"), F.lit("unknown"))
     modified = F.col("modified") if "modified" in lines.columns else F.lit(None).cast("timestamp")
     g = lambda p: F.get_json_object("value", p)
-    rows = x.select("file", "line", F.coalesce(g("$.sessionId"), F.concat_ws("-", project, file_stem())).alias("session_id"), F.coalesce(g("$.model"), F.lit("unknown")).alias("model"), F.coalesce(_moment(g("$.timestamp")), modified).alias("ts"), inp.alias("input_tokens"), out.alias("output_tokens"), cached.alias("cache_read_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"))
-    return rows.where(X.total_tokens() > 0)
+    rows = lines.select(*_places(lines), said.alias("said"), F.coalesce(g("$.sessionId"), F.concat_ws("-", project, file_stem())).alias("session_id"), F.coalesce(g("$.model"), F.lit("unknown")).alias("model"), F.coalesce(_moment(g("$.timestamp")), modified).alias("ts"), inp.alias("input_tokens"), out.alias("output_tokens"), cached.alias("cache_read_tokens"), F.lit(0).cast("long").alias("cache_creation_tokens"))
+    return _numbered(rows).where(F.col("said") & (X.total_tokens() > 0)).select("file", "line", *[c for c in rows.columns if c not in ("file", "line", "segment", "place", "said")])
 
 
 CAPTURED = "generationId string, sessionId string, model string, tsMs bigint, inputTokens bigint, outputTokens bigint, cacheReadTokens bigint, cacheCreationTokens bigint"
@@ -233,7 +250,7 @@ CAPTURED = "generationId string, sessionId string, model string, tsMs bigint, in
 
 def captured_usage(lines: DataFrame) -> DataFrame:
     """Captured generations: the first line of an id in a file counts, also if it has no tokens and so no row."""
-    x = lines.select("file", "line", F.from_json("value", CAPTURED).alias("u")).where("u.generationId IS NOT NULL AND u.tsMs IS NOT NULL")
+    x = _numbered(lines.select(*_places(lines), F.from_json("value", CAPTURED).alias("u"))).where("u.generationId IS NOT NULL AND u.tsMs IS NOT NULL")
     first = x.groupBy("file", F.col("u.generationId").alias("message_id")).agg(F.min_by("u", "line").alias("u"))
     counts = [F.coalesce(f"u.{a}Tokens", F.lit(0)).cast("long").alias(f"{b}_tokens") for a, b in (("input", "input"), ("output", "output"), ("cacheRead", "cache_read"), ("cacheCreation", "cache_creation"))]
     return first.select("file", "message_id", F.col("u.sessionId").alias("session_id"), "u.model", F.timestamp_millis("u.tsMs").alias("ts"), *counts).where(X.total_tokens() > 0)
@@ -273,10 +290,9 @@ ASIDE_MARK = r"^\s*\[(?:Tool call|Tool result|Thinking|tool)\]"
 
 def _marked(lines: DataFrame) -> DataFrame:
     """Lines with the number of the turn they are in and its role, null before the first."""
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.nullif(F.regexp_extract("value", TURN_MARK, 1), F.lit(""))
     role = F.when(mark == "user", "user").when(mark == "A", "assistant")
-    return lines.select("file", "line", "value", F.count(role).over(w).alias("turn"), F.last(role, True).over(w).alias("role"), mark.isNotNull().alias("begins"))
+    return carried(lines.select(*_places(lines), "value", role.alias("role"), mark.isNotNull().alias("begins")), last=("role",), counts={"turn": "role"})
 
 
 def plain_turns(lines: DataFrame) -> DataFrame:
@@ -299,4 +315,4 @@ def plain_tools(lines: DataFrame) -> DataFrame:
     """Calls of servers' tools in the assistant's turns of plain-text transcripts, in order from 0."""
     key = tool_key(F.regexp_extract("value", r"^\s*\[Tool call\]\s*([^\s(]+)", 1))
     calls = _marked(lines).where("role = 'assistant' AND NOT begins").select("file", "line", key.alias("item_key")).where("item_key IS NOT NULL")
-    return calls.withColumn("call", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)
+    return carried(calls, counts={"call": "item_key"}).withColumn("call", (F.col("call") - 1).cast("int"))

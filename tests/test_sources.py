@@ -6,7 +6,7 @@ from datetime import UTC, date, datetime, timedelta
 from meterlake.functions import exprs as X
 from meterlake.functions import timeutil
 from meterlake.plans import rollup
-from meterlake.sources import logs
+from meterlake.sources import logs, segments
 from meterlake.streaming import usage as stream
 
 
@@ -37,7 +37,7 @@ def test_transcripts(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.jsonl").write_text("\n".join(map(json.dumps, [*a, count(13), count(13), count(26)])))
     lines = logs.transcript_lines(spark, str(tmp_path))
-    assert sorted(r.line for r in lines.collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.line for r in segments.numbered(lines).collect()) == [0, 1, 2, 3, 4]
     rows = logs.rollout_usage(lines).collect()
     assert [(r.session_id, r.model, r.input_tokens, r.cache_read_tokens) for r in rows] == [("s1", "m", 6, 4)] * 2
 
