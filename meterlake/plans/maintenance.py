@@ -3,62 +3,37 @@ written beside and then renamed, so that a driver that is lost goes on from the
 
 from __future__ import annotations
 
-import json
 import time
 from dataclasses import asdict
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..store import UsageStore
-from . import jobs, rollup
+from . import jobs, layers, rollup
+from .snapshots import NumberedFiles
 
 LEAST, MOST = 25, 500
 
 
-class StateFiles:
-    def __init__(self, store: UsageStore):
-        self.spark, self.folder = store.spark, f"{store.root}/state"
-        self.path = self.spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _last(self) -> int:
-        if not self.fs.exists(self.path(self.folder)):
-            return 0
-        names = [x.getPath().getName() for x in self.fs.listStatus(self.path(self.folder))]
-        return max((int(n[:-5]) for n in names if n.endswith(".json") and n[0] != "."), default=0)
-
-    def load(self) -> dict:
-        n = self._last()
-        return json.loads(self.spark.read.text(f"{self.folder}/{n:09d}.json", wholetext=True).first()[0]) if n else {}
-
-    def save(self, state: dict) -> None:
-        n = self._last() + 1
-        part, whole = self.path(f"{self.folder}/.{n:09d}.part"), self.path(f"{self.folder}/{n:09d}.json")
-        out = self.fs.create(part, True)
-        out.write(bytearray(json.dumps(state, default=str).encode()))
-        out.close()
-        if not self.fs.rename(part, whole):
-            raise OSError(f"could not write {whole}")
-        self.fs.delete(self.path(f"{self.folder}/{n - 2:09d}.json"), False)  # the one before stays
-
-
 class Maintenance:
     """tick() runs the task whose turn it is: validation, repair of prices, 15-minute rows (dirty buckets for half a batch at
     most, then on from the watermark), or the local days of zones that these changed."""
 
     def __init__(self, store: UsageStore, start: datetime, batch: int = 16, zones: tuple[str, ...] = ()):
-        self.store, self.start, self.batch, self.names, self.files = store, start, batch, zones, StateFiles(store)
+        self.store, self.start, self.batch, self.names, self.files = store, start, batch, zones, NumberedFiles(store.spark, f"{store.root}/state")
         s = self.files.load()
         at = lambda x: datetime.fromisoformat(x) if x else None
         c = s.get("cutover", {})
         self.watermark = at(s.get("watermark")) or start
         self.cutover = jobs.Cutover(**(c | {k: at(c.get(k)) for k in ("checked", "validated")})) if c else jobs.Cutover()
         self.limit, self.started = s.get("limit", MOST), {k: at(v) for k, v in s.get("started", {}).items()}
-        self.check, self.rolled = s.get("check", False), s.get("rolled", 0)
+        self.check, self.rolled = s.get("check", False), s.get("rolled", {})  # the newest compaction that is in each zone's days
+        self.agreed, self.repaired = s.get("agreed", 0), s.get("repaired")  # up to which compaction rows were validated; what was priced
 
     def _save(self) -> None:
-        self.files.save({"watermark": self.watermark, "cutover": asdict(self.cutover), "limit": self.limit, "started": self.started, "check": self.check, "rolled": self.rolled})
+        self.files.save({"watermark": self.watermark, "cutover": asdict(self.cutover), "limit": self.limit, "started": self.started, "check": self.check, "rolled": self.rolled, "agreed": self.agreed, "repaired": self.repaired})
 
     def dirty(self, most: int) -> list[datetime]:
         """The oldest dirty buckets below the watermark, a bounded number."""
@@ -73,9 +48,10 @@ class Maintenance:
             self.cutover, self.check = jobs.observe(self.cutover, now, True)
         elif dirty and self.cutover.state == "active":
             self.cutover, _ = jobs.observe(self.cutover, now, False)
-        tasks = {"validation": self.check, "pricing_repair": True, "quarter_hours": bool(dirty) or not caught_up}
+        tasks = {"validation": self.check, "pricing_repair": self.repaired != self.priced_by(), "quarter_hours": bool(dirty) or not caught_up}
         if self.names:
-            tasks["zones"] = self.store.newest_compaction() > self.rolled
+            newest = self.store.newest_compaction()
+            tasks["zones"] = any(newest > self.rolled.get(z, 0) for z in self.names)
         task = jobs.next_task([jobs.Candidate(t, due, None, self.started.get(t)) for t, due in tasks.items()], now)
         if task:
             self.started[task] = now
@@ -83,17 +59,30 @@ class Maintenance:
         self._save()
         return task
 
+    def priced_by(self) -> list:
+        """Changes whenever there are new events or other prices: repair has nothing to do before."""
+        r = self.store.revisions
+        prices = r.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in r.columns]))).first()
+        return [self.store.snapshots.load().get("writes", {}).get("dirty", 0), *prices]
+
     def validation(self, now: datetime, dirty: list[datetime]) -> None:
-        """Raw events and 15-minute rows up to the frontier must agree in sums and hash."""
-        end = rollup.frontier(self.watermark, dirty)
-        between = lambda df: df.where((F.col("ts") >= F.lit(self.start)) & (F.col("ts") < F.lit(end)))
-        a, b = (rollup.fingerprint(between(x)).first() for x in (self.store.events((self.start, end)), self.store.quarter_hours()))
+        """Raw events and 15-minute rows up to the frontier must agree in sums and hash, for all buckets that were compacted
+        since they last agreed."""
+        end, newest = rollup.frontier(self.watermark, dirty), self.store.newest_compaction()
+        changed = self.store.compacted_between(self.agreed, newest) if newest else self.store.pending_buckets().where("false")
+        changed = self.store._staged(changed.where((F.col("bucket") >= F.lit(self.start)) & (F.col("bucket") < F.lit(end))))
+        first, last = changed.agg(F.min("bucket"), F.max("bucket") + F.expr("interval 15 minutes")).first()
+        period = (first or self.start, last or self.start)
+        mine = lambda df: df.join(changed, X.bucket_start("ts") == F.col("bucket"), "left_semi")
+        a, b = (rollup.fingerprint(mine(x)).first() for x in (self.store.events(period), self.store.quarter_hours(period)))
         self.cutover, self.check = jobs.validated(self.cutover, now, a == b, mismatch=a != b), False
+        self.agreed = newest if a == b and end == self.watermark else 0 if a != b else self.agreed
 
     def pricing_repair(self, now: datetime, dirty: list[datetime]) -> None:
-        began = time.monotonic()
+        began, asked = time.monotonic(), self.priced_by()
         got = self.store.repair_pricing(str(self.start.replace(tzinfo=None)), str(now.replace(tzinfo=None)), self.limit)
         self.limit = jobs.next_limit(self.limit, got["scanned"], int(1000 * (time.monotonic() - began)), False, LEAST, MOST)
+        self.repaired = None if got["has_more"] or got["scanned"] else asked
 
     def quarter_hours(self, now: datetime, dirty: list[datetime]) -> None:
         todo = rollup.next_buckets(self.watermark, dirty, now, self.batch)
@@ -101,13 +90,26 @@ class Maintenance:
         self.watermark += rollup.WIDTH * sum(b >= self.watermark for b in todo)
 
     def zones(self, now: datetime, dirty: list[datetime]) -> None:
+        """The local days that changed; of a zone that is new, all.  Zones that are equally far are rolled up in one pass."""
         newest = self.store.newest_compaction()
-        self.store.roll_zones(list(self.names), self.rolled, newest)
-        self.rolled = newest
+        for after in sorted({self.rolled.get(z, 0) for z in self.names}):
+            self.store.roll_zones([z for z in self.names if self.rolled.get(z, 0) == after], after, newest)
+        self.rolled = {z: newest for z in self.names}
 
-    def source(self, start: datetime, end: datetime, mode: str = "auto"):
-        """What a question over a period reads: raw events, or rows of the rollup where it is active and complete."""
+    def plan(self, start: datetime, end: datetime, mode: str = "auto", zone: str | None = None) -> layers.Layers:
+        """Which layer answers which part of a period; zone: the one by whose days the question groups, if any."""
         if jobs.layer(mode, self.cutover, jobs.Cutover()) == "raw":
-            return self.store.events((start, end)).where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
-        p = rollup.plan(start, end, self.watermark, self.dirty(1))
-        return rollup.stitched(self.store.events((start, end)), self.store.quarter_hours(), p)
+            return layers.Layers(((start, end),))
+        pending = self.store.pending_buckets().where((F.col("bucket") > F.lit(start - rollup.WIDTH)) & (F.col("bucket") < F.lit(end)))
+        dirty = [datetime.fromtimestamp(r[0], self.start.tzinfo) for r in pending.select(F.unix_seconds("bucket")).distinct().collect()]  # 96 a day
+        ready = self.store.ready_days(zone, start, end) if zone in self.names else frozenset()
+        return layers.layered(start, end, self.start, self.watermark, dirty, zone if ready else None, ready)
+
+    def source(self, start: datetime, end: datetime, mode: str = "auto", zone: str | None = None):
+        """What a question over a period reads: local days of its zone, 15-minute rows, and raw events where neither holds."""
+        p = self.plan(start, end, mode, zone)
+        raw = self.store.events((p.raw[0][0], p.raw[-1][1])) if p.raw else self.store.events((start, start))
+        if not (p.rollup or p.days):
+            return layers.inside(raw, p.raw)
+        rows = self.store.quarter_hours((p.rollup[0][0], p.rollup[-1][1])) if p.rollup else self.store.quarter_hours((start, start))
+        return layers.stitched(raw, rows, self.store.zone_days(p.zone, (p.days[0][0], p.days[-1][1])) if p.days else None, p)

@@ -36,6 +36,11 @@ def local_rollup(quarter_hours: DataFrame, zone: str, unit: str = "day") -> Data
     return quarter_hours.groupBy(label.alias("bucket"), *DIMENSIONS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS], F.sum("cost_usd").alias("cost_usd"))
 
 
+def daily(rows: DataFrame, *by: str) -> DataFrame:
+    """15-minute rows summed by columns that they have got, and all dimensions."""
+    return rows.groupBy(*by, *DIMENSIONS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS], F.sum("cost_usd").alias("cost_usd"))
+
+
 def fingerprint(rows: DataFrame) -> DataFrame:
     """Sums and an order-free hash of the compacted rows: raw events and rollup must agree."""
     c = compact(rows) if "version" not in rows.columns else rows

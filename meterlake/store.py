@@ -5,13 +5,16 @@ is in `replacements` under a higher version.  Reads take the last version of rep
 scan without replacements needs no shuffle, and one with few needs a broadcast at most.  Both tables are partitioned by
 the month of `ts` (in UTC), so a question about a period reads its months alone; a key always has the same `ts`.  One
 writer at a time.
+
+Marks, replacements and rollups are kept in segments under one manifest (plans/snapshots.py): what belongs together appears
+at once, and what is superseded goes as segments are merged, so reads cost what is live.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,21 +25,61 @@ from .functions import timeutil
 from .operators import compare, history, ingest, pricing, repair, tools, usage
 from .operators.usage import Scope
 from .plans import jobs, outbox, rollup
+from .plans.snapshots import GRACE, Snapshots
 
 EVENT = """event_id bigint, dedup_key string, provider_key string, user_id bigint, session_id string, model string, host string,
 ts timestamp, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_creation_tokens bigint,
 cost_usd decimal(18,8), cost_status string, event_count bigint, team_id bigint, revision_id int"""
 
+#: Columns by which the files of tables in segments are parted.
+PARTED = {"dirty": (), "compacted": (), "replacements": ("event_month",), "quarter_hours": ("event_month",), "zone_days": ("zone", "day_month"), "zone_notes": ()}
+
+
+def _last_compactions(done: DataFrame) -> DataFrame:
+    return done.groupBy(F.col("bucket").alias("ts")).agg(F.max("mark").alias("version"))
+
+
+def _last_notes(notes: DataFrame) -> DataFrame:
+    return notes.groupBy("zone", "day").agg(F.max("version").alias("version"), F.max_by("upto", "version").alias("upto"))
+
+
+def _pending(dirty: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Buckets (bucket, mark) that changed and weren't compacted since."""
+    last = dirty.groupBy("bucket").agg(F.max("mark").alias("mark"))
+    if done is None:
+        return last
+    met = last.join(done.groupBy("bucket").agg(F.max("mark").alias("done")), "bucket", "left")
+    return met.where(F.col("done").isNull() | (F.col("done") <= F.col("mark"))).select("bucket", "mark")
+
+
+#: What is live of each table's rows.
+REDUCED = {
+    "dirty": lambda rows, read: _pending(rows, read("compacted")),
+    "compacted": lambda rows, read: rows.groupBy("bucket").agg(F.max("mark").alias("mark")),
+    "replacements": lambda rows, read: ingest.latest(rows).select(*rows.columns),
+    "quarter_hours": lambda rows, read: rows.join(_last_compactions(read("compacted")), ["ts", "version"], "left_semi").select(*rows.columns),
+    "zone_notes": lambda rows, read: _last_notes(rows),
+    "zone_days": lambda rows, read: rows.join(_last_notes(read("zone_notes")), ["zone", "day", "version"], "left_semi").select(*rows.columns),
+}
+
 
 class UsageStore:
     def __init__(self, spark: SparkSession, root: str, revisions: DataFrame, assignments: DataFrame, users: DataFrame, teams: DataFrame, zone: str = "UTC", capable: tuple[str, ...] = ()):
         self.spark, self.root, self.zone, self.capable = spark, root.rstrip("/"), zone, list(capable)
         self.revisions, self.assignments, self.users, self.teams = revisions, assignments, users, teams
         self.columns = spark.createDataFrame([], EVENT).columns
+        self.snapshots = Snapshots(spark, self.root, REDUCED)
+        self.layers = None
+
+    def serve_from(self, maintenance) -> None:
+        """From now on questions read what its source() gives: rollups where they are complete, raw events elsewhere."""
+        self.layers = maintenance
 
     # Tables
 
     def table(self, name: str) -> DataFrame | None:
+        if name in PARTED:
+            return self.snapshots.read(name)
         try:
             return self.spark.read.parquet(f"{self.root}/{name}")
         except AnalysisException as e:
@@ -44,11 +87,19 @@ class UsageStore:
                 raise
             return None
 
+    def _segments(self, **rows: DataFrame) -> None:
+        """New rows of tables in segments, which appear together."""
+        self.snapshots.append(*[(name, df, PARTED[name]) for name, df in rows.items()])
+
     def _append(self, df: DataFrame, name: str, *by: str) -> None:
         df.write.mode("append").partitionBy(*by).parquet(f"{self.root}/{name}")
 
     def _staged(self, df: DataFrame) -> DataFrame:
         """Written before it is used more than once, so that all uses see the same rows."""
+        fs, root = self.snapshots.files.fs, self.snapshots.files.path(f"{self.root}/staging")
+        for old in fs.listStatus(root) if fs.exists(root) else []:
+            if time.time() - old.getModificationTime() / 1000 > 24 * GRACE:  # of jobs that have long ended
+                fs.delete(old.getPath(), True)
         path = f"{self.root}/staging/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -74,16 +125,23 @@ class UsageStore:
 
     def _replace(self, rows: DataFrame, gone: bool = False) -> None:
         version = F.lit(time.time_ns()).cast("long")
-        self._append(rows.select(*self.columns, version.alias("version"), F.lit(gone).alias("gone"), X.utc_month(F.col("ts")).alias("event_month")), "replacements", "event_month")
-        self._mark(rows)
+        again = rows.select(*self.columns, version.alias("version"), F.lit(gone).alias("gone"), X.utc_month(F.col("ts")).alias("event_month"))
+        self._segments(replacements=again, dirty=self._marks(rows))
 
-    def _mark(self, rows: DataFrame) -> None:
+    def _marks(self, rows: DataFrame) -> DataFrame:
         """The buckets of changed rows are dirty until they are compacted after this."""
-        self._append(ingest.dirty_buckets(rows).withColumn("mark", F.lit(time.time_ns())), "dirty")
+        return ingest.dirty_buckets(rows).withColumn("mark", F.lit(time.time_ns()))
 
     def _scan(self, scope: Scope) -> DataFrame:
         return usage.scan(self.events((scope.start, scope.end)), scope)
 
+    def _measured(self, scope: Scope, zone: str | None = None) -> DataFrame:
+        """Rows for measures by dimensions of the rollup, and by local days of a zone (without one: by any bucket)."""
+        if self.layers is None or scope.team is not None:
+            return self._scan(scope)
+        start, end = (t if t.tzinfo else t.replace(tzinfo=UTC) for t in map(datetime.fromisoformat, (scope.start, scope.end)))
+        return usage.scan(self.layers.source(start, end, zone=zone), scope)
+
     def _oldest(self, rows: DataFrame, limit: int) -> tuple[DataFrame, bool]:
         """The oldest rows up to a limit, and whether there are more."""
         batch = self._staged(rows.orderBy("ts", "dedup_key").limit(limit + 1))
@@ -117,8 +175,8 @@ class UsageStore:
                 inserted = new.count()
         else:
             inserted = new.count()
+        self._segments(dirty=self._marks(new))  # first: a mark without its events does no harm
         self._append(new.withColumn("event_month", X.utc_month(F.col("ts"))), "usage_events", "event_month")
-        self._mark(new)
         return {"inserted": inserted, "deduped": sent - inserted}
 
     def recompute_daily(self, days: list[str]) -> None:
@@ -168,9 +226,10 @@ class UsageStore:
             self._replace(rows, gone=True)
         return {"reconciled": n, "affected_buckets": ingest.dirty_buckets(rows), "has_more": more}
 
-    def reconcile_usage(self, user: int, provider: str, keys: DataFrame) -> dict:
-        """Withdraws listed keys (dedup_key) of one user and provider; keys of others stay."""
-        mine = self.events().where((F.col("user_id") == user) & (F.col("provider_key") == provider))
+    def reconcile_usage(self, user: int, provider: str, keys: DataFrame, period: tuple[str, str] | None = None) -> dict:
+        """Withdraws listed keys (dedup_key) of one user and provider; keys of others stay.  Of a period only its months
+        are read."""
+        mine = self.events(period).where((F.col("user_id") == user) & (F.col("provider_key") == provider))
         rows = self._staged(mine.join(keys.select("dedup_key").distinct(), "dedup_key", "left_semi").select(*self.columns))
         n = rows.count()
         if n:
@@ -179,14 +238,11 @@ class UsageStore:
 
     def pending_buckets(self) -> DataFrame:
         """Buckets that changed and weren't compacted since."""
-        dirty, done = self.table("dirty"), self.table("compacted")
+        state = self.snapshots.load()
+        dirty = self.snapshots.read("dirty", state)
         if dirty is None:
             return self.spark.createDataFrame([], "bucket timestamp")
-        last = dirty.groupBy("bucket").agg(F.max("mark").alias("mark"))
-        if done is None:
-            return last.select("bucket")
-        met = last.join(done.groupBy("bucket").agg(F.max("mark").alias("done")), "bucket", "left")
-        return met.where(F.col("done").isNull() | (F.col("done") <= F.col("mark"))).select("bucket")
+        return _pending(dirty, self.snapshots.read("compacted", state)).select("bucket")
 
     def compact_buckets(self, buckets: list[datetime]) -> None:
         """15-minute rows of these buckets, a bounded list, which replace the buckets' old rows when read."""
@@ -204,59 +260,89 @@ class UsageStore:
         self._compact(rows, buckets)
 
     def _compact(self, rows: DataFrame, buckets: DataFrame) -> None:
-        """Rows first and then the note of their version: without it they aren't read, so a job that was lost does no harm."""
+        """Rows and the note of their version, which appear together."""
         version = time.time_ns()
-        self._append(rollup.compact(rows, version), "quarter_hours")
-        self._append(buckets.select("bucket", F.lit(version).alias("mark")), "compacted")
+        made = rollup.compact(rows, version).withColumn("event_month", X.utc_month(F.col("ts")))
+        self._segments(quarter_hours=made, compacted=buckets.select("bucket", F.lit(version).alias("mark")))
 
-    def quarter_hours(self) -> DataFrame:
-        """Of each bucket the rows of its last compaction, none if that found no events."""
-        rows, done = self.table("quarter_hours"), self.table("compacted")
+    def quarter_hours(self, period: tuple[str | datetime, str | datetime] | None = None) -> DataFrame:
+        """Of each bucket the rows of its last compaction, none if that found no events; of a period only its buckets'."""
+        state = self.snapshots.load()
+        rows, done = self.snapshots.read("quarter_hours", state), self.snapshots.read("compacted", state)
         if rows is None or done is None:
             return rollup.compact(self.events().where("false"))
-        last = done.groupBy(F.col("bucket").alias("ts")).agg(F.max("mark").alias("version"))
-        return rows.join(last, ["ts", "version"], "left_semi").select(*rows.columns)
+        if period:
+            first, last = (F.lit(x).cast("timestamp") for x in period)
+            done = done.where((F.col("bucket") >= X.bucket_start(first)) & (F.col("bucket") <= last))
+            rows = rows.where((F.col("event_month") >= X.utc_month(first)) & (F.col("event_month") <= X.utc_month(last)) & (F.col("ts") >= X.bucket_start(first)) & (F.col("ts") <= last))
+        return rows.join(_last_compactions(done), ["ts", "version"], "left_semi").select(*[c for c in rows.columns if c != "event_month"])
 
     def newest_compaction(self) -> int:
         done = self.table("compacted")
         return 0 if done is None else done.agg(F.coalesce(F.max("mark"), F.lit(0))).first()[0]
 
+    def compacted_between(self, after: int, to: int) -> DataFrame:
+        """Buckets that were compacted last after one mark and up to another."""
+        return self.table("compacted").groupBy("bucket").agg(F.max("mark").alias("mark")).where((F.col("mark") > after) & (F.col("mark") <= to)).select("bucket")
+
     def roll_zones(self, zones: list[str], after: int, to: int) -> None:
-        """Rebuilds the local days of these zones that were changed by compactions after one and up to another, and no others."""
-        changed = self.table("compacted").where((F.col("mark") > after) & (F.col("mark") <= to)).select("bucket")
+        """Rebuilds the local days of these zones that were changed by compactions after one and up to another, and no
+        others: of all zones in one pass over the rows of these days."""
+        changed = self._staged(self.compacted_between(after, to))
+        first, last = changed.agg(F.min("bucket") - F.expr("interval 2 days"), F.max("bucket") + F.expr("interval 2 days")).first()
+        if first is None:
+            return
         days = self._staged(jobs.affected_jobs(changed, zones).where("unit = 'day'").select("zone", F.col("label").alias("day")))
-        rows = self.quarter_hours()
-        for zone in zones:
-            mine = days.where(F.col("zone") == zone).select("day")
-            part = rows.withColumn("day", X.bucket_label("ts", zone)).join(mine, "day", "left_semi")
-            out = rollup.local_rollup(part, zone).withColumnRenamed("bucket", "day").withColumn("zone", F.lit(zone))
-            none = mine.join(out.select("day").distinct(), "day", "left_anti")  # days that have lost all their events
-            out = out.unionByName(none.withColumn("zone", F.lit(zone)), allowMissingColumns=True)
-            out.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("zone", "day").parquet(f"{self.root}/zone_days")
-
-    def zone_days(self, zone: str) -> DataFrame | None:
-        """The rows of a zone's local days, as far as they were rolled up."""
-        rows = self.table("zone_days")
-        return None if rows is None else rows.where((F.col("zone") == zone) & F.col("event_count").isNotNull()).withColumn("day", F.col("day").cast("string"))
+        label = F.explode(F.array(*[F.struct(F.lit(z).alias("zone"), X.bucket_label("ts", z).alias("day")) for z in zones])).alias("local")
+        rows = self.quarter_hours((first, last)).select("*", label).select("*", "local.*").drop("local").join(days, ["zone", "day"], "left_semi")
+        version, month = time.time_ns(), F.substring("day", 1, 7).alias("day_month")
+        out = rollup.daily(rows, "zone", "day").select("*", F.lit(version).alias("version"), month)
+        self._segments(zone_days=out, zone_notes=days.select("zone", "day", F.lit(version).alias("version"), F.lit(to).alias("upto")))
+
+    def zone_days(self, zone: str, period: tuple[str, str] | None = None) -> DataFrame | None:
+        """The rows of a zone's local days as they were rolled up last; of a period (two days, both included) only these."""
+        state = self.snapshots.load()
+        rows, notes = self.snapshots.read("zone_days", state), self.snapshots.read("zone_notes", state)
+        if rows is None or notes is None:
+            return None
+        rows, notes = (x.where(F.col("zone") == zone) for x in (rows, notes))
+        if period:
+            rows = rows.where(F.col("day_month").between(period[0][:7], period[1][:7]) & F.col("day").between(*period))
+            notes = notes.where(F.col("day").between(*period))
+        last = _last_notes(notes).select("day", "version")
+        return rows.join(last, ["day", "version"], "left_semi").select(*[c for c in rows.columns if c not in ("version", "day_month")])
+
+    def ready_days(self, zone: str, start: datetime, end: datetime) -> frozenset[str]:
+        """The zone's local days of a period that were rolled up after the last compaction of any of their buckets."""
+        state = self.snapshots.load()
+        notes, done = self.snapshots.read("zone_notes", state), self.snapshots.read("compacted", state)
+        if notes is None or done is None:
+            return frozenset()
+        near = done.where((F.col("bucket") >= F.lit(start) - F.expr("interval 1 day")) & (F.col("bucket") < F.lit(end) + F.expr("interval 1 day")))
+        marks = near.groupBy(X.bucket_label("bucket", zone).alias("day")).agg(F.max("mark").alias("mark"))
+        rows = _last_notes(notes.where(F.col("zone") == zone)).join(marks, "day").where("mark <= upto").select("day").collect()  # a row a day
+        return frozenset(r[0] for r in rows)
 
     def reconcile_rollups(self, start: str, end: str) -> DataFrame:
         """Buckets whose rollup has all events but other statuses or costs."""
         period, none = Scope(start, end), self.spark.createDataFrame([], "bucket timestamp")
-        return repair.stale_buckets(self._scan(period), usage.scan(self.quarter_hours(), period), none)
+        return repair.stale_buckets(self._scan(period), usage.scan(self.quarter_hours((start, end)), period), none)
 
     # Questions
 
     def overview(self, scope: Scope) -> DataFrame:
-        return usage.overview(self._scan(scope))
+        return usage.overview(self._measured(scope, self.zone))
 
     def daily_series(self, scope: Scope, bucket: str = "day", zone: str | None = None) -> DataFrame:
-        return usage.series(self._scan(scope), zone or self.zone, bucket)
+        zone = zone or self.zone
+        return usage.series(self._measured(scope, zone if bucket == "day" else None), zone, bucket)
 
     def member_series(self, scope: Scope, bucket: str = "day", zone: str | None = None) -> DataFrame:
-        return usage.series(self._scan(scope), zone or self.zone, bucket, "user_id")
+        zone = zone or self.zone
+        return usage.series(self._measured(scope, zone if bucket == "day" else None), zone, bucket, "user_id")
 
     def user_usage(self, scope: Scope, bucket: str = "day") -> dict[str, DataFrame]:
-        rows = self._scan(scope)
+        rows = self._measured(scope, self.zone if bucket == "day" else None)
         return {"overview": usage.overview(rows), "daily": usage.series(rows, self.zone, bucket), "by_model": usage.breakdown(rows, "model", "(unknown)"), "by_host": usage.breakdown(rows, "host")}
 
     def insight_comparison(self, current: Scope, previous: Scope, zone: str | None = None) -> dict[str, DataFrame]:
@@ -267,27 +353,28 @@ class UsageStore:
         return tools.usage_days(self._scan(scope), zone or self.zone, self.capable)
 
     def organization_dashboard(self, current: Scope, previous: Scope, with_teams: bool = True, order: str = "cost") -> dict[str, DataFrame]:
-        now = self._scan(current)
+        now = self._measured(current, self.zone)
         out = {"current": usage.overview(now), "previous": self.overview(previous), "daily": usage.series(now, self.zone), "providers": usage.breakdown(now, "provider_key"), "users": usage.leaderboard(now, self.users, "user_id", order)}
-        return out | ({"teams": usage.leaderboard(now, self.teams, "team_id", order)} if with_teams else {})
+        return out | ({"teams": usage.leaderboard(self._scan(current), self.teams, "team_id", order)} if with_teams else {})
 
     def model_series(self, scope: Scope, bucket: str = "day") -> DataFrame:
-        return usage.bucket_by(self._scan(scope), self.zone, bucket, "model", "(unknown)")
+        return usage.bucket_by(self._measured(scope, self.zone if bucket == "day" else None), self.zone, bucket, "model", "(unknown)")
 
     def hourly_series(self, scope: Scope, zone: str | None = None) -> DataFrame:
         return self.daily_series(scope, "hour", zone)
 
     def leaderboard(self, scope: Scope, by: str = "user", order: str = "cost") -> DataFrame:
-        return usage.leaderboard(self._scan(scope), self.users if by == "user" else self.teams, f"{by}_id", order)
+        rows = self._measured(scope, self.zone) if by == "user" else self._scan(scope)
+        return usage.leaderboard(rows, self.users if by == "user" else self.teams, f"{by}_id", order)
 
     def provider_breakdown(self, scope: Scope) -> DataFrame:
-        return usage.breakdown(self._scan(scope), "provider_key")
+        return usage.breakdown(self._measured(scope, self.zone), "provider_key")
 
-    def user_hosts(self, user: int) -> DataFrame:
-        return usage.devices(self.events().where(F.col("user_id") == user))
+    def user_hosts(self, user: int, period: tuple[str, str] | None = None) -> DataFrame:
+        return usage.devices(self.events(period).where(F.col("user_id") == user))
 
-    def session_summaries(self, user: int, sessions: DataFrame) -> DataFrame:
-        mine = self.events().where(F.col("user_id") == user)
+    def session_summaries(self, user: int, sessions: DataFrame, period: tuple[str, str] | None = None) -> DataFrame:
+        mine = self.events(period).where(F.col("user_id") == user)
         return usage.session_summaries(mine.join(sessions.select("session_id").distinct(), "session_id", "left_semi"))
 
     def session_events(self, user: int, session: str) -> DataFrame:
@@ -343,8 +430,9 @@ class UsageStore:
 
     def save_tool_events(self, rows: DataFrame) -> None:
         """event_id, user_id, session_id, host, ts, activity_kind, item_key, outcome; a known event_id is passed over."""
-        had = self.table("tool_events")
-        new = self._staged(rows.dropDuplicates(["event_id"]) if had is None else rows.dropDuplicates(["event_id"]).join(had.select("event_id"), "event_id", "left_anti"))
+        rows = self._staged(rows.dropDuplicates(["event_id"]))
+        had = self._months("tool_events", rows.agg(F.min("ts"), F.max("ts")).first())  # of the batch's months
+        new = self._staged(rows if had is None else rows.join(had.select("event_id"), "event_id", "left_anti"))
         self._append(new.withColumn("event_month", X.utc_month(F.col("ts"))), "tool_events", "event_month")
 
     def tool_activity(self, start: str, end: str, user: int | None = None) -> dict[str, DataFrame]:
