@@ -37,7 +37,7 @@ def _(spark, d):
 
 
 _NOW = "2024-01-01 00:00:00"
-_ROLLOUT = f"""WITH p AS (SELECT n_nationkey::BIGINT AS policy_id, n_nationkey % 4 AS version_id, CASE n_nationkey % 3 WHEN 0 THEN 'preflight' WHEN 1 THEN 'canary' ELSE 'expand' END AS phase, TIMESTAMP '{_NOW}' - to_minutes(n_nationkey * 5) AS phase_started FROM nation WHERE n_nationkey % 8 <> 7),
+_ROLLOUT = f"""WITH p AS (SELECT n_nationkey::BIGINT AS policy_id, n_nationkey % 4 AS version_id, CASE n_nationkey % 3 WHEN 0 THEN 'preflight' WHEN 1 THEN 'canary' ELSE 'expand' END AS phase, TIMESTAMP '{_NOW}' - to_minutes(n_nationkey * 5) AS phase_started FROM nation),
 e AS (SELECT c_nationkey AS team, count(DISTINCT o_orderkey) AS eligible FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
 r AS (SELECT l_partkey % 25 AS seed, l_suppkey % 4 AS version, CASE WHEN l_orderkey % 7 <> 0 THEN l_shipdate + INTERVAL 40 YEAR END AS tried, CASE WHEN l_orderkey % 900 = 0 THEN 'failed' ELSE 'installed' END AS status, (l_orderkey, l_linenumber) AS id FROM lineitem),
 k AS (SELECT policy_id, phase, phase_started, eligible, count(DISTINCT id) FILTER (WHERE tried IS NOT NULL) AS attempted, count(DISTINCT id) FILTER (WHERE status = 'failed') AS failed FROM p JOIN e ON team = policy_id LEFT JOIN r ON seed = policy_id AND version = version_id AND tried >= phase_started GROUP BY ALL),
@@ -47,7 +47,7 @@ g AS (SELECT *, NOT back AND phase = 'canary' AND age >= 30 AND attempted >= gre
 
 def rollouts(spark, d) -> DataFrame:
     n = F.col("n_nationkey")
-    policies = table(spark, d, "nation").where("n_nationkey % 8 <> 7").select(n.cast("long").alias("policy_id"), n.cast("long").alias("team_id"), n.cast("long").alias("seed"), (n % 4).cast("long").alias("version_id"), F.when(n % 3 == 0, "preflight").when(n % 3 == 1, "canary").otherwise("expand").alias("phase"), F.lit(True).alias("enabled"), (F.lit(_NOW).cast("timestamp") - F.make_dt_interval(mins=n * 5)).alias("phase_started"))
+    policies = table(spark, d, "nation").select(n.cast("long").alias("policy_id"), n.cast("long").alias("team_id"), n.cast("long").alias("seed"), (n % 4).cast("long").alias("version_id"), F.when(n % 3 == 0, "preflight").when(n % 3 == 1, "canary").otherwise("expand").alias("phase"), F.lit(True).alias("enabled"), (F.lit(_NOW).cast("timestamp") - F.make_dt_interval(mins=n * 5)).alias("phase_started"))
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("team_id"))
     snapshots = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("snapshot_id"))
     o = F.col("l_orderkey")
@@ -66,7 +66,7 @@ def _(spark, d):
 
 
 _WANTED = f"""WITH dev AS (SELECT c_custkey AS user_id, 'd' || c_custkey AS fingerprint, c_nationkey AS team FROM customer),
-pref AS (SELECT c_custkey AS user_id, c_custkey % 5 AS item, CASE WHEN c_custkey % 6 = 0 THEN 'exclude' ELSE 'install' END AS mode, CASE WHEN c_custkey % 4 = 0 THEN 'all_devices' ELSE 'selected' END AS scope, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 11 END AS version_id FROM customer WHERE c_custkey % 3 <> 2),
+pref AS (SELECT c_custkey AS user_id, c_custkey % 5 AS item, CASE WHEN c_custkey % 6 = 0 THEN 'exclude' ELSE 'install' END AS mode, CASE WHEN c_custkey % 4 = 0 THEN 'all_devices' ELSE 'selected' END AS scope, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 11 END AS version_id FROM customer),
 pol AS (SELECT n_nationkey AS team, (n_nationkey + j) % 5 AS item, 100 + j AS version_id, 's' || n_nationkey AS seed, n_nationkey * 4 AS percent FROM nation, (VALUES (0), (1)) t(j)),
 own AS (SELECT user_id, fingerprint, item, version_id, 'personal' AS origin FROM dev JOIN pref USING (user_id) WHERE mode = 'install' AND version_id IS NOT NULL AND (scope = 'all_devices' OR user_id % 2 = 0)),
 byteam AS (SELECT user_id, fingerprint, item, version_id, 'team' AS origin FROM dev JOIN pol USING (team) WHERE {_FNV("seed || ':' || fingerprint")} < percent)"""
@@ -74,7 +74,7 @@ byteam AS (SELECT user_id, fingerprint, item, version_id, 'team' AS origin FROM
 
 def preferences(spark, d) -> tuple[DataFrame, DataFrame]:
     c = F.col("c_custkey")
-    p = table(spark, d, "customer").where(c % 3 != 2).select(c.alias("user_id"), (c % 5).alias("item"), F.when(c % 6 == 0, "exclude").otherwise("install").alias("mode"), F.when(c % 4 == 0, "all_devices").otherwise("selected").alias("scope"), F.when(c % 7 != 0, c % 11).alias("version_id"))
+    p = table(spark, d, "customer").select(c.alias("user_id"), (c % 5).alias("item"), F.when(c % 6 == 0, "exclude").otherwise("install").alias("mode"), F.when(c % 4 == 0, "all_devices").otherwise("selected").alias("scope"), F.when(c % 7 != 0, c % 11).alias("version_id"))
     return p, p.where("user_id % 2 = 0").select("user_id", "item", F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("fingerprint"))
 
 
@@ -87,7 +87,7 @@ def _(spark, d):
     return deploy.desired_tools(devices, prefs, chosen, policies)
 
 
-@query("agg29_preference_devices", "SELECT c_custkey AS user_id, c_custkey % 5 AS item, CASE WHEN c_custkey % 2 = 0 THEN 'd' || c_custkey || ',e' || c_custkey ELSE '' END AS fingerprints FROM customer WHERE c_custkey % 3 <> 2")
+@query("agg29_preference_devices", "SELECT c_custkey AS user_id, c_custkey % 5 AS item, CASE WHEN c_custkey % 2 = 0 THEN 'd' || c_custkey || ',e' || c_custkey ELSE '' END AS fingerprints FROM customer")
 def _(spark, d):
     prefs, chosen = preferences(spark, d)
     more = chosen.unionByName(chosen.withColumn("fingerprint", F.regexp_replace("fingerprint", "^d", "e")))
@@ -173,10 +173,9 @@ def _(spark, d):
     return repair.stale_buckets(e, rollup.compact(old), ingest.dirty_buckets(e.where("user_id = 6"))).select(F.col("bucket").cast("timestamp_ntz").alias("bucket"))
 
 
-@query("alg23_team_backfill", f"{TEAMED} SELECT event_id, CASE WHEN user_id = 9 AND team_id IS NULL AND {PERIOD} THEN 77 ELSE team_id END AS team_id, user_id = 9 AND team_id IS NULL AND {PERIOD} AS filled FROM t WHERE user_id IN (9, 10, 19)")
+@query("alg23_team_backfill", f"{TEAMED} SELECT event_id, CASE WHEN user_id = 9 AND team_id IS NULL AND {PERIOD} THEN 77 ELSE team_id END AS team_id, coalesce(user_id = 9 AND team_id IS NULL AND {PERIOD}, false) AS filled FROM t")
 def _(spark, d):
-    e = teamed(spark, d).where("user_id IN (9, 10, 19)")
-    return repair.team_backfill(e, 9, 77, SCOPE.start, SCOPE.end).select("event_id", "team_id", "filled")
+    return repair.team_backfill(teamed(spark, d), 9, 77, SCOPE.start, SCOPE.end).select("event_id", "team_id", "filled")
 
 
 @query("alg24_membership_change", """WITH u AS (SELECT DISTINCT user_id FROM events), m AS (SELECT user_id, (user_id + 3) % 25 AS team_id, TIMESTAMP '2024-01-22' AS moved FROM u WHERE user_id % 4 = 1),

@@ -100,3 +100,21 @@ def decode(text: str | None, scope: str, secret: str) -> Cursor | None:
         return None
     sound = out.start < out.end and all(_is_key(p.key) for p in (out.after, out.resume) if p) and (out.resume is None or _is_record(out.after_record))
     return out if sound else None
+
+
+def encode_place(place: tuple[int, ...], scope: str, secret: str) -> str:
+    """A place among rows with keys of whole numbers, signed for a scope."""
+    payload = _pack(json.dumps({"v": VERSION, "scope": scope, "after": list(place)}, ensure_ascii=False, separators=(",", ":")).encode())
+    return f"{payload}.{_pack(_sign(payload, secret))}"
+
+
+def decode_place(text: str, scope: str, secret: str) -> tuple[int, ...] | None:
+    """The place, or None if the text was not signed with this secret for this scope."""
+    payload, _, signature = text.partition(".")
+    try:
+        if not payload or not hmac.compare_digest(_unpack(signature), _sign(payload, secret)):
+            return None
+        body = json.loads(_unpack(payload))
+    except ValueError:
+        return None
+    return tuple(body["after"]) if body["v"] == VERSION and body["scope"] == scope else None

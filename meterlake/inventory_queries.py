@@ -329,12 +329,12 @@ def _(spark, d):
     return T.users(spark, d).select("user_id").join(last, "user_id", "left").na.fill(0, ["events"])
 
 
-@query("jn18_device_rows", f"""WITH {T.EV}, u AS (SELECT host, count(*) AS events FROM ev GROUP BY 1), i AS (SELECT s_suppkey AS device, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'h' || (s_suppkey % 7) END AS host FROM supplier WHERE s_suppkey % 7 NOT IN (1)),
+@query("jn18_device_rows", f"""WITH {T.EV}, u AS (SELECT host, count(*) AS events FROM ev GROUP BY 1), i AS (SELECT s_suppkey AS device, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 7 = 1 THEN 'new' ELSE 'h' || (s_suppkey % 7) END AS host FROM supplier),
 c AS (SELECT *, count(*) OVER (PARTITION BY host) > 1 AS shared FROM i)
 SELECT device, c.host, events, shared FROM c LEFT JOIN u ON u.host IS NOT DISTINCT FROM c.host UNION ALL SELECT NULL, host, events, false FROM u WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.host IS NOT DISTINCT FROM u.host)""")
 def _(spark, d):
     s = F.col("s_suppkey")
-    inventory = table(spark, d, "supplier").where("s_suppkey % 7 <> 1").select(s.alias("device"), F.when(s % 5 != 0, F.concat(F.lit("h"), (s % 7).cast("string"))).alias("host"))
+    inventory = table(spark, d, "supplier").select(s.alias("device"), F.when(s % 5 != 0, F.when(s % 7 == 1, "new").otherwise(F.concat(F.lit("h"), (s % 7).cast("string")))).alias("host"))
     return deploy.device_rows(inventory, usage.devices(T.usage_events(spark, d)).select("host", "events"))
 
 
@@ -375,10 +375,10 @@ def _(spark, d):
     return T.tool_events(spark, d).groupBy("item_key").agg(F.count_if(F.col("outcome") == "success").alias("successes")).orderBy(F.desc("successes"), "item_key").limit(3)
 
 
-@query("set2_legitimate_keys", "SELECT event_id FROM events WHERE event_id % 4 = 0 EXCEPT SELECT event_id FROM events WHERE event_id % 6 = 0")
+@query("set2_legitimate_keys", "SELECT event_id FROM events EXCEPT SELECT event_id FROM events WHERE event_id % 6 = 0")
 def _(spark, d):
     e = table(spark, d, "events").select("event_id")
-    return e.where("event_id % 4 = 0").join(e.where("event_id % 6 = 0"), "event_id", "left_anti")
+    return e.join(e.where("event_id % 6 = 0"), "event_id", "left_anti")
 
 
 @query("set3_distinct_pairs", f"WITH {T.EV} SELECT DISTINCT provider_key, model FROM ev")
@@ -644,12 +644,12 @@ def _(spark, d):
     return busy.where((F.col("a") < 12) & (F.col("b") > 6)).select("user_id")
 
 
-@query("src16_plain_transcripts", "SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE role <> 'system' AND NOT regexp_matches(text, '(^|\\n)(user|A):|(^|\\n)\\s*\\[(Tool|Thinking|tool)') AND trim(text) <> ''")
+@query("src16_plain_transcripts", "WITH t AS (SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, CASE role WHEN 'user' THEN role ELSE 'assistant' END AS role, trim(translate(coalesce(text, ''), ':[', ';('), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations) SELECT * FROM t WHERE text <> ''")
 def _(spark, d):
-    """Conversations written as plain text, a tool's call and result after each turn, and read back."""
-    c = table(spark, d, "conversations").where("role <> 'system'").where(~F.rlike("text", F.lit(r"(^|\n)(user|A):|(^|\n)\s*\[(Tool|Thinking|tool)"))).where("trim(text) <> ''")
+    """Conversations written as plain text, without signs that marks have, a tool's call and result after each turn, and read back."""
+    c = table(spark, d, "conversations")
     mark = F.when(F.col("role") == "user", "user: ").otherwise("A: ")
-    text = F.concat(mark, F.col("text"), F.lit("\n[Tool call] mcp__docs__find(x)\n[Tool result] hidden"))
+    text = F.concat(mark, F.translate(F.coalesce("text", F.lit("")), ":[", ";("), F.lit("\n[Tool call] mcp__docs__find(x)\n[Tool result] hidden"))
     files = c.groupBy(F.col("conv_id").cast("string").alias("file")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", text.alias("x")))), lambda t: t["x"]), "\n").alias("value"))
     return logs.plain_turns(files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value"))).select(F.col("file").cast("long").alias("session"), "turn", "role", "text")
 

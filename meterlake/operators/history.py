@@ -9,7 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.segments import carried
+
 SNIPPET = 200
+#: Letters of a snippet of a search; positions of a trigram's hash.
+FOUND, TRIGRAM_BITS = 220, 1 << 20
+#: Milliseconds of a session that one task orders, as a power of two: about 70 minutes.
+TIME_BITS = 22
 #: What comes before a request, and what attachments leave in a text.
 REQUEST = r"(?is)^.*?(?:^|\n)#{1,6}\s*My request for [^:\n]+:\s*"
 ATTACHED = [
@@ -50,6 +56,36 @@ def search(turns: DataFrame, words: str) -> DataFrame:
     return hits.groupBy("session").agg(F.min_by(F.struct("turn", "role", "snippet"), "turn").alias("t")).select("session", "t.turn", "t.role", "t.snippet")
 
 
+def trigram_bits(turns: DataFrame, *by: str) -> DataFrame:
+    """by, bucket and bits: bitmaps of the hashes of all three-letter stretches of the texts, case folded, for each group."""
+    low = F.lower("text")
+    stretches = F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))))
+    at = turns.select(*by, F.explode(stretches).alias("t")).select(*by, F.pmod(F.xxhash64("t"), F.lit(TRIGRAM_BITS)).alias("at"))
+    return at.groupBy(*by, F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+
+def may_hold(index: DataFrame, words: str, by: str) -> DataFrame:
+    """Groups of the index (by, bucket, bits; several rows of a group count together) whose texts may hold the words: all that
+    do, and a few others.  Words under three letters rule out none."""
+    low = words.lower()
+    marks = index.sparkSession.createDataFrame([(low[i : i + 3],) for i in range(len(low) - 2)], "t string").distinct()
+    at = F.pmod(F.xxhash64("t"), F.lit(TRIGRAM_BITS))
+    marks = marks.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).distinct()
+    if len(low) < 3:
+        return index.select(by).distinct()
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright("bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = index.join(marks, "bucket").where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(1) == 1)
+    n = marks.count()  # of one question's words
+    return held.select(by, "bucket", "bit").distinct().groupBy(by).count().where(F.col("count") == n).select(by)
+
+
+def hits(turns: DataFrame, words: str) -> DataFrame:
+    """Turns that hold the words, case folded, with a snippet of FOUND letters around them."""
+    at = F.locate(words.lower(), F.lower("text"))
+    around = F.substring(F.col("text"), F.greatest(at - (FOUND - len(words)) // 2, F.lit(1)), F.lit(FOUND))
+    return turns.where(F.lower("text").contains(words.lower())).withColumn("snippet", around).select("session", "turn", "role", "snippet")
+
+
 def runs(turns: DataFrame, agent: str = "agent") -> DataFrame:
     """Runs of consecutive turns by agents: an island for each stretch between turns of the main thread, a row per agent in it."""
     w = Window.partitionBy("session").orderBy("turn")
@@ -57,11 +93,25 @@ def runs(turns: DataFrame, agent: str = "agent") -> DataFrame:
     return tagged.where(F.col(agent).isNotNull()).groupBy("session", "island", agent).agg(F.count(F.lit(1)).alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
 
 
+def islands(turns: DataFrame, usage: DataFrame, tolerance_ms: int) -> tuple[DataFrame, DataFrame]:
+    """Both with the time at which the island that a row is in begins."""
+    times = turns.select("session", "ts_ms").union(usage.select("session", "ts_ms")).where("session IS NOT NULL AND ts_ms IS NOT NULL").distinct()
+    placed = carried(times.withColumn("t", F.col("ts_ms").cast("long")), "session", "ts_ms", before={"was": "t"}, bits=TIME_BITS)
+    begins = F.when(F.col("was").isNull() | (F.col("t") - F.col("was") > tolerance_ms), F.col("t"))
+    placed = carried(placed.select("session", "ts_ms", begins.alias("island")), "session", "ts_ms", last=("island",), bits=TIME_BITS)
+    renewed = lambda df: df.toDF(*df.columns)  # noqa: E731  so that each side has columns of its own
+    of = lambda df: renewed(renewed(df).join(renewed(placed), ["session", "ts_ms"]))
+    return of(turns), of(usage)
+
+
 def matched(turns: DataFrame, usage: DataFrame, tolerance_ms: int = 10_000) -> DataFrame:
     """Greedy: the assistant turns of a session in order each take the nearest usage event not yet taken, within the tolerance.
 
-    turns: session, key, ts_ms, assistant turns only.  usage: session, event, ts_ms.  A session is worked on as one.
+    turns: session, key, ts_ms, assistant turns only.  usage: session, event, ts_ms.  Where neighbouring times of a session
+    are further apart than the tolerance nothing is taken across, so these islands are worked on each for itself, and a
+    session of any length is spread over tasks.
     """
+    turns, usage = islands(turns, usage, tolerance_ms)
 
     def greedy(key: tuple, t: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
         u = u.sort_values(["ts_ms", "event"])
@@ -90,7 +140,7 @@ def matched(turns: DataFrame, usage: DataFrame, tolerance_ms: int = 10_000) -> D
         return pd.DataFrame(out, columns=["session", "key", "event"])
 
     kinds = dict(turns.dtypes) | {f"u_{a}": b for a, b in usage.dtypes}
-    return turns.groupBy("session").cogroup(usage.groupBy("session")).applyInPandas(greedy, f"session {kinds['session']}, key {kinds['key']}, event {kinds['u_event']}")
+    return turns.groupBy("session", "island").cogroup(usage.groupBy("session", "island")).applyInPandas(greedy, f"session {kinds['session']}, key {kinds['key']}, event {kinds['u_event']}")
 
 
 def normalised(df: DataFrame, column: str) -> DataFrame:

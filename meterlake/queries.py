@@ -190,19 +190,39 @@ def _(spark, d):
     return compare.composition(both(spark, d))
 
 
-@query("alg14_insights", f"""{_TWO}, c AS ({_COMP}), t AS (SELECT count(DISTINCT session_id) FILTER (WHERE period = 'current') AS sc, count(DISTINCT session_id) FILTER (WHERE period = 'previous') AS sp,
- coalesce(sum(tokens) FILTER (WHERE period = 'current'), 0)::DOUBLE AS tc, coalesce(sum(tokens) FILTER (WHERE period = 'previous'), 0)::DOUBLE AS tp FROM b),
+#: Comparisons of which each shows other insights: a first period, a longer one, a shorter one, days of one user, and equal ones.
+_COMPARED = {
+    "first": (usage.Scope(START, END), usage.Scope("2023-11-01", "2023-12-01")),
+    "longer": (usage.Scope(START, END), usage.Scope("2024-01-11", "2024-01-14")),
+    "shorter": (usage.Scope("2024-01-24", END), usage.Scope("2024-01-14", "2024-01-24")),
+    "user": (usage.Scope("2024-01-20", "2024-01-28", user=7), usage.Scope("2024-01-04", "2024-01-20", user=7)),
+    "equal": (SCOPE, PREVIOUS),
+}
+
+
+def _insight_sql(name: str, current: usage.Scope, previous: usage.Scope) -> str:
+    within = lambda s: f"ts >= TIMESTAMP '{s.start}' AND ts < TIMESTAMP '{s.end}'" + (f" AND user_id = {s.user}" if s.user is not None else "")
+    return f"""SELECT '{name}' AS comparison, rule, name, round(score, 6) AS score FROM (WITH b AS (SELECT *, CASE WHEN {within(current)} THEN 'current' ELSE 'previous' END AS period FROM ev WHERE ({within(current)}) OR ({within(previous)})), c AS ({_COMP}),
+t AS (SELECT count(DISTINCT session_id) FILTER (WHERE period = 'current') AS sc, count(DISTINCT session_id) FILTER (WHERE period = 'previous') AS sp, coalesce(sum(tokens) FILTER (WHERE period = 'current'), 0)::DOUBLE AS tc, coalesce(sum(tokens) FILTER (WHERE period = 'previous'), 0)::DOUBLE AS tp FROM b),
 r AS (SELECT 'sessions' AS n, 1 AS turn, (sc - sp) / nullif(sp, 0) * 100 AS x FROM t WHERE least(sc, sp) >= 5 UNION ALL SELECT 'tokens', 2, (tc - tp) / nullif(tp, 0) * 100 FROM t WHERE least(sc, sp) >= 5),
 k AS (SELECT 'usage.new' AS rule, '' AS name, 100.0::DOUBLE AS score, 0 AS turn FROM t WHERE sp = 0 AND sc > 0
  UNION ALL SELECT n || CASE WHEN x > 0 THEN '.increase' ELSE '.decrease' END, '', abs(x), turn FROM r, t WHERE abs(x) + 1e-9 >= 10
- UNION ALL SELECT CASE WHEN previous_tokens = 0 AND current_tokens > 0 THEN 'composition.new' WHEN current_tokens / tc > previous_tokens / tp THEN 'composition.increase' ELSE 'composition.decrease' END, dimension || ':' || key,
-  CASE WHEN previous_tokens = 0 AND current_tokens > 0 THEN 100.0 ELSE abs(current_tokens / tc - previous_tokens / tp) * 100 END, CASE dimension WHEN 'model' THEN 3 ELSE 4 END
-  FROM c, t WHERE sp > 0 AND ((previous_tokens = 0 AND current_tokens > 0) OR abs(current_tokens / tc - previous_tokens / tp) * 100 + 1e-9 >= 5))
-SELECT rule, name, round(score, 6) AS score FROM k ORDER BY k.score DESC, turn, name LIMIT 3""")
-def _(spark, d):
-    b = both(spark, d)
-    totals = b.groupBy("period").agg(F.countDistinct("session_id").alias("sessions"), F.sum(X.total_tokens()).cast("long").alias("tokens"))
-    return compare.insights(totals, compare.composition(b))
+ UNION ALL SELECT 'composition.new', dimension || ':' || key, 100.0, CASE dimension WHEN 'model' THEN 3 ELSE 4 END FROM c, t WHERE sp > 0 AND previous_tokens = 0 AND current_tokens > 0
+ UNION ALL SELECT CASE WHEN current_tokens / tc > previous_tokens / tp THEN 'composition.increase' ELSE 'composition.decrease' END, dimension || ':' || key, abs(current_tokens / tc - previous_tokens / tp) * 100, CASE dimension WHEN 'model' THEN 3 ELSE 4 END
+ FROM c, t WHERE least(sc, sp) >= 5 AND NOT (previous_tokens = 0 AND current_tokens > 0) AND abs(current_tokens / tc - previous_tokens / tp) * 100 + 1e-9 >= 5)
+SELECT * FROM k ORDER BY score DESC, turn, name LIMIT 3)"""
+
+
+@query("alg14_insights", f"WITH {T.EV} " + " UNION ALL ".join(_insight_sql(n, *p) for n, p in _COMPARED.items()))
+def _(spark, d):
+    """The best insights of several comparisons, among them a first period, increases, decreases and shares that moved."""
+    out = None
+    for name, (current, previous) in _COMPARED.items():
+        b = compare.tagged(T.usage_events(spark, d), current, previous)
+        totals = b.groupBy("period").agg(F.countDistinct("session_id").alias("sessions"), F.sum(X.total_tokens()).cast("long").alias("tokens"))
+        rows = compare.insights(totals, compare.composition(b)).select(F.lit(name).alias("comparison"), "rule", "name", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("agg10_dashboard_bundle", f"""{_TWO} SELECT 'overview' AS result_kind, period AS key, {M} FROM b GROUP BY 2

@@ -32,13 +32,13 @@ def _(spark, d):
 _META = "CASE turn % 5 WHEN 0 THEN '  <command-name> /' || substr(text, 1, 4) || ' </command-name><command-args>' || turn || '</command-args>' WHEN 1 THEN '<system-reminder> ' || text WHEN 2 THEN 'says <command-name>x</command-name>' ELSE text END"
 
 
-@query("fn_meta_turns", f"{_TURNS}, m AS (SELECT session, turn, turn % 5 < 2 AS meta, CASE WHEN turn % 5 = 0 THEN trim('/' || substr(text, 1, 4)) || ' ' || turn END AS command FROM t WHERE NOT contains(text, '<')) SELECT * FROM m")
+@query("fn_meta_turns", f"{_TURNS}, m AS (SELECT session, turn, turn % 5 < 2 AS meta, CASE WHEN turn % 5 = 0 THEN trim('/' || substr(replace(text, '<', '('), 1, 4)) || ' ' || turn END AS command FROM t) SELECT * FROM m")
 def _(spark, d):
     """Turns that a tool put there, and the commands that they call."""
     turn = F.col("turn")
     text = F.when(turn % 5 == 0, F.concat(F.lit("  <command-name> /"), F.substring("text", 1, 4), F.lit(" </command-name><command-args>"), turn.cast("string"), F.lit("</command-args>")))
     text = F.coalesce(text, F.when(turn % 5 == 1, F.concat(F.lit("<system-reminder> "), F.col("text"))).when(turn % 5 == 2, "says <command-name>x</command-name>").otherwise(F.col("text")))
-    t = turns(spark, d).where(~F.contains("text", F.lit("<"))).withColumn("text", text)
+    t = turns(spark, d).withColumn("text", F.replace("text", F.lit("<"), F.lit("("))).withColumn("text", text)
     return t.select("session", "turn", X.is_meta(F.col("text")).alias("meta"), X.meta_command(F.col("text")).alias("command"))
 
 

@@ -29,18 +29,19 @@ def lines_below(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> Dat
     return files.select(meta("path").alias("file"), meta("modification_time").alias("modified"), meta("block_start").alias("segment"), F.monotonically_increasing_id().alias("place"), "value")
 
 
-def carried(rows: DataFrame, by: str = "file", order: str = "line", last: Sequence[str] = (), before: Mapping[str, str] | None = None, counts: Mapping[str, str] | None = None) -> DataFrame:
+def carried(rows: DataFrame, by: str = "file", order: str = "line", last: Sequence[str] = (), before: Mapping[str, str] | None = None, counts: Mapping[str, str] | None = None, bits: int | None = None) -> DataFrame:
     """rows with, in order within each value of `by`: each column of `last` replaced by its last value so far that isn't
     null; for each name of `before` the last such value of a column before the own row; for each name of `counts` how many
     rows so far have a value in a column.
 
     rows are lines as lines_below() gives them, which get their number as `line` (from 0, empty lines included), or have an
-    `order` column of whole numbers, unique within `by`.  Rows of one key are spread over tasks by segments.
+    `order` column of whole numbers, unique within `by`.  Rows of one key are spread over tasks by segments of 2 to the power
+    of bits places.
     """
     before, counts = dict(before or {}), dict(counts or {})
     read = "segment" in rows.columns
     # The scan's segments hold for one reading only, so these rows are written before they are used twice.
-    rows = written(rows) if read else rows.withColumns({"segment": F.shiftright(F.col(order).cast("long"), SEGMENT_BITS), "place": F.col(order).cast("long")})
+    rows = written(rows) if read else rows.withColumns({"segment": F.shiftright(F.col(order).cast("long"), SEGMENT_BITS if bits is None else bits), "place": F.col(order).cast("long")})
     hints = [*last, *before.values()]
     final = {f"final_{c}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place"))) for c in dict.fromkeys(hints)}
     numbers = {f"count_{n}": F.count(c) for n, c in counts.items()}

@@ -15,13 +15,14 @@ from __future__ import annotations
 import time
 import uuid
 from datetime import UTC, datetime, timedelta
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
-from .functions import timeutil
+from .functions import cursor, timeutil
 from .operators import compare, history, ingest, pricing, repair, tools, usage
 from .operators.usage import Scope
 from .plans import jobs, outbox, rollup
@@ -32,7 +33,7 @@ ts timestamp, input_tokens bigint, output_tokens bigint, cache_read_tokens bigin
 cost_usd decimal(18,8), cost_status string, event_count bigint, team_id bigint, revision_id int"""
 
 #: Columns by which the files of tables in segments are parted.
-PARTED = {"dirty": (), "compacted": (), "replacements": ("event_month",), "quarter_hours": ("event_month",), "zone_days": ("zone", "day_month"), "zone_notes": ()}
+PARTED = {"dirty": (), "compacted": (), "replacements": ("event_month",), "quarter_hours": ("event_month",), "zone_days": ("zone", "day_month"), "zone_notes": (), "turn_trigrams": ()}
 
 
 def _last_compactions(done: DataFrame) -> DataFrame:
@@ -58,11 +59,25 @@ REDUCED = {
     "compacted": lambda rows, read: rows.groupBy("bucket").agg(F.max("mark").alias("mark")),
     "replacements": lambda rows, read: ingest.latest(rows).select(*rows.columns),
     "quarter_hours": lambda rows, read: rows.join(_last_compactions(read("compacted")), ["ts", "version"], "left_semi").select(*rows.columns),
+    "turn_trigrams": lambda rows, read: rows.groupBy("block", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")),
     "zone_notes": lambda rows, read: _last_notes(rows),
     "zone_days": lambda rows, read: rows.join(_last_notes(read("zone_notes")), ["zone", "day", "version"], "left_semi").select(*rows.columns),
 }
 
 
+#: Sessions of a block of history, as a power of two.
+BLOCK_BITS = 12
+
+
+class Found(NamedTuple):
+    """One answer of a search: its turns, where to go on (None: all is searched), blocks that were read and passed over."""
+
+    turns: DataFrame
+    after: str | None
+    read: int
+    passed: int
+
+
 class UsageStore:
     def __init__(self, spark: SparkSession, root: str, revisions: DataFrame, assignments: DataFrame, users: DataFrame, teams: DataFrame, zone: str = "UTC", capable: tuple[str, ...] = ()):
         self.spark, self.root, self.zone, self.capable = spark, root.rstrip("/"), zone, list(capable)
@@ -406,27 +421,57 @@ class UsageStore:
                 done.append((batch_id, False))
         return outbox.delivered(held.drop("claimed"), self.spark.createDataFrame(done, f"batch_id {dict(batches.dtypes)['batch_id']}, ok boolean"))
 
-    # History (turns: session, turn, role, text) and tools
+    # History (turns: user_id, session, turn, role, text) and tools
 
     def save_turns(self, turns: DataFrame) -> None:
-        self._append(turns.select("session", "turn", "role", "text"), "turns")
+        """Turns lie in blocks of sessions, each with bitmaps of its texts' trigrams beside it (first, so that no turn is
+        without).  Everything below reads the turns of one user alone."""
+        rows = self._staged(turns.select("user_id", "session", "turn", "role", "text").withColumn("block", F.shiftright("session", BLOCK_BITS)))
+        self._segments(turn_trigrams=history.trigram_bits(rows, "block"))
+        self._append(rows, "turns", "block")
 
-    def _turns(self) -> DataFrame:
+    def _turns(self, user: int) -> DataFrame:
         rows = self.table("turns")
-        return self.spark.createDataFrame([], "session bigint, turn bigint, role string, text string") if rows is None else rows.dropDuplicates(["session", "turn"])
+        if rows is None:
+            return self.spark.createDataFrame([], "session bigint, turn bigint, role string, text string, block bigint")
+        return rows.where(F.col("user_id") == user).dropDuplicates(["session", "turn"]).select("session", "turn", "role", "text", F.col("block").cast("long").alias("block"))
 
-    def history_page(self, before: tuple[int, int] | None = None, size: int = 20) -> tuple[DataFrame, bool]:
+    def history_page(self, user: int, before: tuple[int, int] | None = None, size: int = 20) -> tuple[DataFrame, bool]:
         """Sessions, the last active first, with a preview of their request, and whether there are more."""
-        rows = self._staged(history.page(history.groups(self._turns(), requests=True), before, size))
+        rows = self._staged(history.page(history.groups(self._turns(user), requests=True), before, size))
         return rows.orderBy(F.desc("last_turn"), F.desc("session")).limit(size), rows.count() > size
 
-    def history_search(self, words: str) -> DataFrame:
-        return history.search(self._turns(), words)
+    def history_search(self, user: int, words: str, secret: str, after: str | None = None, size: int = 20, blocks: int = 64) -> Found:
+        """Turns of a user that hold the words, the last sessions first, up to a size, from at most so many blocks of
+        sessions; the search goes on where the cursor of an answer points, until an answer has none.  Blocks whose bitmaps
+        lack a part of the words aren't read.  ValueError for a cursor of another search."""
+        scope = f"user:{user}:{words.lower()}"
+        place = cursor.decode_place(after, scope, secret) if after else (1 << 62, 0)
+        if place is None:
+            raise ValueError("not a cursor of this search")
+        index = self.table("turn_trigrams")
+        rows = self._turns(user)
+        if index is None:
+            return Found(rows.select("session", "turn", "role", F.col("text").alias("snippet")), None, 0, 0)
+        index = index.where(F.col("block") <= place[0] >> BLOCK_BITS)
+        asked = [r[0] for r in history.may_hold(index, words, "block").orderBy(F.desc("block")).limit(blocks + 1).collect()]
+        more, asked = len(asked) > blocks, asked[:blocks]
+        low = min(asked) if more else -(1 << 62)
+        passed = index.where(F.col("block") >= low).select("block").distinct().count() - len(asked)
+        before = (F.col("session") < place[0]) | ((F.col("session") == place[0]) & (F.col("turn") < place[1]))
+        found = history.hits(rows.where(F.col("block").isin(asked) & before), words).orderBy(F.desc("session"), F.desc("turn")).limit(size + 1)
+        found = self._staged(found).orderBy(F.desc("session"), F.desc("turn"))
+        ends = found.collect()  # size + 1 at most
+        if len(ends) > size:
+            on = (ends[size - 1].session, ends[size - 1].turn)
+        else:
+            on = (low << BLOCK_BITS, 0) if more else None
+        return Found(found.limit(size), cursor.encode_place(on, scope, secret) if on else None, len(asked), passed)
 
-    def history_session(self, session: int) -> DataFrame:
+    def history_session(self, user: int, session: int) -> DataFrame:
         """The turns of a session in order; those that a tool put there are marked, with the command that they call."""
-        mine, user = self._turns().where(F.col("session") == session), F.col("role") == "user"
-        return mine.select("turn", "role", "text", (user & X.is_meta(F.col("text"))).alias("meta"), F.when(user, X.meta_command(F.col("text"))).alias("command")).orderBy("turn")
+        mine, said = self._turns(user).where((F.col("block") == session >> BLOCK_BITS) & (F.col("session") == session)), F.col("role") == "user"
+        return mine.select("turn", "role", "text", (said & X.is_meta(F.col("text"))).alias("meta"), F.when(said, X.meta_command(F.col("text"))).alias("command")).orderBy("turn")
 
     def save_tool_events(self, rows: DataFrame) -> None:
         """event_id, user_id, session_id, host, ts, activity_kind, item_key, outcome; a known event_id is passed over."""

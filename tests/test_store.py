@@ -178,16 +178,16 @@ def test_weak_revisions_are_priced_again(spark, store):
 
 
 def test_history_and_tools(spark, store):
-    turns = spark.createDataFrame([(1, 0, "user", "# My request for X:\n  fix   it"), (1, 1, "assistant", "done"), (2, 0, "user", "<command-name>/model</command-name><command-args>fast</command-args>"), (2, 5, "assistant", "Fixed")], "session long, turn long, role string, text string")
-    assert store.history_page()[0].count() == 0 and store.tool_activity("2024-01-01", "2024-02-01")["tools"].count() == 0
+    turns = spark.createDataFrame([(1, 0, "user", "# My request for X:\n  fix   it"), (1, 1, "assistant", "done"), (2, 0, "user", "<command-name>/model</command-name><command-args>fast</command-args>"), (2, 5, "assistant", "Fixed")], "session long, turn long, role string, text string").withColumn("user_id", F.lit(1))
+    assert store.history_page(1)[0].count() == 0 and store.history_search(1, "fix", "key").turns.count() == 0 and store.tool_activity("2024-01-01", "2024-02-01")["tools"].count() == 0
     store.save_turns(turns)
     store.save_turns(turns)
-    page, more = store.history_page(None, 1)
+    page, more = store.history_page(1, None, 1)
     assert [(r.session, r.turns) for r in page.collect()] == [(2, 2)] and more
-    page, more = store.history_page((5, 2), 1)
+    page, more = store.history_page(1, (5, 2), 1)
     assert [(r.session, r.preview) for r in page.collect()] == [(1, "fix it")] and not more
-    assert {r.session for r in store.history_search("FIX").collect()} == {1, 2}
-    assert [(r.turn, r.meta, r.command) for r in store.history_session(2).collect()] == [(0, True, "/model fast"), (5, False, None)]
+    assert {r.session for r in store.history_search(1, "FIX", "key").turns.collect()} == {1, 2}
+    assert [(r.turn, r.meta, r.command) for r in store.history_session(1, 2).collect()] == [(0, True, "/model fast"), (5, False, None)]
     t = T.tool_events(spark, SF)
     store.save_tool_events(t)
     store.save_tool_events(t.limit(50))
@@ -197,6 +197,37 @@ def test_history_and_tools(spark, store):
     assert rows(got["summary"]) == rows(tools.summary(t.where("ts >= '2024-01-15' AND ts < '2024-01-25'")))
 
 
+def test_search_in_pages(spark, store, monkeypatch):
+    """Pages joined equal one search of all of a user's turns; blocks without the words aren't read; others' turns aren't found."""
+    import random
+
+    from meterlake import store as S
+
+    monkeypatch.setattr(S, "BLOCK_BITS", 2)
+    rng = random.Random(4)
+    words = ["alpha", "béta", "gamma", "delta", "omega"]
+    turns = [(u, s, t, "user", " ".join(rng.choices(words[:2 + (s // 4) % 4], k=6))) for u in (1, 2) for s in range(u * 100, u * 100 + 40) for t in range(3)]
+    store.save_turns(spark.createDataFrame(turns[: len(turns) // 2], "user_id int, session long, turn long, role string, text string"))
+    store.save_turns(spark.createDataFrame(turns[len(turns) // 2 - 9 :], "user_id int, session long, turn long, role string, text string"))
+    for asked, size, blocks in (("OMEGA", 7, 3), ("béta al", 500, 4), ("a", 50, 2), ("nowhere", 5, 5)):
+        want = sorted(((s, t) for u, s, t, _, x in turns if u == 1 and asked.lower() in x), reverse=True)
+        got, after, read, passed = [], None, 0, 0
+        for _ in range(60):
+            page = store.history_search(1, asked, "key", after, size, blocks)
+            found = [(r.session, r.turn) for r in page.turns.collect()]
+            assert len(found) <= size and all(asked.lower() in r.snippet.lower() for r in page.turns.collect())
+            got, after, read, passed = got + found, page.after, read + page.read, passed + page.passed
+            if after is None:
+                break
+        assert got == want
+    assert read == 0 and passed == 20  # of the words that are nowhere
+    page = store.history_search(1, "OMEGA", "key", None, 3)
+    assert page.passed > 0 and page.after
+    for other in ((2, "OMEGA", "key"), (1, "alpha", "key"), (1, "OMEGA", "other")):
+        with pytest.raises(ValueError):
+            store.history_search(*other, page.after)
+
+
 def test_outbox_flush(spark, store):
     now = datetime(2024, 1, 20, tzinfo=UTC)
     box = spark.createDataFrame([(i, "pending", now - timedelta(minutes=i)) for i in range(6)], "batch_id int, state string, updated_at timestamp")
