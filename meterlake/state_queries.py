@@ -12,7 +12,7 @@ from .functions import exprs as X
 from .functions import sql, timeutil
 from .operators import history, pricing, tools, usage
 from .plans import answers, jobs, outbox, rollup
-from .queries import _ASOF, _LAG, _OUT, _SCORED, _TURNS, _TWO, BASE, COVER, SEOUL, TEAMED, YORK, M, both, ev, label, large, query, scores, teamed, turns
+from .queries import _ASOF, _LAG, _OUT, _SCORED, _TURNS, _TWO, BASE, COVER, SEOUL, SHORT, TEAMED, YORK, M, both, ev, label, large, query, scores, teamed, turns
 from .sources import logs
 from .sources import tables as T
 
@@ -279,6 +279,29 @@ def _(spark, d):
     return spark.sql("SELECT usage_day(ts, 'Asia/Seoul') AS day, CAST(usage_bucket(ts) AS TIMESTAMP_NTZ) AS bucket, sum(usage_tokens(input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens)) AS tokens, usage_coverage(count_if(cost_status = 'priced'), count_if(cost_status = 'unpriced'), count_if(cost_status = 'legacy')) AS coverage FROM {e} GROUP BY ALL", e=T.usage_events(spark, d))
 
 
+_SCOPES = "SELECT n_nationkey AS scope, TIMESTAMP '2024-01-05' + to_days(n_nationkey::INT) AS a, TIMESTAMP '2024-01-06' + to_days((n_nationkey + n_nationkey % 4)::INT) AS b FROM nation"
+
+
+def scopes(spark, d) -> DataFrame:
+    """A period of one to four days for each nation."""
+    n = F.col("n_nationkey").cast("int")
+    at = lambda day, more: F.lit(day).cast("timestamp") + F.make_dt_interval(more)
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("scope"), at("2024-01-05", n).alias("a"), at("2024-01-06", n + n % 4).alias("b"))
+
+
+@query("fn_table_overview", f"WITH {T.EV}, s AS ({_SCOPES}) SELECT scope, {M} FROM s LEFT JOIN ev ON ts >= a AND ts < b GROUP BY 1")
+def _(spark, d):
+    """A table function of SQL, joined laterally to a table of periods."""
+    sql.register_tables(spark, T.usage_events(spark, d))
+    return spark.sql("SELECT s.scope, o.* FROM {s} AS s, LATERAL usage_overview(s.a, s.b) AS o", s=scopes(spark, d))
+
+
+@query("fn_table_series", f"WITH {T.EV}, s AS ({_SCOPES}) SELECT scope, {label(SEOUL)} AS bucket, {SHORT} FROM s JOIN ev ON ts >= a AND ts < b GROUP BY 1, 2")
+def _(spark, d):
+    sql.register_tables(spark, T.usage_events(spark, d), SEOUL)
+    return spark.sql("SELECT s.scope, o.* FROM {s} AS s, LATERAL usage_series(s.a, s.b) AS o", s=scopes(spark, d))
+
+
 _STATES = "['backfilling', 'observing', 'active', 'fallback']"
 
 
