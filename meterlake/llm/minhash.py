@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from .common import arrow_batches, fresh, mapped, quoted, stored
 from .simhash import components, fingerprint, linked_pairs
 
-SEED, MISS, BUCKET = 42, 1e-5, 64
+SEED, MISS, BUCKET = 42, 1e-5, 16
 #: Minima in a key; nodes that lead a crowded key.
-BAND, LEADERS = 4, 2
+BAND, LEADERS = 4, 1
 #: Nodes in a block, and shingles in all of them, on average at most; columns of a product at once.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 _CHUNK = 4096
@@ -214,12 +214,9 @@ def crowded_links(hot: DataFrame, links: DataFrame, sets: DataFrame, similarity:
         return links
     links = stored(links, "minhash-links")
     first = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node"))["node"]
-    lead = hot.groupBy("k").agg(F.array_distinct(F.array(*[first(i) for i in range(LEADERS)])).alias("lead")).select("k", F.explode("lead").alias("leader"))
-    # Keys of one crowd mostly have the same leaders, so a node meets a leader once, not in every key.
-    held = stored(hot.join(lead, "k").select(F.col("leader").alias("k"), "node").distinct(), "minhash-led")
-    lead = stored(lead.select(F.col("leader").alias("k"), F.col("leader").alias("node")).distinct(), "minhash-leaders")
+    lead = hot.groupBy("k").agg(F.array_distinct(F.array(*[first(i) for i in range(LEADERS)])).alias("lead")).select("k", F.explode("lead").alias("node"))
     roots = stored(components(links), "minhash-roots")
-    links = links.union(block_links(lead, held, sets, roots, similarity))
+    links = links.union(block_links(stored(lead, "minhash-leaders"), hot, sets, roots, similarity))
     roots = stored(components(links), "minhash-roots")
     at = stored(hot.join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("r")), "minhash-rooted")
     parts = at.groupBy("k", "r").count().groupBy("k").agg(F.count(F.lit(1)).alias("parts"), F.max_by("r", F.struct("count", "r")).alias("main")).where("parts > 1")
