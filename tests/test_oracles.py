@@ -9,6 +9,7 @@ from compare import both, connection
 from pyspark.sql import functions as F
 
 import meterlake.control_queries
+import meterlake.distinct_queries
 import meterlake.inventory_queries
 import meterlake.queries as Q
 import meterlake.reading_queries
