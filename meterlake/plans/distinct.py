@@ -42,7 +42,9 @@ def numbered(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
     new = members(events, hour).groupBy("of", "value").agg(F.min("hour").alias("hour")).select("*", part)
     begin = F.lit(0)
     if known is not None:
-        new = new.join(known.select("of", "value"), ["of", "value"], "left_anti")
+        # Few of the known values are in a batch, so it is those that meet it: known is scanned, not shuffled, if the batch is small.
+        there = known.select("of", "value").join(new.select("of", "value"), ["of", "value"], "left_semi")
+        new = new.join(there, ["of", "value"], "left_anti")
         for k, n in known.groupBy("of").agg(F.max("number")).collect():  # a row a measure
             begin = F.when(F.col("of") == k, n).otherwise(begin)
     size = new.groupBy("of", "hour", "part").agg(F.count(F.lit(1)).alias("n"))

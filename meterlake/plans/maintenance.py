@@ -107,7 +107,9 @@ class Maintenance:
 
     def source(self, start: datetime, end: datetime, mode: str = "auto", zone: str | None = None):
         """What a question over a period reads: local days of its zone, 15-minute rows, and raw events where neither holds."""
-        p = self.plan(start, end, mode, zone)
+        return self.read(self.plan(start, end, mode, zone), start)
+
+    def read(self, p: layers.Layers, start: datetime):
         raw = self.store.events((p.raw[0][0], p.raw[-1][1])) if p.raw else self.store.events((start, start))
         if not (p.rollup or p.days):
             return layers.inside(raw, p.raw)

@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import replace
 from datetime import UTC, datetime, timedelta
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -25,7 +28,7 @@ from .functions import exprs as X
 from .functions import cursor, timeutil
 from .operators import compare, history, ingest, pricing, repair, tools, usage
 from .operators.usage import Scope
-from .plans import jobs, outbox, rollup
+from .plans import distinct, jobs, outbox, rollup
 from .plans.snapshots import GRACE, Snapshots
 
 EVENT = """event_id bigint, dedup_key string, provider_key string, user_id bigint, session_id string, model string, host string,
@@ -33,7 +36,7 @@ ts timestamp, input_tokens bigint, output_tokens bigint, cache_read_tokens bigin
 cost_usd decimal(18,8), cost_status string, event_count bigint, team_id bigint, revision_id int"""
 
 #: Columns by which the files of tables in segments are parted.
-PARTED = {"dirty": (), "compacted": (), "replacements": ("event_month",), "quarter_hours": ("event_month",), "zone_days": ("zone", "day_month"), "zone_notes": (), "turn_trigrams": ()}
+PARTED = {"dirty": (), "compacted": (), "replacements": ("event_month",), "quarter_hours": ("event_month",), "zone_days": ("zone", "day_month"), "zone_notes": (), "turn_trigrams": (), "numbers": ("of",), "zone_sums": ("zone", "day_month"), "zone_sets": ("zone", "day_month")}
 
 
 def _last_compactions(done: DataFrame) -> DataFrame:
@@ -53,6 +56,10 @@ def _pending(dirty: DataFrame, done: DataFrame | None) -> DataFrame:
     return met.where(F.col("done").isNull() | (F.col("done") <= F.col("mark"))).select("bucket", "mark")
 
 
+def _of_last_notes(rows: DataFrame, read) -> DataFrame:
+    return rows.join(_last_notes(read("zone_notes")), ["zone", "day", "version"], "left_semi").select(*rows.columns)
+
+
 #: What is live of each table's rows.
 REDUCED = {
     "dirty": lambda rows, read: _pending(rows, read("compacted")),
@@ -61,7 +68,10 @@ REDUCED = {
     "quarter_hours": lambda rows, read: rows.join(_last_compactions(read("compacted")), ["ts", "version"], "left_semi").select(*rows.columns),
     "turn_trigrams": lambda rows, read: rows.groupBy("block", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")),
     "zone_notes": lambda rows, read: _last_notes(rows),
-    "zone_days": lambda rows, read: rows.join(_last_notes(read("zone_notes")), ["zone", "day", "version"], "left_semi").select(*rows.columns),
+    "zone_days": _of_last_notes,
+    "zone_sums": _of_last_notes,
+    "zone_sets": _of_last_notes,
+    "numbers": lambda rows, read: rows,
 }
 
 
@@ -311,13 +321,18 @@ class UsageStore:
         label = F.explode(F.array(*[F.struct(F.lit(z).alias("zone"), X.bucket_label("ts", z).alias("day")) for z in zones])).alias("local")
         rows = self.quarter_hours((first, last)).select("*", label).select("*", "local.*").drop("local").join(days, ["zone", "day"], "left_semi")
         version, month = time.time_ns(), F.substring("day", 1, 7).alias("day_month")
-        out = rollup.daily(rows, "zone", "day").select("*", F.lit(version).alias("version"), month)
-        self._segments(zone_days=out, zone_notes=days.select("zone", "day", F.lit(version).alias("version"), F.lit(to).alias("upto")))
+        noted = lambda df: df.select("*", F.lit(version).alias("version"), month)
+        known, cell = self.snapshots.read("numbers"), {"zone": "zone", "day": "day", "provider_key": "provider_key"}
+        new = self._staged(distinct.numbered(rows, known))
+        sets = distinct.sets(rows, new if known is None else known.unionByName(new), **cell)
+        self._segments(numbers=new, zone_days=noted(rollup.daily(rows, "zone", "day")), zone_sums=noted(distinct.totals(rows, **cell)), zone_sets=noted(sets), zone_notes=days.select("zone", "day", F.lit(version).alias("version"), F.lit(to).alias("upto")))
 
     def zone_days(self, zone: str, period: tuple[str, str] | None = None) -> DataFrame | None:
         """The rows of a zone's local days as they were rolled up last; of a period (two days, both included) only these."""
-        state = self.snapshots.load()
-        rows, notes = self.snapshots.read("zone_days", state), self.snapshots.read("zone_notes", state)
+        return self._of_zone("zone_days", zone, period, self.snapshots.load())
+
+    def _of_zone(self, name: str, zone: str, period: tuple[str, str] | None, state: dict) -> DataFrame | None:
+        rows, notes = self.snapshots.read(name, state), self.snapshots.read("zone_notes", state)
         if rows is None or notes is None:
             return None
         rows, notes = (x.where(F.col("zone") == zone) for x in (rows, notes))
@@ -345,11 +360,38 @@ class UsageStore:
 
     # Questions
 
+    def _by_sets(self, scope: Scope, zone: str, *by: str) -> DataFrame | None:
+        """The measures by `day` of the zone, `provider_key`, both or none: from sums and sets of the local days that are
+        rolled up, and from other layers for the rest.  None if no day is, or the scope needs what a set doesn't tell."""
+        if self.layers is None or (scope.user, scope.team, scope.users) != (None, None, None):
+            return None
+        start, end = (t if t.tzinfo else t.replace(tzinfo=UTC) for t in map(datetime.fromisoformat, (scope.start, scope.end)))
+        p, state = self.layers.plan(start, end, zone=zone), self.snapshots.load()
+        if not p.days or not all(state.get(name) for name in ("numbers", "zone_sums", "zone_sets")):
+            return None
+        numbers, period = self.snapshots.read("numbers", state), (p.days[0][0], p.days[-1][1])
+        taken = reduce(or_, [F.col("day").between(a, b) for a, b in p.days])
+        if scope.provider is not None:
+            taken &= F.col("provider_key") == scope.provider
+        days, sets = (self._of_zone(name, zone, period, state).where(taken).drop("zone") for name in ("zone_sums", "zone_sets"))
+        key = {"day": X.bucket_label("ts", zone), "provider_key": "provider_key"}
+        if p.raw or p.rollup:
+            rest = usage.scan(self.layers.read(replace(p, days=()), start), scope)
+            days, sets = days.unionByName(distinct.totals(rest, **key)), sets.unionByName(distinct.sets(rest, numbers, **key))
+            beside = distinct.unnumbered(rest, numbers, **{k: key[k] for k in by})
+        else:
+            beside = None
+        return distinct.measured(days, sets, beside, **{k: k for k in by})
+
     def overview(self, scope: Scope) -> DataFrame:
-        return usage.overview(self._measured(scope, self.zone))
+        found = self._by_sets(scope, self.zone)
+        return usage.overview(self._measured(scope, self.zone)) if found is None else found
 
     def daily_series(self, scope: Scope, bucket: str = "day", zone: str | None = None) -> DataFrame:
         zone = zone or self.zone
+        found = self._by_sets(scope, zone, "day") if bucket == "day" else None
+        if found is not None:
+            return found.withColumnRenamed("day", "bucket").drop(*distinct.EVENTS)
         return usage.series(self._measured(scope, zone if bucket == "day" else None), zone, bucket)
 
     def member_series(self, scope: Scope, bucket: str = "day", zone: str | None = None) -> DataFrame:
@@ -383,7 +425,8 @@ class UsageStore:
         return usage.leaderboard(rows, self.users if by == "user" else self.teams, f"{by}_id", order)
 
     def provider_breakdown(self, scope: Scope) -> DataFrame:
-        return usage.breakdown(self._measured(scope, self.zone), "provider_key")
+        found = self._by_sets(scope, self.zone, "provider_key")
+        return usage.breakdown(self._measured(scope, self.zone), "provider_key") if found is None else found
 
     def user_hosts(self, user: int, period: tuple[str, str] | None = None) -> DataFrame:
         return usage.devices(self.events(period).where(F.col("user_id") == user))

@@ -122,6 +122,30 @@ def test_questions_from_three_layers(spark, served):
     assert len(late.plan(START, end, zone="Asia/Kathmandu").days) == 1
 
 
+def test_days_answer_from_sums_and_sets(spark, served):
+    """No row of a session is read where days are whole; sessions and users that no rollup has seen are counted beside."""
+    store, m = served  # noqa: F811
+    whole, ragged = Scope("2024-01-10 15:00", "2024-01-19 15:00"), Scope("2024-01-08 05:07", "2024-01-20 00:00", provider="view")
+    read = {f.split("/segment=")[0].rsplit("/", 1)[1] for f in store.daily_series(whole).inputFiles()}
+    assert read == {"zone_sums", "zone_sets", "zone_notes"}
+    assert store._by_sets(Scope("2024-01-10", "2024-01-20", user=7), ZONES[0]) is None and store._by_sets(whole, "Asia/Tokyo") is None
+    one = T.usage_events(spark, SF).where("ts >= '2024-01-14' AND ts < '2024-01-15' AND provider_key = 'view'").limit(1)
+    new = one.withColumns({"dedup_key": F.lit("new"), "session_id": F.lit("a session of its own"), "user_id": F.lit(987654).cast("long"), "ts": F.col("ts") + F.expr("interval 1 minute")})
+    store.save_usage_events(new)
+    for looks in range(3):
+        asked = lambda s: [rows(x) for x in (s.overview(whole), s.overview(ragged), s.daily_series(whole), s.daily_series(ragged, zone=ZONES[1]), s.provider_breakdown(whole), s.provider_breakdown(ragged))]
+        got, store.layers = asked(store), None
+        assert asked(store) == got
+        store.layers = m
+        if looks == 0:
+            m.quarter_hours(NOW, m.dirty(9))
+        elif looks == 1:
+            m.zones(NOW, [])
+    numbers = store.table("numbers")
+    assert numbers.count() == numbers.select("of", "value").distinct().count() == numbers.select("of", "number").distinct().count()
+    assert numbers.where("value = 'a session of its own'").count() == 1
+
+
 def test_segments_are_merged(spark, tmp_path, monkeypatch):
     """However many appends, few segments; what was superseded is gone; a lost merge changes nothing."""
     total = lambda rows, read: rows.groupBy("k").agg(F.max("v").alias("v"))
