@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import timeutil
 
 WINDOW_SECONDS = 30 * 60
 
@@ -33,6 +36,13 @@ def with_previous(tools: DataFrame) -> DataFrame:
     return out.withColumn("near", F.coalesce(near, F.lit(False)))
 
 
+def of_days(rows: DataFrame, zone: str, first: str, end: str, before: int = 0) -> DataFrame:
+    """Rows of a half-open range of local days, and of so many seconds before, by a filter that reaches the scan.  A call is
+    near another of WINDOW_SECONDS before it at most, so recovery needs no earlier ones."""
+    a, b = (timeutil.first_instant(date.fromisoformat(x), zone) for x in (first, end))
+    return rows.where((F.col("ts") >= F.lit(a - timedelta(seconds=before))) & (F.col("ts") < F.lit(b)))
+
+
 def reliability_days(tools: DataFrame, zone: str) -> DataFrame:
     t, failed, near = with_previous(tools), F.col("was") == "failure", F.col("near")
     n = F.count_if

@@ -228,11 +228,15 @@ def _(spark, d):
 @query("agg10_dashboard_bundle", f"""{_TWO} SELECT 'overview' AS result_kind, period AS key, {M} FROM b GROUP BY 2
 UNION ALL SELECT 'daily', {label(SEOUL)}, {M} FROM b WHERE period = 'current' GROUP BY 2 UNION ALL SELECT 'provider', provider_key, {M} FROM b WHERE period = 'current' GROUP BY 2""")
 def _(spark, d):
-    b = both(spark, d)
-    now = b.where("period = 'current'")
-    part = lambda kind, df, key: df.groupBy(key).agg(*X.measures()).select(F.lit(kind).alias("result_kind"), "*")
-    out = part("overview", b, F.col("period").alias("key")).unionByName(part("daily", now, X.bucket_label("ts", SEOUL).alias("key")))
-    return out.unionByName(part("provider", now, F.col("provider_key").alias("key")))
+    """One scan, and one shuffle of events: they are summed by what all three results need, and these rows are then
+    grouped by each result's key."""
+    by = ["provider_key", "session_id", "user_id", "cost_status"]
+    sums = [*(f"{x}_tokens" for x in ("input", "output", "cache_read", "cache_creation")), "cost_usd", "event_count"]
+    rows = both(spark, d).groupBy("period", X.bucket_label("ts", SEOUL).alias("day"), *by).agg(*[F.sum(c).alias(c) for c in sums])
+    now = F.col("period") == "current"
+    of = lambda kind, key: F.struct(F.lit(kind).alias("result_kind"), key.alias("key"))
+    kinds = F.when(now, F.array(of("overview", F.col("period")), of("daily", F.col("day")), of("provider", F.col("provider_key")))).otherwise(F.array(of("overview", F.col("period"))))
+    return rows.select("*", F.explode(kinds).alias("of")).groupBy("of.result_kind", "of.key").agg(*X.measures())
 
 
 @query("agg13_comparison_deltas", f"{_TWO} SELECT coalesce(model, '(unknown)') AS model, sum(tokens) FILTER (WHERE period = 'current')::BIGINT AS now_tokens, sum(tokens) FILTER (WHERE period = 'previous')::BIGINT AS then_tokens, nullif(greatest(-999, least(999, floor((sum(tokens) FILTER (WHERE period = 'current') - sum(tokens) FILTER (WHERE period = 'previous'))::DOUBLE / sum(tokens) FILTER (WHERE period = 'previous') * 100 + 0.5))), 0)::BIGINT AS delta FROM b GROUP BY 1")
@@ -286,8 +290,10 @@ def _(spark, d):
 
 
 def scores(spark, d) -> DataFrame:
-    days = tools.stacked_days(tools.usage_days(T.usage_events(spark, d), SEOUL, CAPABLE), tools.reliability_days(T.tool_events(spark, d), SEOUL))
-    return tools.personal(days, ("2024-01-23", "2024-01-30"), ("2023-12-26", "2024-01-23"))
+    current, baseline = ("2024-01-23", "2024-01-30"), ("2023-12-26", "2024-01-23")
+    read = lambda df, before=0: tools.of_days(df, SEOUL, baseline[0], current[1], before)
+    days = tools.stacked_days(tools.usage_days(read(T.usage_events(spark, d)), SEOUL, CAPABLE), tools.reliability_days(read(T.tool_events(spark, d), tools.WINDOW_SECONDS), SEOUL))
+    return tools.personal(days, current, baseline)
 
 
 _SCORE = lambda k: f"greatest(0, least(100, floor(50 + 15 * ((c{k} - m{k}) / greatest(1.4826 * d{k}, 0.05)) + 0.5)))::BIGINT"

@@ -2,7 +2,10 @@
 
 import random
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, date, datetime, timedelta
+from threading import Event
+from time import sleep
 
 import pytest
 from compare import both, connection
@@ -136,3 +139,41 @@ def test_answers_age():
     with pytest.raises(ZeroDivisionError):
         kept.ask("bad", lambda: 1 / 0)
     assert kept.ask("bad", Frame) and kept.computed == 3
+    at[0] = 19.9
+    kept.ask("q2", Frame)
+    assert set(kept.kept) == {"q", "bad", "q2"}
+    at[0] = 25.0
+    kept.ask("q3", Frame)
+    assert set(kept.kept) == {"q2", "q3"} and kept.waiting == {}  # what others asked goes with its age
+    kept.forget()
+    assert not kept.kept and at[1:] == ["gone"] * 5
+
+
+def test_answers_are_shared_while_they_are_computed():
+    go, asked = Event(), []
+
+    class Frame:
+        def persist(self):
+            asked.append(1)
+            return self
+
+        def count(self):
+            go.wait(10)
+
+        def unpersist(self):
+            pass
+
+    kept = answers.Answers(10)
+    with ThreadPoolExecutor(6) as pool:
+        found = [pool.submit(kept.ask, "q", Frame) for _ in range(6)]
+        while not asked:
+            sleep(0.01)
+        go.set()
+        assert len({id(f.result()) for f in found}) == 1 and asked == [1] and kept.computed == 1
+
+        def bad():
+            raise ValueError
+
+        with pytest.raises(ValueError):
+            kept.ask("bad", bad)
+        assert kept.waiting == {}
