@@ -15,6 +15,8 @@ from . import jobs, layers, rollup
 from .snapshots import NumberedFiles
 
 LEAST, MOST = 25, 500
+#: Plans of questions that are kept while the store stays as it is.
+PLANS = 256
 
 
 class Maintenance:
@@ -31,6 +33,7 @@ class Maintenance:
         self.limit, self.started = s.get("limit", MOST), {k: at(v) for k, v in s.get("started", {}).items()}
         self.check, self.rolled = s.get("check", False), s.get("rolled", {})  # the newest compaction that is in each zone's days
         self.agreed, self.repaired = s.get("agreed", 0), s.get("repaired")  # up to which compaction rows were validated; what was priced
+        self.planned: tuple[list, dict] = [], {}
 
     def _save(self) -> None:
         self.files.save({"watermark": self.watermark, "cutover": asdict(self.cutover), "limit": self.limit, "started": self.started, "check": self.check, "rolled": self.rolled, "agreed": self.agreed, "repaired": self.repaired})
@@ -100,6 +103,17 @@ class Maintenance:
         """Which layer answers which part of a period; zone: the one by whose days the question groups, if any."""
         if jobs.layer(mode, self.cutover, jobs.Cutover()) == "raw":
             return layers.Layers(((start, end),))
+        # The same question is planned once for what there is.
+        state = self.store.snapshots.load()
+        there = [state.get(name) for name in ("dirty", "compacted", "zone_notes")] + [self.watermark]
+        if self.planned[0] != there or len(self.planned[1]) >= PLANS:
+            self.planned = there, {}
+        plans = self.planned[1]
+        if (start, end, zone) not in plans:
+            plans[start, end, zone] = self._planned(start, end, zone)
+        return plans[start, end, zone]
+
+    def _planned(self, start: datetime, end: datetime, zone: str | None) -> layers.Layers:
         pending = self.store.pending_buckets().where((F.col("bucket") > F.lit(start - rollup.WIDTH)) & (F.col("bucket") < F.lit(end)))
         dirty = [datetime.fromtimestamp(r[0], self.start.tzinfo) for r in pending.select(F.unix_seconds("bucket")).distinct().collect()]  # 96 a day
         ready = self.store.ready_days(zone, start, end) if zone in self.names else frozenset()

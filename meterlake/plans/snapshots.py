@@ -62,6 +62,7 @@ class Snapshots:
     def __init__(self, spark: SparkSession, root: str, reduce: dict[str, Callable[[DataFrame, Callable], DataFrame]], fan: int = FAN, grace: float = GRACE):
         self.spark, self.root, self.reduce, self.fan, self.grace = spark, root, reduce, fan, grace
         self.files = NumberedFiles(spark, f"{root}/manifest", KEPT)
+        self.frames: dict[str, tuple[tuple[str, ...], DataFrame]] = {}
 
     def load(self) -> dict:
         """Of each table the live segments (folder and level), and under `writes` how often rows were appended to it."""
@@ -72,8 +73,11 @@ class Snapshots:
         return self._rows(name, segments) if segments else None
 
     def _rows(self, name: str, segments: Iterable) -> DataFrame:
-        base = f"{self.root}/{name}"
-        return self.spark.read.option("basePath", base).parquet(*[f"{base}/{folder}" for folder, _ in segments]).drop("segment")
+        """Segments don't change, so their files are listed once, until the table has others."""
+        base, folders = f"{self.root}/{name}", tuple(folder for folder, _ in segments)
+        if self.frames.get(name, ((), None))[0] != folders:
+            self.frames[name] = folders, self.spark.read.option("basePath", base).parquet(*[f"{base}/{x}" for x in folders]).drop("segment")
+        return self.frames[name][1]
 
     def _write(self, df: DataFrame, name: str, level: int, by: tuple[str, ...]) -> list:
         folder = f"segment={uuid.uuid4().hex}"
