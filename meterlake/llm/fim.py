@@ -4,8 +4,10 @@ A unit grammar says between which neighbouring classes of characters a unit ends
 of zero width, one lookbehind and one lookahead for each such pair of classes, so that Spark's split cuts there and keeps
 every character.  An empty text, which split takes for one empty piece, has no unit and is handled apart.
 
-A boundary depends on two neighbouring characters alone, so a long text is split in stretches, each with the character
-before it; what is held at a time are the pieces of one stretch, however long the text.
+A text of one stretch is split once: its units and both cuts come from the same pieces.  A boundary depends on two
+neighbouring characters alone, so a longer text is split in stretches, each with the character before it; what is held at a
+time are the pieces of one stretch, however long the text.  Its cuts are found by splitting the two stretches that hold them
+again, as far as the cut.
 """
 
 from __future__ import annotations
@@ -40,9 +42,9 @@ class Grammar:
 
 _KINDS = {"letter": r"\p{L}\p{M}", "digit": r"\p{N}", "space": r"\s", "other": r"^\p{L}\p{M}\p{N}\s"}
 GRAMMARS = {
-    "code_point": Grammar({"any": r"\s\S"}, (("any", "any"),)),
+    "code_point": Grammar({"any": r"\x{0}-\x{10FFFF}"}, (("any", "any"),)),
     "word": Grammar({"space": r" \t\n\x0B\f\r", "word": r"^ \t\n\x0B\f\r"}, (("space", "word"),)),  # a word and the space after it
-    "line": Grammar({"feed": r"\n", "any": r"\s\S"}, (("feed", "any"),)),  # a line and its line feed
+    "line": Grammar({"feed": r"\n", "any": r"\x{0}-\x{10FFFF}"}, (("feed", "any"),)),  # a line and its line feed
     "token": Grammar(_KINDS, tuple((a, b) for a in _KINDS for b in _KINDS if a != b or a == "other")),  # runs of a kind; other characters each alone
 }
 
@@ -60,11 +62,26 @@ def _place(text: Column, parts: Column, k: Column, n: Column, grammar: Grammar,
     start = F.struct(F.lit(0).alias("before"), F.lit(None).cast("int").alias("at"), F.lit(0).alias("rest"))
     step = lambda s, p: F.when(s["at"].isNotNull(), s).when(s["before"] + p["ends"] >= k, F.struct(s["before"], p["at"], (k - s["before"]).alias("rest"))).otherwise(F.struct((s["before"] + p["ends"]).alias("before"), s["at"], s["rest"]))
     found = F.aggregate(parts, start, step)
-    cut = lambda at, rest: at + F.char_length(F.array_join(F.slice(F.split(F.substring(text, at + 1, F.lit(stretch + 1)), grammar.boundary(), -1), F.lit(1), rest), ""))
+    pieces = lambda at, rest: F.split(F.substring(text, at + 1, F.lit(stretch + 1)), grammar.boundary(), rest + 1)
+    cut = lambda at, rest: at + F.char_length(F.array_join(F.slice(pieces(at, rest), F.lit(1), rest), ""))
     inside = F.transform(F.array(found), lambda s: cut(s["at"], s["rest"]))[0]  # so that the search is made once
     return F.when(k <= 0, F.lit(0)).when(k >= n, F.char_length(text)).otherwise(inside)
 
 
+def _short(text: Column, draws: tuple[Column, Column], plain: Column, grammar: Grammar) -> Column:
+    """n, a and b of a text of one stretch, which is split once: its units, and unless plain the characters before both cuts."""
+
+    def measured(pieces: Column) -> Column:
+        n = F.size(pieces).cast("long")
+        lo, hi = (f(draws[0] % (n + 1), draws[1] % (n + 1)).cast("int") for f in (F.least, F.greatest))
+        chars = lambda first, units: F.char_length(F.array_join(F.slice(pieces, first, units), ""))
+        cuts = F.transform(F.array(F.struct(lo.alias("lo"), hi.alias("hi"))), lambda c: F.struct(chars(F.lit(1), c["lo"]).alias("a"), chars(c["lo"] + 1, c["hi"] - c["lo"]).alias("m")))[0]
+        return F.struct(n.alias("n"), F.when(~plain, cuts).alias("cuts"))
+
+    found = F.transform(F.array(F.split(text, grammar.boundary(), -1)), measured)[0]  # so that the pieces are made once
+    return F.transform(F.array(found), lambda x: F.struct(x["n"].alias("n"), x["cuts"]["a"].alias("a"), (x["cuts"]["a"] + x["cuts"]["m"]).alias("b")))[0]
+
+
 def fim_transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grammar: Grammar = GRAMMARS["code_point"], seed: int = 1, percent: int = 90, spm_percent: int = 20, sentinels: tuple[str, str, str] = ("<P>", "<S>", "<M>"), stretch: int = STRETCH) -> DataFrame:
     """df with `n` (long, units), `form`, `prefix_chars` and `middle_chars` (long, null if plain) and `output`.
 
@@ -78,7 +95,7 @@ def fim_transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if {id_col.lower(), text_col.lower()} & set(RESULTS):
         raise ValueError("the id and the text can't have the name of a result")
     df = without(df, *RESULTS)
-    body, parts, digest, lo, hi, a, b = fresh([*df.columns, *RESULTS], "body", "stretches", "digest", "first_cut", "second_cut", "first_place", "second_place")
+    body, digest, parts, one, lo, hi, a, b = fresh([*df.columns, *RESULTS], "body", "digest", "stretches", "one_stretch", "first_cut", "second_cut", "first_place", "second_place")
     h = lambda i: F.conv(F.substring(F.col(digest), 8 * i + 1, 8), 16, 10).cast("long")
     text, n = F.col(body), F.col("n")
     out = df.withColumn(body, F.coalesce(quoted(text_col).cast("string"), F.lit("")))
@@ -87,12 +104,14 @@ def fim_transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for s in sentinels:
         clash = clash | F.contains(text, F.lit(s))
     form = F.when((text == "") | clash | (h(2) % 100 >= percent), "plain").when(h(3) % 100 < spm_percent, "spm").otherwise("psm")
-    out = out.withColumn("form", form).withColumn(parts, _stretches(text, grammar, stretch))
+    out = out.withColumn("form", form)
+    is_plain, short = F.col("form") == "plain", F.char_length(text) <= stretch
+    out = out.withColumn(one, F.when(short, _short(text, (h(0), h(1)), is_plain, grammar))).withColumn(parts, F.when(~short, _stretches(text, grammar, stretch)))
     units = F.aggregate(parts, F.lit(1).cast("long"), lambda s, p: s + p["ends"])
-    out = out.withColumn("n", F.when(text == "", F.lit(0).cast("long")).otherwise(units))
+    out = out.withColumn("n", F.when(text == "", F.lit(0).cast("long")).otherwise(F.coalesce(F.col(one)["n"], units)))
     out = out.withColumn(lo, F.least(h(0) % (n + 1), h(1) % (n + 1)).cast("int")).withColumn(hi, F.greatest(h(0) % (n + 1), h(1) % (n + 1)).cast("int"))
-    place = lambda k: F.when(F.col("form") != "plain", _place(text, F.col(parts), F.col(k), n, grammar, stretch))
-    out = out.withColumn(a, place(lo)).withColumn(b, place(hi))
+    place = lambda k, known: F.when(~is_plain, F.coalesce(F.col(one)[known], _place(text, F.col(parts), F.col(k), n, grammar, stretch)))
+    out = out.withColumn(a, place(lo, "a")).withColumn(b, place(hi, "b"))
     prefix, middle, suffix = F.substring(text, F.lit(1), F.col(a)), F.substring(text, F.col(a) + 1, F.col(b) - F.col(a)), F.substring(text, F.col(b) + 1, F.char_length(text) - F.col(b))
     p, s, m = map(F.lit, sentinels)
     out = out.withColumn("prefix_chars", F.col(a).cast("long")).withColumn("middle_chars", (F.col(b) - F.col(a)).cast("long"))
@@ -102,8 +121,9 @@ def fim_transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def fim_restored(output: Column, form: Column, sentinels: tuple[str, str, str] = ("<P>", "<S>", "<M>")) -> Column:
     """The text from an output and its form: a transformed text holds each sentinel once, so they split it into its parts."""
-    part = F.split(output, "|".join("\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" for s in sentinels), -1)
-    return F.when(form == "plain", output).when(form == "psm", F.concat(part[1], part[3], part[2])).otherwise(F.concat(part[2], part[3], part[1]))
+    split = F.split(output, "|".join("\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E" for s in sentinels), -1)
+    joined = lambda part: F.when(form == "psm", F.concat(part[1], part[3], part[2])).otherwise(F.concat(part[2], part[3], part[1]))
+    return F.when(form == "plain", output).otherwise(F.transform(F.array(split), joined)[0])  # so that the split is made once
 
 
 def oracle() -> str:
