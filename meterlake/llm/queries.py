@@ -33,7 +33,7 @@ def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The media are stored and read back; the PCM, at 16 kHz, is a column of the result and is stored with it."""
     media = stored(telephony.telephony_stored(documents(spark, sf_dir), "text", ["doc_id"]), "telephony")
-    out = telephony.telephony_digest(telephony.telephony_decoded(media), with_pcm=True)
+    out = telephony.telephony_read(media)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")
 
 

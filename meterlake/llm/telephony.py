@@ -130,6 +130,8 @@ def resampled(pcm: np.ndarray, up: int, down: int, half: int = 4) -> np.ndarray:
 
 
 PIECE = 1 << 18
+#: Bytes of media that are decoded together, and leave a Python worker together.
+HELD = 1 << 20
 
 
 def pcm_pieces(wav: Wav) -> Iterator[np.ndarray]:
@@ -208,6 +210,36 @@ def _read(data: bytes | None) -> Wav | None:
         return None
 
 
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch by HELD bytes of the column at a place at most, or one by one: its PCM is several times as large."""
+    begin, held = 0, 0
+    for i, value in enumerate(batch.column(at)):
+        size = value.as_buffer().size if value.is_valid else 0
+        if i > begin and held + size > HELD:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def _decoded(files: list[Wav | None], up: int, down: int) -> Iterator[tuple]:
+    """Codec, rate, samples and PCM of each file."""
+    together = adpcm_together(files)
+    for i, wav in enumerate(files):
+        if wav is None:
+            yield (None,) * 4
+            continue
+        n = len(wav.payload) if wav.codec != "adpcm" else len(wav.payload) // wav.block * (1 + 2 * (wav.block - 4))
+        pieces = iter([together.pop(i)]) if i in together else pcm_pieces(wav)
+        yield wav.codec, wav.rate * up // down, n, b"".join([y.astype("<i2").tobytes() for y in resampled_pieces(pieces, up, down)])
+
+
+def _columns(rows: list[tuple], fields: list[T.StructField]) -> list[pa.Array]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    return [pa.array(x, kinds[f.dataType.simpleString()]) for x, f in zip(zip(*rows) if rows else [[]] * len(fields), fields)]
+
+
 def telephony_decoded(df: DataFrame, media_col: str = "media", up: int = 2, down: int = 1) -> DataFrame:
     """df and: codec (string), rate (int, of the PCM), n_samples (long, at the clip's own rate) and pcm (binary: little-endian 16 bits).
 
@@ -224,18 +256,9 @@ def telephony_decoded(df: DataFrame, media_col: str = "media", up: int = 2, down
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = [_read(x) for x in batch.column(at).to_pylist()]
-            together = adpcm_together(files)
-            rows = []
-            for i, wav in enumerate(files):
-                if wav is None:
-                    rows.append((None,) * 4)
-                    continue
-                n = len(wav.payload) if wav.codec != "adpcm" else len(wav.payload) // wav.block * (1 + 2 * (wav.block - 4))
-                pieces = iter([together.pop(i)]) if i in together else pcm_pieces(wav)
-                rows.append((wav.codec, wav.rate * up // down, n, b"".join([y.astype("<i2").tobytes() for y in resampled_pieces(pieces, up, down)])))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()))]], [*batch.schema.names, *[f.name for f in fields]])
+            for part in slices(batch, at):
+                files = [_read(x) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, *_columns(list(_decoded(files, up, down)), fields)], [*part.schema.names, *[f.name for f in fields]])
 
     return mapped(df, run, T.StructType([*df.schema.fields, *fields]))
 
@@ -253,27 +276,53 @@ def feature(codec: str, rate: int, pcm: bytes) -> str:
     return f"{codec};{rate};{len(samples)};{(squares / max(1, len(samples))) ** 0.5:.3f};{peak};{crossings};{zlib.crc32(pcm):08x}"
 
 
+def _media_digest(data: bytes | None, wav: Wav | None) -> tuple:
+    row = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+    return row + ((None,) * 3 if wav is None else (len(wav.payload), hashlib.sha256(wav.payload).hexdigest(), zlib.crc32(wav.payload[-64:])))
+
+
+_DIGEST = "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+
+
+def telephony_read(df: DataFrame, media_col: str = "media", up: int = 2, down: int = 1) -> DataFrame:
+    """df with the columns of telephony_decoded() and, instead of the media, those of telephony_digest(): in one pass, so
+    that the PCM isn't sent to Python again.  Rows, nulls and names of columns are as there."""
+    arrow_batches(df.sparkSession)
+    fields = T._parse_datatype_string("codec string, rate int, n_samples long, pcm binary, " + _DIGEST).fields
+    df = without(df, *[f.name for f in fields if f.name != media_col.lower()])
+    at = df.columns.index(media_col)
+    if media_col.lower() in [f.name for f in fields]:
+        raise ValueError(f"the media column can't be named {media_col}")
+    kept = [i for i in range(len(df.columns)) if i != at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                media = part.column(at).to_pylist()
+                files, rows = [_read(x) for x in media], []
+                for data, wav, sound in zip(media, files, _decoded(files, up, down)):
+                    codec, rate, _, pcm = sound
+                    rows.append((*sound, *_media_digest(data, wav), None if pcm is None else feature(codec, rate, pcm)))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *_columns(rows, fields)], [*[part.schema.names[i] for i in kept], *[f.name for f in fields]])
+
+    return mapped(df, run, T.StructType([df.schema.fields[i] for i in kept] + fields))
+
+
 def telephony_digest(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm", with_pcm: bool = False) -> DataFrame:
     """Instead of the media, and of the PCM unless with_pcm: media_bytes, media_sha256, payload_bytes, payload_sha256,
     tail_crc32 (of its last 64 bytes) and feature, of the PCM.  Media that can't be read has nulls but for the first two."""
     arrow_batches(df.sparkSession)
-    fields = T._parse_datatype_string("media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string").fields
+    fields = T._parse_datatype_string(_DIGEST).fields
     df = without(df, *[f.name for f in fields if f.name not in (media_col.lower(), pcm_col.lower())])
     media, pcm, codec, rate = (df.columns.index(c) for c in (media_col, pcm_col, "codec", "rate"))
     kept = [i for i in range(len(df.columns)) if i != media and (with_pcm or i != pcm)]
-    kinds = {"string": pa.string(), "bigint": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for data, sound, name, hertz in zip(batch.column(media), batch.column(pcm), batch.column(codec).to_pylist(), batch.column(rate).to_pylist()):
                 data, sound = data.as_py(), sound.as_py()
-                wav = _read(data)
-                row = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
-                row += (None,) * 3 if wav is None else (len(wav.payload), hashlib.sha256(wav.payload).hexdigest(), zlib.crc32(wav.payload[-64:]))
-                rows.append((*row, None if sound is None else feature(name, hertz, sound)))
-            columns = list(zip(*rows)) if rows else [[]] * len(fields)
-            arrays = [pa.array(x, kinds[f.dataType.simpleString()]) for x, f in zip(columns, fields)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *arrays], [*[batch.schema.names[i] for i in kept], *[f.name for f in fields]])
+                rows.append((*_media_digest(data, _read(data)), None if sound is None else feature(name, hertz, sound)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *_columns(rows, fields)], [*[batch.schema.names[i] for i in kept], *[f.name for f in fields]])
 
     return mapped(df, run, T.StructType([df.schema.fields[i] for i in kept] + fields))
