@@ -11,6 +11,9 @@ that is still to find has an end outside the key's largest component, so these n
 blocks of nodes meet: the shingles that both blocks hold are coded, and the counts of common ones are a matrix product.
 Nodes meet only at sizes that can reach the similarity, and a pair of blocks emits the links that join its components,
 not all it finds.  So every link between components is found, in two passes, within the memory of two blocks.
+
+Texts are picked by the numbers of their rows.  A filter of a fixed number of bits says which rows may be among the numbers,
+or among the others if these are fewer; only rows that may be are shuffled to the exact join, the rest stays where it is.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, fresh, mapped, quoted, stored
+from .common import Stored, arrow_batches, fresh, mapped, quoted, stored
 from .simhash import components, fingerprint, linked_pairs
 
 SEED, MISS, BUCKET = 42, 1e-5, 16
@@ -34,6 +37,8 @@ BAND, LEADERS = 4, 1
 #: Nodes in a block, and shingles in all of them, on average at most; columns of a product at once.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 _CHUNK = 4096
+#: Words, of 64 bits, in a filter of rows.
+FILTER_WORDS = 1 << 17
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -224,6 +229,26 @@ def crowded_links(hot: DataFrame, links: DataFrame, sets: DataFrame, similarity:
     return links.union(block_links(rest.where("outside").select("k", "node"), rest.select("k", "node"), sets, roots, similarity))
 
 
+def picked(table: DataFrame, row: str, some: DataFrame, every: DataFrame) -> DataFrame:
+    """The rows of a stored table whose number (the column `row`) is in some; every: the numbers of all, each once.  Texts
+    are not shuffled but for those in the smaller part, and what the filter takes for these."""
+    some = stored(some.select(F.col("row").alias("n")), "minhash-picked")
+    others = stored(every.select(F.col("row").alias("n")).join(some, "n", "left_anti"), "minhash-others")
+    anti = others.count() < some.count()
+    few = others if anti else some
+    word, bits, number = fresh(table.columns, "filter_word", "filter_bits", "number")
+    few = few.withColumnRenamed("n", number)
+    slot = F.pmod(F.xxhash64(quoted(number)), F.lit(64 * FILTER_WORDS))
+    bit_of = lambda slot: F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    words = few.select(F.floor(slot / 64).alias(word), bit_of(slot).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    own = F.pmod(F.xxhash64(quoted(row)), F.lit(64 * FILTER_WORDS))
+    held = table.join(F.broadcast(words), F.floor(own / 64) == quoted(word), "left" if anti else "inner")
+    within = F.coalesce(quoted(bits).bitwiseAND(bit_of(own)), F.lit(0).cast("long")) != 0
+    plain = lambda df: df.select(*[quoted(c) for c in table.columns])
+    maybe = plain(held.where(within)).join(few, quoted(row) == quoted(number), "left_anti" if anti else "left_semi")
+    return plain(held.where(~within)).union(maybe) if anti else maybe
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """df with one row left of each group of near copies: that of the least id (null ids last), one of repeated rows.
 
@@ -231,22 +256,25 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     those of df, whatever their names; an empty table gives an empty one.  Rows are told apart by a number of their own,
     so repeated or null ids do no harm.
     """
-    node, keys, fp, row, stay_row = fresh(df.columns, "node", "keys", "fp", "row_number", "stay_row")
+    node, keys, fp, row = fresh(df.columns, "node", "keys", "fp", "row_number")
     table = _nodes(df, text_col, shingle, similarity, BAND, node, keys, fp)
     table = stored(table.withColumn(row, F.monotonically_increasing_id()), "minhash-rows")
     rows = table.select(quoted(node).alias("node"), quoted(row).alias("row"))
     one = stored(rows.groupBy("node").agg(F.min("row").alias("row")), "minhash-nodes")
-    first = table.select(quoted(node).alias("node"), quoted(row).alias("row"), quoted(keys).alias("keys"), quoted(fp).alias("fp")).join(one.select("row"), "row", "left_semi")
-    members = shared_keys(stored(first.select("node", F.explode("keys").alias("k")).distinct(), "minhash-keys"))
+    first = table.select(quoted(node).alias("node"), quoted(row).alias("row"), quoted(keys).alias("keys"), quoted(fp).alias("fp"))
+    first = picked(first, "row", one, rows)
+    every_key = Stored(first.select("node", F.explode(F.array_distinct("keys")).alias("k")), "minhash-keys")
+    members = shared_keys(every_key.df)
+    every_key.drop()
     hot = stored(members.where(F.col("count") > BUCKET).select("k", "node"), "minhash-hot")
     pairs = stored(close_pairs(members).union(fingerprint_pairs(stored(first.select("node", "fp"), "minhash-first"))).distinct(), "minhash-proposed")
     asked = one.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct(), "node", "left_semi")
-    texts = table.select(quoted(node).alias("node"), quoted(row).alias("row"), quoted(text_col).alias("text")).join(asked.select("row"), "row", "left_semi")
+    texts = picked(table.select(quoted(node).alias("node"), quoted(row).alias("row"), quoted(text_col).alias("text")), "row", asked, rows)
     sets = shingle_sets(texts, shingle)
     links = distances(pairs, sets).where(F.col("d") <= 1 - similarity + 1e-9).select("a", "b")
     roots = components(crowded_links(hot, links, sets, similarity))
     classes = one.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", F.coalesce("root", "node").alias("component"))
     classes = stored(classes, "minhash-classes")
     tagged = table.select(quoted(id_col).alias("id"), quoted(node).alias("node"), quoted(row).alias("row")).join(classes, "node")
-    stay = tagged.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select(F.col("x.row").alias(stay_row))
-    return table.join(stay, quoted(row) == quoted(stay_row), "left_semi").drop(node, keys, fp, row)
+    stay = tagged.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("x")).select("x.row")
+    return picked(table.drop(keys, fp), row, stay, rows).drop(node, row)
