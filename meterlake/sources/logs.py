@@ -199,8 +199,9 @@ def _with_usage(records: DataFrame) -> DataFrame:
 
 
 def session_files(spark: SparkSession, path: str) -> DataFrame:
-    """Session documents below a folder, each one JSON value and so one row; session_lines() reads the others."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    """Session files below a folder, each whole and so one row.  session_usage() takes files of lines from here only if it isn't
+    given those of session_lines(), which reads them by byte ranges; else its filter by name leaves them unread."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,jsonl}").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
 
 
