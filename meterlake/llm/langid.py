@@ -25,6 +25,10 @@ from .common import arrow_batches, mapped, quoted, without
 #: Labelled documents of each language to learn from (expected number), drawn by a hash with a fixed seed.
 SAMPLE, SEED = 2000, 42
 GRAM, SLOTS_LOG2, PROBES, MIN_SHARE, PIECE = 4, 21, 3, 0.01, 1 << 18
+#: Up to so many languages every slot has its bits; of more, slots without any share one row of zeros.
+DENSE = 32
+#: Hashes that a worker holds before it counts them; bits looked up at once.
+HELD, BITS = 2_000_000, 1 << 22
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _LETTERS: list[np.ndarray] = []
 
@@ -62,31 +66,47 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def _slots(h: np.ndarray, multiplier: int) -> np.ndarray:
+    return (h * np.uint64(multiplier)) >> np.uint64(64 - SLOTS_LOG2)
+
+
 @dataclass
 class Filter:
     languages: list[str]
     slots: np.ndarray  # (slots, bytes): the bits of the languages
     false: np.ndarray  # of each language, the share of foreign n-grams that it seems to have
+    row: np.ndarray | None = None  # where slots has only rows with a bit, and zeros first: of each slot, its row
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        shift, out = np.uint64(64 - SLOTS_LOG2), None
+        out = None
         for m in _MULTIPLIERS[:PROBES]:
-            row = self.slots[(h * np.uint64(m)) >> shift]
-            out = row if out is None else out & row
+            at = _slots(h, m)
+            bits = self.slots[at if self.row is None else self.row[at]]
+            out = bits if out is None else out & bits
         return out
 
+    def counted(self, text: str) -> tuple[np.ndarray, int]:
+        """How many n-grams of a text each language has, and how many there are."""
+        count, n = np.zeros(len(self.languages)), 0
+        step = max(1, BITS // max(1, len(count)))
+        for piece in grams(text):
+            n += len(piece)
+            for at in range(0, len(piece), step):
+                bits = self.masks(piece[at : at + step])
+                if len(count) > DENSE:
+                    count += np.unpackbits(bits, axis=1, count=len(count), bitorder="little").sum(axis=0, dtype=np.int64)
+                    continue
+                for i in range(len(count)):
+                    count[i] += np.count_nonzero(bits[:, i >> 3] & (1 << (i & 7)))
+        return count, n
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language (`und` without a letter) and score: the share of n-grams that it has, corrected."""
         if not text or not has_letter(text):
             return "und", 0.0
-        count, n = np.zeros(len(self.languages)), 0
-        for h in grams(text):
-            n += len(h)
-            bits = self.masks(h)
-            for i in range(len(count)):
-                count[i] += np.count_nonzero(bits[:, i >> 3] & (1 << (i & 7)))
         if not self.languages:
             return "und", 0.0
+        count, n = self.counted(text)
         share = (count / max(n, 1) - self.false) / (1 - self.false)
         best = int(share.argmax())  # ties: the first by name
         return self.languages[best], float(min(1.0, max(0.0, share[best])))
@@ -104,48 +124,46 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     rows = df.select(quoted(text_col).alias("text"), quoted(lang_col).alias("lang"), draw.alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
-    rate = F.lit(0.0)
-    for x in languages:
-        if counts[x] > SAMPLE:
-            rate = F.when(F.col("lang") == x, F.lit(SAMPLE / counts[x])).otherwise(rate)
-        else:
-            rate = F.when(F.col("lang") == x, F.lit(2.0)).otherwise(rate)
-    sample = rows.where(F.col("draw") < rate).select("text", "lang")  # by row, so that a text with many copies fills no sample
+    rates = [(x, SAMPLE / n if n > SAMPLE else 2.0, max(1, int(MIN_SHARE * min(n, SAMPLE)))) for x, n in counts.items()]
+    rates = F.broadcast(df.sparkSession.createDataFrame(rates, "lang string, rate double, least long"))  # a condition for each would nest too deep
+    sample = rows.join(rates, "lang").where(F.col("draw") < F.col("rate")).select("text", "lang")  # by row, so that a text with many copies fills no sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
-        sizes: dict[str, int] = {}
+        size = 0
 
         def out(lang: str) -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            sizes[lang] = 0
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "texts"])
 
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
                 lang = lang.as_py()
                 h = np.unique(np.concatenate([np.unique(x) for x in grams(text.as_py())] or [np.zeros(0, np.uint64)]))
                 held.setdefault(lang, []).append(h)
-                sizes[lang] = sizes.get(lang, 0) + len(h)
-                if sizes[lang] > 2_000_000:
-                    yield out(lang)
-        for lang in list(held):
-            yield out(lang)
+                size += len(h)
+                if size > HELD:
+                    yield from map(out, list(held))
+                    size = 0
+        yield from map(out, list(held))
 
     sums = sample.mapInArrow(run, "lang string, gram long, texts long").groupBy("lang", "gram").agg(F.sum("texts").alias("texts"))
-    least = F.lit(0)
-    for x in languages:
-        least = F.when(F.col("lang") == x, F.lit(max(1, int(MIN_SHARE * min(counts[x], SAMPLE))))).otherwise(least)
-    found = sums.where(F.col("texts") >= least).select("lang", "gram").toArrow()
-    slots = np.zeros((1 << SLOTS_LOG2, max(1, -(-len(languages) // 8))), np.uint8)
-    names, h = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy().view(np.uint64)
-    fill = np.zeros(len(languages))
-    for i, x in enumerate(languages):
-        own = h[names == x] if len(h) else h
-        for m in _MULTIPLIERS[:PROBES]:
-            slots[(own * np.uint64(m)) >> np.uint64(64 - SLOTS_LOG2), i >> 3] |= np.uint8(1 << (i & 7))
-        fill[i] = np.count_nonzero(slots[:, i >> 3] & (1 << (i & 7))) / len(slots)
-    return Filter(languages, slots, np.minimum(fill**PROBES, 0.99))
+    found = sums.join(rates, "lang").where(F.col("texts") >= F.col("least")).select("lang", "gram").toArrow()
+    h, number = found.column("gram").to_numpy().view(np.uint64), {x: i for i, x in enumerate(languages)}
+    own = np.fromiter((number[x] for x in found.column("lang").to_pylist()), np.int64, len(h))
+    row, n = None, 1 << SLOTS_LOG2
+    if len(languages) > DENSE:
+        filled = np.unique(np.concatenate([_slots(h, m) for m in _MULTIPLIERS[:PROBES]]))
+        row, n = np.zeros(n, np.int32), len(filled) + 1
+        row[filled] = np.arange(1, n)
+    slots, fill = np.zeros((n, max(1, -(-len(languages) // 8))), np.uint8), np.zeros(len(languages))
+    order = np.argsort(own, kind="stable")
+    ends = np.searchsorted(own[order], np.arange(len(languages) + 1))
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        at = np.unique(np.concatenate([_slots(h[order[a:b]], m) for m in _MULTIPLIERS[:PROBES]]))
+        slots[at if row is None else row[at], i >> 3] |= np.uint8(1 << (i & 7))
+        fill[i] = len(at) / (1 << SLOTS_LOG2)
+    return Filter(languages, slots, np.minimum(fill**PROBES, 0.99), row)
 
 
 def identified(df: DataFrame, model: Filter, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -159,7 +177,7 @@ def identified(df: DataFrame, model: Filter, text_col: str = "text", keep: list[
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
     source = df.select(*[quoted(c) for c in keep], *([] if text_col in keep else [quoted(text_col)]))
     at, n = source.columns.index(text_col), len(keep)
-    shared = spark.sparkContext.broadcast(model)  # 2 MB for each eight languages
+    shared = spark.sparkContext.broadcast(model)  # 2 MB for each eight languages, or 8 MB and the rows with a bit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
