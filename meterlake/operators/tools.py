@@ -107,8 +107,8 @@ def personal(days: DataFrame, current: tuple[str, str], baseline: tuple[str, str
     return g.select("user_id", score.alias("score"), F.when(high, "high").when(score.isNull(), "low").otherwise("medium").alias("confidence"), "context_score", "execution_score", "context_reason", "execution_reason", F.array_join(reasons, ",").alias("reasons"), c("cur_days").cast("long").alias("active_days"), c("cur_sessions").cast("long").alias("sessions"))
 
 
-def organisation(scores: DataFrame) -> DataFrame:
-    """Median, quartiles by nearest rank and bands; fewer than five active users are suppressed, fewer than five scores
+def organisation(scores: DataFrame, least: int = 5) -> DataFrame:
+    """Median, quartiles by nearest rank and bands; fewer than `least` active users are suppressed, fewer than `least` scores
     insufficient.  Scores are whole numbers up to 100, so users are counted by score and ranks come from 101 rows at most."""
     s, n = F.col("score"), F.col("n")
     counts = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("active_days") > 0).alias("a"))
@@ -119,6 +119,6 @@ def organisation(scores: DataFrame) -> DataFrame:
     ranked = lambda k: F.aggregate("v", start(k), lambda a, x: F.struct((a["left"] - x["n"]).alias("left"), F.coalesce(a["hit"], F.when(a["left"] < x["n"], x["score"].cast("long"))).alias("hit")))["hit"]
     median = (ranked(F.floor(last / 2)) + ranked(F.ceil(last / 2))) / 2
     quartile = lambda share: ranked(F.floor(last * share + 0.5)).cast(scores.schema["score"].dataType)
-    state = F.when(F.col("active") < 5, "suppressed").when(F.col("eligible") < 5, "insufficient").otherwise("ready")
+    state = F.when(F.col("active") < least, "suppressed").when(F.col("eligible") < least, "insufficient").otherwise("ready")
     ready = lambda x: F.when(state == "ready", x)
     return g.select("active", "eligible", state.alias("state"), ready(median).cast("double").alias("median"), ready(quartile(0.25)).alias("p25"), ready(quartile(0.75)).alias("p75"), *[ready(F.col(c)).alias(c) for c in ("above", "usual", "below")])
