@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import exprs as X
 from .functions import timeutil
-from .operators import compare, deploy, history, ingest, pricing, repair, usage
+from .operators import compare, deploy, history, ingest, pricing, repair, tools, usage
 from .plans import jobs, rollup
 from .queries import _COMP, _TURNS, _TWO, BASE, COST, COVER, PERIOD, SCOPE, SEOUL, TEAMED, TOKENS, YORK, M, both, ev, label, query, teamed, turns
 from .sources import logs, segments, wire
@@ -595,8 +595,8 @@ def _(spark, d):
 @query("alg11_baseline_scores", """WITH b AS (SELECT l_suppkey AS k, list(l_discount) AS l, median(l_discount) AS m, max(l_tax) AS cur FROM lineitem GROUP BY 1), s AS (SELECT k, m, cur, list_median(list_transform(l, lambda x: abs(x - m))) AS mad FROM b)
 SELECT k AS supplier, greatest(0, least(100, floor(0.5 + 50 + 15 * ((cur - m) / greatest(1.4826 * mad, 0.05)))))::BIGINT AS score FROM s""")
 def _(spark, d):
-    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.collect_list("l_discount").alias("baseline"), F.max("l_tax").alias("current"))
-    return li.select("supplier", X.baseline_score(F.col("current"), F.col("baseline")).alias("score"))
+    scores = tools.baseline_scores(table(spark, d, "lineitem"), "l_suppkey", "l_discount", "l_tax")
+    return scores.withColumnRenamed("l_suppkey", "supplier")
 
 
 @query("jn11_stale_rollup", f"{BASE}, r AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS bucket, count(*) AS raw, count(*) FILTER (WHERE event_id % 100 <> 0) AS kept FROM p GROUP BY 1) SELECT bucket, raw - kept AS missing FROM r WHERE raw <> kept")

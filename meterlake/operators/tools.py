@@ -107,6 +107,18 @@ def personal(days: DataFrame, current: tuple[str, str], baseline: tuple[str, str
     return g.select("user_id", score.alias("score"), F.when(high, "high").when(score.isNull(), "low").otherwise("medium").alias("confidence"), "context_score", "execution_score", "context_reason", "execution_reason", F.array_join(reasons, ",").alias("reasons"), c("cur_days").cast("long").alias("active_days"), c("cur_sessions").cast("long").alias("sessions"))
 
 
+def baseline_scores(rows: DataFrame, key: str, value: str, current: str) -> DataFrame:
+    """key and score of each key: its largest `current` against the median of its values and their median deviation from that.
+
+    Equal values of a key are counted before they meet, so a key's rows may be any number; its distinct values are in one
+    task."""
+    counts = rows.groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.max(current).alias("c"))
+    whole = Window.partitionBy(key)
+    placed = counts.withColumn("center", F.percentile("v", F.lit(0.5), F.col("n")).over(whole)).withColumn("c", F.max("c").over(whole))
+    g = placed.groupBy(key).agg(F.first("center").alias("center"), F.first("c").alias("c"), F.percentile(F.abs(F.col("v") - F.col("center")), F.lit(0.5), F.col("n")).alias("spread"))
+    return g.select(key, X.deviation_score(F.col("c"), F.col("center"), F.col("spread")).alias("score"))
+
+
 def organisation(scores: DataFrame, least: int = 5) -> DataFrame:
     """Median, quartiles by nearest rank and bands; fewer than `least` active users are suppressed, fewer than `least` scores
     insufficient.  Scores are whole numbers up to 100, so users are counted by score and ranks come from 101 rows at most."""
