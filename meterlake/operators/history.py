@@ -6,11 +6,10 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.segments import carried
-
 SNIPPET = 200
 #: Letters of a snippet of a search; positions of a trigram's hash.
 FOUND, TRIGRAM_BITS = 220, 1 << 20
@@ -93,15 +92,26 @@ def runs(turns: DataFrame, agent: str = "agent") -> DataFrame:
     return tagged.where(F.col(agent).isNotNull()).groupBy("session", "island", agent).agg(F.count(F.lit(1)).alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
 
 
-def islands(turns: DataFrame, usage: DataFrame, tolerance_ms: int) -> tuple[DataFrame, DataFrame]:
-    """Both with the time at which the island that a row is in begins."""
-    times = turns.select("session", "ts_ms").union(usage.select("session", "ts_ms")).where("session IS NOT NULL AND ts_ms IS NOT NULL").distinct()
-    placed = carried(times.withColumn("t", F.col("ts_ms").cast("long")), "session", "ts_ms", before={"was": "t"}, bits=TIME_BITS)
-    begins = F.when(F.col("was").isNull() | (F.col("t") - F.col("was") > tolerance_ms), F.col("t"))
-    placed = carried(placed.select("session", "ts_ms", begins.alias("island")), "session", "ts_ms", last=("island",), bits=TIME_BITS)
-    renewed = lambda df: df.toDF(*df.columns)  # noqa: E731  so that each side has columns of its own
-    of = lambda df: renewed(renewed(df).join(renewed(placed), ["session", "ts_ms"]))
-    return of(turns), of(usage)
+def islands(rows: DataFrame, tolerance_ms: int) -> DataFrame:
+    """rows (session, ts_ms and more) with `island`, the time at which the island that a row is in begins; rows without a
+    session or a time go.
+
+    Tasks order stretches of a session of 2 to the power of TIME_BITS milliseconds.  A stretch that an island enters from
+    before gets its beginning from a row for each stretch, and these few are ordered within the session.
+    """
+    ts, by = F.col("ts_ms").cast("long"), ["session", "stretch"]
+    rows = rows.where("session IS NOT NULL AND ts_ms IS NOT NULL").withColumn("stretch", F.shiftright(ts, TIME_BITS))
+    within = Window.partitionBy(*by).orderBy("ts_ms")
+    begins = F.when(ts - F.lag(ts).over(within) > tolerance_ms, ts)
+    times = rows.select(*by, "ts_ms").withColumn("begins", begins).groupBy(*by).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.max("begins").alias("inner"))
+    earlier = Window.partitionBy("session").orderBy("stretch")
+    before = F.lag("last").over(earlier)
+    entered = times.withColumn("own", F.when(before.isNull() | (F.col("first") - before > tolerance_ms), F.col("first")))
+    carried = F.last(F.coalesce("inner", "own"), True).over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    entered = entered.select(F.col("session").alias("s"), F.col("stretch").alias("at"), F.coalesce("own", carried).alias("entered"))
+    placed = rows.withColumn("begins", begins).withColumn("island", F.last("begins", True).over(within.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    met = placed.join(entered, (F.col("session") == F.col("s")) & (F.col("stretch") == F.col("at")))
+    return met.withColumn("island", F.coalesce("island", "entered")).drop("stretch", "begins", "s", "at", "entered")
 
 
 def matched(turns: DataFrame, usage: DataFrame, tolerance_ms: int = 10_000) -> DataFrame:
@@ -109,38 +119,49 @@ def matched(turns: DataFrame, usage: DataFrame, tolerance_ms: int = 10_000) -> D
 
     turns: session, key, ts_ms, assistant turns only.  usage: session, event, ts_ms.  Where neighbouring times of a session
     are further apart than the tolerance nothing is taken across, so these islands are worked on each for itself, and a
-    session of any length is spread over tasks.
+    session of any length is spread over tasks.  A task takes its islands one after the other from sorted rows, the events
+    of each before its turns, and holds the events of one.
     """
-    turns, usage = islands(turns, usage, tolerance_ms)
-
-    def greedy(key: tuple, t: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
-        u = u.sort_values(["ts_ms", "event"])
-        at, events = u.ts_ms.tolist(), u.event.tolist()
-        n = len(at)
-        after, before = list(range(n + 1)), list(range(n + 1))  # the next free event from here on, and (by place + 1) up to here
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    rows = usage.select("session", "ts_ms", F.lit(False).alias("turn"), "event", none(turns, "key")).union(turns.select("session", "ts_ms", F.lit(True), none(usage, "event"), "key"))
 
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def free(to: list[int], i: int) -> int:
             while to[i] != i:
                 to[i] = to[to[i]]
                 i = to[i]
             return i
 
-        out = []
-        for name, ts in t.sort_values(["ts_ms", "key"])[["key", "ts_ms"]].itertuples(index=False):
-            place = bisect_left(at, ts)
-            right, left = free(after, place), free(before, place) - 1
-            best = None
-            if left >= 0:
-                best = free(after, bisect_left(at, at[left]))  # the first free one of that time
-            if right < n and (best is None or at[right] - ts < ts - at[best]):
-                best = right
-            if best is not None and abs(at[best] - ts) <= tolerance_ms:
-                after[best], before[best + 1] = best + 1, best
-                out.append((key[0], name, events[best]))
-        return pd.DataFrame(out, columns=["session", "key", "event"])
-
-    kinds = dict(turns.dtypes) | {f"u_{a}": b for a, b in usage.dtypes}
-    return turns.groupBy("session", "island").cogroup(usage.groupBy("session", "island")).applyInPandas(greedy, f"session {kinds['session']}, key {kinds['key']}, event {kinds['u_event']}")
+        on = None
+        for b in batches:
+            out = []
+            for session, island, turn, ts, event, name in zip(*[c.to_pylist() for c in b.columns]):
+                if on is None or island != on[1] or session != on[0]:
+                    on, at, events, after = (session, island), [], [], None
+                if not turn:
+                    at.append(ts)
+                    events.append(event)
+                    continue
+                if after is None:  # the next free event from here on, and (by place + 1) up to here
+                    n = len(at)
+                    after, before = list(range(n + 1)), list(range(n + 1))
+                place = bisect_left(at, ts)
+                right, left = free(after, place), free(before, place) - 1
+                best = None
+                if left >= 0:
+                    best = free(after, bisect_left(at, at[left]))  # the first free one of that time
+                if right < n and (best is None or at[right] - ts < ts - at[best]):
+                    best = right
+                if best is not None and abs(at[best] - ts) <= tolerance_ms:
+                    after[best], before[best + 1] = best + 1, best
+                    out.append((session, name, events[best]))
+            kinds = [b.schema.field(c).type for c in ("session", "key", "event")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 3, kinds)], ["session", "key", "event"])
+
+    placed = islands(rows, tolerance_ms).select("session", "island", "turn", "ts_ms", "event", "key")
+    ordered = placed.repartition("session", "island").sortWithinPartitions("session", "island", "turn", "ts_ms", F.asc_nulls_last("event"), F.asc_nulls_last("key"))
+    kinds = {c: placed.schema[c].dataType.simpleString() for c in ("session", "key", "event")}
+    return ordered.mapInArrow(greedy, ", ".join(f"{c} {k}" for c, k in kinds.items()))
 
 
 def normalised(df: DataFrame, column: str) -> DataFrame:
