@@ -168,19 +168,24 @@ TOKEN_NAMES = {
 
 def _session_tokens(tokens: Column, model: Column, direct: bool) -> Column:
     """Model and counts of a JSON object of tokens; null without an object, a model or any token.  Fractions are cut off,
-    negatives are zero.  Input loses its cached part: in totals always, in messages if their total shows that it is in it."""
-    def number(name: str) -> Column:
-        found = F.coalesce(*[F.get_json_object(tokens, f"$.{k}").try_cast("double") for k in TOKEN_NAMES[name]])
-        return F.floor(F.greatest(found, F.lit(0.0))).cast("long")
+    negatives are zero.  Input loses its cached part: in totals always, in messages if their total shows that it is in it.
 
-    n = {k: number(k) if k == "total" else F.coalesce(number(k), F.lit(0)) for k in TOKEN_NAMES}
-    whole = n["input"] + n["output"] + n["thoughts"] + n["tool"]
-    overlap = ((n["cached"] > 0) & n["total"].eqNullSafe(whole)) if direct else F.lit(True)
-    inp = F.when(overlap, F.greatest(n["input"] - n["cached"], F.lit(0))).otherwise(n["input"]) + n["tool"]
-    total = F.coalesce(n["total"], F.lit(0).cast("long"))
-    out = with_missing_total(inp, n["output"], n["cached"], n["thoughts"], total)
-    name = F.when(F.trim(model) != "", model)
-    return F.when(name.isNotNull() & F.startswith(F.trim(tokens), F.lit("{")) & (inp + out + n["cached"] > 0), F.struct(name.alias("model"), inp.alias("input_tokens"), out.alias("output_tokens"), n["cached"].alias("cache_read_tokens")))
+    What is used often is bound once, as a plan holds each use of an expression."""
+    def number(said: Column, name: str) -> Column:
+        found = F.coalesce(*[F.get_json_object(said, f"$.{k}").try_cast("double") for k in TOKEN_NAMES[name]])
+        n = F.floor(F.greatest(found, F.lit(0.0))).cast("long")
+        return (n if name == "total" else F.coalesce(n, F.lit(0))).alias(name)
+
+    def usage(n: Column) -> Column:
+        whole = n["input"] + n["output"] + n["thoughts"] + n["tool"]
+        overlap = ((n["cached"] > 0) & n["total"].eqNullSafe(whole)) if direct else F.lit(True)
+        inp = F.when(overlap, F.greatest(n["input"] - n["cached"], F.lit(0))).otherwise(n["input"]) + n["tool"]
+        total = F.coalesce(n["total"], F.lit(0).cast("long"))
+        return X.once(inp, lambda inp: F.struct(n["name"].alias("model"), inp.alias("input_tokens"), with_missing_total(inp, n["output"], n["cached"], n["thoughts"], total).alias("output_tokens"), n["cached"].alias("cache_read_tokens")))
+
+    counts = X.once(tokens, lambda said: F.when(F.startswith(F.trim(said), F.lit("{")), F.struct(F.when(F.trim(model) != "", model).alias("name"), *[number(said, k) for k in TOKEN_NAMES])))
+    some = lambda u: F.when(u["model"].isNotNull() & (u["input_tokens"] + u["output_tokens"] + u["cache_read_tokens"] > 0), u)
+    return X.once(X.once(counts, usage), some)
 
 
 def _with_usage(records: DataFrame) -> DataFrame:
@@ -192,9 +197,10 @@ def _with_usage(records: DataFrame) -> DataFrame:
     rest = F.array(_session_tokens(stats, F.coalesce("hint", F.lit("unknown")), False))
     direct = F.array(_session_tokens(g("$.tokens"), F.coalesce(g("$.model"), F.col("hint")), True))
     is_direct = g("$.type").eqNullSafe("gemini")
-    x = records.withColumn("usage", F.when(is_direct, direct).when(F.size(by_model) > 0, by_model).otherwise(rest))
+    usage = F.when(is_direct, direct).otherwise(X.once(by_model, lambda some: F.when(F.size(some) > 0, some).otherwise(rest)))
     own = F.when(is_direct, _moment(g("$.timestamp"), g("$.created_at"))).otherwise(_moment(g("$.timestamp")))
-    x = x.select("file", "line", "session_id", F.coalesce(own, "fallback").alias("ts"), F.when(is_direct, g("$.id")).alias("message_id"), F.explode("usage").alias("u")).where("u IS NOT NULL")
+    # Exploded as it is: a filter on a column of it would hold it again.
+    x = records.select("file", "line", "session_id", F.coalesce(own, "fallback").alias("ts"), F.when(is_direct, g("$.id")).alias("message_id"), F.explode(usage).alias("u")).where("u IS NOT NULL")
     return x.select("file", "line", "session_id", "ts", "message_id", "u.*", F.lit(0).cast("long").alias("cache_creation_tokens"))
 
 
